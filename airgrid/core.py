@@ -167,8 +167,9 @@ def exact_quantiles(
         pos = F.lit(float(p)) * (F.col("_n") - 1)
         for tag, rank in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
             aggs.append(F.min(F.when(F.col("_cum") > rank, F.col("_v"))).alias(f"_{tag}{i}"))
-        lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
-        outs.append((lo + (hi - lo) * (pos - F.floor(pos))).alias(name))
+        lo, hi, t = F.col(f"_lo{i}"), F.col(f"_hi{i}"), pos - F.floor(pos)
+        # interpolate from the nearer end, so that both ends are hit exactly
+        outs.append(F.when(t < 0.5, lo + (hi - lo) * t).otherwise(hi - (hi - lo) * (1 - t)).alias(name))
     return counted.groupBy(*keys).agg(F.max("_n").alias("_n"), *aggs).select(*keys, *outs)
 
 
@@ -222,6 +223,29 @@ def average_rank(df: DataFrame, keys: Sequence[str], value: str, out: str) -> Da
     )
 
 
+def value_position(
+    df: DataFrame, keys: Sequence[str], value: str, tiebreak: Sequence[str] = (), pos: str = "_pos", total: str = "_n"
+) -> DataFrame:
+    """0-based position of every non-null value in ascending order within its key, and the key's size."""
+    keys = list(keys)
+    rows = value_buckets(df.where(F.col(value).isNotNull()), keys, value)
+    part = F.when(F.col("_bucket") % 2 == 1, salt(rows, salt_count(df))).otherwise(0)
+    rows = rows.withColumn("_part", part)
+    group = [*keys, "_bucket", "_part"]
+    sizes = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_size"))
+    starts = sizes.select(
+        *group,
+        F.coalesce(F.sum("_size").over(earlier(keys, "_bucket", "_part")), F.lit(0)).alias("_start"),
+        F.sum("_size").over(Window.partitionBy(*keys)).alias(total),
+    )
+    w = by(group, value, *tiebreak)
+    return (
+        attach(rows.withColumn("_rn", F.row_number().over(w)), starts, group)
+        .withColumn(pos, F.col("_start") + F.col("_rn") - 1)
+        .drop("_bucket", "_part", "_rn", "_start")
+    )
+
+
 # ---------------------------------------------------------------- series positions and blocks
 
 

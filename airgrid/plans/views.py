@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 NY, NX = 10, 20
 SOUTH, NORTH, WEST, EAST = 32.5, 35.5, 71.5, 74.5
+# unit divisors; deliberately not round, so that no value lies on a rounding tie
+PRICE_UNIT, QTY_UNIT, CENT_UNIT = 99991.0, 1.0007, 100.07
 BBOX = {"south": SOUTH, "north": NORTH, "west": WEST, "east": EAST}
 
 
@@ -42,8 +44,8 @@ def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
             (F.col("l_partkey") % NX).cast("int").alias("x"),
         )
         .agg(
-            (_cents("l_extendedprice") / (F.count(F.lit(1)) * 100000.0)).alias("no2"),
-            F.avg("l_quantity").alias("so2"),
+            (_cents("l_extendedprice") / F.count(F.lit(1)) / PRICE_UNIT).alias("no2"),
+            (F.sum("l_quantity") / F.count(F.lit(1)) / QTY_UNIT).alias("so2"),
             (F.min("l_linenumber") - 1).cast("int").alias("qa"),
         )
         .withColumn("lat", SOUTH + F.col("y") * (NORTH - SOUTH) / (NY - 1))
@@ -62,10 +64,10 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.date_trunc("day", "l_shipdate").cast("timestamp_ntz").alias("time"),
         )
         .agg(
-            (_cents("l_extendedprice") / (n * 100000.0)).alias("no2"),
-            F.avg("l_quantity").alias("so2"),
-            (_cents("l_discount") / (n * 100.0)).alias("co"),
-            (_cents("l_tax") / (n * 100.0)).alias("o3"),
+            (_cents("l_extendedprice") / n / PRICE_UNIT).alias("no2"),
+            (F.sum("l_quantity") / n / QTY_UNIT).alias("so2"),
+            (_cents("l_discount") / n / CENT_UNIT).alias("co"),
+            (_cents("l_tax") / n / CENT_UNIT).alias("o3"),
             n.alias("n"),
         )
     )
@@ -98,7 +100,7 @@ def event_series(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.date_trunc("day", "ts").cast("timestamp_ntz").alias("time"),
         )
         .agg(
-            (_cents("value") / (F.count("value") * 100.0)).alias("value"),
+            (_cents("value") / F.count("value") / CENT_UNIT).alias("value"),
             F.count(F.lit(1)).alias("n"),
         )
     )
@@ -111,7 +113,7 @@ def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("o_custkey") % 100).cast("double").alias("cloud_cover"),
         (F.col("o_orderkey") % 64).cast("int").alias("qa_pixel"),
         _dataset("o_custkey", 5000, "r").alias("region"),
-        (F.round(F.col("o_totalprice") * 100).cast("long") / 100000.0).alias("sr_b1"),
+        (F.round(F.col("o_totalprice") * 100).cast("long") / PRICE_UNIT).alias("sr_b1"),
     )
 
 
@@ -137,13 +139,13 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ------------------------------------------------------------------ the same views as SQL
 
 _CENTS = "CAST(sum(CAST(round({0}*100) AS BIGINT)) AS DOUBLE)"
-_PRICE = _CENTS.format("l_extendedprice") + "/(count(*)*100000.0)"
+_PRICE = _CENTS.format("l_extendedprice") + f"/count(*)/CAST({PRICE_UNIT} AS DOUBLE)"
 
 SQL_VIEWS = {
     "grid": f"""cells AS (
       SELECT 'd' || CAST(l_suppkey // 50 AS VARCHAR) AS dataset_id, date_trunc('month', l_shipdate) AS time,
              CAST(l_suppkey % {NY} AS INTEGER) AS y, CAST(l_partkey % {NX} AS INTEGER) AS x,
-             {_PRICE} AS no2, avg(l_quantity) AS so2, CAST(min(l_linenumber) - 1 AS INTEGER) AS qa
+             {_PRICE} AS no2, sum(l_quantity)/count(*)/CAST({QTY_UNIT} AS DOUBLE) AS so2, CAST(min(l_linenumber) - 1 AS INTEGER) AS qa
       FROM lineitem GROUP BY 1, 2, 3, 4),
     grid AS MATERIALIZED (
       SELECT dataset_id, v.variable, CAST(time AS TIMESTAMP) AS time, y, x,
@@ -154,8 +156,8 @@ SQL_VIEWS = {
     "daily": f"""daily AS MATERIALIZED (
       SELECT 'd' || CAST(l_suppkey // 50 AS VARCHAR) AS dataset_id,
              CAST(date_trunc('day', l_shipdate) AS TIMESTAMP) AS time,
-             {_PRICE} AS no2, avg(l_quantity) AS so2,
-             {_CENTS.format('l_discount')}/(count(*)*100.0) AS co, {_CENTS.format('l_tax')}/(count(*)*100.0) AS o3,
+             {_PRICE} AS no2, sum(l_quantity)/count(*)/CAST({QTY_UNIT} AS DOUBLE) AS so2,
+             {_CENTS.format('l_discount')}/count(*)/CAST({CENT_UNIT} AS DOUBLE) AS co, {_CENTS.format('l_tax')}/count(*)/CAST({CENT_UNIT} AS DOUBLE) AS o3,
              count(*) AS n
       FROM lineitem GROUP BY 1, 2)""",
     "series": """series AS MATERIALIZED (
@@ -169,12 +171,12 @@ SQL_VIEWS = {
     "event_series": f"""event_series AS MATERIALIZED (
       SELECT 'u' || CAST(user_id // 100 AS VARCHAR) AS dataset_id, event_type AS variable,
              CAST(date_trunc('day', ts) AS TIMESTAMP) AS time,
-             {_CENTS.format('value')}/(count(value)*100.0) AS value, count(*) AS n
+             {_CENTS.format('value')}/count(value)/CAST({CENT_UNIT} AS DOUBLE) AS value, count(*) AS n
       FROM events GROUP BY 1, 2, 3)""",
-    "scenes": """scenes AS MATERIALIZED (
+    "scenes": f"""scenes AS MATERIALIZED (
       SELECT o_orderkey AS scene_id, o_orderdate AS time_start, CAST(o_custkey % 100 AS DOUBLE) AS cloud_cover,
              CAST(o_orderkey % 64 AS INTEGER) AS qa_pixel, 'r' || CAST(o_custkey // 5000 AS VARCHAR) AS region,
-             CAST(round(o_totalprice*100) AS BIGINT)/100000.0 AS sr_b1 FROM orders)""",
+             CAST(round(o_totalprice*100) AS BIGINT)/CAST({PRICE_UNIT} AS DOUBLE) AS sr_b1 FROM orders)""",
     "points": """points AS MATERIALIZED (
       SELECT c_custkey AS point_id,
              CASE WHEN c_custkey % 97 = 0 THEN 'n/a' ELSE printf('%.2f', 32.5 + (c_custkey % 300)/100.0) END AS latitude,
