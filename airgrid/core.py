@@ -28,6 +28,8 @@ BLOCK = 65_536
 SKETCH_ACCURACY = 100_000
 #: boundaries used when a value axis is cut into buckets
 VALUE_CUTS = 255
+#: keys with fewer rows than this are not cut at all
+SMALL_KEY = 50_000
 
 
 def session(app: str = "airgrid", cpus: str | int = "*", **conf: str) -> SparkSession:
@@ -190,17 +192,27 @@ def _bucket_of(v: Column, cuts: Column) -> Column:
     return 2 * below + F.when(F.get(cuts, below) == v, 1).otherwise(0)
 
 
-def value_buckets(df: DataFrame, keys: Sequence[str], value: str, out: str = "_bucket") -> DataFrame:
-    """Ordered buckets of nearly equal size per key; heavy ties sit alone in odd buckets."""
+def value_buckets(
+    df: DataFrame, keys: Sequence[str], value: str, out: str = "_bucket", small: int = SMALL_KEY
+) -> DataFrame:
+    """Ordered buckets of nearly equal size per key; heavy ties sit alone in odd buckets.
+
+    A key of at most ``small`` rows is one bucket.
+    """
     probs = [(i + 1) / (VALUE_CUTS + 1) for i in range(VALUE_CUTS)]
-    cuts = df.groupBy(*keys).agg(F.percentile_approx(F.col(value), probs, 10_000).alias("_cuts"))
-    return attach(df, cuts, keys).withColumn(out, _bucket_of(F.col(value), F.col("_cuts"))).drop("_cuts")
+    cuts = df.groupBy(*keys).agg(
+        F.when(F.count(value) > small, F.percentile_approx(F.col(value), probs, 10_000)).alias("_cuts")
+    )
+    bucket = F.when(F.col("_cuts").isNull(), 0).otherwise(_bucket_of(F.col(value), F.col("_cuts")))
+    return attach(df, cuts, keys).withColumn(out, bucket).drop("_cuts")
 
 
-def average_rank(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
+def average_rank(
+    df: DataFrame, keys: Sequence[str], value: str, out: str, small: int = SMALL_KEY
+) -> DataFrame:
     """Average rank (1-based, ties share their mean rank) of every non-null value within its key."""
     keys = list(keys)
-    rows = value_buckets(df.where(F.col(value).isNotNull()), keys, value)
+    rows = value_buckets(df.where(F.col(value).isNotNull()), keys, value, small=small)
     sizes = rows.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_size"))
     starts = sizes.withColumn(
         "_start", F.coalesce(F.sum("_size").over(earlier(keys, "_bucket")), F.lit(0))
@@ -224,11 +236,12 @@ def average_rank(df: DataFrame, keys: Sequence[str], value: str, out: str) -> Da
 
 
 def value_position(
-    df: DataFrame, keys: Sequence[str], value: str, tiebreak: Sequence[str] = (), pos: str = "_pos", total: str = "_n"
-) -> DataFrame:
+    df: DataFrame, keys: Sequence[str], value: str, tiebreak: Sequence[str] = (), pos: str = "_pos", total: str = "_n",
+    small: int = SMALL_KEY,
+) -> DataFrame:
     """0-based position of every non-null value in ascending order within its key, and the key's size."""
     keys = list(keys)
-    rows = value_buckets(df.where(F.col(value).isNotNull()), keys, value)
+    rows = value_buckets(df.where(F.col(value).isNotNull()), keys, value, small=small)
     part = F.when(F.col("_bucket") % 2 == 1, salt(rows, salt_count(df))).otherwise(0)
     rows = rows.withColumn("_part", part)
     group = [*keys, "_bucket", "_part"]

@@ -3,9 +3,10 @@
 ``sum over i < j of sign(x_j - x_i) * sign(y_j - y_i)`` is needed by the Mann-Kendall test and by
 Kendall's tau.  Both axes are cut into ordered buckets (``core.value_buckets``).  Pairs that differ in
 both buckets are counted from the bucket-by-bucket table, which has a fixed maximum size per key.
-Pairs that share a bucket on one axis are counted inside that bucket, in n log n, and the pairs that
-share both buckets, counted twice that way, are taken off once.  Buckets hold about 1/256 of a key;
-a bucket whose values are all equal contributes nothing and is not collected at all.
+Pairs that share an x bucket are counted inside it, in n log^2 n; pairs that share a y bucket are counted
+inside that one with x replaced by its bucket, so that pairs sharing both count only once.  Buckets
+hold about 1/256 of a key; a bucket whose values are all equal contributes nothing and is not
+collected at all.  A small key is a single bucket.
 """
 
 from __future__ import annotations
@@ -17,12 +18,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from airgrid.core import VALUE_CUTS, value_buckets
+from airgrid.core import SMALL_KEY, VALUE_CUTS, value_buckets
 from airgrid.operators.aggregates import merge_on
 
 
 def concordant_minus_discordant(x: np.ndarray, y: np.ndarray) -> int:
-    """n log n count for one bounded group, ties contributing zero."""
+    """n log^2 n count for one bounded group, ties contributing zero."""
     n = len(x)
     if n < 2:
         return 0
@@ -94,19 +95,18 @@ def _between(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return cells.groupBy(*keys).applyInPandas(count, f"{fields}, _s bigint")
 
 
-def concordance(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
+def concordance(df: DataFrame, keys: Sequence[str], x: str, y: str, small: int = SMALL_KEY) -> DataFrame:
     """``keys, n, s``: number of complete rows and their concordant minus discordant pairs."""
     keys = list(keys)
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
         *keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")
     )
-    rows = value_buckets(rows, keys, "_x", "_bx")
-    rows = value_buckets(rows, keys, "_y", "_by")
-    mixed_x, mixed_y = F.col("_bx") % 2 == 0, F.col("_by") % 2 == 0
-    same_x = _inside(rows.where(mixed_x), keys, ["_bx"])
-    same_y = _inside(rows.where(mixed_y), keys, ["_by"])
-    both = _inside(rows.where(mixed_x & mixed_y), keys, ["_bx", "_by"]).withColumn("_s", -F.col("_s"))
-    parts = _between(rows, keys).unionByName(same_x).unionByName(same_y).unionByName(both)
+    rows = value_buckets(rows, keys, "_x", "_bx", small)
+    rows = value_buckets(rows, keys, "_y", "_by", small)
+    same_x = _inside(rows.where(F.col("_bx") % 2 == 0), keys, ["_bx"])
+    mixed_y = rows.where((F.col("_by") % 2 == 0) & (F.col("_by") + F.col("_bx") > 0))
+    same_y = _inside(mixed_y.withColumn("_x", F.col("_bx").cast("double")), keys, ["_by"])
+    parts = _between(rows, keys).unionByName(same_x).unionByName(same_y)
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     return merge_on(counts, parts.groupBy(*keys).agg(F.sum("_s").alias("s")), keys)
 

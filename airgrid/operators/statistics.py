@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from airgrid import KEYS
 from airgrid.core import attach, average_rank, exact_quantiles, ratio, row_position, value_position
 from airgrid.functions.special import log_normal_cdf_of, normal_pvalue_of, t_pvalue_of, t_quantile_of
-from airgrid.operators.aggregates import iqr_fences, merge_on
+from airgrid.operators.aggregates import iqr_fences, merge_on, pivot_wide
 from airgrid.operators.ordering import concordance, tied_pairs
 
 DATASET = ("dataset_id",)
@@ -65,16 +65,17 @@ def _pair_rows(df: DataFrame, keys: Sequence[str], fields: Sequence[str], pairs:
 
 
 def correlation_pairs(
-    wide: DataFrame, variables: Sequence[str], method: str = "pearson", keys: Sequence[str] = DATASET
+    wide: DataFrame, variables: Sequence[str], method: str = "pearson", keys: Sequence[str] = DATASET, time: str = "time"
 ) -> DataFrame:
     """One row per unordered pair with ``r`` and ``n``, over rows without nulls (see ``align_inner``)."""
     pairs = _pairs(variables)
     if method == "kendall":
         return _kendall(wide, variables, keys)
-    rows = wide.select(*keys, *variables)
+    rows = wide
     if method == "spearman":
-        for v in variables:
-            rows = average_rank(rows, keys, v, f"_rank_{v}").drop(v).withColumnRenamed(f"_rank_{v}", v)
+        tall = wide.select(*keys, time, *variables).unpivot([*keys, time], list(variables), "variable", "_v")
+        ranked = average_rank(tall, [*keys, "variable"], "_v", "_rank")
+        rows = pivot_wide(ranked, variables, keys, time, "_rank")
     elif method != "pearson":
         raise ValueError(f"unknown correlation method: {method}")
     n = F.count(F.lit(1))
@@ -97,12 +98,17 @@ def _kendall(wide: DataFrame, variables: Sequence[str], keys: Sequence[str]) ->
     return out
 
 
+def _mirrored(half: DataFrame, keys: Sequence[str]) -> DataFrame:
+    a, b = F.col("variable_a"), F.col("variable_b")
+    return half.select(*keys, b.alias("variable_a"), a.alias("variable_b"), "r", "n")
+
+
 def correlation(
     wide: DataFrame, variables: Sequence[str], method: str = "pearson", keys: Sequence[str] = DATASET
 ) -> DataFrame:
     """Full symmetric matrix in long form, diagonal included."""
     half = correlation_pairs(wide, variables, method, keys)
-    mirrored = half.withColumnsRenamed({"variable_a": "variable_b", "variable_b": "variable_a"})
+    mirrored = _mirrored(half, keys)
     sizes = wide.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     same = sizes.select(*keys, F.explode(F.array(*[F.lit(v) for v in variables])).alias("variable_a"), "n")
     same = same.withColumns({"variable_b": F.col("variable_a"), "r": F.lit(1.0)})
@@ -122,8 +128,7 @@ def correlation_significance(
 
 def scatter_corr(wide: DataFrame, variables: Sequence[str], keys: Sequence[str] = DATASET) -> DataFrame:
     """Lower triangle of the Pearson matrix."""
-    half = correlation_pairs(wide, variables, "pearson", keys)
-    return half.withColumnsRenamed({"variable_a": "variable_b", "variable_b": "variable_a"})
+    return _mirrored(correlation_pairs(wide, variables, "pearson", keys), keys)
 
 
 def _products(wide: DataFrame, variables: Sequence[str], keys: Sequence[str]) -> DataFrame:

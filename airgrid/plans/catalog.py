@@ -5,6 +5,7 @@ from airgrid.plans import (  # noqa: F401
     function_queries,
     slicing_queries,
     source_queries,
+    statistics_queries,
     window_queries,
 )
 from airgrid.plans.registry import ORACLES, QUERIES  # noqa: F401
