@@ -4,6 +4,7 @@ from airgrid.plans import (  # noqa: F401
     aggregate_queries,
     function_queries,
     slicing_queries,
+    grid_queries,
     source_queries,
     statistics_queries,
     window_queries,
