@@ -60,6 +60,16 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
     return spark.sparkContext.getCheckpointDir()
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Compute once for several uses: a reliable checkpoint where the cluster names a folder, else a cache.
+
+    Either survives the loss of executors; the checkpoint also cuts the lineage.
+    """
+    if ensure_checkpoint_dir(df.sparkSession):
+        return df.checkpoint()
+    return df.persist()
+
+
 def nan_to_null(df: DataFrame, *columns: str) -> DataFrame:
     """NaN becomes null in the given (default: all) floating columns."""
     floats = {f.name for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))}

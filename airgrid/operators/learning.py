@@ -15,7 +15,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from airgrid.core import attach, ensure_checkpoint_dir, exact_quantiles
+from airgrid.core import attach, ensure_checkpoint_dir, exact_quantiles, materialize
 from airgrid.functions.scaling import log1p_if_skewed
 from airgrid.operators.aggregates import pivot_wide, prediction_band, regression_metrics, residual_stats, spatial_mean
 from airgrid.operators.ranking import best_model, top_features
@@ -205,9 +205,12 @@ def run_training(
     scaling: str = "standard", keys: Sequence[str] = ("dataset_id",), time: str = "time", metric: str = "r2", save_to: str | None = None,
 ) -> TrainingRun:
     """Split in time, select, scale, train, pick the best on validation, evaluate and predict the test rows."""
-    rows = chrono_split(table, keys, time)
+    # the engineered table feeds the selection, the scaling statistics and the fits
+    rows = materialize(chrono_split(table.select(*keys, time, target, *[c for c in columns if c != target]), keys, time))
     chosen = select_features(rows.where(F.col("split") == "train"), columns, target, selection, k) if selection else list(columns)
-    scaled = scale(rows.select(*keys, time, "split", target, *[c for c in chosen if c != target]), chosen, scaling).persist()
+    scaled = materialize(
+        scale(rows.select(*keys, time, "split", target, *[c for c in chosen if c != target]), chosen, scaling)
+    )
     trained = train(scaled, chosen, target, models)
     metrics = evaluate_all(trained, scaled, target)
     # one row comes back

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from airgrid import KEYS
+from airgrid.core import materialize
 from airgrid.functions.levels import ALERT_THRESHOLDS
 from airgrid.operators import learning as ML
 from airgrid.operators import ranking as R
@@ -551,7 +552,7 @@ for _m in ("standard", "minmax", "robust"):
 
 
 def split_table(spark, sf):
-    return W.chrono_split(feature_table(spark, sf)).select("dataset_id", "time", "split", "no2", *FEATURES)
+    return materialize(W.chrono_split(feature_table(spark, sf).select("dataset_id", "time", "no2", *FEATURES)))
 
 
 @query("L4_select_features_rfe")
@@ -564,21 +565,21 @@ def _(spark, sf):
 
 @query("L5_train_and_evaluate")
 def _(spark, sf):
-    rows = ML.scale(split_table(spark, sf), FEATURES).persist()
+    rows = materialize(ML.scale(split_table(spark, sf), FEATURES))
     trained = ML.train(rows, FEATURES, "no2", ("linear", "ridge", "lasso"))
     return rounded(ML.evaluate_all(trained, rows, "no2"))
 
 
 @query("L6_evaluate_test")
 def _(spark, sf):
-    rows = ML.scale(split_table(spark, sf), FEATURES).persist()
+    rows = materialize(ML.scale(split_table(spark, sf), FEATURES))
     trained = ML.train(rows, FEATURES, "no2", ("linear",))
     return rounded(ML.evaluate(trained["linear"], rows.where(F.col("split") == "test"), "no2", ["dataset_id"]))
 
 
 @query("L7_predict")
 def _(spark, sf):
-    rows = ML.scale(split_table(spark, sf), FEATURES).persist()
+    rows = materialize(ML.scale(split_table(spark, sf), FEATURES))
     trained = ML.train(rows, FEATURES, "no2", ("linear",))
     test = rows.where(F.col("split") == "test")
     return rounded(ML.predict_with_band(trained["linear"], test, "no2", ["dataset_id", "time"], ["dataset_id"]))
@@ -586,7 +587,7 @@ def _(spark, sf):
 
 @query("L8_save_models")
 def _(spark, sf):
-    rows = ML.scale(split_table(spark, sf), FEATURES).persist()
+    rows = materialize(ML.scale(split_table(spark, sf), FEATURES))
     trained = ML.train(rows, FEATURES, "no2", ("linear", "ridge"))
     base = scratch_path(spark, "models")
     ML.save_models(trained, ML.evaluate_all(trained, rows, "no2"), "no2", base)

@@ -26,7 +26,8 @@ def _dataset(key: str, size: int, letter: str):
 
 
 def _unpivot(df: DataFrame, ids: list[str], variables: list[str]) -> DataFrame:
-    return df.unpivot(ids, variables, "variable", "value")
+    rows = F.array(*[F.struct(F.lit(v).alias("variable"), F.col(v).alias("value")) for v in variables])
+    return df.select(*ids, F.explode(rows).alias("_row")).select(*ids, "_row.*")
 
 
 def _cents(column: str):
