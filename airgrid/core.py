@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from airgrid import KEYS
 
 #: rows of a series handled by one window partition
-BLOCK = 65_536
+BLOCK = 8_192
 #: rank accuracy of the bracketing sketch; groups up to this size are sorted as they are
 SKETCH_ACCURACY = 100_000
 #: boundaries used when a value axis is cut into buckets

@@ -42,7 +42,10 @@ def _file_type(ext: Column) -> Column:
 def lake_manifest(
     spark: SparkSession, path: str, glob: str = "*", recursive: bool = True, checksum: str | None = None
 ) -> DataFrame:
-    """One row per file; the content is only read when a checksum is asked for."""
+    """One row per file; the content is only read when a checksum is asked for.
+
+    Spark's file source leaves out files without content, so an empty file looks like a missing one.
+    """
     files = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", glob)
@@ -64,7 +67,10 @@ def lake_manifest(
 
 
 def verify_integrity(manifest: DataFrame, expected: DataFrame) -> DataFrame:
-    """``expected(path, checksum)`` against the files found: present, not empty, checksum as expected."""
+    """``expected(path, checksum)`` against the files found: present, not empty, checksum as expected.
+
+    A file without an expected checksum only has to be there with some content.
+    """
     wanted = expected.select("path", F.col("checksum").alias("expected_checksum"))
     found = wanted.join(manifest, "path", "left")
     same = F.col("expected_checksum").isNull() | F.col("checksum").eqNullSafe(F.col("expected_checksum"))
