@@ -123,11 +123,20 @@ def salt(df: DataFrame, n: int) -> Column:
     return F.pmod(F.xxhash64(*_hashable(df)), F.lit(n)).cast("int")
 
 
+def _join_salt(df: DataFrame, n: int) -> Column:
+    """Salt for a join whose other side is replicated over all salts.
+
+    The task index is added to the content hash, so that even exact copies of one row, coming from
+    many tasks, spread out.  Both parts are the same when a lost task is run again.
+    """
+    return F.pmod(F.xxhash64(*_hashable(df)) + F.spark_partition_id(), F.lit(n)).cast("int")
+
+
 def attach(rows: DataFrame, stats: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join one-row-per-key ``stats`` to ``rows`` on ``keys`` (null keys match each other).
 
-    ``stats`` is replicated over a fixed number of salts and ``rows`` picks one by hash, hence a hot
-    key is read by that many tasks.  Where ``stats`` turns out small at run time, adaptive execution
+    ``stats`` is replicated over a fixed number of salts and every row picks one, hence a hot key is
+    read by that many tasks.  Where ``stats`` turns out small at run time, adaptive execution
     checks its size and broadcasts it instead.
     """
     n = salt_count(rows)
@@ -135,11 +144,18 @@ def attach(rows: DataFrame, stats: DataFrame, keys: Sequence[str], how: str = "i
     right = stats.withColumnsRenamed(renamed).withColumn(
         "_s", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     )
-    left = rows.withColumn("_salt", salt(rows, n))
+    left = rows.withColumn("_salt", _join_salt(rows, n))
     on = all_of([F.col(k).eqNullSafe(F.col(r)) for k, r in renamed.items()] + [F.col("_salt") == F.col("_s")])
     return left.join(right, on, how).drop("_salt", "_s", *renamed.values())
 
 
+def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Plain join on keys of bounded groups; null keys match each other."""
+    renamed = {k: f"_j{i}" for i, k in enumerate(keys)}
+    on = all_of([F.col(k).eqNullSafe(F.col(r)) for k, r in renamed.items()])
+    return left.join(right.withColumnsRenamed(renamed), on, how).drop(*renamed.values())
+
+
 # ---------------------------------------------------------------- exact order statistics
 
 
@@ -282,7 +298,8 @@ def row_position(
     months before.
     """
     keys = list(keys)
-    dated = df.withColumn("_month", F.date_trunc("month", F.col(time)))
+    month = F.date_trunc("month", F.col(time)).cast("date")
+    dated = df.withColumn("_month", F.coalesce(month, F.lit("0001-01-01").cast("date")))
     sizes = dated.groupBy(*keys, "_month").agg(F.count(F.lit(1)).alias("_size"))
     whole = Window.partitionBy(*keys)
     starts = sizes.select(
@@ -291,9 +308,10 @@ def row_position(
         F.coalesce(F.sum("_size").over(earlier(keys, "_month")), F.lit(0)).alias("_start"),
         *([F.sum("_size").over(whole).alias(total)] if total else []),
     )
+    group = [*keys, "_month"]
+    numbered = dated.withColumn("_rn", F.row_number().over(by(group, time)))
     return (
-        dated.withColumn("_rn", F.row_number().over(by([*keys, "_month"], time)))
-        .join(starts, [*keys, "_month"])
+        same_keys(numbered, starts, group)
         .withColumn(pos, F.col("_start") + F.col("_rn") - 1)
         .drop("_month", "_rn", "_start")
     )
@@ -380,7 +398,7 @@ def nearest_valid(
         F.last("_head", True).over(earlier(keys, F.col("_block").desc())).alias("_to"),
     )
     return (
-        rows.join(carried, group)
+        same_keys(rows, carried, group)
         .withColumns({"_prev": F.coalesce("_prev", "_from"), "_next": F.coalesce("_next", "_to")})
         .drop("_from", "_to", "_block")
     )

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from airgrid import KEYS
-from airgrid.core import attach, exact_quantiles, ratio, running
+from airgrid.core import attach, exact_quantiles, ratio, running, same_keys
 from airgrid.functions.calendar import month_end, season_label, season_number, seconds, week_end
 from airgrid.operators.slicing import first_slice
 
@@ -24,9 +24,7 @@ def merge_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
     """Join two result tables that both have one row per key."""
     if not keys:
         return left.withColumn("_1", F.lit(1)).join(right.withColumn("_1", F.lit(1)), "_1", how).drop("_1")
-    renamed = {k: f"_k{i}" for i, k in enumerate(keys)}
-    on = [F.col(k).eqNullSafe(F.col(n)) for k, n in renamed.items()]
-    return left.join(right.withColumnsRenamed(renamed), on, how).drop(*renamed.values())
+    return same_keys(left, right, keys, how)
 
 
 def describe(df: DataFrame, keys: Sequence[str] = KEYS, value: str = "value") -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,12 +73,11 @@ def mosaic(cube: DataFrame, keys: Sequence[str] = KEYS, time: str = "time", valu
 def scene_join(cube: DataFrame, scenes: DataFrame, on: Mapping[str, str]) -> DataFrame:
     """Cells whose scene passes the catalogue's filters; ``on`` maps cube columns to scene columns.
 
-    The catalogue is reduced to its distinct join values first; the engine decides by its size at run
-    time whether to broadcast it.
+    The catalogue is reduced to its distinct join values first and replicated over salts, so that a
+    scene with very many cells is read by many tasks.
     """
-    right = scenes.select(*[F.col(s).alias(f"_s{i}") for i, s in enumerate(on.values())]).distinct()
-    cond = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"_s{i}") for i, c in enumerate(on)])
-    return cube.join(right, cond, "left_semi")
+    right = scenes.select(*[F.col(s).alias(c) for c, s in on.items()]).distinct()
+    return attach(cube, right, list(on))
 
 
 def variable_pairs(df: DataFrame, dataset: str = "dataset_id", ordered: bool = True) -> DataFrame:

@@ -81,11 +81,20 @@ def fit_isolation(
     valid = df.where(F.col(value).isNotNull())
     sized = attach(valid, valid.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), keys)
     draw = F.pmod(F.xxhash64(F.lit(seed), *valid.columns), F.lit(1 << 30)) / float(1 << 30)
-    pool = sized.where(draw * F.col("_n") < 1.2 * _POOL).select(*keys, F.col(value).cast("double").alias("_v"))
+    drawn = sized.where(draw * F.col("_n") < 1.2 * _POOL)
+    # copies of one row are drawn together: they travel as one value with a weight
+    pool = drawn.groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_m"))
     types = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        cuts, scores = forest_steps(np.sort(pdf["_v"].to_numpy()), trees, seed)
+        pdf = pdf.sort_values("_v")
+        weight = pdf["_m"].to_numpy(float)
+        total = int(weight.sum())
+        if total > 2 * _POOL:
+            chosen = np.random.default_rng(seed).choice(pdf["_v"].to_numpy(), _POOL, p=weight / weight.sum())
+        else:
+            chosen = np.repeat(pdf["_v"].to_numpy(), pdf["_m"].to_numpy())
+        cuts, scores = forest_steps(np.sort(chosen), trees, seed)
         first = np.arange(0, len(scores), CHUNK)
         starts = [float(cuts[i - 1]) for i in first[1:]]
         head = {k: [pdf[k].iloc[0]] * len(first) for k in keys}

@@ -14,6 +14,6 @@ import __spark_entry__  # noqa: E402, F401  (makes the package ship with the job
 def spark():
     from airgrid.core import session
 
-    s = session("tests", cpus=8)
+    s = session("tests", cpus=8, spark__sql__shuffle__partitions="3")
     yield s
     s.stop()
