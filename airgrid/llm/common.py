@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,28 +53,26 @@ def byte_texts(column: pa.Array) -> list[bytes]:
     return [b or b"" for b in column.cast(pa.binary()).to_pylist()]
 
 
-def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """(word code of every word, offsets per text, the distinct words) of one batch.
 
-    Words are separated by the white space of the contracts.  A word is looked at once per batch,
-    however often it occurs.
+    Words are separated by the white space of the contracts.  Only distinct words need be looked at.
     """
-    import pyarrow.compute as pc
-
-    plain = pc.fill_null(texts.cast(pa.large_string()), "")
-    trimmed = pc.utf8_trim(plain, SPACE)
-    lists = pc.ascii_split_whitespace(trimmed)
-    offsets = np.asarray(lists.offsets, dtype=np.int64)
-    flat = lists.values.slice(offsets[0], offsets[-1] - offsets[0]) if len(lists) else lists.values
-    coded = flat.dictionary_encode()
+    plain = pc.utf8_trim(pc.fill_null(texts.cast(pa.large_string()), ""), SPACE)
+    lists = pc.ascii_split_whitespace(plain)
+    sizes = np.diff(np.asarray(lists.offsets, dtype=np.int64))
+    empty = np.asarray(pc.equal(pc.binary_length(plain), 0), dtype=bool)  # these give one empty word
+    coded = lists.flatten().dictionary_encode()
     codes = np.asarray(coded.indices, dtype=np.int64)
-    words = coded.dictionary.to_pylist()
-    offsets = offsets - (offsets[0] if len(offsets) else 0)
-    if "" in words:  # an empty text gives one empty word
-        keep = codes != words.index("")
-        before = np.concatenate([[0], np.cumsum(keep)])
-        return codes[keep], before[offsets], words
-    return codes, offsets, words
+    if empty.any():
+        codes = np.delete(codes, (np.cumsum(sizes) - sizes)[empty])
+        sizes[empty] = 0
+    return codes, np.concatenate([[0], np.cumsum(sizes)]), coded.dictionary
+
+
+def strings(array: pa.Array) -> list:
+    """A string array's values as Python strings."""
+    return array.to_numpy(zero_copy_only=False).tolist()
 
 
 def mapped(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Iterable[pa.RecordBatch]], schema) -> DataFrame:

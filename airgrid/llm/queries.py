@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airgrid.llm import exact_dedup, fingerprints, line_dedup, sharding
+from airgrid.llm import exact_dedup, fingerprints, line_dedup, quality, sharding, toxicity
 
+QUALITY_FROM = 0.3
+TOXIC_FROM = 0.7
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -54,6 +56,32 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def fold(column: str, folds: int) -> Column:
+    return F.crc32(F.col(column).cast("string")) % folds
+
+
+@_query("op2_quality_classifier")
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    scored = quality.quality_scores(docs, _labels(spark, sf_dir), fold("id", 5) != 0)
+    return scored.select(
+        "doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= QUALITY_FROM).cast("int").alias("predicted")
+    )
+
+
+@_query("op6_toxicity")
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    scored = toxicity.toxicity_scores(docs, _labels(spark, sf_dir), fold("id", 3) != 1)
+    return scored.select(
+        "doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted")
+    )
+
+
 @_query("op4_sharding")
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shard_rows(_documents(spark, sf_dir))
