@@ -75,6 +75,15 @@ def strings(array: pa.Array) -> list:
     return array.to_numpy(zero_copy_only=False).tolist()
 
 
+def blocks(batch: pa.RecordBatch, column: int | str, limit: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about ``limit`` bytes of text; a longer text is a slice of its own."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
+    block = (np.cumsum(sizes) - sizes) // limit
+    cuts = np.flatnonzero(np.diff(block, prepend=-1))
+    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), batch.num_rows], strict=True):
+        yield batch.slice(a, b - a)
+
+
 def mapped(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Iterable[pa.RecordBatch]], schema) -> DataFrame:
     """``mapInArrow`` with a function of one batch that returns one batch, several, or None."""
 
