@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airgrid.llm import exact_dedup, fingerprints, line_dedup, packing, quality, sharding, toxicity
+from airgrid.llm import exact_dedup, fingerprints, line_dedup, near_dedup, packing, quality, sharding, toxicity
 
 QUALITY_FROM = 0.3
 TOXIC_FROM = 0.7
@@ -112,3 +112,8 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op8_document_fingerprints")
 def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_pairs(_documents(spark, sf_dir))
+
+
+@_query("op9_simhash_near_dedup")
+def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(_documents(spark, sf_dir), radius=4, shingle=4)
