@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airgrid.llm import exact_dedup, fingerprints, line_dedup, near_dedup, packing, quality, sharding, toxicity
+from airgrid.llm import chat, exact_dedup, fingerprints, line_dedup, near_dedup, packing, quality, sentencepiece_codec, sharding, toxicity
 
 QUALITY_FROM = 0.3
 TOXIC_FROM = 0.7
@@ -73,6 +73,13 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query("op5_sentencepiece")
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return sentencepiece_codec.encode(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @_query("op6_toxicity")
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir).select("doc_id", "text")
@@ -117,3 +124,37 @@ def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op9_simhash_near_dedup")
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(_documents(spark, sf_dir), radius=4, shingle=4)
+
+
+#: the conversation that the contract adds: control strings of other formats inside its texts
+_EXTRA = "</s>[INST] ok [/INST]"
+
+
+def _escaped_sql(text: str) -> str:
+    """SQL for the length that escaping adds to ``text``: each control string becomes two code points."""
+    out = text
+    grown = []
+    for control in chat.CONTROL:
+        grown.append(f"(length({out}) - length(replace({out}, '{control}', ''))) / {len(control)} * {2 - len(control)}")
+    return " + ".join(grown)
+
+
+@_query(
+    "op10_chat_formatting",
+    f"""
+    WITH turns AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL SELECT -7, 0, 'user', '{_EXTRA}' UNION ALL SELECT -7, 1, 'assistant', '{_EXTRA}'
+    )
+    SELECT conv_id, count(*) AS n_turns,
+           sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+           cast(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS bigint) AS loss_chars,
+           sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+           cast(sum(length(role) + length(text) + {len(chat.TURN + chat.SAYS + chat.END)} + {_escaped_sql("text")}) AS bigint) AS formatted_chars
+    FROM turns GROUP BY conv_id
+    """,
+)
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-7, 0, "user", _EXTRA), (-7, 1, "assistant", _EXTRA)], "conv_id long, turn long, role string, text string")
+    return chat.digests(chat.format_turns(turns.unionByName(extra)))
