@@ -21,7 +21,7 @@ input column named like an output column is replaced.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -181,9 +181,14 @@ def probe(docs: DataFrame, index: DataFrame, n_shards: int, hot: LineArrays, id_
 
 
 def line_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, shard_keys: int = SHARD_KEYS
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    min_chars: int = MIN_CHARS,
+    shard_keys: int = SHARD_KEYS,
+    outputs: Sequence[str] = ("n_lines", "n_dropped"),
 ) -> DataFrame:
-    """The rows with ``text_col`` cut to the lines that stay, and ``n_lines``, ``n_dropped``."""
+    """The rows with ``text_col`` cut to the lines that stay, and how many lines there were and went."""
     spark, size = docs.sparkSession, Observation()
     keys = written(repeated_keys(docs, id_col, text_col, min_chars).observe(size, F.count(F.lit(1)).alias("keys"), F.sum("n").alias("lines")), "lines")
     n_keys, n_lines = size.get["keys"] or 0, size.get["lines"] or 0
@@ -196,7 +201,6 @@ def line_dedup(
     index = written(build_index(keys.where(F.col("n") < hot_from), n_shards), "line-index")
     lost = probe(docs, index, n_shards, hot, id_col, text_col, min_chars)
 
-    outputs = ["n_lines", "n_dropped"]
     kept_columns = [c for c in docs.columns if c not in outputs]
     joined = docs.select(*kept_columns, id_or_last(id_col).alias("_llm_doc")).join(
         lost.select(F.col("doc").alias("_llm_doc"), F.col("drop").alias("_llm_drop")), "_llm_doc", "left"

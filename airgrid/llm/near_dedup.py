@@ -19,8 +19,9 @@ returned: no row is emitted per pair.
 
 Components.  The forests' links are contracted in rounds of joins and minima, written between rounds.
 
-Cases: null text is a text without words; a null id is one id behind all others (shown as null); rows
-that repeat an id are one document, whose fingerprints are in one component; an empty table gives an empty table; other columns are not looked at.
+Cases: null text is a text without words; a document without id is linked like others, but lends its
+component no id (``component_id`` is null where no document has one; ids are below 2**62); rows that
+repeat an id are one document, whose fingerprints are in one component; an empty table gives an empty table; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -42,8 +43,10 @@ SEED = 42
 #: fingerprints of a block
 BLOCK = 8_192
 #: cost of one probing row in units of one verified pair
-ROW_COST = 400.0
+ROW_COST = 1_000.0
 PARTITIONS = range(1, 17)
+#: fingerprints that only documents without an id have are numbered from here on
+NO_NODE = 1 << 62
 
 
 # ------------------------------------------------------------------ fingerprints
@@ -337,12 +340,16 @@ def near_components(prints: DataFrame, radius: int, words: int = 1, spread: int
     """``prints`` (id, fp0, ...) and ``component``: the smallest id reachable over links of near fingerprints."""
     names = _names(words)
     prints = written(prints, "fingerprints")
-    entries = written(prints.groupBy(*names).agg(F.min("id").alias("node")), "entries")
+    least = F.min("id")
+    # entries without any id get numbers behind all ids
+    unnamed = F.lit(NO_NODE) + F.xxhash64(*names).bitwiseAND(F.lit(NO_NODE - 1))
+    entries = prints.groupBy(*names).agg(F.when(least != NO_ID, least).alias("node")).withColumn("node", F.coalesce("node", unnamed))
+    entries = written(entries, "entries")
     n, both = bit_statistics(entries)
     found = links(entries, search_plan(n, both, radius), words, radius, BITS * words if spread is None else spread, block)
     # rows with one id are one document
     placed = prints.join(entries, names)
-    twice = placed.groupBy("id").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
+    twice = placed.where(F.col("id") != NO_ID).groupBy("id").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
     same_id = placed.join(twice, "id").where("node > low").select(F.col("node").alias("a"), F.col("low").alias("b"))
     roots = components(found.unionByName(same_id))
     return placed.join(roots, "node", "left").select("id", *names, F.coalesce("root", "node").alias("component"))
@@ -350,7 +357,7 @@ def near_components(prints: DataFrame, radius: int, words: int = 1, spread: int
 
 def near_dedup(docs: DataFrame, radius: int, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, fingerprint, component_id): one row per row of ``docs``."""
-    known = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
+    known = lambda c: F.when(F.col(c) < NO_NODE, F.col(c))
     found = near_components(fingerprints(docs, shingle, 1, id_col, text_col), radius)
     return found.select(
         known("id").alias(id_col), F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), known("component").alias("component_id")

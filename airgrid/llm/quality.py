@@ -152,14 +152,15 @@ def quality_scores(
     text_col: str = "text",
     per_class: int = PER_CLASS,
     rank: int = RANK,
+    out: str = "score",
 ) -> DataFrame:
-    """All columns of ``docs`` and ``score``: 0 to 1, higher where label 1 is likelier."""
+    """All columns of ``docs`` and ``out``: 0 to 1, higher where label 1 is likelier."""
     held, total = document_counts(docs, text_col)
     texts, marks = labelled_sample(docs, labels, label, learn, per_class, id_col, text_col)
     model = docs.sparkSession.sparkContext.broadcast(fit(texts, marks, held, total, rank))
-    kept = [c for c in docs.columns if c != "score"]
+    kept = [c for c in docs.columns if c != out]
 
     def scored(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.value.score(batch[text_col]))], names=[*kept, "score"])
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.value.score(batch[text_col]))], names=[*kept, out])
 
-    return mapped(docs.select(*kept), scored, docs.select(*kept).withColumn("score", F.lit(0.0)).schema)
+    return mapped(docs.select(*kept), scored, docs.select(*kept).withColumn(out, F.lit(0.0)).schema)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from airgrid.llm import chat, exact_dedup, fingerprints, line_dedup, near_dedup, packing, quality, sentencepiece_codec, sharding, toxicity
 
 QUALITY_FROM = 0.3
@@ -158,3 +159,6 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(-7, 0, "user", _EXTRA), (-7, 1, "assistant", _EXTRA)], "conv_id long, turn long, role string, text string")
     return chat.digests(chat.format_turns(turns.unionByName(extra)))
+
+
+_query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)

@@ -173,8 +173,9 @@ def toxicity_scores(
     text_col: str = "text",
     positive: int = POSITIVE,
     unlabelled: int = UNLABELLED,
+    out: str = "score",
 ) -> DataFrame:
-    """All columns of ``docs`` and ``score``: 0 to 1, higher where a text is likelier toxic."""
+    """All columns of ``docs`` and ``out``: 0 to 1, higher where a text is likelier toxic."""
     known = allowed_labels(labels, label, learn, "max")
     ids = document_ids(docs, id_col).where(learn)
     here = known.join(ids, "id")
@@ -193,13 +194,13 @@ def toxicity_scores(
             part = np.flatnonzero(known_toxic | (turns == seed))
             members.append(fit(rows["text"].combine_chunks().take(pa.array(part)), known_toxic[part], prior, seed + 1))
     shared = docs.sparkSession.sparkContext.broadcast(members)
-    kept = [c for c in docs.columns if c != "score"]
+    kept = [c for c in docs.columns if c != out]
 
     def scored(batch: pa.RecordBatch) -> pa.RecordBatch:
         scores = np.zeros(batch.num_rows)
         for i in range(0, batch.num_rows if shared.value else 0, BLOCK):
             bag = bags(batch[text_col].slice(i, BLOCK))
             scores[i : i + BLOCK] = np.mean([sigmoid(m.logits(*bag)) for m in shared.value], axis=0)
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=[*kept, "score"])
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=[*kept, out])
 
-    return mapped(docs.select(*kept), scored, docs.select(*kept).withColumn("score", F.lit(0.0)).schema)
+    return mapped(docs.select(*kept), scored, docs.select(*kept).withColumn(out, F.lit(0.0)).schema)
