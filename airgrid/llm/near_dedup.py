@@ -163,7 +163,8 @@ def thresholds(groups: list[list[int]], agree: np.ndarray, n: int, radius: int)
 
 def search_plan(n: int, both: np.ndarray, radius: int) -> list[tuple[list[int], int]]:
     """(bits, threshold) of the partitions that take part."""
-    p = np.diag(both) / max(n, 1)
+    n = max(n, 2)
+    p = np.diag(both) / n
     agree, correlation, choices = p * p + (1 - p) * (1 - p), correlations(n, both), []
     for m in PARTITIONS:
         groups = partitions(correlation, m)

@@ -35,9 +35,9 @@ TERMS = (1 << PAIR_BITS) + 3 * (STEPS + 1)
 #: labelled documents of each class that are learnt from, at most
 PER_CLASS = 3_000
 RANK = 64
-NEIGHBOURS = 25
+NEIGHBOURS = 200
 #: similarities count with this power
-SHARPNESS = 8
+SHARPNESS = 32
 #: documents whose terms or cosines are held at once
 BLOCK = 256
 
