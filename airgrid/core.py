@@ -110,8 +110,8 @@ def any_of(conditions: Sequence[Column]) -> Column:
 
 
 def salt_count(df: DataFrame) -> int:
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(4, min(parts, 64))
+    """As many salts as shuffle partitions, so that a hot key may use the whole cluster."""
+    return max(4, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
 def _hashable(df: DataFrame) -> list[str]:

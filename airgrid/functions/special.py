@@ -29,21 +29,33 @@ def log_normal_cdf(z: float) -> float:
     return -0.5 * z * z - math.log(-z) - 0.5 * math.log(2 * math.pi) + math.log1p(-w + 3 * w * w)
 
 
-def beta_fraction(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta function by its continued fraction (modified Lentz)."""
+def stirling_rest(x: float) -> float:
+    """ln Gamma(x) less (x - 1/2) ln x - x + ln(2 pi) / 2."""
+    if x < 12.0:
+        return math.lgamma(x) - (x - 0.5) * math.log(x) + x - 0.5 * math.log(2 * math.pi)
+    w = 1.0 / (x * x)
+    return (1.0 / 12 - w * (1.0 / 360 - w * (1.0 / 1260 - w / 1680))) / x
+
+
+def log_gamma_step(x: float, s: float) -> float:
+    """ln Gamma(x + s) - ln Gamma(x) without the difference of two large numbers."""
+    return (x - 0.5) * math.log1p(s / x) + s * math.log(x + s) - s + stirling_rest(x + s) - stirling_rest(x)
+
+
+def beta_fraction(a: float, b: float, x: float, y: float) -> float:
+    """Regularised incomplete beta function at x = 1 - y by its continued fraction (modified Lentz)."""
     if x <= 0.0:
         return 0.0
     if x >= 1.0:
         return 1.0
     if x > (a + 1.0) / (a + b + 2.0):
-        return 1.0 - beta_fraction(b, a, 1.0 - x)
-    front = math.exp(
-        math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
-    )
+        return 1.0 - beta_fraction(b, a, y, x)
+    log_x, log_y = (math.log(p) if p < 0.5 else math.log1p(-q) for p, q in ((x, y), (y, x)))
+    front = math.exp(log_gamma_step(max(a, b), min(a, b)) - math.lgamma(min(a, b)) + a * log_x + b * log_y)
     tiny, c, d = 1e-300, 1.0, 1.0 - (a + b) * x / (a + 1.0)
     d = 1.0 / (d if abs(d) > tiny else tiny)
     total = d
-    for m in range(1, 500):
+    for m in range(1, 100_000):
         even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
         odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
         step = 1.0
@@ -55,8 +67,8 @@ def beta_fraction(a: float, b: float, x: float) -> float:
             step = c * d
             total *= step
         if abs(step - 1.0) < 1e-15:
-            break
-    return front * total / a
+            return front * total / a
+    raise ArithmeticError(f"the beta function's fraction does not converge for {a}, {b}, {x}")
 
 
 def t_two_sided(t: float, df: float) -> float:
@@ -65,7 +77,7 @@ def t_two_sided(t: float, df: float) -> float:
         return float("nan")
     if math.isinf(t):
         return 0.0
-    return beta_fraction(df / 2.0, 0.5, df / (df + t * t))
+    return beta_fraction(df / 2.0, 0.5, df / (df + t * t), t * t / (df + t * t))
 
 
 def t_quantile(p: float, df: float) -> float:

@@ -85,7 +85,7 @@ def region_reduce(
     else:
         fn = {"mean": F.avg, "min": F.min, "max": F.max}[reducer]
         out = cube.groupBy(*group).agg(fn(value).alias(value))
-    return out.where(F.col(value).isNotNull()).orderBy(time)
+    return out.where(F.col(value).isNotNull())
 
 
 def region_statistics(
@@ -202,10 +202,13 @@ def slice_stats(cube: DataFrame, keys: Sequence[str] = KEYS, time: str = "time",
 
 
 def hotspots(cells: DataFrame, percentile: float = 90, keys: Sequence[str] = (*KEYS, "time"), value: str = "value") -> DataFrame:
-    """Cells strictly above the percentile of their slice: threshold, number, share, mean and maximum."""
+    """Cells strictly above the percentile of their slice: threshold, number, share, mean and maximum.
+
+    Both sides are compared to 12 decimals: a cell that is the percentile is not above it.
+    """
     cut = exact_quantiles(cells, keys, value, {"threshold": percentile / 100.0})
     rows = attach(cells.where(F.col(value).isNotNull()), cut, keys)
-    hot = F.when(F.col(value) > F.col("threshold"), F.col(value))
+    hot = F.when(F.round(value, 12) > F.round("threshold", 12), F.col(value))
     return rows.groupBy(*keys).agg(
         F.max("threshold").alias("threshold"),
         F.count(hot).alias("num_hotspots"),
@@ -361,28 +364,36 @@ def season_summary(series: DataFrame, keys: Sequence[str] = KEYS, time: str = "t
     return out.withColumns({"season_max": F.greatest(*means), "season_min": F.least(*means)})
 
 
-def regression_metrics(df: DataFrame, actual: str, predicted: str, keys: Sequence[str] = ()) -> DataFrame:
-    """mse, rmse, mae, r2 and mape (infinite where an actual value is zero)."""
+def metric_columns(actual: str, predicted: str) -> list[Column]:
+    """mse, rmse, mae, r2 and mape (infinite where an actual value is zero) as aggregates."""
     y, p = F.col(actual), F.col(predicted)
     mse = F.avg((y - p) * (y - p))
     relative = F.avg(F.abs(ratio(y - p, y))) * 100
-    return df.groupBy(*keys).agg(
+    return [
         mse.alias("mse"),
         F.sqrt(mse).alias("rmse"),
         F.avg(F.abs(y - p)).alias("mae"),
         (1 - ratio(mse, F.var_pop(y))).alias("r2"),
         F.when(F.count_if(y == 0) > 0, F.lit(float("inf"))).otherwise(relative).alias("mape"),
-    )
+    ]
 
 
-def residual_stats(df: DataFrame, actual: str, predicted: str, keys: Sequence[str] = ()) -> DataFrame:
+def residual_columns(actual: str, predicted: str) -> list[Column]:
     res = F.col(actual) - F.col(predicted)
-    return df.groupBy(*keys).agg(
+    return [
         F.avg(res).alias("residual_mean"),
         F.stddev_pop(res).alias("residual_std"),
         F.skewness(res).alias("residual_skewness"),
         F.kurtosis(res).alias("residual_kurtosis"),
-    )
+    ]
+
+
+def regression_metrics(df: DataFrame, actual: str, predicted: str, keys: Sequence[str] = ()) -> DataFrame:
+    return df.groupBy(*keys).agg(*metric_columns(actual, predicted))
+
+
+def residual_stats(df: DataFrame, actual: str, predicted: str, keys: Sequence[str] = ()) -> DataFrame:
+    return df.groupBy(*keys).agg(*residual_columns(actual, predicted))
 
 
 def prediction_band(df: DataFrame, actual: str, predicted: str, keys: Sequence[str]) -> DataFrame:

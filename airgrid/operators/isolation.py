@@ -1,6 +1,6 @@
 """Isolation forest on one value column.
 
-Trees are grown from a fixed-size hash sample per key, as the method prescribes.  On one column a
+Each tree is grown from a sample of fixed size, as the method prescribes, drawn from all rows of a key.  On one column a
 forest is a step function of the value; it is stored in chunks of a few hundred steps that rows reach
 through two binary searches inside the expression, so scoring stays in the JVM.
 """
@@ -21,7 +21,8 @@ from airgrid.core import attach, exact_quantiles
 SUBSAMPLE = 256
 TREES = 100
 CHUNK = 200
-_POOL = 25_600
+#: rows of a key that each tree chooses its sample from
+SEEN = 4 * SUBSAMPLE
 
 
 def average_path(n: int) -> float:
@@ -43,21 +44,24 @@ def grow_steps(values: np.ndarray, rng: np.random.Generator, depth: int, limit:
     grow_steps(values[at:], rng, depth + 1, limit, steps)
 
 
-def forest_steps(pool: np.ndarray, trees: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges and anomaly scores of the forest's step function; score ``i`` holds up to edge ``i``."""
+def forest_steps(samples: Sequence[np.ndarray], seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges and anomaly scores of the forest's step function; score ``i`` holds up to edge ``i``.
+
+    ``samples`` has one sorted sample of values per tree.
+    """
     rng = np.random.default_rng(seed)
-    size = min(SUBSAMPLE, len(pool))
+    size = max(map(len, samples))
     limit = max(1, math.ceil(math.log2(max(size, 2))))
     edges, paths = [], []
-    for _ in range(trees):
+    for sample in samples:
         steps: list[tuple[float, float]] = []
-        grow_steps(np.sort(rng.choice(pool, size, replace=False)), rng, 0, limit, steps)
+        grow_steps(sample, rng, 0, limit, steps)
         edges.append(np.array([s[0] for s in steps[:-1]]))
         paths.append(np.array([s[1] for s in steps]))
     cuts = np.unique(np.concatenate(edges))
     probes = np.append(cuts, math.inf)
     total = sum(p[np.searchsorted(e, probes, "left")] for e, p in zip(edges, paths, strict=True))
-    return cuts, np.exp2(-(total / trees) / max(average_path(size), 1e-12))
+    return cuts, np.exp2(-(total / len(samples)) / max(average_path(size), 1e-12))
 
 
 def count_below(sorted_array: Column, v: Column, size: int) -> Column:
@@ -73,28 +77,40 @@ def count_below(sorted_array: Column, v: Column, size: int) -> Column:
     )
 
 
+def tree_samples(df: DataFrame, keys: Sequence[str], value: str, trees: int, seed: int) -> DataFrame:
+    """``keys, _tree, _values``: for each tree the ``SUBSAMPLE`` rows with the smallest hashes, out of all rows.
+
+    Every row stands for as many trees as it takes for each of them to see ``SEEN`` rows of its key: all
+    trees in a short series, one tree in a long one.  Of the rows that stand for a tree, only hashes
+    below ``SEEN`` times their mean spacing go on, so that a tree's task gets about ``SEEN`` rows at any
+    size of the key.  Rows in any order and partitions give the same samples.
+    """
+    keys = list(keys)
+    rows = df.where(F.col(value).isNotNull()).groupBy(*keys, F.xxhash64(*df.columns).alias("_row"), F.col(value).cast("double").alias("_v"))
+    rows = rows.agg(F.count(F.lit(1)).alias("_copies"))
+    sized = attach(rows, rows.groupBy(*keys).agg(F.sum("_copies").alias("_n")), keys)
+    every = sized.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    turns = F.least(F.lit(trees), F.ceil(F.lit(trees * SEEN) / F.col("_n"))).cast("int")
+    start = F.pmod(F.xxhash64(F.lit(seed), "_row", "_copy"), F.lit(trees)).cast("int")
+    drawn = every.withColumns({"_turns": turns, "_start": start}).withColumn("_turn", F.explode(F.sequence(F.lit(0), F.col("_turns") - 1)))
+    drawn = drawn.withColumn("_tree", (F.col("_start") + F.col("_turn")) % trees).withColumn("_h", F.xxhash64(F.lit(seed), "_tree", "_row", "_copy"))
+    share = F.col("_h") / float(1 << 64) + 0.5
+    seen = drawn.where(share < F.lit(float(SEEN * trees)) / (F.col("_n") * F.col("_turns")))
+    few = F.slice(F.array_sort(F.collect_list(F.struct("_h", "_v"))), 1, SUBSAMPLE)
+    return seen.groupBy(*keys, "_tree").agg(F.transform(few, lambda d: d["_v"]).alias("_values"))
+
+
 def fit_isolation(
     df: DataFrame, keys: Sequence[str] = KEYS, value: str = "value", trees: int = TREES, seed: int = 42
 ) -> DataFrame:
     """``keys, chunk, starts, edges, scores``: the step function in chunks of at most ``CHUNK`` steps."""
     keys = list(keys)
-    valid = df.where(F.col(value).isNotNull())
-    sized = attach(valid, valid.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), keys)
-    draw = F.pmod(F.xxhash64(F.lit(seed), *valid.columns), F.lit(1 << 30)) / float(1 << 30)
-    drawn = sized.where(draw * F.col("_n") < 1.2 * _POOL)
-    # copies of one row are drawn together: they travel as one value with a weight
-    pool = drawn.groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_m"))
     types = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    samples = tree_samples(df, keys, value, trees, seed)
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_v")
-        weight = pdf["_m"].to_numpy(float)
-        total = int(weight.sum())
-        if total > 2 * _POOL:
-            chosen = np.random.default_rng(seed).choice(pdf["_v"].to_numpy(), _POOL, p=weight / weight.sum())
-        else:
-            chosen = np.repeat(pdf["_v"].to_numpy(), pdf["_m"].to_numpy())
-        cuts, scores = forest_steps(np.sort(chosen), trees, seed)
+        pdf = pdf.sort_values("_tree")
+        cuts, scores = forest_steps([np.sort(np.asarray(v, dtype=float)) for v in pdf["_values"]], seed)
         first = np.arange(0, len(scores), CHUNK)
         starts = [float(cuts[i - 1]) for i in first[1:]]
         head = {k: [pdf[k].iloc[0]] * len(first) for k in keys}
@@ -109,7 +125,7 @@ def fit_isolation(
         )
 
     schema = f"{types}, chunk int, starts array<double>, edges array<double>, scores array<double>"
-    return pool.groupBy(*keys).applyInPandas(grow, schema)
+    return samples.groupBy(*keys).applyInPandas(grow, schema)
 
 
 def anomalies_isolation(

@@ -17,15 +17,17 @@ from pyspark.sql import functions as F
 
 from airgrid.core import attach, ensure_checkpoint_dir, exact_quantiles, materialize
 from airgrid.functions.scaling import log1p_if_skewed
-from airgrid.operators.aggregates import pivot_wide, prediction_band, regression_metrics, residual_stats, spatial_mean
+from airgrid.operators.aggregates import metric_columns, pivot_wide, prediction_band, residual_columns, spatial_mean
 from airgrid.operators.ranking import best_model, top_features
 from airgrid.operators.slicing import drop_any_null, drop_missing_target, replace_infinite
 from airgrid.operators.windows import chrono_split, engineer_features
 
 FEATURES, TARGET, PREDICTION = "features", "label", "prediction"
 DEFAULT_MODELS = ("linear", "ridge", "random_forest")
-#: names of boosted-tree engines that are served by the same MLlib model
+#: names of boosted-tree engines that are served by MLlib's model; results carry the name of the model that ran
 ALIASES = {"xgboost": "gradient_boosting", "lightgbm": "gradient_boosting"}
+#: MLlib grows no deeper trees; "unlimited" means this
+DEEPEST = 30
 
 
 def prepare(
@@ -82,12 +84,12 @@ def assemble(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
     return VectorAssembler(inputCols=list(columns), outputCol=FEATURES, handleInvalid="skip").transform(rows)
 
 
-def rfe(train: DataFrame, columns: Sequence[str], target: str, k: int = 10, step: int = 1, trees: int = 50, seed: int = 42) -> list[str]:
+def rfe(train: DataFrame, columns: Sequence[str], target: str, k: int = 10, step: int = 1, trees: int = 50, depth: int = DEEPEST, seed: int = 42) -> list[str]:
     """Drop the ``step`` weakest features of a forest until ``k`` are left."""
     left = list(columns)
     while len(left) > k:
         model = RandomForestRegressor(
-            featuresCol=FEATURES, labelCol=TARGET, numTrees=trees, featureSubsetStrategy="all", seed=seed
+            featuresCol=FEATURES, labelCol=TARGET, numTrees=trees, maxDepth=depth, featureSubsetStrategy="all", seed=seed
         ).fit(assemble(train, left, target))
         weight = dict(zip(left, model.featureImportances.toArray(), strict=True))
         drop = set(sorted(left, key=lambda c: weight[c])[: min(step, len(left) - k)])
@@ -139,14 +141,14 @@ class Trained:
 
 
 def train(
-    df: DataFrame, columns: Sequence[str], target: str, models: Sequence[str] = DEFAULT_MODELS, split: str = "split", seed: int = 42, depth: int = 10
+    df: DataFrame, columns: Sequence[str], target: str, models: Sequence[str] = DEFAULT_MODELS, split: str = "split", seed: int = 42, depth: int = DEEPEST
 ) -> dict[str, Trained]:
     """Fit each model on the training rows."""
     ensure_checkpoint_dir(df.sparkSession)
     rows = assemble(df.where(F.col(split) == "train"), columns, target).select(FEATURES, TARGET).persist()
     out = {}
-    for name in models:
-        model = _estimator(ALIASES.get(name, name), rows, seed, depth).fit(rows)
+    for name in dict.fromkeys(ALIASES.get(m, m) for m in models):
+        model = _estimator(name, rows, seed, depth).fit(rows)
         weights = model.featureImportances.toArray() if hasattr(model, "featureImportances") else abs(model.coefficients.toArray())
         out[name] = Trained(name, model, list(columns), dict(zip(columns, map(float, weights), strict=True)))
     rows.unpersist()
@@ -162,9 +164,8 @@ def predict(trained: Trained, df: DataFrame, target: str, keep: Sequence[str]) -
 def evaluate(trained: Trained, df: DataFrame, target: str, keys: Sequence[str] = ()) -> DataFrame:
     """Regression metrics and residual statistics of one model."""
     rows = predict(trained, df, target, keys)
-    metrics = regression_metrics(rows, "actual", PREDICTION, keys).withColumn("model", F.lit(trained.name))
-    residuals = residual_stats(rows, "actual", PREDICTION, keys).withColumn("model", F.lit(trained.name))
-    return metrics.join(residuals, [*keys, "model"])
+    found = rows.groupBy(*keys).agg(*metric_columns("actual", PREDICTION), *residual_columns("actual", PREDICTION))
+    return found.withColumn("model", F.lit(trained.name))
 
 
 def evaluate_all(trained: Mapping[str, Trained], df: DataFrame, target: str, split: str = "split") -> DataFrame:

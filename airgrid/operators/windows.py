@@ -150,8 +150,12 @@ def temporal_smooth3(
 
 
 def to_calendar(series: DataFrame, keys: Sequence[str] = KEYS, time: str = "time", value: str = "value") -> DataFrame:
-    """Daily calendar between a series' first and last day, null on days without a row."""
+    """Daily calendar between a series' first and last day, null on days without a row.
+
+    Several rows of one day count as one, with the mean of their values.
+    """
     day = series.select(*keys, F.date_trunc("day", F.col(time)).cast("timestamp_ntz").alias(time), value)
+    day = day.groupBy(*keys, time).agg(F.avg(value).alias(value))
     span = day.groupBy(*keys).agg(F.min(time).alias("_a"), F.max(time).alias("_b"))
     calendar = span.select(
         *keys, F.explode(F.sequence("_a", "_b", F.expr("INTERVAL 1 DAY"))).alias(time)

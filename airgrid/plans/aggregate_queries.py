@@ -202,10 +202,10 @@ def _(spark, sf):
     "grid",
     f"""WITH t AS (SELECT {K}, time, quantile_cont(value, .9) AS threshold FROM grid GROUP BY 1, 2, 3)
         SELECT g.dataset_id, g.variable, g.time, {r('threshold=max(threshold)',
-          'hotspot_pct=count(*) FILTER (WHERE value > threshold + 1e-9)*100.0/count(*)',
-          'hotspot_mean=coalesce(avg(value) FILTER (WHERE value > threshold + 1e-9), 0)',
-          'hotspot_max=coalesce(max(value) FILTER (WHERE value > threshold + 1e-9), 0)')},
-        count(*) FILTER (WHERE value > threshold + 1e-9) AS num_hotspots
+          'hotspot_pct=count(*) FILTER (WHERE round(value, 12) > round(threshold, 12))*100.0/count(*)',
+          'hotspot_mean=coalesce(avg(value) FILTER (WHERE round(value, 12) > round(threshold, 12)), 0)',
+          'hotspot_max=coalesce(max(value) FILTER (WHERE round(value, 12) > round(threshold, 12)), 0)')},
+        count(*) FILTER (WHERE round(value, 12) > round(threshold, 12)) AS num_hotspots
         FROM grid g JOIN t ON g.dataset_id = t.dataset_id AND g.variable = t.variable AND g.time = t.time GROUP BY 1, 2, 3""",
 )
 def _(spark, sf):

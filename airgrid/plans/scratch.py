@@ -9,6 +9,10 @@ from pyspark.sql import SparkSession
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder of the cluster; a local one only where none is configured."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="airgrid-")
+    """A fresh path below the shared folder of the cluster; a local one only on a local master without that setting."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="airgrid-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"

@@ -99,13 +99,14 @@ def _(spark, sf):
 @query(
     "J2_intersect_times",
     "gappy",
-    """SELECT dataset_id, time FROM gappy WHERE variable = 'no2' AND value IS NOT NULL INTERSECT
-       SELECT 'd0', CAST(o_orderdate AS TIMESTAMP) FROM orders WHERE o_orderpriority = '1-URGENT'""",
+    """SELECT variable, time FROM gappy WHERE value IS NOT NULL INTERSECT
+       SELECT CASE o_orderstatus WHEN 'O' THEN 'no2' WHEN 'F' THEN 'so2' ELSE 'co' END, CAST(o_orderdate AS TIMESTAMP) FROM orders""",
 )
 def _(spark, sf):
-    a = V.gappy(spark, sf).where((F.col("variable") == "no2") & F.col("value").isNotNull())
-    o = V.table(spark, sf, "orders").where(F.col("o_orderpriority") == "1-URGENT")
-    return J.intersect_times(a, o.select(F.lit("d0").alias("dataset_id"), F.col("o_orderdate").alias("time")), ["dataset_id"])
+    status = F.col("o_orderstatus")
+    variable = F.when(status == "O", "no2").when(status == "F", "so2").otherwise("co")
+    times = V.table(spark, sf, "orders").select(variable.alias("variable"), F.col("o_orderdate").alias("time"))
+    return J.intersect_times(V.gappy(spark, sf).where("value IS NOT NULL"), times, ["variable"])
 
 
 @query(
@@ -363,15 +364,18 @@ def _(spark, sf):
     return Q.grid_consistency(V.grid(spark, sf), {"south": 33.2353, "north": 34.1335, "west": 72.508, "east": 73.5877})
 
 
+TABLES = (
+    "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
+).split()
+
+
 @query("M15_validate_files")
 def _(spark, sf):
     from airgrid.sources.files import lake_manifest
 
     manifest = lake_manifest(spark, sf, "*.parquet").select("path", "name")
-    names = [f"{sf}/{n}.parquet" for n in ("orders", "customer", "events")]
-    rows = [spark.read.parquet(n).select(F.col("_metadata.file_path").alias("path")) for n in names]
-    wanted = manifest.where(F.col("name").isin("orders.parquet", "customer.parquet", "events.parquet", "region.parquet"))
-    return Q.validate_files(J.union_all(rows), wanted).drop("results")
+    rows = [spark.read.parquet(f"{sf}/{n}.parquet").select(F.col("_metadata.file_path").alias("path")) for n in TABLES]
+    return Q.validate_files(J.union_all(rows), manifest).drop("results")
 
 
 @query(
@@ -522,6 +526,9 @@ def feature_table(spark, sf):
 FEATURES = ["so2", "co", "o3", "no2_lag_1", "no2_lag_7", "no2_rolling_mean_7", "so2_rolling_mean_7", "no2_rolling_std_7", "day_of_year_sin", "month_cos"]
 
 
+FAMILIES = ("linear", "ridge", "lasso", "random_forest", "gradient_boosting")
+
+
 @query("L2_prepare")
 def _(spark, sf):
     out = ML.prepare(V.grid(spark, sf), "no2", ["no2", "so2"], lags=(1, 3), other_lags=(1,), sizes=(7,), steps=(1,))
@@ -558,7 +565,7 @@ def split_table(spark, sf):
 @query("L4_select_features_rfe")
 def _(spark, sf):
     rows = split_table(spark, sf).where(F.col("split") == "train")
-    chosen = ML.rfe(rows, FEATURES[:6], "no2", 4, trees=10)
+    chosen = ML.rfe(rows, FEATURES, "no2", 4)
     scores = R.feature_scores(rows, "no2", chosen)
     return rounded(scores)
 
@@ -566,7 +573,7 @@ def _(spark, sf):
 @query("L5_train_and_evaluate")
 def _(spark, sf):
     rows = materialize(ML.scale(split_table(spark, sf), FEATURES))
-    trained = ML.train(rows, FEATURES, "no2", ("linear", "ridge", "lasso"))
+    trained = ML.train(rows, FEATURES, "no2", FAMILIES)
     return rounded(ML.evaluate_all(trained, rows, "no2"))
 
 
@@ -596,7 +603,7 @@ def _(spark, sf):
 
 @query("L9_run_training")
 def _(spark, sf):
-    run = ML.run_training(feature_table(spark, sf), "no2", FEATURES, ("linear", "ridge"), k=6)
+    run = ML.run_training(feature_table(spark, sf), "no2", FEATURES, FAMILIES, k=6)
     return rounded(run.predictions.withColumn("model", F.lit(run.best)))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from airgrid import KEYS
-from airgrid.core import attach, by
+from airgrid.core import attach, by, same_keys
 from airgrid.functions.geo import in_bbox
 from airgrid.operators.slicing import latest_slice
 
@@ -73,17 +73,19 @@ def write_table(
 
 
 def write_partitioned(
-    df: DataFrame, base: str, product: str = "variable", time: str = "time", files_per_month: int = 8, **options
+    df: DataFrame, base: str, product: str = "variable", time: str = "time", rows_per_file: int = 2_000_000, **options
 ) -> None:
     """product / year / month directories, so that later date and product filters prune partitions.
 
-    Rows are spread over ``files_per_month`` tasks per directory by their content, which bounds the
-    number of files as well as the work of one task for a hot product or month.
+    A directory's rows are counted first and spread over as many tasks as they fill files of
+    ``rows_per_file``, by their content, so that a hot product or month is the work of many tasks.
     """
-    salt = F.pmod(F.xxhash64(*[c for c in df.columns]), F.lit(files_per_month))
     out = df.withColumns({"product": F.col(product), "year": F.year(time), "month": F.month(time)})
-    out = out.repartition("product", "year", "month", salt)
-    write_table(out, base, "parquet", partition_by=("product", "year", "month"), **options)
+    folder = ["product", "year", "month"]
+    files = out.groupBy(*folder).agg(F.ceil(F.count(F.lit(1)) / rows_per_file).alias("_files"))
+    spread = F.pmod(F.xxhash64(*df.columns), F.col("_files"))
+    dealt = same_keys(out, files, folder).withColumn("_file", spread).repartition(*folder, "_file").drop("_files", "_file")
+    write_table(dealt, base, "parquet", partition_by=folder, **options)
 
 
 def normalise_points(

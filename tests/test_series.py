@@ -1,6 +1,7 @@
 """Series operators on small hand-made frames, against pandas and numpy."""
 
 import datetime as dt
+import math
 
 import numpy as np
 import pandas as pd
@@ -11,7 +12,7 @@ from airgrid.functions import special
 from airgrid.operators import aggregates as A
 from airgrid.operators import statistics as S
 from airgrid.operators import windows as W
-from airgrid.operators.isolation import anomalies_isolation, count_below, forest_steps
+from airgrid.operators.isolation import anomalies_isolation, count_below, fit_isolation, forest_steps, tree_samples
 
 
 def series_of(spark, values, start="2023-01-01", key="no2", days=None):
@@ -208,9 +209,19 @@ def test_isolation_flags_the_far_values(spark):
     assert (out[out.is_anomaly].value > 40).sum() >= 8
 
 
+@pytest.mark.parametrize("n", [100, 3_000])
+def test_isolation_model_ignores_order_and_partitions(spark, n):
+    values = np.random.default_rng(n).normal(size=n).round(3)
+    rows = series_of(spark, values)
+    models = [fit_isolation(df).orderBy("chunk").collect() for df in (rows, rows.orderBy("value").repartition(5))]
+    assert models[0] == models[1]
+    sampled = tree_samples(rows, ["dataset_id", "variable"], "value", 100, 42).collect()
+    assert len(sampled) == 100 and {len(r["_values"]) for r in sampled} == {min(n, 256)}
+
+
 def test_forest_steps_are_a_step_function():
-    pool = np.sort(np.random.default_rng(1).normal(size=500))
-    cuts, scores = forest_steps(pool, 20, 7)
+    rng = np.random.default_rng(1)
+    cuts, scores = forest_steps([np.sort(rng.normal(size=250)) for _ in range(20)], 7)
     assert len(scores) == len(cuts) + 1 and (np.diff(cuts) > 0).all()
     assert ((scores > 0) & (scores <= 1)).all()
 
@@ -228,3 +239,23 @@ def test_mann_kendall_monotone(spark):
     assert (out.s, out.trend) == (435, "increasing") and out.p_value < 1e-6
     flat = S.mann_kendall(series_of(spark, [1] * 20)).first()
     assert (flat.s, flat.z, flat.trend) == (0, 0.0, "no trend")
+
+
+@pytest.mark.parametrize("df", [5.0, 1e4, 1e10, 1e13, 1e15])
+def test_t_distribution_keeps_its_digits(df):
+    from airgrid.functions.special import t_two_sided
+
+    assert t_two_sided(0.0, df) == pytest.approx(1.0)
+    if df >= 1e10:  # the normal distribution
+        assert t_two_sided(1.7, df) == pytest.approx(math.erfc(1.7 / math.sqrt(2)), rel=1e-9)
+
+
+def test_days_with_several_rows(spark):
+    from airgrid.operators.sets import missing_days
+    from airgrid.operators.windows import fill_gaps
+
+    at = [dt.datetime(2023, 1, 1, 1), dt.datetime(2023, 1, 1, 13), dt.datetime(2023, 1, 3)]
+    df = spark.createDataFrame([("d", "v", t, float(i)) for i, t in enumerate(at)], "dataset_id string, variable string, time timestamp_ntz, value double")
+    assert [r.day.day for r in missing_days(df).collect()] == [2]
+    filled = fill_gaps(df).orderBy("time").collect()
+    assert [(r.time.day, r.filled, r.was_missing) for r in filled] == [(1, 0.5, False), (2, 1.25, True), (3, 2.0, False)]
