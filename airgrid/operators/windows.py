@@ -6,8 +6,11 @@ A series has one row per key and time.  All windows run over bounded blocks of a
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,6 +118,118 @@ def engineer_features(
     return out.na.drop("any") if drop_nulls else out
 
 
+@dataclass(frozen=True)
+class FeaturePlan:
+    """Which features ``engineer_features`` makes of which columns, layer by layer."""
+
+    target: str
+    variables: tuple[str, ...]
+    lags: tuple[int, ...] = TARGET_LAGS
+    other_lags: tuple[int, ...] = OTHER_LAGS
+    sizes: tuple[int, ...] = ROLLING
+    steps: tuple[int, ...] = DIFFS
+
+    @property
+    def calendar(self) -> list[str]:
+        """The names of ``temporal_columns``."""
+        return [
+            "day_of_year", "month", "day_of_week", "quarter", "season",
+            "day_of_year_sin", "day_of_year_cos", "month_sin", "month_cos", "is_weekend",
+        ]
+
+    @property
+    def own_lags(self) -> list[tuple[str, str, int]]:
+        return [(f"{self.target}_lag_{k}", self.target, k) for k in self.lags]
+
+    @property
+    def further_lags(self) -> list[tuple[str, str, int]]:
+        calendar = [c for c in self.calendar if c not in ("month", "season", "is_weekend")]
+        order = [c for c in [*calendar, "is_weekend"] if not c.endswith(("_sin", "_cos"))] + [c for c in calendar if c.endswith(("_sin", "_cos"))]
+        lagged = [*[v for v in self.variables if v != self.target], *order, *[n for n, *_ in self.own_lags]]
+        return [(f"{c}_lag_{k}", c, k) for c in lagged for k in self.other_lags]
+
+    @property
+    def numeric(self) -> list[str]:
+        waves = [c for c in self.calendar if c.endswith(("_sin", "_cos"))]
+        return [*self.variables, *waves, "is_weekend", *[n for n, *_ in self.own_lags], *[n for n, *_ in self.further_lags]]
+
+    @property
+    def rolling(self) -> list[tuple[str, str, str, int]]:
+        return [(f"{c}_rolling_{f}_{k}", c, f, k) for c in self.numeric for k in self.sizes for f in ("mean", "std", "min", "max")]
+
+    @property
+    def diffs(self) -> list[tuple[str, str, int]]:
+        return [(f"{c}_diff_{k}", c, k) for c in [*self.numeric, *[n for n, *_ in self.rolling]] for k in self.steps]
+
+    @property
+    def products(self) -> list[tuple[str, str, str]]:
+        return [(f"{a}_x_{b}", a, b) for a, b in list(zip(self.numeric, self.numeric[1:], strict=False))[:3]]
+
+    @property
+    def names(self) -> list[str]:
+        """All features in the order of the matrix."""
+        layers = [self.own_lags, self.further_lags, self.rolling, self.diffs, self.products]
+        return [*self.calendar, *self.variables, *[f[0] for layer in layers for f in layer]]
+
+    @property
+    def reach(self) -> int:
+        """Rows before a row that its features look at."""
+        return max(self.lags) + max(self.other_lags) + max(self.sizes) - 1 + max(self.steps)
+
+    def rows(self, base: Mapping[str, np.ndarray]) -> np.ndarray:
+        """The matrix of a stretch of consecutive rows from its base columns; what is not known is NaN."""
+        held = dict(base)
+
+        def behind(c: str, k: int) -> np.ndarray:
+            out = np.full(len(held[c]), np.nan)
+            out[k:] = held[c][:-k] if k else held[c]
+            return out
+
+        for name, c, k in [*self.own_lags, *self.further_lags]:
+            held[name] = behind(c, k)
+        fns = {"mean": np.mean, "std": lambda v, axis: np.std(v, axis=axis, ddof=1), "min": np.min, "max": np.max}
+        for name, c, f, k in self.rolling:
+            out = np.full(len(held[c]), np.nan)
+            if len(out) >= k:
+                out[k - 1 :] = fns[f](np.lib.stride_tricks.sliding_window_view(held[c], k), axis=1)
+            held[name] = out
+        for name, c, k in self.diffs:
+            held[name] = held[c] - behind(c, k)
+        for name, x, y in self.products:
+            held[name] = held[x] * held[y]
+        return np.stack([held[n] for n in self.names], axis=1)
+
+
+def feature_matrix(
+    df: DataFrame, plan: FeaturePlan, keys: Sequence[str] = ("dataset_id",), time: str = "time", drop_nulls: bool = True, block: int = BLOCK // 8
+) -> DataFrame:
+    """``keys, time, features``: the features of ``engineer_features`` as one array per row, in the order of ``plan.names``.
+
+    With the default lags there are over two thousand features, too many for columns of a plan; a block
+    of consecutive rows, with the rows that it reaches back to, is worked out in arrays instead.
+    Features that are not known are NaN; ``drop_nulls`` leaves out rows that have one.
+    """
+    keys, base = list(keys), [*plan.calendar, *plan.variables]
+    calendar = {n: c.cast("double") for n, c in temporal_columns(F.col(time)).items()}
+    rows = df.select(*keys, time, *[F.col(v).cast("double").alias(v) for v in plan.variables]).withColumns(calendar)
+    blocks = halo_blocks(rows, keys, plan.reach, 0, time, block)
+
+    def work(table: pa.Table) -> pa.Table:
+        table = table.sort_by("_pos")
+        columns = {c: np.nan_to_num(table[c].to_numpy(zero_copy_only=False).astype(float), nan=np.nan) for c in base}
+        matrix = plan.rows(columns)
+        keep = np.asarray(table["_pos"]) // block == np.asarray(table["_block"])
+        if drop_nulls:
+            keep &= ~np.isnan(matrix).any(axis=1)
+        chosen = matrix[keep]
+        offsets = np.arange(len(chosen) + 1, dtype=np.int32) * matrix.shape[1]
+        out = table.select([*keys, time]).filter(pa.array(keep))
+        return out.append_column("features", pa.ListArray.from_arrays(pa.array(offsets), pa.array(chosen.ravel())))
+
+    schema = blocks.select(*keys, time, F.lit(None).cast("array<double>").alias("features")).schema
+    return blocks.groupBy(*keys, "_block").applyInArrow(work, schema)
+
+
 def smooth_centered(
     series: DataFrame, size: int = 7, keys: Sequence[str] = KEYS, time: str = "time", value: str = "value", block: int = BLOCK
 ) -> DataFrame:
