@@ -624,8 +624,8 @@ def _stream(spark, sf, name):
 def _(spark, sf):
     out, ckpt = scratch_path(spark, "daily"), scratch_path(spark, "daily-ckpt")
     daily = monitoring.stream_daily(_stream(spark, sf, "events"))
-    monitoring.run_available_complete(daily, out, ckpt)
-    return rounded(spark.read.parquet(out))
+    monitoring.run_available_update(daily, out, ckpt)
+    return rounded(monitoring.latest_groups(spark, out, ["event_type", "day"]))
 
 
 @query(

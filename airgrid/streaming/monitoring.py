@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from airgrid.functions.levels import ALERT_THRESHOLDS, alert_level, tripped_threshold
@@ -15,7 +15,8 @@ def stream_daily(
 ) -> DataFrame:
     """Daily mean, deviation, extremes and count per key on event time.
 
-    Late records are accepted up to ``delay``; state for a day is dropped once the watermark passes it.
+    Late records are accepted up to ``delay``; state for a day is dropped once the watermark passes it,
+    except where the sink asks for all groups again (complete mode).
     """
     timed = stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay)
     out = timed.groupBy(F.window(time, "1 day"), F.col(key)).agg(
@@ -50,6 +51,34 @@ def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "ap
     query.awaitTermination()
 
 
+def run_available_update(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Update mode: each batch writes the groups that it changed below its own ``epoch`` folder.
+
+    The watermark drops the state of groups that can't change any more, and no batch rewrites what
+    earlier ones wrote; a batch that is run again replaces its own folder.  ``latest_groups`` reads the table.
+    """
+
+    def add(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+
+    query = (
+        stream.writeStream.foreachBatch(add)
+        .option("checkpointLocation", checkpoint)
+        .outputMode("update")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+
+
+def latest_groups(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
+    """The newest row of each group that ``run_available_update`` wrote."""
+    rows = spark.read.parquet(path)
+    values = [c for c in rows.columns if c not in (*keys, "epoch")]
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "epoch").alias("_row"))
+    return newest.select(*keys, *[F.col("_row")[c].alias(c) for c in values])
+
+
 def run_available_complete(stream: DataFrame, path: str, checkpoint: str) -> None:
     """Complete mode: each batch replaces the result table, so the last one holds every group."""
 

@@ -135,6 +135,22 @@ def test_stream_append_drops_late_records(spark, tmp_path):
     assert dt.date(2023, 1, 10) not in got
 
 
+def test_update_mode_goes_on_from_its_checkpoint(spark, tmp_path):
+    source, out, ckpt = (str(tmp_path / n) for n in ("in", "out", "ckpt"))
+    schema = "event_type string, ts timestamp_ntz, value double"
+
+    def batch(*rows):
+        spark.createDataFrame(list(rows), schema).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)  # a new query each time
+        monitoring.run_available_update(monitoring.stream_daily(stream, "2 days"), out, ckpt)
+        return {(r.event_type, r.day.day): (r.mean, r["count"]) for r in monitoring.latest_groups(spark, out, ["event_type", "day"]).collect()}
+
+    assert batch(("a", T0, 1.0), ("b", T0, 5.0)) == {("a", 1): (1.0, 1), ("b", 1): (5.0, 1)}
+    assert batch(("a", T0 + dt.timedelta(hours=3), 3.0)) == {("a", 1): (2.0, 2), ("b", 1): (5.0, 1)}
+    batch(("a", T0 + dt.timedelta(days=9), 7.0))
+    assert batch(("a", T0, 100.0))[("a", 1)] == (2.0, 2)  # later than the watermark
+
+
 def test_alert_levels(spark):
     df = spark.createDataFrame([("no2", 60.0), ("no2", 45.0), ("no2", 20.0), ("no2", 1.0), ("aod", 99.0), ("x", 1.0), ("no2", None)], "variable string, value double")
     out = [r[0] for r in df.select(levels.alert_level(F.col("variable"), F.col("value"))).collect()]
