@@ -23,14 +23,16 @@ text every score is 0; an empty table gives an empty table; other columns are no
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from airgrid.llm.common import LOWER, mapped, mix64, split_words
+from airgrid.llm.common import LOWER, mapped, mix64, split_words, written
 from airgrid.llm.training import allowed_labels, document_ids, first_by_hash, texts_of
 
 BITS = 18
@@ -47,8 +49,8 @@ EVIDENCE = 5.0
 SHORT = 25
 #: bytes of a word that its own hash covers
 LONGEST = 40
-#: texts scored at once
-BLOCK = 1_024
+#: texts held as bags at once
+BLOCK = 512
 _FOLD = np.frombuffer(LOWER, dtype=np.uint8)
 _PLAIN = np.array([not (33 <= b <= 47 or 58 <= b <= 64 or 91 <= b <= 96 or 123 <= b <= 126) for b in range(256)])
 
@@ -90,8 +92,10 @@ def bags(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]
     """(owner, word code) of each distinct word of each text, the number of distinct words per text, the words."""
     codes, offsets, words = split_words(texts)
     owner = np.repeat(np.arange(len(texts)), np.diff(offsets))
-    held = np.unique(owner * max(len(words), 1) + codes)
-    owner, codes = np.divmod(held, max(len(words), 1))
+    width = max(len(words), 1)
+    cuts = offsets[np.append(np.arange(0, len(texts), BLOCK), len(texts))]
+    held = [np.unique(owner[a:b] * width + codes[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+    owner, codes = np.divmod(np.concatenate(held) if held else np.zeros(0, np.int64), width)
     return owner, codes, np.bincount(owner, minlength=len(texts)), words
 
 
@@ -112,41 +116,81 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * z))
 
 
-def evidence(features: np.ndarray, owner: np.ndarray, codes: np.ndarray, positive: np.ndarray) -> np.ndarray:
-    """How far each feature's share of the toxic texts lies from its share of the others, in standard errors."""
-    width = 1 << BITS
-    # a feature counts once per text
-    pairs = np.unique((owner[:, None] * width + features[codes]).ravel()) if len(owner) else np.zeros(0, np.int64)
-    of, feature = np.divmod(pairs, width)
-    n_pos, n_un = max(positive.sum(), 1), max((~positive).sum(), 1)
-    p = np.bincount(feature[positive[of]], minlength=width) / n_pos
-    u = np.bincount(feature[~positive[of]], minlength=width) / n_un
-    return (p - u) / np.sqrt((u + 1 / n_pos) * (1 / n_pos + 1 / n_un))
+def counted(sample: DataFrame, roles: dict[int, int]) -> DataFrame:
+    """(member, feature, pos, un): in how many confirmed and in how many unlabelled texts of the sample each feature is.
+
+    ``roles`` says of each sampled id: -1 confirmed toxic, which all members learn from, else the member
+    that takes it as unlabelled.  Feature -1 counts the texts.
+    """
+
+    def count(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        width = 1 << BITS
+        for at in range(0, batch.num_rows, BLOCK):
+            part = batch.slice(at, BLOCK)
+            role = np.array([roles[i] for i in part["id"].to_pylist()])
+            owner, codes, _, words = bags(part["text"])
+            for member in range(MEMBERS):
+                features = word_features(words, member)
+                pairs = np.unique((owner[:, None] * width + features[codes]).ravel())  # once per text
+                of, feature = np.divmod(pairs, width)
+                pos = np.bincount(feature[role[of] == -1], minlength=width)
+                un = np.bincount(feature[role[of] == member], minlength=width)
+                held = np.flatnonzero(pos + un)
+                columns = [np.append(held, -1), np.append(pos[held], (role == -1).sum()), np.append(un[held], (role == member).sum())]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(held) + 1, member)), *map(pa.array, columns)], names=["member", "feature", "pos", "un"])
+
+    rows = mapped(sample, count, "member long, feature long, pos long, un long")
+    return rows.groupBy("member", "feature").agg(F.sum("pos").alias("pos"), F.sum("un").alias("un"))
+
+
+def telling_features(counts: DataFrame) -> dict[int, np.ndarray]:
+    """For each member the features whose share among the toxic texts is ``EVIDENCE`` standard errors from that of the others."""
+    totals = counts.where("feature = -1").select("member", F.col("pos").alias("n_pos"), F.col("un").alias("n_un"))
+    n_pos, n_un = (F.greatest(F.col(c), F.lit(1)) for c in ("n_pos", "n_un"))
+    spread = F.sqrt((F.col("un") / n_un + 1 / n_pos) * (1 / n_pos + 1 / n_un))
+    rows = counts.where("feature >= 0").join(totals, "member").where(F.abs(F.col("pos") / n_pos - F.col("un") / n_un) / spread >= EVIDENCE)
+    found: dict[int, list[int]] = {m: [] for m in range(MEMBERS)}
+    for r in rows.select("member", "feature").collect():  # 2**BITS rows at most
+        found[r.member].append(r.feature)
+    return {m: np.array(sorted(v), dtype=np.int64) for m, v in found.items()}
 
 
-def fit(texts: pa.Array, positive: np.ndarray, prior: float, seed: int, steps: int = STEPS) -> Member:
+def reduced(sample: DataFrame, roles: dict[int, int], used: dict[int, np.ndarray]) -> pa.Table:
+    """(id, member, size, features): the telling words of each sampled text, as places in ``used``, a row of places per word."""
+
+    def reduce_(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for at in range(0, batch.num_rows, BLOCK):
+            part = batch.slice(at, BLOCK)
+            ids = np.asarray(part["id"])
+            owner, codes, sizes, words = bags(part["text"])
+            for member, features in used.items():
+                place = np.full(1 << BITS, len(features), dtype=np.int32)  # the last place is that of all unused features
+                place[features] = np.arange(len(features))
+                places = place[word_features(words, member)].reshape(len(words), -1)
+                keep = (places < len(features)).any(axis=1)[codes]
+                own, flat = owner[keep], places[codes[keep]]
+                cuts = np.searchsorted(own, np.arange(part.num_rows + 1)) * flat.shape[1]
+                lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(flat.ravel()))
+                mine = pa.array([roles[i] in (-1, member) for i in ids.tolist()])
+                columns = [pa.array(ids), pa.array(np.full(len(ids), member)), pa.array(sizes), lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "member", "size", "features"]).filter(mine)
+
+    return mapped(sample, reduce_, "id long, member long, size long, features array<int>").toArrow().sort_by([("member", "ascending"), ("id", "ascending")])
+
+
+def fit(sizes: np.ndarray, owner: np.ndarray, places: np.ndarray, used: np.ndarray, positive: np.ndarray, prior: float, seed: int) -> Member:
     """One classifier by full-batch steps on the corrected risk, with the logistic loss.
 
-    Only features with clear evidence take part, so that no chance word gets a weight.
+    ``places`` has a row for each telling word of a text, ``owner`` says whose it is.
     """
-    owner, codes, sizes, words = bags(texts)
-    features = word_features(words, seed)
-    scores = evidence(features, owner, codes, positive)
-    used = np.flatnonzero(np.abs(scores) >= EVIDENCE)
-    place = np.full(1 << BITS, len(used), dtype=np.int64)
-    place[used] = np.arange(len(used))
-    features = place[features]  # the last place is that of all unused features
-    telling = (features < len(used)).any(axis=1)
-    keep = telling[codes]
-    owner, codes, features = owner[keep], (np.cumsum(telling) - 1)[codes[keep]], features[telling]
     n, width = len(sizes), len(used) + 1
     scale = 1 / np.sqrt(np.maximum(sizes, SHORT))
     n_pos, n_un = max(positive.sum(), 1), max((~positive).sum(), 1)
     theta = np.zeros(width + 1)  # the weights, the unused place, the bias
     theta[-1] = np.log(prior / (1 - prior))
     m1, m2 = np.zeros(width + 1), np.zeros(width + 1)
-    for step in range(1, steps + 1):
-        z = theta[-1] + np.bincount(owner, theta[features].sum(axis=1)[codes], minlength=n) * scale
+    for step in range(1, STEPS + 1):
+        z = theta[-1] + np.bincount(owner, theta[places].sum(axis=1), minlength=n) * scale
         p = sigmoid(z)
         loss_clean = np.logaddexp(0, z)
         clean_risk = loss_clean[~positive].sum() / n_un - prior * loss_clean[positive].sum() / n_pos
@@ -154,8 +198,7 @@ def fit(texts: pa.Array, positive: np.ndarray, prior: float, seed: int, steps: i
         clean_part = np.where(positive, -prior * p / n_pos, p / n_un)
         toxic_part = np.where(positive, prior * (p - 1) / n_pos, 0.0)
         slope = toxic_part + clean_part if clean_risk >= 0 else -clean_part
-        per_word = np.bincount(codes, (slope * scale)[owner], minlength=len(features))
-        g = np.bincount(features.ravel(), np.repeat(per_word, features.shape[1]), minlength=width + 1) + DECAY * theta
+        g = np.bincount(places.ravel(), np.repeat((slope * scale)[owner], places.shape[1]), minlength=width + 1) + DECAY * theta
         g[width - 1], g[-1] = 0.0, slope.sum()
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.999 * m2 + 0.001 * g * g
         theta -= RATE * np.sqrt(1 - 0.999**step) / (1 - 0.9**step) * m1 / (np.sqrt(m2) + 1e-8)
@@ -164,6 +207,21 @@ def fit(texts: pa.Array, positive: np.ndarray, prior: float, seed: int, steps: i
     return Member(seed, weights, float(theta[-1]))
 
 
+def trained(docs: DataFrame, confirmed: list[int], others: list[int], prior: float, id_col: str, text_col: str) -> list[Member]:
+    """The classifiers.  Texts stay on the executors; the driver gets counters and the telling words of the sample."""
+    roles = {i: k % MEMBERS for k, i in enumerate(others)} | dict.fromkeys(confirmed, -1)
+    sample = written(texts_of(docs, list(roles), id_col, text_col), "toxicity-sample")
+    used = telling_features(counted(sample, roles))
+    rows, members = reduced(sample, roles, used), []
+    for member, features in used.items():
+        own = rows.filter(pa.compute.equal(rows["member"], member))
+        positive = np.array([roles[i] == -1 for i in own["id"].to_pylist()], dtype=bool)
+        places = np.asarray(own["features"].combine_chunks().flatten(), dtype=np.int64).reshape(-1, len(PREFIXES) + 1)
+        counts = np.asarray(pa.compute.list_value_length(own["features"]), dtype=np.int64) // (len(PREFIXES) + 1)
+        members.append(fit(np.asarray(own["size"]), np.repeat(np.arange(len(own)), counts), places, features, positive, prior, member))
+    return members
+
+
 def toxicity_scores(
     docs: DataFrame,
     labels: DataFrame,
@@ -186,13 +244,7 @@ def toxicity_scores(
         confirmed = here.where("label = 1")
         chosen = first_by_hash(confirmed, positive)
         others = first_by_hash(ids.join(confirmed, "id", "left_anti"), MEMBERS * unlabelled)
-        rows = texts_of(docs, chosen + others, id_col, text_col).toArrow().sort_by("id")  # a bounded number of texts
-        known_toxic = np.isin(np.asarray(rows["id"]), np.array(chosen, dtype=np.int64))
-        turn = {i: k % MEMBERS for k, i in enumerate(others)}
-        turns = np.array([turn.get(i, -1) for i in rows["id"].to_pylist()])
-        for seed in range(MEMBERS):
-            part = np.flatnonzero(known_toxic | (turns == seed))
-            members.append(fit(rows["text"].combine_chunks().take(pa.array(part)), known_toxic[part], prior, seed + 1))
+        members = trained(docs, chosen, others, prior, id_col, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(members)
     kept = [c for c in docs.columns if c != out]
 

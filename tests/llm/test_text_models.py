@@ -82,15 +82,12 @@ def test_cosines_are_exact():
         assert got == pytest.approx((weight * labels[near]).sum() / weight.sum(), abs=1e-3)
 
 
-def test_risk_is_corrected_for_hidden_toxic_texts():
+def test_risk_is_corrected_for_hidden_toxic_texts(spark):
     """Most toxic texts are unlabelled; those must still score above the clean ones."""
-    import pyarrow as pa
-
-    texts = pa.array([prose(i, 80) + (" vile wretch foul" if i < 120 else "") for i in range(600)])
-    positive = np.arange(600) < 40
-    member = toxicity.fit(texts, positive, 0.2, 1)
-    scores = toxicity.sigmoid(member.logits(*toxicity.bags(texts)))
-    assert (scores[40:120] > 0.7).all() and (scores[120:] < 0.3).all()
+    docs = spark.createDataFrame([(i, prose(i, 80) + (" vile wretch foul" if i < 120 else "")) for i in range(600)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(40)] + [(i, 0) for i in range(200, 360)], "doc_id long, toxic int")
+    got = {r.doc_id: r.score for r in toxicity.toxicity_scores(docs.repartition(3), labels, F.lit(True)).collect()}
+    assert min(got[i] for i in range(40, 120)) > 0.7 and max(got[i] for i in range(120, 600)) < 0.3
 
 
 def test_word_hashes_ignore_case_and_punctuation():
@@ -217,3 +214,13 @@ def test_random_turns_keep_their_order(spark):
     for c in range(20):
         own = "".join(f"{r}\n{t}\n" for _, _, r, t in sorted(x for x in turns if x[0] == c))
         assert got[c] == hashlib.sha256(own.encode()).hexdigest()
+
+
+def test_many_texts_at_once_have_the_models_ids(codec, library):
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    texts = ["", None, "  two  blanks ", "▁", "a▁ b", *("".join(rng.choice("abet in▁\n  éß日") for _ in range(40)) for _ in range(200)), *(prose(i, 60) for i in range(30))]
+    ids, cuts = codec.encode_all(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(cuts, cuts[1:], strict=False)] == [library.encode(t or "") for t in texts]
+    assert [t.decode() for t in codec.decode_all(ids, cuts)] == [(t or "").replace("▁", " ") for t in texts]
