@@ -40,10 +40,20 @@ from airgrid.llm.common import blocks, split_words, strings, written
 
 CAPACITY = 2_048
 END_ID = 0
-#: words whose ids a task remembers
+#: words, without the punctuation at their ends, whose ids a task remembers
 REMEMBERED = 400_000
 #: bytes of text tokenized at once
-BLOCK_BYTES = 12_000_000
+BLOCK_BYTES = 8_000_000
+
+
+def _byte_signs() -> dict[int, int]:
+    """The sign for each byte in byte-level vocabularies: itself where it is printable, else the next free one from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in printable]
+    return {b: b for b in printable} | {b: 256 + i for i, b in enumerate(hidden)}
+
+
+_BYTE_SIGNS = _byte_signs()
 
 
 class WordTokenizer:
@@ -57,7 +67,7 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.whole: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
         self.known: dict[str, bytes] = {"": b""}
 
     @staticmethod
@@ -69,20 +79,19 @@ class WordTokenizer:
 
     def words(self, words: list[str]) -> list[bytes]:
         """The ids of each word, as 32-bit little-endian numbers."""
-        whole = self.whole
-        unseen = [w for w in words if w not in whole]
-        if unseen:
-            if len(whole) + len(unseen) > REMEMBERED:
-                self.whole = whole = {w: whole[w] for w in words if w in whole}
-            parts, known = [self.split(w) for w in unseen], self.known
-            new = list({p for pair in parts for p in pair if p not in known})
-            if len(known) + len(new) > REMEMBERED:
-                self.known = known = {p: known[p] for pair in parts for p in pair if p in known} | {"": b""}
-            for part, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False) if new else [], strict=True):
-                known[part] = struct.pack(f"<{len(e)}I", *e.ids)
-            for word, (core, tail) in zip(unseen, parts, strict=True):
-                whole[word] = known[core] + known[tail]
-        return list(map(whole.__getitem__, words))
+        cores, tails = zip(*map(self.split, words), strict=True) if words else ((), ())
+        known = self.known
+        new = {p for p in (*cores, *tails) if p not in known}
+        if len(known) + len(new) > REMEMBERED:
+            self.known = known = {p: known[p] for p in (*cores, *tails) if p in known} | {"": b""}
+        letters = [p for p in new if p.isalpha() and max(p) <= "\u00ff"]
+        for part in letters:  # one word of letters is one unit of the model, in the signs of its bytes
+            ids = [t.id for t in self.model.tokenize(part.lower().encode().decode("latin-1").translate(_BYTE_SIGNS))]
+            known[part] = struct.pack(f"<{len(ids)}I", *ids)
+        others = list(new.difference(letters))
+        for part, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False) if others else [], strict=True):
+            known[part] = struct.pack(f"<{len(e)}I", *e.ids)
+        return [known[a] + known[b] if b else known[a] for a, b in zip(cores, tails, strict=True)]
 
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and where each text begins."""
