@@ -35,8 +35,8 @@ from airgrid.llm.common import blocks, byte_texts, strings
 
 BLANK = "▁"
 #: stretches whose ids, and pairs whose stability, a task remembers
-REMEMBERED = 500_000
-BLOCK_BYTES = 16_000_000
+REMEMBERED = 350_000
+BLOCK_BYTES = 10_000_000
 
 
 class Codec:
