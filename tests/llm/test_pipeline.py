@@ -9,7 +9,7 @@ import oracle
 import pytest
 from fixtures import brute_words, odd_documents, prose, table
 
-from airgrid.llm import queries
+from airgrid.llm import queries, shingle_copies
 from airgrid.llm.common import written
 
 SF = "/root/testdata/sf0.001"
@@ -105,3 +105,54 @@ def test_shared_folder_is_the_clusters():
     assert os.path.isdir(os.path.dirname(shared_path(session(None, "local[4]"), "x")))
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_path(session(None, "spark://master:7077"), "x")
+
+
+def _changed(text: str, similarity: float) -> tuple[str, float]:
+    """``text`` with words replaced at its end, and how similar its runs of five words still are."""
+    words = brute_words(text)
+    runs = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    best = None
+    for cut in range(1, len(words)):
+        other = words[:-cut] + [f"new{i}" for i in range(cut)]
+        a, b = runs(words), runs(other)
+        if len(a & b) / len(a | b) < similarity:
+            return best
+        best = (" ".join(other), len(a & b) / len(a | b))
+    return best
+
+
+def test_near_stage_takes_pairs_from_the_similarity_on_and_no_others(spark, tmp_path):
+    goes, stays, docs = [], [], []
+    for i in range(200):
+        text = prose(1_000 + i, 250 + i)
+        for wanted, found in ((0.7, stays), (0.775, stays), (0.8, goes), (0.85, goes), (0.9, goes)):
+            other, similarity = _changed(text + f" own{i} {wanted}", wanted)
+            first = 10 * len(docs)
+            assert (similarity >= 0.8) == (found is goes)
+            # each pair has words of its own, so that nothing closer links it
+            own = lambda t: " ".join(f"{w}_{first}" for w in brute_words(t))  # noqa: E731, B023
+            docs += [(first, own(text + f" own{i} {wanted}")), (first + 1, own(other))]
+            found.append(first + 1)
+    table_ = spark.createDataFrame(docs, "doc_id long, text string")
+    left = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, table_, str(tmp_path)).collect()}
+    assert left == {i for i, _ in docs} - set(goes)
+
+
+@pytest.mark.parametrize("block", [4, 4_096])
+def test_shingle_links_are_brute_force(spark, block):
+    texts = []
+    for i in range(6):
+        words = prose(i, 60).split()
+        for j in range(15):
+            texts.append(" ".join(words[: 60 - j] + [f"x{i}" for _ in range(j % 4)]))
+    texts += ["", None, "one", "ONE", "two words"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "row long, text string").repartition(3)
+    got = {r.row: r.component for r in shingle_copies.copies(docs, 5, 0.8, "row", block=block).collect()}
+    runs = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in map(brute_words, texts)]
+    want = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if len(runs[a] & runs[b]) >= 0.8 * len(runs[a] | runs[b]) - 1e-9:
+                low, high = sorted((want[a], want[b]))
+                want = [low if w == high else w for w in want]
+    assert got == dict(enumerate(want))
