@@ -7,7 +7,11 @@ estimate turns negative the classifier is fitting single texts, and the step goe
 (non-negative correction).
 
 A text is the bag of its words without punctuation at their end, A-Z lower-cased: each word counts as
-itself and by its beginnings of ``PREFIXES`` bytes, hashed to ``BITS`` bits.  The bag is divided by the
+itself, to its end, and by its beginnings of ``PREFIXES`` bytes, hashed to ``BITS`` bits.  A run without
+white space counts as a whole, by the parts between its punctuation and, where a part is longer than
+``LONGEST`` bytes or has characters of three bytes or more (Chinese, Japanese, Thai), by windows of
+``WINDOW`` bytes from each of its characters on, so that every byte reaches features that don't depend
+on what stands far from it.  The bag is divided by the
 square root of the number of words, so that chance weights of clean words stay alike at every length
 while a toxic share shows the more, the longer the text is.  Scores are means over ``MEMBERS``
 classifiers, which differ in their hashes and in their unlabelled texts.
@@ -32,7 +36,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from airgrid.llm.common import LOWER, mapped, mix64, split_words, written
+from airgrid.llm.common import LOWER, blocks, mapped, mix64, split_words, written
 from airgrid.llm.training import allowed_labels, document_ids, first_by_hash, texts_of
 
 BITS = 18
@@ -47,30 +51,70 @@ DECAY = 1e-6
 EVIDENCE = 5.0
 #: texts with fewer distinct words are divided by the root of this many
 SHORT = 25
-#: bytes of a word that its own hash covers
+#: bytes of a part of a run that counts only as a whole
 LONGEST = 40
-#: texts held as bags at once
-BLOCK = 512
+#: bytes of the windows of other parts
+WINDOW = 12
+#: texts held as bags at once, and their bytes, except of a single longer text
+BLOCK, BLOCK_BYTES = 512, 4 << 20
 _FOLD = np.frombuffer(LOWER, dtype=np.uint8)
 _PLAIN = np.array([not (33 <= b <= 47 or 58 <= b <= 64 or 91 <= b <= 96 or 123 <= b <= 126) for b in range(256)])
+#: bytes that don't part a run: an apostrophe belongs to its word
+_JOINED = _PLAIN | (np.arange(256) == ord("'"))
 
 
-def word_features(words: pa.Array, seed: int) -> np.ndarray:
-    """The hashed features of each distinct word, one row per word."""
-    ends = np.frombuffer(words.buffers()[1], dtype=np.int64 if pa.types.is_large_string(words.type) else np.int32)
+def _bytes_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of an array of strings, and where each begins and ends without the punctuation at both ends."""
+    large = pa.types.is_large_string(words.type) or pa.types.is_large_binary(words.type)
+    ends = np.frombuffer(words.buffers()[1], dtype=np.int64 if large else np.int32)
     ends = ends[words.offset : words.offset + len(words) + 1].astype(np.int64)
     data = np.frombuffer(words.buffers()[2] or b"", dtype=np.uint8)
-    start, stop = ends[:-1].copy(), ends[1:].copy()
-    while True:  # punctuation at both ends goes
-        off = (stop > start) & ~_PLAIN[data[np.maximum(stop - 1, 0)]] if len(data) else np.zeros(len(words), bool)
-        if not off.any():
-            break
-        stop[off] -= 1
-    while True:
-        off = (stop > start) & ~_PLAIN[data[np.minimum(start, len(data) - 1)]] if len(data) else np.zeros(len(words), bool)
-        if not off.any():
-            break
-        start[off] += 1
+    # the first plain byte from each byte on, and behind the last one before it
+    plain, n = _PLAIN[data], len(data)
+    after = np.minimum.accumulate(np.where(plain, np.arange(n), n)[::-1])[::-1] if n else np.zeros(0, np.int64)
+    behind = np.maximum.accumulate(np.where(plain, np.arange(1, n + 1), 0)) if n else np.zeros(0, np.int64)
+    start = np.minimum(np.append(after, n)[ends[:-1]], ends[1:])
+    stop = np.maximum(np.insert(behind, 0, 0)[ends[1:]], start)
+    return data, start, stop
+
+
+def _flat(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each range, one after another."""
+    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+
+def units(words: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(unit codes of all words, offsets per word, the distinct units): what a run without white space counts by."""
+    data, start, stop = _bytes_of(words)
+    size = stop - start
+    joined, wide = (np.insert(np.cumsum(x), 0, 0) for x in (_JOINED[data], data >= 0xE0))
+    whole = joined[stop] - joined[start] == size
+    parted = np.flatnonzero(~whole)
+    # parts between punctuation
+    at, owner = _flat(start[parted], size[parted]), np.repeat(parted, size[parted])
+    inside, edge = _JOINED[data[at]], np.append(owner[1:] != owner[:-1], True) if len(at) else np.zeros(0, bool)
+    first = inside & (np.insert(edge[:-1] | ~inside[:-1], 0, True) if len(at) else inside)
+    last = inside & (edge | np.append(~inside[1:], True) if len(at) else inside)
+    part = [np.append(np.flatnonzero(whole), owner[first]), np.append(start[whole], at[first]), np.append(stop[whole], at[last] + 1)]
+    length = part[2] - part[1]
+    cut = (length > LONGEST) | ((wide[part[2]] > wide[part[1]]) & (length > WINDOW))
+    at, owner = _flat(part[1][cut], length[cut]), np.repeat(part[0][cut], length[cut])
+    until = np.minimum(at + WINDOW, np.repeat(part[2][cut], length[cut]))
+    begins = (data[at] & 0xC0) != 0x80  # a character, not its further bytes
+    more = np.arange(len(part[0])) >= whole.sum()  # whole runs are there already
+    owners = np.concatenate([np.arange(len(words)), part[0][more], owner[begins]])
+    begin = np.concatenate([start, part[1][more], at[begins]])
+    size = np.concatenate([stop, part[2][more], until[begins]]) - begin
+    offsets = pa.array(np.insert(np.cumsum(size), 0, 0))
+    held = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, offsets.buffers()[1], pa.py_buffer(_FOLD[data[_flat(begin, size)]])])
+    coded = held.dictionary_encode()
+    order = np.argsort(owners, kind="stable")
+    return np.asarray(coded.indices, dtype=np.int64)[order], np.searchsorted(owners[order], np.arange(len(words) + 1)), coded.dictionary
+
+
+def word_features(words: pa.Array, seed: int) -> np.ndarray:
+    """The hashed features of each distinct word, one row per word."""
+    data, start, stop = _bytes_of(words)
     size = stop - start
     out = np.empty((len(words), len(PREFIXES) + 1), dtype=np.int64)
     h = np.full(len(words), seed * 0x9E3779B97F4A7C15 % 2**64, dtype=np.uint64)
@@ -83,20 +127,32 @@ def word_features(words: pa.Array, seed: int) -> np.ndarray:
     for p in PREFIXES:
         if p > int(size.max(initial=0)):
             out[:, PREFIXES.index(p)] = (mix64(h) >> np.uint64(64 - BITS)).astype(np.int64)
+    longer = np.flatnonzero(size > LONGEST)
+    rest = size[longer] - LONGEST
+    if len(longer):  # the hash goes on to the end: a sum of the bytes, each scrambled with its place
+        place = _flat(np.zeros(len(rest), np.int64), rest).astype(np.uint64)
+        letters = _FOLD[data[_flat(start[longer] + LONGEST, rest)]].astype(np.uint64)
+        h[longer] = mix64(h[longer]) + np.add.reduceat(mix64(place * np.uint64(256) + letters), np.cumsum(rest) - rest)
     whole = h ^ mix64(size.astype(np.uint64))
     out[:, -1] = (mix64(whole) >> np.uint64(64 - BITS)).astype(np.int64)
     return out
 
 
 def bags(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
-    """(owner, word code) of each distinct word of each text, the number of distinct words per text, the words."""
+    """(owner, unit code) of each distinct unit of each text, the number of distinct units per text, the units."""
     codes, offsets, words = split_words(texts)
     owner = np.repeat(np.arange(len(texts)), np.diff(offsets))
-    width = max(len(words), 1)
-    cuts = offsets[np.append(np.arange(0, len(texts), BLOCK), len(texts))]
-    held = [np.unique(owner[a:b] * width + codes[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
-    owner, codes = np.divmod(np.concatenate(held) if held else np.zeros(0, np.int64), width)
-    return owner, codes, np.bincount(owner, minlength=len(texts)), words
+    owner, codes = np.divmod(np.unique(owner * max(len(words), 1) + codes), max(len(words), 1))
+    of_word, cuts, found = units(words)
+    counts = np.diff(cuts)[codes]
+    pairs = np.repeat(owner, counts) * max(len(found), 1) + of_word[_flat(cuts[codes], counts)]
+    owner, codes = np.divmod(np.unique(pairs), max(len(found), 1))
+    return owner, codes, np.bincount(owner, minlength=len(texts)), found
+
+
+def _slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    for at in range(0, batch.num_rows, BLOCK):
+        yield from blocks(batch.slice(at, BLOCK), column, BLOCK_BYTES)
 
 
 @dataclass
@@ -125,8 +181,7 @@ def counted(sample: DataFrame, roles: dict[int, int]) -> DataFrame:
 
     def count(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         width = 1 << BITS
-        for at in range(0, batch.num_rows, BLOCK):
-            part = batch.slice(at, BLOCK)
+        for part in _slices(batch, "text"):
             role = np.array([roles[i] for i in part["id"].to_pylist()])
             owner, codes, _, words = bags(part["text"])
             for member in range(MEMBERS):
@@ -159,8 +214,7 @@ def reduced(sample: DataFrame, roles: dict[int, int], used: dict[int, np.ndarray
     """(id, member, size, features): the telling words of each sampled text, as places in ``used``, a row of places per word."""
 
     def reduce_(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for at in range(0, batch.num_rows, BLOCK):
-            part = batch.slice(at, BLOCK)
+        for part in _slices(batch, "text"):
             ids = np.asarray(part["id"])
             owner, codes, sizes, words = bags(part["text"])
             for member, features in used.items():
@@ -249,10 +303,11 @@ def toxicity_scores(
     kept = [c for c in docs.columns if c != out]
 
     def scored(batch: pa.RecordBatch) -> pa.RecordBatch:
-        scores = np.zeros(batch.num_rows)
-        for i in range(0, batch.num_rows if shared.value else 0, BLOCK):
-            bag = bags(batch[text_col].slice(i, BLOCK))
-            scores[i : i + BLOCK] = np.mean([sigmoid(m.logits(*bag)) for m in shared.value], axis=0)
+        scores, i = np.zeros(batch.num_rows), 0
+        for part in _slices(batch, text_col) if shared.value else ():
+            bag = bags(part[text_col])
+            scores[i : i + part.num_rows] = np.mean([sigmoid(m.logits(*bag)) for m in shared.value], axis=0)
+            i += part.num_rows
         return pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=[*kept, out])
 
     return mapped(docs.select(*kept), scored, docs.select(*kept).withColumn(out, F.lit(0.0)).schema)

@@ -99,6 +99,38 @@ def test_word_hashes_ignore_case_and_punctuation():
     assert (toxicity.word_features(words.slice(1), 3) == got[1:]).all()
 
 
+@pytest.mark.parametrize("joint", ["", ",", "_", "/"])
+@pytest.mark.parametrize("letters", ["abcdefghijklmnopqrstuvwxyz", "日本語文章天気今日散歩東京大阪"])
+def test_toxic_passages_late_in_unspaced_texts_are_read(spark, joint, letters):
+    rng = random.Random(f"{joint}{letters}")
+    text = lambda n: joint.join("".join(rng.choice(letters) for _ in range(4)) for _ in range(n))
+    vile = joint.join(["邪悪な言葉", "呪い罵倒"] if letters[0] != "a" else ["vilewretch", "foulscorn"])
+    docs = [(i, text(60) + joint + (vile if i < 120 else text(2)) + joint + text(20)) for i in range(600)]
+    labels = spark.createDataFrame([(i, 1) for i in range(40)] + [(i, 0) for i in range(200, 360)], "doc_id long, toxic int")
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.score for r in toxicity.toxicity_scores(df, labels, F.lit(True)).collect()}
+    hit = np.array([got[i] for i in range(40, 120)])
+    assert hit.min() > max(got[i] for i in range(120, 600))
+
+
+@given(st.text(alphabet="aB,'_/-é日本語", min_size=1, max_size=120), st.integers(0, 119), st.integers(0, 3))
+@settings(max_examples=200, deadline=None)
+def test_every_byte_reaches_a_feature(text, at, seed):
+    import pyarrow as pa
+
+    at %= len(text)
+    other = text[:at] + ("z" if text[at] in "aB" else "語" if text[at] in "日本" else text[at]) + text[at + 1 :]
+    bag = lambda t: sorted(map(tuple, toxicity.word_features(toxicity.bags(pa.array([t]))[3], seed)))
+    assert (bag(text) == bag(other)) == (text == other)
+
+
+def test_words_are_hashed_to_their_end():
+    import pyarrow as pa
+
+    one, other = toxicity.word_features(pa.array(["x" * 40 + "good" * 9, "x" * 40 + "evil" * 9]), 1)
+    assert (one[:-1] == other[:-1]).all() and one[-1] != other[-1]
+
+
 @pytest.fixture(scope="module")
 def codec():
     return Codec(MODEL)
