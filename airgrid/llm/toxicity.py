@@ -126,7 +126,7 @@ def word_features(words: pa.Array, seed: int) -> np.ndarray:
             out[:, PREFIXES.index(i + 1)] = (mix64(h + np.uint64(i + 1)) >> np.uint64(64 - BITS)).astype(np.int64)
     for p in PREFIXES:
         if p > int(size.max(initial=0)):
-            out[:, PREFIXES.index(p)] = (mix64(h) >> np.uint64(64 - BITS)).astype(np.int64)
+            out[:, PREFIXES.index(p)] = (mix64(h + np.uint64(p)) >> np.uint64(64 - BITS)).astype(np.int64)
     longer = np.flatnonzero(size > LONGEST)
     rest = size[longer] - LONGEST
     if len(longer):  # the hash goes on to the end: a sum of the bytes, each scrambled with its place

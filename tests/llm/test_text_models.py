@@ -131,6 +131,19 @@ def test_words_are_hashed_to_their_end():
     assert (one[:-1] == other[:-1]).all() and one[-1] != other[-1]
 
 
+def test_short_words_have_the_same_features_in_every_block():
+    import pyarrow as pa
+
+    words = pa.array(["a", "ab", "abcde", "", "a longer one"])
+    for seed in range(2):
+        got = toxicity.word_features(words, seed)
+        assert all((toxicity.word_features(words.slice(i, 1), seed)[0] == got[i]).all() for i in range(len(words)))
+    weights = np.random.default_rng(1).normal(size=1 << toxicity.BITS)
+    member = toxicity.Member(1, weights, 0.0)
+    alone, batch = (member.logits(*toxicity.bags(pa.array(t)))[0] for t in (["so it is"], ["so it is", "considerably longer words"]))
+    assert alone == pytest.approx(batch, abs=1e-12)
+
+
 @pytest.fixture(scope="module")
 def codec():
     return Codec(MODEL)
