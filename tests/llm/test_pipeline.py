@@ -156,3 +156,11 @@ def test_shingle_links_are_brute_force(spark, block):
                 low, high = sorted((want[a], want[b]))
                 want = [low if w == high else w for w in want]
     assert got == dict(enumerate(want))
+
+
+def test_near_stage_goes_by_rows(spark, tmp_path):
+    one, two, three, four = (prose(i, 80) for i in (901, 902, 903, 904))
+    docs = [(1, one), (1, one), (None, one), (2, one), (None, two), (None, two), (3, three), (3, four), (4, four), (5, prose(905, 80))]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    left = sorted(((r.doc_id or 0, r.text) for r in corpus_pipeline.drop_near_copies(spark, df, str(tmp_path)).collect()))
+    assert left == sorted([(1, one), (0, two), (3, three), (3, four), (5, prose(905, 80))])
