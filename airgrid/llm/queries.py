@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from airgrid.llm import chat, exact_dedup, fingerprints, line_dedup, near_dedup, packing, quality, sentencepiece_codec, sharding, toxicity
+from airgrid.llm import (
+    alignment, chat, exact_dedup, fingerprints, language_id, line_dedup, near_dedup, packing, quality, ranked_search, sentencepiece_codec,
+    sharding, toxicity,
+)
 
 QUALITY_FROM = 0.3
 TOXIC_FROM = 0.7
@@ -161,4 +164,53 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_turns(turns.unionByName(extra)))
 
 
+@_query("op11_language_id")
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text", "lang")
+    found = language_id.identify(docs, fold("id", 5) != 0)
+    return found.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
+@_query("op12_tokenizer_alignment")
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    paths = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return alignment.align(_documents(spark, sf_dir), *paths)
+
+
+#: maximal runs of what is no ASCII sign, A-Z lower-cased
+_TERMS_SQL = (
+    "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+)
+
+
+@_query(
+    "op13_ranked_search",
+    f"""
+    WITH terms AS (SELECT doc_id, unnest({_TERMS_SQL}) AS term FROM documents WHERE text IS NOT NULL),
+    lengths AS (SELECT doc_id, count(*) AS n FROM terms GROUP BY doc_id),
+    corpus AS (SELECT count(*) AS docs, cast(sum(n) AS bigint) AS total FROM lengths),
+    norms AS (SELECT doc_id, 100 - 50 + (50 * n * docs) // total AS m FROM lengths, corpus),
+    wanted AS (SELECT DISTINCT item_id, unnest({_TERMS_SQL}) AS term FROM benchmark WHERE text IS NOT NULL),
+    tf AS (SELECT doc_id, term, count(*) AS tf FROM terms WHERE term IN (SELECT term FROM wanted) GROUP BY doc_id, term),
+    weights AS (
+        SELECT term, cast(floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS bigint) AS w
+        FROM tf, corpus GROUP BY term
+    ), scores AS (
+        SELECT item_id, doc_id, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS bigint) AS score
+        FROM wanted JOIN tf USING (term) JOIN weights USING (term) JOIN norms USING (doc_id) GROUP BY item_id, doc_id
+    ), placed AS (
+        SELECT item_id, cast(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS int) AS rank, doc_id, score
+        FROM scores WHERE score > 0
+    )
+    SELECT item_id, rank, doc_id, score FROM placed WHERE rank <= 50
+    """,
+)
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return ranked_search.ranked(_documents(spark, sf_dir), items, k=50)
+
+
 _query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
