@@ -26,7 +26,6 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -77,10 +76,10 @@ class ByteLevel:
         for token, i in ranks.items():
             self.bytes[i] = token
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> np.ndarray:
         if len(text) >= SPACES_FROM and _SPACES.search(text):
-            return self.whole.encode(" " + text, add_special_tokens=False).ids
-        return self.fast.encode_ordinary(" " + text)
+            return np.array(self.whole.encode(" " + text, add_special_tokens=False).ids)
+        return self.fast.encode_to_numpy(" " + text, disallowed_special=())
 
 
 class Pieces:
@@ -95,17 +94,34 @@ class Pieces:
             piece = self.model.id_to_piece(i)
             self.bytes.append(bytes([int(piece[1:-1], 16)]) if self.model.is_byte(i) else piece.replace("▁", " ").encode())
 
-    def encode(self, text: str) -> list[int]:
-        return self.model.encode(text, num_threads=1)
+    def encode(self, text: str) -> np.ndarray:
+        return np.array(self.model.encode(text, num_threads=1), np.int64)
 
 
-@dataclass
-class Aligned:
-    """The alignment of one window."""
+class Spelling:
+    """The bytes of a vocabulary's tokens, one after another."""
 
-    groups: str
-    n_groups: int
-    pairs: list[int]  # A id << 16 | B id of each link
+    def __init__(self, tokens: list[bytes]):
+        self.length = np.array([len(t) for t in tokens], np.int64)
+        self.space = np.array([t.startswith(b" ") for t in tokens])
+        self.start = np.cumsum(self.length) - self.length
+        self.flat = np.frombuffer(b"".join(tokens), np.uint8)
+
+    def spells(self, ids: np.ndarray, text: bytes, step: int = 200_000) -> bool:
+        done = 0
+        for i in range(0, len(ids), step):
+            own = ids[i : i + step]
+            size = self.length[own]
+            ends = np.cumsum(size)
+            at = np.repeat(self.start[own] - ends + size, size) + np.arange(ends[-1])
+            if self.flat[at].tobytes() != text[done : done + len(at)]:
+                return False
+            done += len(at)
+        return done == len(text)
+
+
+#: the alignment of one window: its groups as text, and A id << 16 | B id of each link as 32-bit numbers
+Aligned = tuple[str, bytes]
 
 
 class Aligner:
@@ -113,44 +129,55 @@ class Aligner:
 
     def __init__(self, a, b, remembered: int = REMEMBERED):
         self.a, self.b, self.limit = a, b, remembered
-        self.length_a, self.length_b = (np.array([len(t) for t in side.bytes], np.int64) for side in (a, b))
-        self.space_a, self.space_b = (np.array([t.startswith(b" ") for t in side.bytes]) for side in (a, b))
+        self.spelling_a, self.spelling_b = Spelling(a.bytes), Spelling(b.bytes)
         self.known: dict[bytes, Aligned] = {}
         self.aligned = 0  # how many windows had to be worked out
+        # decimal ids with what follows them inside a group, at its end, and (side B) at a window's end
+        self.text_a = [np.array([f"{i}{sign}" for i in range(len(a.bytes))], dtype=object) for sign in ",|"]
+        self.text_b = [np.array([f"{i}{sign}" for i in range(len(b.bytes))], dtype=object) for sign in (",", ";", "")]
 
-    def tokens(self, text: str) -> tuple[list[int], list[int]]:
+    def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """The ids of both sides, none where either doesn't spell the text."""
+        none = np.zeros(0, np.uint16)
         if not text:
-            return [], []
+            return none, none
         spelt = (" " + text).encode()
-        a = self.a.encode(text)
-        if b"".join(map(self.a.bytes.__getitem__, a)) != spelt:
-            return [], []
-        b = self.b.encode(text)
-        return (a, b) if b"".join(map(self.b.bytes.__getitem__, b)) == spelt else ([], [])
-
-    def window(self, key: bytes) -> Aligned:
-        """Merges the byte ends of both sides of a window."""
-        ids = np.frombuffer(key, np.uint16).tolist()
-        cut = ids.index(_PARTED)
-        a, b = ids[:cut], ids[cut + 1 :]
-        if len(a) == len(b) == 1:
-            return Aligned(f"{a[0]}|{b[0]}", 1, [a[0] << 16 | b[0]])
-        length_a, length_b = self.length_a, self.length_b
-        groups, pairs, i, j, from_i, from_j = [], [], 0, 0, 0, 0
-        end_a = end_b = 0
-        while i < len(a) or j < len(b):
-            if end_a <= end_b and i < len(a):
-                end_a += int(length_a[a[i]])
-                i += 1
-            else:
-                end_b += int(length_b[b[j]])
-                j += 1
-            if end_a == end_b:
-                groups.append(",".join(map(str, a[from_i:i])) + "|" + ",".join(map(str, b[from_j:j])))
-                pairs.append(a[i - 1] << 16 | b[j - 1])
-                from_i, from_j = i, j
-        return Aligned(";".join(groups), len(groups), pairs)
+        a = self.a.encode(text).astype(np.uint16)
+        if not self.spelling_a.spells(a, spelt):
+            return none, none
+        b = self.b.encode(text).astype(np.uint16)
+        return (a, b) if self.spelling_b.spells(b, spelt) else (none, none)
+
+    def work_out(self, keys: list[bytes]) -> list[Aligned]:
+        """Merges the byte ends of both sides of some windows, all of them at once.
+
+        Both sides of a window have the same number of bytes, so that ends added up over all windows
+        meet where they meet inside the windows.
+        """
+        flat = np.frombuffer(b"".join(keys), np.uint16)
+        sizes = np.fromiter(map(len, keys), np.int64, len(keys)) // 2
+        window, parted = np.repeat(np.arange(len(keys)), sizes), np.flatnonzero(flat == _PARTED)[np.repeat(np.arange(len(keys)), sizes)]
+        left, right = np.arange(len(flat)) < parted, np.arange(len(flat)) > parted
+        a, b, of_a, of_b = flat[left].astype(np.int64), flat[right].astype(np.int64), window[left], window[right]
+        ends_a, ends_b = np.cumsum(self.spelling_a.length[a]), np.cumsum(self.spelling_b.length[b])
+        near = np.searchsorted(ends_b, ends_a)
+        closes_a = ends_b[near] == ends_a
+        last_a, last_b = np.flatnonzero(closes_a), near[closes_a]
+        closes_b = np.zeros(len(b), np.int64)
+        closes_b[last_b] = 1
+        group_a, group_b = np.cumsum(closes_a) - closes_a, np.cumsum(closes_b) - closes_b
+        closes_b[np.flatnonzero(np.diff(of_b, append=-1))] = 2  # the window's end
+        texts = np.empty(len(a) + len(b), dtype=object)
+        texts[np.arange(len(a)) + np.concatenate([[0], last_b + 1])[group_a]] = np.where(closes_a, self.text_a[1][a], self.text_a[0][a])
+        texts[np.arange(len(b)) + last_a[group_b] + 1] = np.choose(closes_b, [t[b] for t in self.text_b])
+        pairs = (a[last_a] << 16 | b[last_b]).astype("<u4").tobytes()
+        ends = np.cumsum(sizes - 1).tolist()
+        links = (4 * np.cumsum(np.bincount(of_a[last_a], minlength=len(keys)))).tolist()
+        texts = texts.tolist()
+        return [
+            ("".join(texts[x:y]), pairs[u:v])
+            for x, y, u, v in zip([0, *ends], ends, [0, *links], links, strict=False)
+        ]
 
     def windows(self, a: np.ndarray, b: np.ndarray, last_a: np.ndarray, last_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """How many tokens of each side the anchors have before them; the ends of documents are anchors too.
@@ -158,12 +185,12 @@ class Aligner:
         ``last_a`` and ``last_b`` are the token counts up to the end of each document.
         """
         sides = []
-        for ids, length, space, last in ((a, self.length_a, self.space_a, last_a), (b, self.length_b, self.space_b, last_b)):
+        for ids, side, last in ((a, self.spelling_a, last_a), (b, self.spelling_b, last_b)):
             marked = np.zeros(len(ids) + 1, dtype=bool)
-            marked[:-1] = space[ids]
+            marked[:-1] = side.space[ids]
             marked[last] = True
             marked[0] = False
-            sides.append((np.cumsum(length[ids]), np.flatnonzero(marked)))
+            sides.append((np.cumsum(side.length[ids]), np.flatnonzero(marked)))
         (ends_a, at_a), (ends_b, at_b) = sides
         ends_b = ends_b[at_b - 1]
         near = np.searchsorted(ends_b, ends_a[at_a - 1])
@@ -183,18 +210,17 @@ class Aligner:
         return pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
 
     def remember(self, keys: list[bytes]) -> list[Aligned]:
+        """The alignment of each window, worked out where it isn't remembered."""
         known = self.known
-        if len(known) + len(keys) > self.limit:
-            self.known = known = {k: known[k] for k in keys if k in known}
-        out = []
-        for key in keys:
-            found = known.get(key)
-            if found is None:
-                found = self.window(key)
-                self.aligned += 1
-                if len(known) < self.limit:
-                    known[key] = found
-            out.append(found)
+        new = [k for k in keys if k not in known]
+        self.aligned += len(new)
+        if len(known) + len(new) > self.limit:  # only what this block has had stays
+            known = {k: known[k] for k in keys if k in known}
+        found = dict(zip(new, self.work_out(new), strict=True)) if new else {}
+        out = [known[k] if k in known else found[k] for k in keys]
+        for k in new[: max(0, self.limit - len(known))]:
+            known[k] = found[k]
+        self.known = known
         return out
 
     def block(self, texts: list[str]) -> dict:
@@ -202,8 +228,8 @@ class Aligner:
         all_a, all_b, n_a, n_b = [], [], [], []
         for text in texts:
             a, b = self.tokens(text)
-            all_a.append(np.array(a, np.uint16))
-            all_b.append(np.array(b, np.uint16))
+            all_a.append(a)
+            all_b.append(b)
             n_a.append(len(a))
             n_b.append(len(b))
         a, b = (np.concatenate(side) if side else np.zeros(0, np.uint16) for side in (all_a, all_b))
@@ -213,14 +239,14 @@ class Aligner:
         codes = np.asarray(coded.indices, np.int64)
         distinct = self.remember(coded.dictionary.to_pylist())
         of_doc = np.searchsorted(cut_a, np.concatenate([[0], np.cumsum(n_a)]), side="right")
-        strings = [w.groups for w in distinct]
+        strings = [w[0] for w in distinct]
         digests = []
         for x, y in zip(of_doc[:-1].tolist(), of_doc[1:].tolist(), strict=True):
             joined = ";".join(map(strings.__getitem__, codes[x:y].tolist()))
             digests.append(hashlib.sha256(joined.encode()).hexdigest() if joined else "")
-        sizes = np.array([w.n_groups for w in distinct], np.int64)
+        sizes = np.fromiter((len(w[1]) for w in distinct), np.int64, len(distinct)) // 4
         groups = np.concatenate([[0], np.cumsum(sizes[codes])]) if len(codes) else np.zeros(1, np.int64)
-        pairs, of_pair = np.unique(np.array([p for w in distinct for p in w.pairs], np.uint32), return_inverse=True)
+        pairs, of_pair = np.unique(np.frombuffer(b"".join(w[1] for w in distinct), "<u4"), return_inverse=True)
         often = np.bincount(codes, minlength=len(distinct)) if len(distinct) else np.zeros(0, np.int64)
         return {
             "n_a": n_a, "n_b": n_b, "n_groups": groups[of_doc[1:]] - groups[of_doc[:-1]], "groups_sha256": digests,

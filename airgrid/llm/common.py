@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -84,6 +85,16 @@ def blocks(batch: pa.RecordBatch, column: int | str, limit: int) -> Iterator[pa.
         yield batch.slice(a, b - a)
 
 
+def hand_back() -> None:
+    """Gives memory that is free again back to the system, as the worker may serve another stage next."""
+    pa.default_memory_pool().release_unused()
+    try:
+        trim = ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # only some C libraries have it
+        return
+    trim(0)
+
+
 def mapped(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Iterable[pa.RecordBatch]], schema) -> DataFrame:
     """``mapInArrow`` with a function of one batch that returns one batch, several, or None."""
 
@@ -95,6 +106,7 @@ def mapped(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Iterab
                     yield out
                 elif out is not None:
                     yield from out
+        hand_back()
 
     return df.mapInArrow(run, schema)
 

@@ -132,8 +132,12 @@ def language_sample(docs: DataFrame, learn: Column, lang_col: str, id_col: str,
     held = rows.groupBy("lang").count().collect()  # one row per language
     languages = [r.lang for r in sorted(held, key=lambda r: (-r["count"], r.lang))]
     each = max(1, most // max(1, len(languages)))
-    # ids first, so that only texts that are learnt from are sorted
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id", F.lit("lang")), "id", "hash")
+    # a hash below the share that has twice the texts wanted: the sort is as large as the sample, whatever the table
+    share = F.create_map(*[x for r in held for x in (F.lit(r.lang), F.lit((2.0 * each + 50) / r["count"]))]) if held else None
+    if held:
+        drawn = F.pmod(F.xxhash64("id", F.lit("lang")), F.lit(1 << 40)) / float(1 << 40)
+        rows = rows.where(drawn < share[F.col("lang")])
+    order = Window.partitionBy("lang").orderBy(F.pmod(F.xxhash64("id", F.lit("lang")), F.lit(1 << 40)), "id", "hash")
     ranked = rows.select("id", "lang", F.xxhash64("text").alias("hash")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= each)
     same = ["id", "lang", "hash"]
     chosen = ranked.groupBy(*same).agg(F.min("rank").alias("rank"))

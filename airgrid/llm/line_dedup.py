@@ -9,10 +9,12 @@ document with the smallest id.
    hashes and fills three arrays: fingerprint, count, first holder.  A shard has a bounded number of
    keys, their number grows with the keys.
 3. Documents send their line hashes to the shards; a shard's task loads its arrays and streams the
-   probes past them, so that its memory doesn't depend on the number of probes.  A key with at least
-   1/10,000 of all repeated lines is probed where the document is: there are at most 10,000 such
-   keys, so that their arrays are small enough to broadcast, and no shard has a hot key.
-4. The hits (document, key) go back to their documents.
+   probes past them, so that its memory doesn't depend on the number of probes.  A key with as many
+   lines as a shard has on average (and 1/10,000 of all repeated lines at least) is probed where the
+   document is: there are at most 10,000 such keys, so that their arrays are small enough to broadcast,
+   and no shard has a hot key.
+4. The hits (document, key) go back to their documents, as one set per id and text: rows that share an
+   id, those without any included, spread by their texts.
 
 Cases: null text is one empty line; a null id is one document behind all others; rows with the same
 id are one document (each row keeps or loses its own lines); an empty table gives an empty table; an
@@ -29,14 +31,16 @@ import xxhash
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from airgrid.llm.common import LOWER, NO_ID, SPACE_BYTES, byte_texts, id_or_last, mapped, signed, written
+from airgrid.llm.common import LOWER, NO_ID, SPACE_BYTES, blocks, byte_texts, id_or_last, mapped, signed, written
 from airgrid.llm.perfect_hash import PerfectHash
 
 MIN_CHARS = 10
 #: keys of one shard, on average
 SHARD_KEYS = 65_536
-#: a key with 1/HOT_SHARE of all repeated lines is hot; there are at most HOT_SHARE of them
+#: a hot key has 1/HOT_SHARE of all repeated lines at least; there are at most HOT_SHARE of them
 HOT_SHARE = 10_000
+#: bytes of text whose lines are held at once
+BLOCK_BYTES = 4_000_000
 
 
 def line_keys(text: bytes, min_chars: int = MIN_CHARS) -> list[bytes | None]:
@@ -55,15 +59,14 @@ def _hashes(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _lines_of(batch: pa.RecordBatch, min_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Key hashes of the lines of a batch, once per document, with the documents' ids."""
-    ids, keys, owners = np.asarray(batch.column(0), dtype=np.int64), [], []
+    """Key hashes of the lines of a batch, once per row, with the number of the row."""
+    keys, owners = [], []
     for i, text in enumerate(byte_texts(batch.column(1))):
         own = {k for k in line_keys(text, min_chars) if k is not None}
         keys += own
         owners.append((i, len(own)))
     high, low = _hashes(keys)
-    at = np.repeat([i for i, _ in owners], [n for _, n in owners]).astype(np.int64)
-    return high, low, ids[at]
+    return high, low, np.repeat([i for i, _ in owners], [n for _, n in owners]).astype(np.int64)
 
 
 class LineArrays:
@@ -102,24 +105,27 @@ INDEX = "shard long, " + ", ".join(f"{p} binary" for p in PARTS)
 
 
 def _slim(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(id_or_last(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string")
+    return docs.select(id_or_last(id_col).alias("doc"), text.alias("text"), F.xxhash64(text).alias("mark"))
 
 
 def repeated_keys(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
     """(high, low, first, n): the key hashes that at least two documents hold."""
 
-    def fold(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        high, low, doc = _lines_of(batch, min_chars)
-        if not len(high):
-            return None
-        order = np.lexsort((doc, low, high))
-        high, low, doc = high[order], low[order], doc[order]
-        new = np.concatenate([[True], (high[1:] != high[:-1]) | (low[1:] != low[:-1])])
-        at = np.flatnonzero(new)
-        ends = np.append(at[1:], len(high))
-        return pa.RecordBatch.from_arrays(
-            [signed(high[at]), signed(low[at]), doc[at], doc[ends - 1], ends - at], names=["high", "low", "first", "last", "n"]
-        )
+    def fold(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for part in blocks(batch, 1, BLOCK_BYTES):
+            high, low, row = _lines_of(part, min_chars)
+            if not len(high):
+                continue
+            doc = np.asarray(part.column(0), dtype=np.int64)[row]
+            order = np.lexsort((doc, low, high))
+            high, low, doc = high[order], low[order], doc[order]
+            new = np.concatenate([[True], (high[1:] != high[:-1]) | (low[1:] != low[:-1])])
+            at = np.flatnonzero(new)
+            ends = np.append(at[1:], len(high))
+            yield pa.RecordBatch.from_arrays(
+                [signed(high[at]), signed(low[at]), doc[at], doc[ends - 1], ends - at], names=["high", "low", "first", "last", "n"]
+            )
 
     folded = mapped(_slim(docs, id_col, text_col), fold, "high long, low long, first long, last long, n long")
     return (
@@ -143,13 +149,15 @@ def build_index(keys: DataFrame, n_shards: int) -> DataFrame:
 
 
 def probe(docs: DataFrame, index: DataFrame, n_shards: int, hot: LineArrays, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    """(doc, drop): per document the high hashes of the keys, hot ones apart, that it loses."""
+    """(doc, mark, drop): per id and text the high hashes of the keys, hot ones apart, that are lost."""
 
-    def emit(batch: pa.RecordBatch) -> pa.RecordBatch:
-        high, low, doc = _lines_of(batch, min_chars)
-        cold = hot.first_holder(high, low) == -1 - NO_ID
-        high, low, doc = signed(high[cold]), signed(low[cold]), doc[cold]
-        return pa.RecordBatch.from_arrays([high % n_shards, high, low, doc], names=["shard", "high", "low", "doc"])
+    def emit(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for part in blocks(batch, 1, BLOCK_BYTES):
+            high, low, row = _lines_of(part, min_chars)
+            cold = hot.first_holder(high, low) == -1 - NO_ID
+            high, low, row = signed(high[cold]), signed(low[cold]), pa.array(row[cold])
+            columns = [high % n_shards, high, low, part.column(0).take(row), part.column(2).take(row)]
+            yield pa.RecordBatch.from_arrays(columns, names=["shard", "high", "low", "doc", "mark"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, arrays = None, None
@@ -166,18 +174,19 @@ def probe(docs: DataFrame, index: DataFrame, n_shards: int, hot: LineArrays, id_
                 if arrays is None or a >= b:
                     continue
                 part = batch.slice(a, b - a)
-                high, low, doc = np.asarray(part["high"]), np.asarray(part["low"]), np.asarray(part["doc"])
+                high, low, doc, mark = (np.asarray(part[c]) for c in ("high", "low", "doc", "mark"))
                 first = arrays.first_holder(high.view(np.uint64), low.view(np.uint64))
                 lost = (first != -1 - NO_ID) & (first != doc)
-                yield pa.RecordBatch.from_arrays([doc[lost], high[lost]], names=["doc", "high"])
+                yield pa.RecordBatch.from_arrays([doc[lost], mark[lost], high[lost]], names=["doc", "mark", "high"])
 
-    probes = mapped(_slim(docs, id_col, text_col), emit, "shard long, high long, low long, doc long")
-    rows = index.select("shard", *[F.lit(None).cast("long").alias(c) for c in ("high", "low", "doc")], *PARTS).unionByName(
+    probes = mapped(_slim(docs, id_col, text_col), emit, "shard long, high long, low long, doc long, mark long")
+    rows = index.select("shard", *[F.lit(None).cast("long").alias(c) for c in ("high", "low", "doc", "mark")], *PARTS).unionByName(
         probes, allowMissingColumns=True
     )
     # the arrays of a shard come before its probes
     dealt = rows.repartition("shard").sortWithinPartitions("shard", F.col("sizes").isNull())
-    return dealt.mapInArrow(scan, "doc long, high long").groupBy("doc").agg(F.collect_list("high").alias("drop"))
+    lost = dealt.mapInArrow(scan, "doc long, mark long, high long")
+    return lost.groupBy("doc", "mark").agg(F.collect_set("high").alias("drop"))
 
 
 def line_dedup(
@@ -192,21 +201,21 @@ def line_dedup(
     spark, size = docs.sparkSession, Observation()
     keys = written(repeated_keys(docs, id_col, text_col, min_chars).observe(size, F.count(F.lit(1)).alias("keys"), F.sum("n").alias("lines")), "lines")
     n_keys, n_lines = size.get["keys"] or 0, size.get["lines"] or 0
-    hot_from = max(2, -(-n_lines // HOT_SHARE))
+    n_shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_keys // shard_keys))
+    hot_from = max(2, -(-n_lines // HOT_SHARE), -(-n_lines // n_shards))
     top = keys.where(F.col("n") >= hot_from).toArrow() if n_lines else None
     u64 = lambda c: np.asarray(top[c]).view(np.uint64) if top is not None else np.zeros(0, np.uint64)
     i64 = lambda c: np.asarray(top[c]) if top is not None else np.zeros(0, np.int64)
     hot = LineArrays.build(u64("high"), u64("low"), i64("n"), i64("first"))
-    n_shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_keys // shard_keys))
     index = written(build_index(keys.where(F.col("n") < hot_from), n_shards), "line-index")
     lost = probe(docs, index, n_shards, hot, id_col, text_col, min_chars)
 
     kept_columns = [c for c in docs.columns if c not in outputs]
-    joined = docs.select(*kept_columns, id_or_last(id_col).alias("_llm_doc")).join(
-        lost.select(F.col("doc").alias("_llm_doc"), F.col("drop").alias("_llm_drop")), "_llm_doc", "left"
-    )
+    own = {"_llm_doc": id_or_last(id_col), "_llm_mark": F.xxhash64(F.col(text_col).cast("string"))}
+    lost = lost.withColumnsRenamed({"doc": "_llm_doc", "mark": "_llm_mark", "drop": "_llm_drop"})
+    joined = docs.select(*kept_columns, *[c.alias(n) for n, c in own.items()]).join(lost, [*own], "left")
 
-    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def cut_block(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts, owners = byte_texts(batch[text_col]), np.asarray(batch["_llm_doc"])
         drops = batch["_llm_drop"].to_pylist()
         kept, counts, dropped = [], [], []
@@ -225,6 +234,9 @@ def line_dedup(
         columns = [pa.array(kept, pa.binary()).cast(pa.string()) if c == text_col else batch[c] for c in kept_columns]
         return pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(dropped, pa.int64())], names=[*kept_columns, *outputs])
 
+    def cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        return map(cut_block, blocks(batch, text_col, BLOCK_BYTES))
+
     schema = docs.select(*kept_columns).withColumn(text_col, F.col(text_col).cast("string"))
     schema = schema.withColumns({c: F.lit(0).cast("long") for c in outputs}).schema
     return mapped(joined, cut, schema)

@@ -24,7 +24,6 @@ from __future__ import annotations
 import bisect
 import os
 import string
-import struct
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -32,18 +31,19 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from airgrid.llm.common import blocks, split_words, strings, written
+from airgrid.llm.common import blocks, hand_back, split_words, strings, written
 
 CAPACITY = 2_048
 END_ID = 0
-#: words, without the punctuation at their ends, whose ids a task remembers
-REMEMBERED = 400_000
+#: bytes of words and ids that a task remembers
+REMEMBERED_BYTES = 20_000_000
 #: bytes of text tokenized at once
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 3_000_000
 
 
 def _byte_signs() -> dict[int, int]:
@@ -56,54 +56,128 @@ def _byte_signs() -> dict[int, int]:
 _BYTE_SIGNS = _byte_signs()
 
 
+def _chosen(sizes: np.ndarray, index: np.ndarray) -> np.ndarray:
+    """Positions, in a flat array of stretches of ``sizes``, of the stretches ``index`` one after another."""
+    n = sizes[index]
+    ends = np.cumsum(n)
+    return np.repeat((np.cumsum(sizes) - sizes)[index] - ends + n, n) + np.arange(ends[-1] if len(n) else 0)
+
+
+class WordTable:
+    """Ids of words in flat arrays, a few dozen bytes a word; at most about ``limit`` bytes stay."""
+
+    def __init__(self, limit: int = REMEMBERED_BYTES):
+        self.limit, self.words = limit, pa.array([], pa.large_string())
+        self.sizes, self.ids = np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    @property
+    def nbytes(self) -> int:
+        return self.words.nbytes + self.sizes.nbytes + self.ids.nbytes
+
+    def find(self, words: pa.Array) -> np.ndarray:
+        return np.asarray(pc.fill_null(pc.index_in(words, value_set=self.words), -1), dtype=np.int64)
+
+    def keep(self, index: np.ndarray) -> None:
+        index = np.unique(index)
+        self.ids, self.words = self.ids[_chosen(self.sizes, index)], self.words.take(pa.array(index))
+        self.sizes = self.sizes[index]
+
+    def add(self, words: pa.Array, ids: list[np.ndarray]) -> None:
+        self.words = pa.concat_arrays([self.words, words])
+        self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, ids), np.int64, len(ids))])
+        self.ids = np.concatenate([self.ids, *ids]).astype(np.uint32)
+
+
+#: what a vocabulary is tried with before its texts are cut at white space, or words at their last letter
+PROBES = (
+    "One, two; (three) it's 42nd 3.14 a-b. C++ e.g. x_y_ Ångström naïve? İI.", "don't 'tis 'S O'RE'. ÀÉ,. \u00aa\u00ba. a\u0301. 12'34' ...!?",
+    "<|x|> < | a<|b . [c]| {d} #e @f $1,000.00% ^~` \\n/", " lead  trail ", "日本語。かな, 中文! ß. ÿ: ﬁ; Ωμέγα, Привет. 五5. \U0001f600. ½.",
+)
+_TAIL = r"(?s)^.*?([!-/:-@\[-`{-~]*)$"
+
+
 class WordTokenizer:
-    """Token ids of texts, word by word: no token of this kind of vocabulary reaches across white space.
+    """Token ids of texts, word by word where the vocabulary allows it.
 
-    Nor does one join a letter or digit to punctuation after it, so that the punctuation at a word's end
-    is looked up on its own, and the vocabulary is lower-cased.  What a task remembers is bounded.
+    Three ways, tried with ``PROBES`` when the file is read, the first that gives the file's own ids is used:
+    "parts" (no token reaches across white space, nor from an ASCII letter or digit to punctuation behind
+    it, letters are lower-cased), "words" (the first of these only), "texts" (none).  Only words of ASCII are
+    taken apart: other letters may change what follows them.  What a task remembers is bounded in bytes.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, limit: int = REMEMBERED_BYTES):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.known: dict[str, bytes] = {"": b""}
-
-    @staticmethod
-    def split(word: str) -> tuple[str, str]:
-        core = word.rstrip(string.punctuation)
-        if len(core) == len(word) or not core or not core[-1].isalnum() or core[-1] >= "\u0250" or "<|" in word:
-            core = word
-        return (core.lower() if core.isascii() and "<|" not in core else core), word[len(core) :]
-
-    def words(self, words: list[str]) -> list[bytes]:
-        """The ids of each word, as 32-bit little-endian numbers."""
-        cores, tails = zip(*map(self.split, words), strict=True) if words else ((), ())
-        known = self.known
-        new = {p for p in (*cores, *tails) if p not in known}
-        if len(known) + len(new) > REMEMBERED:
-            self.known = known = {p: known[p] for p in (*cores, *tails) if p in known} | {"": b""}
-        letters = [p for p in new if p.isalpha() and max(p) <= "\u00ff"]
-        for part in letters:  # one word of letters is one unit of the model, in the signs of its bytes
-            ids = [t.id for t in self.model.tokenize(part.lower().encode().decode("latin-1").translate(_BYTE_SIGNS))]
-            known[part] = struct.pack(f"<{len(ids)}I", *ids)
-        others = list(new.difference(letters))
-        for part, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False) if others else [], strict=True):
-            known[part] = struct.pack(f"<{len(e)}I", *e.ids)
-        return [known[a] + known[b] if b else known[a] for a, b in zip(cores, tails, strict=True)]
+        probes = pa.array(PROBES, pa.large_string())
+        whole = np.concatenate(self.encoded(list(PROBES)))
+        for self.way in ("parts", "words", "texts"):
+            self.table = WordTable(limit)
+            if np.array_equal(self.texts(probes)[0], whole):
+                break
+
+    def encoded(self, texts: list[str]) -> list[np.ndarray]:
+        out = []
+        for at in range(0, len(texts), 4_096):
+            out += [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts[at : at + 4_096], add_special_tokens=False)]
+        return out
+
+    def parts(self, words: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """Each word's beginning and the punctuation at its end."""
+        plain = pc.and_(pc.string_is_ascii(words), pc.invert(pc.match_substring(words, "<|")))
+        core = pc.ascii_lower(pc.ascii_rtrim(words, string.punctuation))
+        cut = pc.and_(plain, pc.match_substring_regex(core, "[0-9a-z]$"))
+        core = pc.if_else(cut, core, pc.if_else(plain, pc.ascii_lower(words), words))
+        return core, pc.if_else(cut, pc.replace_substring_regex(words, _TAIL, r"\1"), "")
+
+    def new_ids(self, parts: list[str]) -> list[np.ndarray]:
+        if self.way != "parts":
+            return self.encoded(parts)
+        ids: list = [None] * len(parts)
+        rest = []
+        for i, part in enumerate(parts):
+            if part.isalpha() and max(part) <= "\u00ff":  # one word of letters is one unit of the model, in the signs of its bytes
+                signs = part.lower().encode().decode("latin-1").translate(_BYTE_SIGNS)
+                ids[i] = np.array([t.id for t in self.model.tokenize(signs)], np.uint32)
+            else:
+                rest.append(i)
+        for i, found in zip(rest, self.encoded([parts[i] for i in rest]), strict=True):
+            ids[i] = found
+        return ids
+
+    def looked_up(self, parts: pa.Array) -> np.ndarray:
+        """Where each of ``parts`` is in the table, which holds all of them afterwards."""
+        coded = parts.dictionary_encode()
+        distinct, table = coded.dictionary, self.table
+        at = table.find(distinct)
+        if table.nbytes > table.limit:  # only what these texts have stays
+            table.keep(at[at >= 0])
+            at = table.find(distinct)
+        if (at < 0).any():
+            new = distinct.filter(pa.array(at < 0))
+            at[at < 0] = len(table.sizes) + np.arange(len(new))
+            table.add(new, self.new_ids(strings(new)))
+        return at[np.asarray(coded.indices, dtype=np.int64)]
 
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and where each text begins."""
+        if self.way == "texts":
+            ids = self.encoded(pc.fill_null(texts.cast(pa.large_string()), "").to_pylist())
+            return np.concatenate([np.zeros(0, np.uint32), *ids]), np.cumsum([0, *map(len, ids)])
         codes, offsets, words = split_words(texts)
-        of_word = self.words(strings(words))
-        sizes = np.fromiter(map(len, of_word), dtype=np.int64, count=len(of_word)) // 4
-        table = np.frombuffer(b"".join(of_word), dtype="<u4")
-        begins = np.cumsum(sizes) - sizes
-        n = sizes[codes]
-        ends = np.concatenate([[0], np.cumsum(n)])
-        ids = table[np.repeat(begins[codes] - ends[:-1], n) + np.arange(ends[-1])]
-        return ids, ends[offsets]
+        words = words.cast(pa.large_string())
+        if self.way == "parts":
+            core, tail = self.parts(words)
+            found = self.looked_up(pa.concat_arrays([core, tail]))
+            found = np.stack([found[: len(words)], found[len(words) :]], axis=1)
+        else:
+            found = self.looked_up(words)[:, None]
+        sizes = self.table.sizes
+        of_word = self.table.ids[_chosen(sizes, found.ravel())]
+        n = sizes[found].sum(axis=1)
+        ends = np.concatenate([[0], np.cumsum(n[codes])])
+        return of_word[_chosen(n, codes)], ends[offsets]
 
 
 def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int, id_col: str, text_col: str, with_ids: bool) -> DataFrame:
@@ -116,24 +190,30 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int, id_col: str
         for batch in batches:
             for part in blocks(batch, 1, BLOCK_BYTES):
                 ids, begins = encoder.texts(part.column(1))
-                rows = [[], [], [], [], [], [], []]
-                for i in range(part.num_rows):
-                    own = np.append(ids[begins[i] : begins[i + 1]], np.uint32(END_ID)).astype("<u4")
-                    for piece, start in enumerate(range(0, len(own), capacity)):
-                        cut = own[start : start + capacity]
-                        length = len(cut)
-                        values = (i, piece, start, length, zlib.crc32(cut.tobytes()), seen[length], cut if with_ids else None)
-                        for column, value in zip(rows, values, strict=True):
-                            column.append(value)
-                        seen[length] += 1
-                n = len(rows[0])
-                columns = [part.column(0).take(pa.array(rows[0], pa.int64())), pa.array(rows[1], pa.int32())]
-                columns += [pa.array(c, pa.int64()) for c in rows[2:6]] + [pa.array([task] * n, pa.int32())]
+                flat = np.insert(ids, begins[1:], END_ID).astype("<u4")
+                whole = np.diff(begins) + 1
+                n = -(-whole // capacity)
+                row = np.repeat(np.arange(part.num_rows), n)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                start = piece * capacity
+                length = np.minimum(whole[row] - start, capacity)
+                ends = np.cumsum(length)
+                crc = [zlib.crc32(flat[a:b]) for a, b in zip((ends - length).tolist(), ends.tolist(), strict=True)]
+                # numbers of equal lengths follow each other
+                order = np.argsort(length, kind="stable")
+                first = np.flatnonzero(np.diff(length[order], prepend=-1))
+                count = np.diff(first, append=len(order))
+                own = np.empty(len(order), np.int64)
+                own[order] = np.arange(len(order)) - np.repeat(first, count) + seen[length[order]]
+                seen += np.bincount(length, minlength=capacity + 1)
+                columns = [part.column(0).take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length)]
+                columns += [pa.array(crc, pa.int64()), pa.array(own), pa.array(np.full(len(row), task, np.int32))]
                 names = [id_col, "piece", "start", "length", "ids_crc32", "_own", "_task"]
                 if with_ids:
-                    columns.append(pa.array(rows[6], pa.list_(pa.uint32())).cast(pa.list_(pa.int32())))
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat.view(np.int32))))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+        hand_back()
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long, _own long, _task int"
