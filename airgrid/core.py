@@ -5,8 +5,9 @@ devices make that work, all of them plain DataFrame code:
 
 * ``attach``        joins per-key statistics back to rows over ``keys + salt``, so that a key which
                     holds a third of all rows is spread over many tasks;
-* ``exact_quantiles``  brackets each quantile with a mergeable sketch and then sorts only the few
-                    values inside the bracket, which gives the exact linear-interpolated quantile;
+* ``exact_quantiles``  finds the buckets of values that hold the wanted ranks by prefix sums over their
+                    counts, and sorts only the distinct values of these;
+* ``value_tree``    cuts a key's values into ordered buckets of bounded size, for ranks and positions;
 * ``row_position`` / ``halo_blocks``  number the rows of a series through per-month counts and cut
                     it into blocks that carry the neighbouring rows a window needs.
 """
@@ -14,6 +15,7 @@ devices make that work, all of them plain DataFrame code:
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -24,12 +26,12 @@ from airgrid import KEYS
 
 #: rows of a series handled by one window partition
 BLOCK = 8_192
-#: rank accuracy of the bracketing sketch; groups up to this size are sorted as they are
-SKETCH_ACCURACY = 100_000
-#: boundaries used when a value axis is cut into buckets
-VALUE_CUTS = 255
-#: keys with fewer rows than this are not cut at all
-SMALL_KEY = 50_000
+#: rows, or distinct values, that one task sorts at once when values are ordered
+BUCKET = 8_192
+#: stretches that a crowded bucket of values is cut into, at most
+PARTS = 65_536
+#: rows of a small table that may be broadcast, once they are counted
+BROADCAST_ROWS = 50_000
 
 
 def session(app: str = "airgrid", cpus: str | int = "*", **conf: str) -> SparkSession:
@@ -159,130 +161,182 @@ def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
 # ---------------------------------------------------------------- exact order statistics
 
 
-def exact_quantiles(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    probs: Mapping[str, float],
-    accuracy: int = SKETCH_ACCURACY,
-) -> DataFrame:
-    """Linear-interpolated quantiles per key, exact at any group size.
+def lookup(rows: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join a small ``table`` (unique ``keys``, nulls match) to ``rows``.
+
+    The table is computed and counted first: up to ``BROADCAST_ROWS`` rows are broadcast, so that ``rows``
+    aren't shuffled; a greater one goes through the salted join.
+    """
+    table = materialize(table)
+    if table.count() > BROADCAST_ROWS:
+        return attach(rows, table, keys, how)
+    return same_keys(rows, F.broadcast(table), keys, how)
+
+
+def _octave(v: Column) -> Column:
+    """A number that never falls as ``v`` grows: 256 steps per power of two, at most 2**20 of them in all.
+
+    Zero, the infinities and NaN (greatest, as in Spark's order) have numbers of their own.
+    """
+    steps = F.floor(F.greatest(F.least(F.log2(F.abs(v)) * 256, F.lit(262_200.0)), F.lit(-275_200.0))) + 280_000
+    return F.when(F.isnan(v), 1 << 21).when(v == 0, 0).otherwise(F.signum(v).cast("long") * steps).cast("long")
+
 
-    Pass 1 builds a mergeable rank sketch per key.  Pass 2 replaces every value outside the brackets
-    by the bracket edge below it, so that the partial aggregation before the shuffle folds nearly all
-    rows of a hot key into a handful of counters; only values within a few sketch errors of a wanted
-    rank are sorted.
+def _part_of(v: Column, low: Column, high: Column, parts: Column | int) -> Column:
+    """Which of ``parts`` equal stretches of ``low`` to ``high`` (both in one octave) a value is in; never falls
+    as it grows, and is another one for ``high`` than for ``low``."""
+    return F.floor((v - low) / F.when(high > low, high - low).otherwise(1.0) * parts).cast("long")
+
+
+def _wanted(ranks: Column, start: Column, size: Column) -> Column:
+    return F.filter(ranks, lambda r: (r >= start) & (r < start + size))
+
+
+def values_at(values: DataFrame, keys: Sequence[str], ranks: Callable[[Column], Column], bucket: int = BUCKET) -> DataFrame:
+    """``keys, _n, _r, _v``: the values at some 0-based ranks of ``_v`` within each key, and the key's size.
+
+    ``ranks`` gives the array of ranks from the column of sizes.  Values are counted by ``_octave``; prefix
+    sums over these counts (at most 2**20 a key, whatever its size) show which bucket holds a rank.  Only the
+    distinct values of such buckets are looked at again, with their counts: while a bucket has more than
+    ``bucket`` of them it is cut into ``PARTS`` equal stretches and only the stretch that holds the rank stays.
+    No window is ever larger than the greatest of these bounds.
     """
+    keys, v = list(keys), F.col("_v")
+    values = values.withColumn("_b", _octave(v))
+    counted = values.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    counted = counted.withColumns(
+        {
+            "_n": F.sum("_c").over(Window.partitionBy(*keys)),
+            "_start": F.coalesce(F.sum("_c").over(earlier(keys, "_b")), F.lit(0)),
+        }
+    )
+    placed = ["_n", "_start", "_want"]
+    held = counted.withColumn("_want", _wanted(ranks(F.col("_n")), F.col("_start"), F.col("_c"))).where(F.size("_want") > 0)
+    held = materialize(held.select(*keys, "_b", "_lo", "_hi", *placed))
+    single = F.col("_lo").eqNullSafe(F.col("_hi"))
+    alike = held.where(single).select(*keys, "_n", F.explode("_want").alias("_r"), F.col("_lo").alias("_v"))
+    group = [*keys, "_b"]
+    near = lookup(values, held.where(~single), group)
+    near = materialize(near.groupBy(*group, "_v", "_lo", "_hi", *placed).agg(F.count(F.lit(1)).alias("_m")))
+    while (near.groupBy(*group).count().agg(F.max("count")).first()[0] or 0) > bucket:
+        part = f"_p{len(group)}"
+        near = near.withColumn(part, _part_of(v, F.col("_lo"), F.col("_hi"), PARTS))
+        cells = near.groupBy(*group, part, *placed).agg(F.sum("_m").alias("_c"), F.min("_v").alias("_l"), F.max("_v").alias("_h"))
+        start = F.col("_start") + F.coalesce(F.sum("_c").over(earlier(group, part)), F.lit(0))
+        cells = cells.withColumn("_s", start).withColumn("_w", _wanted(F.col("_want"), F.col("_s"), F.col("_c"))).where(F.size("_w") > 0)
+        group.append(part)
+        near = same_keys(near, cells.select(*group, "_s", "_w", "_l", "_h"), group)
+        near = near.drop("_start", "_want", "_lo", "_hi").withColumnsRenamed({"_s": "_start", "_w": "_want", "_l": "_lo", "_h": "_hi"})
+        near = materialize(near)
+    start = F.col("_start") + F.coalesce(F.sum("_m").over(earlier(group, "_v")), F.lit(0))
+    hit = _wanted(F.col("_want"), F.col("_s"), F.col("_m"))
+    found = near.withColumn("_s", start).select(*keys, "_n", F.explode(hit).alias("_r"), "_v")
+    return alike.unionByName(found)
+
+
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float], bucket: int = BUCKET) -> DataFrame:
+    """Linear-interpolated quantiles per key, exact at any group size (see ``values_at``)."""
     keys = list(keys)
-    margin = 4.0 / accuracy
-    edges = [e for p in probs.values() for e in (max(p - margin, 0.0), min(p + margin, 1.0))]
     values = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    sketch = values.groupBy(*keys).agg(
-        F.count("_v").alias("_n"), F.percentile_approx("_v", edges, accuracy).alias("_c")
-    )
-    v = F.col("_v")
-    inside = any_of([v.between(F.col("_c")[2 * i], F.col("_c")[2 * i + 1]) for i in range(len(probs))])
-    below = F.array_max(F.filter("_c", lambda c: c < v))
-    counted = (
-        attach(values, sketch, keys)
-        .select(*keys, "_n", F.when((F.col("_n") <= accuracy) | inside, v).otherwise(below).alias("_v"))
-        .groupBy(*keys, "_v")
-        .agg(F.count(F.lit(1)).alias("_m"), F.max("_n").alias("_n"))
-        .withColumn("_cum", F.sum("_m").over(running(keys, F.col("_v").asc_nulls_first())))
-    )
+    at = lambda p, n: F.lit(float(p)) * (n - 1)
+    ranks = lambda n: F.array_distinct(F.array(*[f(at(p, n)).cast("long") for p in probs.values() for f in (F.floor, F.ceil)]))
     aggs, outs = [], []
     for i, (name, p) in enumerate(probs.items()):
-        pos = F.lit(float(p)) * (F.col("_n") - 1)
+        pos = at(p, F.col("_n"))
         for tag, rank in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
-            aggs.append(F.min(F.when(F.col("_cum") > rank, F.col("_v"))).alias(f"_{tag}{i}"))
+            aggs.append(F.max(F.when(F.col("_r") == rank, F.col("_v"))).alias(f"_{tag}{i}"))
         lo, hi, t = F.col(f"_lo{i}"), F.col(f"_hi{i}"), pos - F.floor(pos)
         # interpolate from the nearer end, so that both ends are hit exactly
-        outs.append(F.when(t < 0.5, lo + (hi - lo) * t).otherwise(hi - (hi - lo) * (1 - t)).alias(name))
-    return counted.groupBy(*keys).agg(F.max("_n").alias("_n"), *aggs).select(*keys, *outs)
+        between = F.when(t < 0.5, lo + (hi - lo) * t).otherwise(hi - (hi - lo) * (1 - t))
+        outs.append(F.when(lo == hi, lo).otherwise(between).alias(name))
+    found = values_at(values, keys, ranks, bucket)
+    return found.groupBy(*keys).agg(F.max("_n").alias("_n"), *aggs).select(*keys, *outs)
 
 
-def _bucket_of(v: Column, cuts: Column) -> Column:
-    """Twice the number of cuts below ``v``, plus one where ``v`` is itself a cut.
+@dataclass(frozen=True)
+class ValueTree:
+    """Rows with the columns ``path`` of an ordered bucket, and per bucket ``_start``, ``_size``, ``_tied`` and ``_n``."""
 
-    A value that fills more than one bucket is necessarily a cut and so gets an odd bucket of its own.
-    """
-    steps, s = [], (VALUE_CUTS + 1) // 2
-    while s:
-        steps.append(s)
-        s //= 2
-    below = F.aggregate(
-        F.array(*[F.lit(s) for s in steps]),
-        F.lit(0),
-        lambda acc, s: F.when(F.get(cuts, acc + s - 1) < v, acc + s).otherwise(acc),
-    )
-    return 2 * below + F.when(F.get(cuts, below) == v, 1).otherwise(0)
+    rows: DataFrame
+    path: list[str]
+    buckets: DataFrame
 
 
-def value_buckets(
-    df: DataFrame, keys: Sequence[str], value: str, out: str = "_bucket", small: int = SMALL_KEY
-) -> DataFrame:
-    """Ordered buckets of nearly equal size per key; heavy ties sit alone in odd buckets.
+def value_tree(df: DataFrame, keys: Sequence[str], value: str, bucket: int = BUCKET) -> ValueTree:
+    """A sample sort's buckets without the sample: a bucket has at most ``bucket`` rows or one single value.
 
-    A key of at most ``small`` rows is one bucket.
+    Buckets are those of ``_octave``; one with too many rows and more than one value is cut into equal stretches
+    between its ends, about four times as many as needed but at most ``PARTS``, until none is left.
+    ``_start`` adds up the buckets before by prefix sums within each level, so that no window has more rows
+    than a bucket has parts.
     """
-    probs = [(i + 1) / (VALUE_CUTS + 1) for i in range(VALUE_CUTS)]
-    cuts = df.groupBy(*keys).agg(
-        F.when(F.count(value) > small, F.percentile_approx(F.col(value), probs, 10_000)).alias("_cuts")
-    )
-    bucket = F.when(F.col("_cuts").isNull(), 0).otherwise(_bucket_of(F.col(value), F.col("_cuts")))
-    return attach(df, cuts, keys).withColumn(out, bucket).drop("_cuts")
-
-
-def average_rank(
-    df: DataFrame, keys: Sequence[str], value: str, out: str, small: int = SMALL_KEY
-) -> DataFrame:
-    """Average rank (1-based, ties share their mean rank) of every non-null value within its key."""
+    keys, v = list(keys), F.col(value).cast("double")
+    rows, path = df.withColumn("_b0", _octave(v)), ["_b0"]
+    single = F.col("_lo").eqNullSafe(F.col("_hi"))
+    while True:
+        ends = [F.count(F.lit(1)).alias("_size"), F.min(v).alias("_lo"), F.max(v).alias("_hi")]
+        counted = materialize(rows.groupBy(*keys, *path).agg(*ends))
+        large = counted.where((F.col("_size") > bucket) & ~single)
+        if not large.limit(1).count():
+            break
+        parts = F.least(F.ceil(F.col("_size") * 4 / bucket), F.lit(PARTS)).cast("long")
+        rows = lookup(rows, large.select(*keys, *path, "_lo", "_hi", parts.alias("_parts")), [*keys, *path], "left")
+        path = [*path, f"_b{len(path)}"]
+        cut = F.when(F.col("_parts").isNotNull(), _part_of(v, F.col("_lo"), F.col("_hi"), F.col("_parts"))).otherwise(0)
+        rows = rows.withColumn(path[-1], cut).drop("_lo", "_hi", "_parts")
+    placed = counted.withColumns({"_tied": single, "_start": F.lit(0)})
+    for depth in range(len(path)):
+        level = counted.groupBy(*keys, *path[: depth + 1]).agg(F.sum("_size").alias("_c"))
+        above = [*keys, *path[:depth]]
+        level = level.withColumn("_before", F.coalesce(F.sum("_c").over(earlier(above, path[depth])), F.lit(0)))
+        if not depth:
+            level = level.withColumn("_n", F.sum("_c").over(Window.partitionBy(*keys)))
+        placed = same_keys(placed, level.drop("_c"), [*above, path[depth]])
+        placed = placed.withColumn("_start", F.col("_start") + F.col("_before")).drop("_before")
+    return ValueTree(rows, path, placed.select(*keys, *path, "_start", "_size", "_tied", "_n"))
+
+
+def tied_ranks(df: DataFrame, keys: Sequence[str], value: str, out: str, average: bool, bucket: int = BUCKET) -> DataFrame:
+    """Rank of every non-null value within its key, from 1: ties share their mean or else their lowest rank."""
     keys = list(keys)
-    rows = value_buckets(df.where(F.col(value).isNotNull()), keys, value, small=small)
-    sizes = rows.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_size"))
-    starts = sizes.withColumn(
-        "_start", F.coalesce(F.sum("_size").over(earlier(keys, "_bucket")), F.lit(0))
-    )
-    placed = attach(rows, starts, [*keys, "_bucket"])
-    tied = F.col("_bucket") % 2 == 1
-    # rows of an all-equal bucket need no sorting, so they may be spread at will
-    spread = F.when(tied, salt(rows, salt_count(df))).otherwise(0)
-    w = Window.partitionBy(*keys, "_bucket", "_spread")
-    return (
-        placed.withColumn("_spread", spread)
-        .withColumn("_r", F.rank().over(w.orderBy(value)))
-        .withColumn("_t", F.count(F.lit(1)).over(Window.partitionBy(*keys, "_bucket", "_spread", value)))
-        .withColumn(
-            out,
-            F.col("_start")
-            + F.when(tied, (F.col("_size") + 1) / 2).otherwise(F.col("_r") + (F.col("_t") - 1) / 2),
-        )
-        .drop("_bucket", "_size", "_start", "_spread", "_r", "_t")
-    )
+    tree = value_tree(df.where(F.col(value).isNotNull()), keys, value, bucket)
+    rows = lookup(tree.rows, tree.buckets.drop("_n"), [*keys, *tree.path])
+    # rows of one single value need no sorting, so they may be spread at will
+    spread = F.when(F.col("_tied"), salt(tree.rows, salt_count(df))).otherwise(0)
+    w = Window.partitionBy(*keys, *tree.path, "_spread")
+    rank, ties = F.rank().over(w.orderBy(value)), F.count(F.lit(1)).over(w.partitionBy(*keys, *tree.path, "_spread", value))
+    rows = rows.withColumn("_spread", spread).withColumn("_r", rank)
+    if average:
+        rows = rows.withColumn("_r", F.col("_r") + (ties - 1) / 2)
+    alike = (F.col("_size") + 1) / 2 if average else F.lit(1)
+    placed = F.col("_start") + F.when(F.col("_tied"), alike).otherwise(F.col("_r"))
+    return rows.withColumn(out, placed).drop(*tree.path, "_size", "_start", "_tied", "_spread", "_r")
+
+
+def average_rank(df: DataFrame, keys: Sequence[str], value: str, out: str, bucket: int = BUCKET) -> DataFrame:
+    """Average rank (1-based, ties share their mean rank) of every non-null value within its key."""
+    return tied_ranks(df, keys, value, out, True, bucket)
 
 
 def value_position(
     df: DataFrame, keys: Sequence[str], value: str, tiebreak: Sequence[str] = (), pos: str = "_pos", total: str = "_n",
-    small: int = SMALL_KEY,
+    bucket: int = BUCKET,
 ) -> DataFrame:
     """0-based position of every non-null value in ascending order within its key, and the key's size."""
     keys = list(keys)
-    rows = value_buckets(df.where(F.col(value).isNotNull()), keys, value, small=small)
-    part = F.when(F.col("_bucket") % 2 == 1, salt(rows, salt_count(df))).otherwise(0)
+    tree = value_tree(df.where(F.col(value).isNotNull()), keys, value, bucket)
+    rows = lookup(tree.rows, tree.buckets.drop("_size"), [*keys, *tree.path])
+    # rows of one single value are numbered in parts by a hash of the row
+    part = F.when(F.col("_tied"), salt(tree.rows, salt_count(df))).otherwise(0)
+    group = [*keys, *tree.path, "_part"]
     rows = rows.withColumn("_part", part)
-    group = [*keys, "_bucket", "_part"]
-    sizes = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_size"))
-    starts = sizes.select(
-        *group,
-        F.coalesce(F.sum("_size").over(earlier(keys, "_bucket", "_part")), F.lit(0)).alias("_start"),
-        F.sum("_size").over(Window.partitionBy(*keys)).alias(total),
-    )
-    w = by(group, value, *tiebreak)
-    return (
-        attach(rows.withColumn("_rn", F.row_number().over(w)), starts, group)
-        .withColumn(pos, F.col("_start") + F.col("_rn") - 1)
-        .drop("_bucket", "_part", "_rn", "_start")
-    )
+    sizes = rows.where("_tied").groupBy(*group).agg(F.count(F.lit(1)).alias("_own"))
+    before = F.coalesce(F.sum("_own").over(earlier([*keys, *tree.path], "_part")), F.lit(0))
+    rows = lookup(rows, sizes.withColumn("_before", before).drop("_own"), group, "left")
+    number = F.row_number().over(by(group, value, *tiebreak)) - 1
+    rows = rows.withColumn(pos, F.col("_start") + F.coalesce("_before", F.lit(0)) + number)
+    out = rows if total == "_n" else rows.withColumnRenamed("_n", total)
+    return out.drop(*tree.path, "_start", "_tied", "_part", "_before")
 
 
 # ---------------------------------------------------------------- series positions and blocks

@@ -1,114 +1,82 @@
-"""Pair statistics without pairs: concordance of two orderings by counting.
+"""Pair statistics without pairs: concordance of two orderings by counting digits of ranks.
 
 ``sum over i < j of sign(x_j - x_i) * sign(y_j - y_i)`` is needed by the Mann-Kendall test and by
-Kendall's tau.  Both axes are cut into ordered buckets (``core.value_buckets``).  Pairs that differ in
-both buckets are counted from the bucket-by-bucket table, which has a fixed maximum size per key.
-Pairs that share an x bucket are counted inside it, in n log^2 n; pairs that share a y bucket are counted
-inside that one with x replaced by its bucket, so that pairs sharing both count only once.  Buckets
-hold about 1/256 of a key; a bucket whose values are all equal contributes nothing and is not
-collected at all.  A small key is a single bucket.
+Kendall's tau.  Both axes become ranks from 0, ties sharing the lowest one, written in ``BASE`` digits.  Two
+rows with different x differ first at one digit of x, and where y differs too, first at one digit of y: so
+every pair that counts is met in exactly one group "same x digits up to level a, same y digits up to level
+b", as two cells of its table of next digits.  Rows are counted into these tables, one for each pair of
+levels; a table has ``BASE`` squared cells at most, and its sum needs one small window.
+
+For n rows that is (log n)**2 partial counts of each row and no group that grows with n; all variable pairs
+go through together as one more key.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from airgrid.core import SMALL_KEY, VALUE_CUTS, value_buckets
+from airgrid.core import BUCKET, by, materialize, tied_ranks
 from airgrid.operators.aggregates import merge_on
 
-
-def concordant_minus_discordant(x: np.ndarray, y: np.ndarray) -> int:
-    """n log^2 n count for one bounded group, ties contributing zero."""
-    n = len(x)
-    if n < 2:
-        return 0
-    order = np.lexsort((y, x))
-    xs, ys = x[order], np.unique(y[order], return_inverse=True)[1].astype(np.int64)
-    balance, width = 0, 1
-    index = np.arange(n)
-    while width < n:
-        # merge neighbouring runs: for every right element, smaller minus greater left elements
-        pair, left = index // (2 * width), (index // width) % 2 == 0
-        o = np.lexsort((ys, pair))
-        p, v, is_left = pair[o], ys[o], left[o].astype(np.int64)
-        cum = np.concatenate(([0], np.cumsum(is_left)))
-        start = np.searchsorted(p, p, "left")
-        stop = np.searchsorted(p, p, "right")
-        code = p * (ys.max() + 1) + v
-        lo, hi = np.searchsorted(code, code, "left"), np.searchsorted(code, code, "right")
-        right = is_left == 0
-        smaller = cum[lo] - cum[start]
-        greater = cum[stop] - cum[hi]
-        balance += int((smaller - greater)[right].sum())
-        width *= 2
-    # pairs with equal x were ordered by y above and so counted as concordant
-    def tied_pairs(a):
-        return int((a * (a - 1) // 2).sum())
-
-    same_x = np.unique(xs, return_counts=True)[1]
-    same_xy = np.unique(np.stack([xs, ys.astype(float)]), axis=1, return_counts=True)[1]
-    return balance - (tied_pairs(same_x) - tied_pairs(same_xy))
-
-
-def _inside(rows: DataFrame, keys: Sequence[str], group: Sequence[str]) -> DataFrame:
-    """Concordance within each bounded group, summed per key."""
-    groups = [*keys, *group]
-
-    def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        head = pdf[list(keys)].iloc[:1].reset_index(drop=True)
-        return head.assign(_s=concordant_minus_discordant(pdf["_x"].to_numpy(float), pdf["_y"].to_numpy(float)))
-
-    fields = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
-    return (
-        rows.select(*groups, "_x", "_y")
-        .groupBy(*groups)
-        .applyInPandas(count, f"{fields}, _s bigint")
-        .groupBy(*keys)
-        .agg(F.sum("_s").alias("_s"))
+#: digits of ranks
+BASE = 32
+
+
+def _levels(n: int) -> int:
+    """How many digits the ranks below ``n`` need."""
+    levels = 1
+    while BASE**levels < n:
+        levels += 1
+    return levels
+
+
+def digit_balance(ranked: DataFrame, keys: Sequence[str], x: str, y: str, levels: int) -> DataFrame:
+    """``keys, s``: concordant minus discordant pairs of the ranks ``x`` and ``y`` (below ``BASE ** levels``)."""
+    keys, tables = list(keys), [*keys, "_a", "_b", "_u", "_w"]
+    scale = F.array(*[F.lit(BASE ** (levels - 1 - i)) for i in range(levels)])
+    every = F.sequence(F.lit(0), F.lit(levels - 1))
+
+    def digits(rank: Column, level: Column) -> tuple[Column, Column]:
+        unit = F.get(scale, level)
+        return F.floor(rank / unit / BASE), F.floor(rank / unit) % BASE
+
+    rows = ranked.select(*keys, x, y, F.explode(every).alias("_a")).withColumn("_b", F.explode(every))
+    (u, dx), (w, dy) = digits(F.col(x), F.col("_a")), digits(F.col(y), F.col("_b"))
+    cells = rows.select(*keys, "_a", "_b", u.alias("_u"), w.alias("_w"), dx.alias("_dx"), dy.alias("_dy"))
+    cells = cells.groupBy(*tables, "_dx", "_dy").agg(F.count(F.lit(1)).alias("_m"))
+    # one row per first digit, with the counts of all second digits
+    counts = [F.coalesce(F.sum(F.when(F.col("_dy") == d, F.col("_m"))), F.lit(0)) for d in range(BASE)]
+    lines = cells.groupBy(*tables, "_dx").agg(F.array(*counts).alias("_line"))
+    earlier_lines = by(tables, "_dx").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.collect_list("_line").over(earlier_lines)  # fewer than BASE lines of BASE counts
+    zero = F.array(*[F.lit(0).cast("long")] * BASE)
+    lines = lines.withColumn("_sum", F.aggregate(before, zero, lambda acc, one: F.zip_with(acc, one, lambda p, q: p + q)))
+    # a row of digit d meets smaller ones before it (concordant) and greater ones (discordant)
+    start = F.struct(F.lit(0).cast("long").alias("s"), F.lit(0).cast("long").alias("below"))
+    total = F.aggregate("_sum", F.lit(0).cast("long"), lambda acc, c: acc + c)
+    met = F.zip_with("_line", "_sum", lambda own, earlier: F.struct(own.alias("own"), earlier.alias("earlier")))
+    step = lambda acc, c: F.struct(
+        (acc["s"] + c["own"] * (2 * acc["below"] + c["earlier"] - F.col("_total"))).alias("s"), (acc["below"] + c["earlier"]).alias("below")
     )
+    scored = lines.withColumn("_total", total).withColumn("_s", F.aggregate(met, start, step)["s"])
+    return scored.groupBy(*keys).agg(F.sum("_s").alias("s"))
 
 
-def _between(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Pairs that differ in both buckets, from cumulative sums over the (x bucket, y bucket) table.
-
-    Per key the table has at most (2 * 255 + 1) squared cells, whatever the number of rows.
-    """
-    cells = rows.groupBy(*keys, "_bx", "_by").agg(F.count(F.lit(1)).alias("_m"))
-    side = 2 * VALUE_CUTS + 1
-
-    def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        table = np.zeros((side, side), dtype=np.int64)
-        table[pdf["_bx"].to_numpy(int), pdf["_by"].to_numpy(int)] = pdf["_m"].to_numpy()
-        cum = np.zeros((side + 1, side + 1), dtype=np.int64)
-        cum[1:, 1:] = table.cumsum(0).cumsum(1)
-        below = cum[:-1, :-1]
-        above = cum[:-1, -1:] - cum[:-1, 1:]
-        head = pdf[list(keys)].iloc[:1].reset_index(drop=True)
-        return head.assign(_s=(table * (below - above)).sum())
-
-    fields = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
-    return cells.groupBy(*keys).applyInPandas(count, f"{fields}, _s bigint")
-
-
-def concordance(df: DataFrame, keys: Sequence[str], x: str, y: str, small: int = SMALL_KEY) -> DataFrame:
+def concordance(df: DataFrame, keys: Sequence[str], x: str, y: str, bucket: int = BUCKET) -> DataFrame:
     """``keys, n, s``: number of complete rows and their concordant minus discordant pairs."""
     keys = list(keys)
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
         *keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")
     )
-    rows = value_buckets(rows, keys, "_x", "_bx", small)
-    rows = value_buckets(rows, keys, "_y", "_by", small)
-    same_x = _inside(rows.where(F.col("_bx") % 2 == 0), keys, ["_bx"])
-    mixed_y = rows.where((F.col("_by") % 2 == 0) & (F.col("_by") + F.col("_bx") > 0))
-    same_y = _inside(mixed_y.withColumn("_x", F.col("_bx").cast("double")), keys, ["_by"])
-    parts = _between(rows, keys).unionByName(same_x).unionByName(same_y)
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return merge_on(counts, parts.groupBy(*keys).agg(F.sum("_s").alias("s")), keys)
+    for column in ("_x", "_y"):
+        rows = tied_ranks(rows, keys, column, f"_rank{column}", False, bucket).drop(column)
+    rows = materialize(rows.withColumns({c: F.col(c) - 1 for c in ("_rank_x", "_rank_y")}))
+    counts = materialize(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")))
+    largest = counts.agg(F.max("n")).first()[0] or 0
+    return merge_on(counts, digit_balance(rows, keys, "_rank_x", "_rank_y", _levels(largest)), keys)
 
 
 def tied_pairs(df: DataFrame, keys: Sequence[str], column: str, out: str) -> DataFrame:
@@ -117,4 +85,4 @@ def tied_pairs(df: DataFrame, keys: Sequence[str], column: str, out: str) -> Dat
     return sizes.groupBy(*keys).agg(F.sum(F.col("_m") * (F.col("_m") - 1) / 2).alias(out))
 
 
-__all__ = ["concordance", "concordant_minus_discordant", "tied_pairs"]
+__all__ = ["concordance", "digit_balance", "tied_pairs"]

@@ -86,16 +86,19 @@ def correlation_pairs(
 
 
 def _kendall(wide: DataFrame, variables: Sequence[str], keys: Sequence[str]) -> DataFrame:
-    """tau-b from concordance counts and tie counts."""
-    ties = {v: tied_pairs(wide, keys, v, f"_t_{v}") for v in variables}
-    out = None
-    for a, b in _pairs(variables):
-        part = merge_on(merge_on(concordance(wide, keys, a, b), ties[a], keys), ties[b], keys)
-        total = F.col("n") * (F.col("n") - 1) / 2
-        tau = ratio(F.col("s"), F.sqrt((total - F.col(f"_t_{a}")) * (total - F.col(f"_t_{b}"))))
-        part = part.select(*keys, F.lit(a).alias("variable_a"), F.lit(b).alias("variable_b"), tau.alias("r"), "n")
-        out = part if out is None else out.unionByName(part)
-    return out
+    """tau-b from concordance counts and tie counts, all pairs of variables in one go."""
+    sides = [
+        F.struct(F.lit(a).alias("variable_a"), F.lit(b).alias("variable_b"), F.col(a).cast("double").alias("_a"), F.col(b).cast("double").alias("_b"))
+        for a, b in _pairs(variables)
+    ]
+    tall = wide.select(*keys, F.explode(F.array(*sides)).alias("_p")).select(*keys, "_p.*")
+    group = [*keys, "variable_a", "variable_b"]
+    part = concordance(tall, group, "_a", "_b")
+    for side in ("_a", "_b"):
+        part = merge_on(part, tied_pairs(tall, group, side, f"_t{side}"), group)
+    total = F.col("n") * (F.col("n") - 1) / 2
+    tau = ratio(F.col("s"), F.sqrt((total - F.col("_t_a")) * (total - F.col("_t_b"))))
+    return part.select(*group, tau.alias("r"), "n")
 
 
 def _mirrored(half: DataFrame, keys: Sequence[str]) -> DataFrame:

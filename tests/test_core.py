@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from airgrid import core
-from airgrid.operators.ordering import concordance, concordant_minus_discordant
+from airgrid.operators.ordering import concordance, digit_balance
 
 
 @pytest.fixture(scope="module")
@@ -26,11 +26,11 @@ def hot(spark):
     return pdf, df
 
 
-@pytest.mark.parametrize("accuracy", [200, 100_000])
-def test_exact_quantiles(hot, accuracy):
+@pytest.mark.parametrize("bucket", [1, 8_192])
+def test_exact_quantiles(hot, bucket):
     pdf, df = hot
     probs = {"p0": 0.0, "p10": 0.1, "p50": 0.5, "p98": 0.98, "p100": 1.0}
-    got = core.exact_quantiles(df, ["k"], "v", probs, accuracy).toPandas().set_index("k").sort_index()
+    got = core.exact_quantiles(df, ["k"], "v", probs, bucket).toPandas().set_index("k").sort_index()
     want = pdf.groupby("k").v.quantile(list(probs.values())).unstack()
     np.testing.assert_allclose(got.to_numpy(), want.to_numpy(), atol=1e-12)
 
@@ -41,18 +41,18 @@ def test_exact_quantiles_ignores_nulls_and_drops_empty_groups(spark):
     assert [tuple(r) for r in got] == [("a", 1.5)]
 
 
-@pytest.mark.parametrize("small", [100, 50_000])
-def test_average_rank(hot, small):
+@pytest.mark.parametrize("bucket", [20, 8_192])
+def test_average_rank(hot, bucket):
     pdf, df = hot
-    got = core.average_rank(df, ["k"], "v", "r", small=small).toPandas()
+    got = core.average_rank(df, ["k"], "v", "r", bucket=bucket).toPandas()
     assert len(got) == len(pdf)
     np.testing.assert_allclose(got.r, got.groupby("k").v.rank())
 
 
-@pytest.mark.parametrize("small", [100, 50_000])
-def test_value_position(hot, small):
+@pytest.mark.parametrize("bucket", [20, 8_192])
+def test_value_position(hot, bucket):
     pdf, df = hot
-    got = core.value_position(df, ["k"], "v", ["time"], small=small).toPandas()
+    got = core.value_position(df, ["k"], "v", ["time"], bucket=bucket).toPandas()
     assert len(got) == len(pdf)
     for _, g in got.groupby("k"):
         g = g.sort_values("_pos")
@@ -61,10 +61,10 @@ def test_value_position(hot, small):
         assert (g._n == len(g)).all()
 
 
-@pytest.mark.parametrize("small", [100, 50_000])
-def test_concordance(hot, small):
+@pytest.mark.parametrize("bucket", [20, 8_192])
+def test_concordance(hot, bucket):
     pdf, df = hot
-    got = concordance(df, ["k"], "u", "v", small=small).toPandas().set_index("k")
+    got = concordance(df, ["k"], "u", "v", bucket=bucket).toPandas().set_index("k")
     for k, g in pdf.groupby("k"):
         a, b = g.u.to_numpy(), g.v.to_numpy()
         want = int((np.sign(a[:, None] - a) * np.sign(b[:, None] - b)).sum() // 2)
@@ -72,12 +72,59 @@ def test_concordance(hot, small):
         assert got.loc[k, "n"] == len(g)
 
 
-@pytest.mark.parametrize("n", [0, 1, 2, 3, 17, 64, 200])
-def test_concordance_of_one_group(n):
+@pytest.mark.parametrize(("n", "levels"), [(1, 1), (2, 1), (40, 2), (40, 4), (1_500, 3)])
+def test_digits_count_every_pair_once(spark, n, levels):
     rng = np.random.default_rng(n)
-    x, y = rng.integers(0, 9, n).astype(float), rng.integers(0, 7, n).astype(float)
-    want = sum(np.sign(x[j] - x[i]) * np.sign(y[j] - y[i]) for i in range(n) for j in range(i + 1, n))
-    assert concordant_minus_discordant(x, y) == want
+    x, y = (pd.Series(rng.integers(0, max(2, n // 2), n)).rank(method="min").astype(int) - 1 for _ in "xy")
+    df = spark.createDataFrame(pd.DataFrame({"k": 1, "x": x, "y": y}))
+    want = int((np.sign(x.to_numpy()[:, None] - x.to_numpy()) * np.sign(y.to_numpy()[:, None] - y.to_numpy())).sum() // 2)
+    assert digit_balance(df, ["k"], "x", "y", levels).first().s == want
+
+
+EXTREME = [0.0, -0.0, 1.0, 1.0 + 2**-52, 1.0 - 2**-53, 5e-324, -5e-324, 1.7e308, -1.7e308, float("inf"), float("-inf"), 3e-7, 3.0000001e-7]
+
+
+def test_order_of_extreme_values(spark):
+    rng = np.random.default_rng(1)
+    values = [*EXTREME, *(1.0 + rng.integers(0, 40, 200) * 2.0**-52), *np.ldexp(rng.normal(size=200), rng.integers(-1000, 1000, 200))]
+    df = spark.createDataFrame([(1, float(v)) for v in values], "k int, v double").repartition(5)
+    ordered = np.sort(values)
+    probs = {f"p{i}": i / (len(values) - 1) for i in range(0, len(values), 7)}
+    got = core.exact_quantiles(df, ["k"], "v", probs, bucket=3).first()
+    for i in range(0, len(values), 7):
+        assert got[f"p{i}"] == pytest.approx(ordered[i], rel=1e-9, abs=1e-320)
+    rows = core.average_rank(df, ["k"], "v", "r", bucket=3).toPandas()
+    np.testing.assert_allclose(rows.r, rows.v.rank())
+
+
+def test_nan_is_the_greatest_value(spark):
+    df = spark.createDataFrame([(1, v) for v in (2.0, float("nan"), 1.0, float("nan"), 5.0)], "k int, v double")
+    got = {(str(r.v), r.r) for r in core.average_rank(df, ["k"], "v", "r").collect()}
+    assert got == {("1.0", 1.0), ("2.0", 2.0), ("5.0", 3.0), ("nan", 4.5)}
+
+
+@pytest.mark.parametrize("n", [2_000, 32_000])
+def test_buckets_stay_small_as_a_key_grows(spark, n):
+    """One hot key, crowded around one point and with a third of its rows equal."""
+    x = F.when(F.col("id") % 3 == 0, 7.0).otherwise(7.0 + F.pow(F.rand(5), 9) * 1e-3)
+    df = spark.range(n).select(F.lit(1).alias("k"), x.alias("v"), "id").cache()
+    tree = core.value_tree(df, ["k"], "v", bucket=256)
+    sizes = tree.rows.groupBy("k", *tree.path).agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("v").alias("values"))
+    assert sizes.where("values > 1").agg(F.max("rows")).first()[0] <= 256
+    ordered = np.sort(df.toPandas().v.to_numpy())
+    got = core.exact_quantiles(df, ["k"], "v", {"a": 0.25, "b": 0.5, "c": 0.999}, bucket=16).first()
+    np.testing.assert_allclose([got.a, got.b, got.c], np.quantile(ordered, [0.25, 0.5, 0.999]), rtol=1e-15)
+    df.unpersist()
+
+
+def test_lookup_measures_before_it_broadcasts(spark, monkeypatch):
+    rows = spark.range(1_000).select((F.col("id") % 50).alias("k"), "id")
+    table = spark.range(50).select(F.col("id").alias("k"), (F.col("id") * 2).alias("d"))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan(core.lookup(rows, table, ["k"]))
+    monkeypatch.setattr(core, "BROADCAST_ROWS", 49)
+    far = core.lookup(rows, table, ["k"])
+    assert "strategy=broadcast" not in plan(far) and far.where("d = 2 * k").count() == 1_000
 
 
 def test_row_position(hot):
