@@ -5,22 +5,26 @@ Model fits are actions by nature (``train``, ``rfe``, ``run_training``); everyth
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Model
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.regression import (
+    GBTRegressionModel, GBTRegressor, LinearRegression, LinearRegressionModel, RandomForestRegressionModel, RandomForestRegressor,
+)
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airgrid.core import attach, ensure_checkpoint_dir, exact_quantiles, materialize
-from airgrid.functions.scaling import log1p_if_skewed
+from airgrid.core import attach, ensure_checkpoint_dir, exact_quantiles, lookup, materialize
+from airgrid.functions.scaling import adjusted_skew, log1p_if_skewed
 from airgrid.operators.aggregates import metric_columns, pivot_wide, prediction_band, residual_columns, spatial_mean
 from airgrid.operators.ranking import best_model, top_features
 from airgrid.operators.slicing import drop_any_null, drop_missing_target, replace_infinite
-from airgrid.operators.windows import chrono_split, engineer_features
+from airgrid.operators.windows import FeaturePlan, chrono_split, engineer_features, feature_matrix
 
 FEATURES, TARGET, PREDICTION = "features", "label", "prediction"
 DEFAULT_MODELS = ("linear", "ridge", "random_forest")
@@ -28,6 +32,7 @@ DEFAULT_MODELS = ("linear", "ridge", "random_forest")
 ALIASES = {"xgboost": "gradient_boosting", "lightgbm": "gradient_boosting"}
 #: MLlib grows no deeper trees; "unlimited" means this
 DEEPEST = 30
+MODELS = {m.__name__: m for m in (LinearRegressionModel, RandomForestRegressionModel, GBTRegressionModel)}
 
 
 def prepare(
@@ -40,6 +45,90 @@ def prepare(
     return drop_any_null(replace_infinite(engineered))
 
 
+def prepare_matrix(
+    cube: DataFrame, plan: FeaturePlan, keys: Sequence[str] = ("dataset_id",), time: str = "time", value: str = "value", drop_nulls: bool = True
+) -> DataFrame:
+    """``prepare`` at full width: ``keys, time, features`` with all features of ``plan`` as one array per row."""
+    wide = pivot_wide(spatial_mean(cube, [*keys, "variable"], time), plan.variables, keys, time, value)
+    return feature_matrix(drop_missing_target(wide, plan.target), plan, keys, time, drop_nulls)
+
+
+@dataclass(frozen=True)
+class MatrixTable:
+    """Rows of a feature matrix with their split and label; ``features`` leaves the target itself out."""
+
+    rows: DataFrame
+    names: tuple[str, ...]
+
+    def columns(self, chosen: Sequence[str], keep: Sequence[str], target: str) -> DataFrame:
+        """The chosen features as columns."""
+        return self.rows.select(*keep, F.col(TARGET).alias(target), *expanded(self.names, chosen))
+
+
+def expanded(names: Sequence[str], chosen: Sequence[str]) -> list[Column]:
+    place = {n: i for i, n in enumerate(names)}
+    return [F.get(FEATURES, F.lit(place[c])).alias(c) for c in chosen]
+
+
+def matrix_table(matrix: DataFrame, plan: FeaturePlan, keys: Sequence[str] = ("dataset_id",), time: str = "time") -> MatrixTable:
+    """Splits a feature matrix in time.
+
+    Only keys and times are sorted for that; the wide rows learn the first times of their key's last two
+    splits from a table with one row per key.
+    """
+    matrix, at = materialize(matrix), plan.names.index(plan.target)
+    first = lambda name: F.min(F.when(F.col("split") == name, F.col(time)))
+    starts = chrono_split(matrix.select(*keys, time), keys, time).groupBy(*keys).agg(first("val").alias("_val"), first("test").alias("_test"))
+    split = F.when(F.col(time) >= F.col("_test"), "test").when(F.col(time) >= F.col("_val"), "val").otherwise("train")
+    label = F.get(FEATURES, F.lit(at))
+    others = F.concat(F.slice(FEATURES, 1, at), F.slice(FEATURES, at + 2, len(plan.names)))
+    rows = lookup(matrix, starts, keys, "left").select(*keys, time, split.alias("split"), label.alias(TARGET), others.alias(FEATURES))
+    return MatrixTable(rows, tuple(n for n in plan.names if n != plan.target))
+
+
+def matrix_scores(train: DataFrame, names: Sequence[str]) -> DataFrame:
+    """``feature, place, score, r2``: the F score of every feature of a matrix, columns never being spread out.
+
+    Each task adds up its rows' sums of squares and products, relative to one row of the table so that
+    large values with small spread keep their digits; one row per task and feature is shuffled.
+    """
+    found = train.select(FEATURES, TARGET).first()
+    if found is None:
+        return train.sparkSession.createDataFrame([], "feature string, place int, score double, r2 double")
+    shift, origin = np.array(found[FEATURES]), found[TARGET]
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((6, len(shift)))
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                x = np.asarray(part.column(0).flatten()).reshape(part.num_rows, -1) - shift
+                y = (np.asarray(part.column(1)) - origin)[:, None]
+                total += np.stack([np.full(len(shift), float(len(x))), x.sum(0), (x * x).sum(0), (x * y).sum(0), *(np.full(len(shift), v) for v in (y.sum(), (y * y).sum()))])
+        columns = [pa.array(np.arange(len(shift), dtype=np.int32)), *map(pa.array, total)]
+        yield pa.RecordBatch.from_arrays(columns, names=["place", *cells])
+
+    cells = ["n", "x", "xx", "xy", "y", "yy"]
+    tall = train.select(FEATURES, TARGET).mapInArrow(sums, "place int, " + ", ".join(f"{c} double" for c in cells))
+    c = {name: F.sum(name) for name in cells}
+    moment = lambda both, one, other: c[both] - c[one] * c[other] / c["n"]
+    stats = tall.groupBy("place").agg(
+        c["n"].alias("n"), moment("xx", "x", "x").alias("sx"), moment("yy", "y", "y").alias("sy"), moment("xy", "x", "y").alias("sxy"), c["xx"].alias("xx")
+    )
+    flat = (F.col("sx") <= 1e-12 * F.col("xx")) | (F.col("sy") <= 0)  # a constant feature has no score
+    r2 = F.when(flat, 0.0).otherwise(F.least(F.col("sxy") * F.col("sxy") / F.nullif(F.col("sx") * F.col("sy"), F.lit(0.0)), F.lit(1.0)))
+    score = F.when(F.col("r2") >= 1, F.lit(float("inf"))).otherwise(F.col("r2") * (F.col("n") - 2) / (1 - F.col("r2")))
+    listed = F.array(*[F.lit(n) for n in names])
+    return stats.withColumn("r2", F.coalesce(r2, F.lit(0.0))).select(F.get(listed, F.col("place")).alias("feature"), "place", score.alias("score"), "r2")
+
+
+def select_from_matrix(table: MatrixTable, k: int = 20) -> list[str]:
+    """The ``k`` features with the highest F score on the training rows, in the matrix's order."""
+    scores = matrix_scores(table.rows.where(F.col("split") == "train"), table.names)
+    best = scores.orderBy(F.round("r2", 9).desc(), "place").limit(k).collect()  # k rows
+    return [r.feature for r in sorted(best, key=lambda r: r.place)]
+
+
 def is_cyclic(name: str) -> bool:
     return "_sin" in name or "_cos" in name
 
@@ -79,6 +168,35 @@ def scale(
     return out.withColumns({c: scaled(c) for c in chosen}).drop(*[f"_{t}_{c}" for c in chosen for t in "cw"])
 
 
+@dataclass(frozen=True)
+class Scaler:
+    """What ``scale`` learnt from the training rows of all keys together, as numbers: fits any table, streams too."""
+
+    method: str
+    centre: dict[str, float]
+    width: dict[str, float]
+    log: tuple[str, ...] = ()
+
+    def apply(self, df: DataFrame) -> DataFrame:
+        def scaled(c: str) -> Column:
+            value = F.log1p(c) if c in self.log else F.col(c)
+            return (value - self.centre[c]) / (self.width[c] or 1.0)
+
+        return df.withColumns({c: scaled(c) for c in self.centre})
+
+    def rows(self) -> list[tuple[str, float, float, bool]]:
+        return [(c, self.centre[c], self.width[c], c in self.log) for c in self.centre]
+
+
+def fit_scaler(train: DataFrame, columns: Sequence[str], method: str = "standard", log: bool = True) -> Scaler:
+    """The numbers that ``scale`` would use; two rows come back."""
+    chosen = [c for c in columns if not is_cyclic(c)]
+    skewed = train.agg(*[((adjusted_skew(c) > 1.0) & (F.min(c) > 0)).alias(c) for c in chosen]).first() if log and chosen else None
+    logged = tuple(c for c in chosen if skewed is not None and skewed[c])
+    found = scale_stats(train.withColumns({c: F.log1p(c) for c in logged}), chosen, method).first() if chosen else None
+    return Scaler(method, {c: found[f"_c_{c}"] for c in chosen}, {c: found[f"_w_{c}"] for c in chosen}, logged)
+
+
 def assemble(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
     rows = df.withColumn(TARGET, F.col(target).cast("double"))
     return VectorAssembler(inputCols=list(columns), outputCol=FEATURES, handleInvalid="skip").transform(rows)
@@ -192,6 +310,43 @@ def save_models(trained: Mapping[str, Trained], metrics: DataFrame, target: str,
     metrics.withColumn("target", F.lit(target)).write.mode("overwrite").parquet(f"{base}/{target}_metrics")
 
 
+@dataclass
+class Scorer:
+    """All that it takes to score rows of a feature matrix: which features, how they are scaled, the model."""
+
+    names: tuple[str, ...]
+    columns: list[str]
+    scaler: Scaler
+    model: Model
+
+    def score(self, matrix: DataFrame, keep: Sequence[str]) -> DataFrame:
+        """``keep`` and the prediction for rows with a ``features`` array in the order of ``names``; may be a stream."""
+        rows = matrix.select(*keep, *expanded(self.names, self.columns))
+        vectors = VectorAssembler(inputCols=self.columns, outputCol=FEATURES, handleInvalid="skip").transform(self.scaler.apply(rows))
+        return self.model.transform(vectors).select(*keep, PREDICTION)
+
+    def save(self, spark: SparkSession, base: str) -> None:
+        self.model.write().overwrite().save(f"{base}/model")
+        spark.createDataFrame(list(enumerate(self.names)), "place int, feature string").write.mode("overwrite").parquet(f"{base}/names")
+        spark.createDataFrame(list(enumerate(self.columns)), "place int, feature string").write.mode("overwrite").parquet(f"{base}/columns")
+        kind = "feature string, centre double, width double, log boolean"
+        scaler = spark.createDataFrame(self.scaler.rows(), kind).withColumn("method", F.lit(self.scaler.method))
+        scaler.write.mode("overwrite").parquet(f"{base}/scaler")
+
+    @staticmethod
+    def load(spark: SparkSession, base: str) -> Scorer:
+        names, columns = ([r.feature for r in spark.read.parquet(f"{base}/{part}").orderBy("place").collect()] for part in ("names", "columns"))
+        kept = spark.read.parquet(f"{base}/scaler").collect()  # one row per chosen feature
+        by_name = {r.feature: r for r in kept}
+        order = [c for c in columns if c in by_name]
+        scaler = Scaler(
+            kept[0].method if kept else "none", {c: by_name[c].centre for c in order}, {c: by_name[c].width for c in order},
+            tuple(c for c in order if by_name[c].log),
+        )
+        kind = spark.read.text(f"{base}/model/metadata").select(F.get_json_object("value", "$.class")).first()[0].rsplit(".", 1)[1]
+        return Scorer(tuple(names), columns, scaler, MODELS[kind].load(f"{base}/model"))
+
+
 @dataclass
 class TrainingRun:
     trained: dict[str, Trained]
@@ -199,6 +354,8 @@ class TrainingRun:
     metrics: DataFrame
     best: str
     predictions: DataFrame
+    rows: DataFrame
+    scorers: dict[str, Scorer] = field(default_factory=dict)
 
 
 def run_training(
@@ -220,4 +377,20 @@ def run_training(
         save_models(trained, metrics, target, save_to)
     test = scaled.where(F.col("split") == "test")
     predictions = predict_with_band(trained[best], test, target, [*keys, time], keys)
-    return TrainingRun(trained, chosen, metrics, best, predictions)
+    return TrainingRun(trained, chosen, metrics, best, predictions, scaled)
+
+
+def run_matrix_training(
+    table: MatrixTable, target: str, models: Sequence[str] = DEFAULT_MODELS, k: int = 20, scaling: str = "standard",
+    keys: Sequence[str] = ("dataset_id",), time: str = "time", metric: str = "r2",
+) -> TrainingRun:
+    """``run_training`` on a matrix: all features compete, the ``k`` chosen ones become columns.
+
+    The scorers of the result take rows of the whole matrix.
+    """
+    chosen = select_from_matrix(table, k)
+    rows = materialize(table.columns(chosen, [*keys, time, "split"], target))
+    run = run_training(rows.drop("split"), target, chosen, models, selection=None, scaling=scaling, keys=keys, time=time, metric=metric)
+    scaler = fit_scaler(rows.where(F.col("split") == "train"), chosen, scaling)
+    run.scorers = {name: Scorer(table.names, chosen, scaler, t.model) for name, t in run.trained.items()}
+    return run

@@ -207,7 +207,7 @@ def feature_matrix(
 
     With the default lags there are over two thousand features, too many for columns of a plan; a block
     of consecutive rows, with the rows that it reaches back to, is worked out in arrays instead.
-    Features that are not known are NaN; ``drop_nulls`` leaves out rows that have one.
+    Features that are not known, or would look at an infinite value, are NaN; ``drop_nulls`` leaves out rows that have one.
     """
     keys, base = list(keys), [*plan.calendar, *plan.variables]
     calendar = {n: c.cast("double") for n, c in temporal_columns(F.col(time)).items()}
@@ -216,7 +216,7 @@ def feature_matrix(
 
     def work(table: pa.Table) -> pa.Table:
         table = table.sort_by("_pos")
-        columns = {c: np.nan_to_num(table[c].to_numpy(zero_copy_only=False).astype(float), nan=np.nan) for c in base}
+        columns = {c: np.nan_to_num(table[c].to_numpy(zero_copy_only=False).astype(float), nan=np.nan, posinf=np.nan, neginf=np.nan) for c in base}
         matrix = plan.rows(columns)
         keep = np.asarray(table["_pos"]) // block == np.asarray(table["_block"])
         if drop_nulls:

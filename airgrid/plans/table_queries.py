@@ -1,5 +1,8 @@
 """Queries for ranking, set, validation, report, learning and streaming operators."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from airgrid import KEYS
@@ -16,7 +19,7 @@ from airgrid.plans.aggregate_queries import K, LOWERED, MASKED, hist_sql, lowere
 from airgrid.plans.grid_queries import SHAPE
 from airgrid.plans.registry import query, r, rounded
 from airgrid.plans.scratch import scratch_path
-from airgrid.plans.window_queries import SPLIT_SQL, TREND_SQL
+from airgrid.plans.window_queries import PLAN, SPLIT_SQL, TREND_SQL, matrix_layers, matrix_sql, matrix_stats
 from airgrid.streaming import monitoring
 
 OVER2 = "OVER (PARTITION BY dataset_id, variable ORDER BY time)"
@@ -517,22 +520,18 @@ def _(spark, sf):
 # ------------------------------------------------------------------ learning
 
 
-def feature_table(spark, sf):
-    """A compact engineered table: lags, rolling statistics and calendar columns."""
-    table = W.engineer_features(V.daily(spark, sf), "no2", ["no2", "so2", "co", "o3"], lags=(1, 7), other_lags=(1,), sizes=(7,), steps=(1,))
-    return table
-
-
-FEATURES = ["so2", "co", "o3", "no2_lag_1", "no2_lag_7", "no2_rolling_mean_7", "so2_rolling_mean_7", "no2_rolling_std_7", "day_of_year_sin", "month_cos"]
-
-
 FAMILIES = ("linear", "ridge", "lasso", "random_forest", "gradient_boosting")
+_RUNS: dict[tuple[str, str], ML.TrainingRun] = {}
+
+#: spatial means as one column per variable, rows without a target left out
+PREPARED = "prepared AS (SELECT dataset_id, time, " + ", ".join(f"max(m) FILTER (WHERE variable = '{v}') AS {v}" for v in PLAN.variables) + (
+    " FROM (SELECT dataset_id, variable, time, avg(value) AS m FROM grid GROUP BY 1, 2, 3) GROUP BY 1, 2 HAVING max(m) FILTER (WHERE variable = 'no2') IS NOT NULL), "
+)
 
 
-@query("L2_prepare")
+@query("L2_prepare", "grid", matrix_sql("prepared", PREPARED, whole_rows=False))
 def _(spark, sf):
-    out = ML.prepare(V.grid(spark, sf), "no2", ["no2", "so2"], lags=(1, 3), other_lags=(1,), sizes=(7,), steps=(1,))
-    return rounded(out)
+    return matrix_stats(ML.prepare_matrix(V.grid(spark, sf), PLAN, drop_nulls=False))
 
 
 def _scale_sql(method: str) -> str:
@@ -558,52 +557,104 @@ for _m in ("standard", "minmax", "robust"):
     _register_scale(_m)
 
 
-def split_table(spark, sf):
-    return materialize(W.chrono_split(feature_table(spark, sf).select("dataset_id", "time", "no2", *FEATURES)))
+def whole_matrix(spark, sf) -> ML.MatrixTable:
+    """All features at their default settings, split in time."""
+    return ML.matrix_table(W.feature_matrix(V.daily(spark, sf), PLAN), PLAN)
+
+
+def training(spark, sf) -> ML.TrainingRun:
+    """All five families on the 20 best of all features, trained once per session and input."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _RUNS:
+        _RUNS.clear()
+        _RUNS[key] = ML.run_matrix_training(whole_matrix(spark, sf), "no2", FAMILIES)
+    return _RUNS[key]
+
+
+def _univariate_sql() -> str:
+    names = [n for n in PLAN.names if n != "no2"]
+    scores = ", ".join(f"regr_r2(no2, {n}) AS {n}" for n in names)
+    listed = ", ".join(f"'{n}'" for n in names)
+    return f"""WITH {matrix_layers()}, o AS (SELECT *, row_number() OVER (PARTITION BY dataset_id ORDER BY time) - 1 AS _i,
+        count(*) OVER (PARTITION BY dataset_id) AS _n FROM rows_),
+      scored AS (SELECT {scores} FROM o WHERE _i < _n - floor(_n * 0.15) - floor(_n * 0.15)),
+      tall AS (UNPIVOT scored ON COLUMNS(*) INTO NAME feature VALUE r2)
+      SELECT feature, round(r2, 6) + 0.0 AS r2 FROM tall ORDER BY round(tall.r2, 9) DESC, list_position([{listed}], feature) LIMIT 20"""
+
+
+@query("L4_select_features_univariate", "daily", _univariate_sql())
+def _(spark, sf):
+    table = whole_matrix(spark, sf)
+    scores = ML.matrix_scores(table.rows.where(F.col("split") == "train"), table.names)
+    return rounded(scores.orderBy(F.round("r2", 9).desc(), "place").limit(20).select("feature", "r2"))
 
 
 @query("L4_select_features_rfe")
 def _(spark, sf):
-    rows = split_table(spark, sf).where(F.col("split") == "train")
-    chosen = ML.rfe(rows, FEATURES, "no2", 4)
-    scores = R.feature_scores(rows, "no2", chosen)
-    return rounded(scores)
+    table = whole_matrix(spark, sf)
+    start = ML.select_from_matrix(table, 12)  # a forest for each feature that goes
+    rows = materialize(table.columns(start, ["split"], "no2").where(F.col("split") == "train"))
+    return rounded(R.feature_scores(rows, "no2", ML.rfe(rows, start, "no2", 10)))
 
 
 @query("L5_train_and_evaluate")
 def _(spark, sf):
-    rows = materialize(ML.scale(split_table(spark, sf), FEATURES))
-    trained = ML.train(rows, FEATURES, "no2", FAMILIES)
-    return rounded(ML.evaluate_all(trained, rows, "no2"))
+    return rounded(training(spark, sf).metrics)
+
+
+def _test_rows(run):
+    return run.rows.where(F.col("split") == "test")
 
 
 @query("L6_evaluate_test")
 def _(spark, sf):
-    rows = materialize(ML.scale(split_table(spark, sf), FEATURES))
-    trained = ML.train(rows, FEATURES, "no2", ("linear",))
-    return rounded(ML.evaluate(trained["linear"], rows.where(F.col("split") == "test"), "no2", ["dataset_id"]))
+    run = training(spark, sf)
+    parts = [ML.evaluate(t, _test_rows(run), "no2", ["dataset_id"]) for t in run.trained.values()]
+    return rounded(reduce(DataFrame.unionByName, parts))
 
 
 @query("L7_predict")
 def _(spark, sf):
-    rows = materialize(ML.scale(split_table(spark, sf), FEATURES))
-    trained = ML.train(rows, FEATURES, "no2", ("linear",))
-    test = rows.where(F.col("split") == "test")
-    return rounded(ML.predict_with_band(trained["linear"], test, "no2", ["dataset_id", "time"], ["dataset_id"]))
+    run, keys = training(spark, sf), ["dataset_id"]
+    parts = [
+        ML.predict_with_band(t, _test_rows(run), "no2", [*keys, "time"], keys).withColumn("model", F.lit(name)) for name, t in run.trained.items()
+    ]
+    return rounded(reduce(DataFrame.unionByName, parts))
 
 
 @query("L8_save_models")
 def _(spark, sf):
-    rows = materialize(ML.scale(split_table(spark, sf), FEATURES))
-    trained = ML.train(rows, FEATURES, "no2", ("linear", "ridge"))
-    base = scratch_path(spark, "models")
-    ML.save_models(trained, ML.evaluate_all(trained, rows, "no2"), "no2", base)
+    run, base = training(spark, sf), scratch_path(spark, "models")
+    ML.save_models(run.trained, run.metrics, "no2", base)
     return rounded(spark.read.parquet(f"{base}/no2_importance"))
 
 
+@query("L8_reload_and_score")
+def _(spark, sf):
+    """Every family saved, loaded again and applied to the rows of the test split, as a batch and as a stream."""
+    run, keys = training(spark, sf), ["dataset_id", "time"]
+    base = scratch_path(spark, "scorers")
+    matrix = whole_matrix(spark, sf).rows.where(F.col("split") == "test").select(*keys, "features")
+    matrix.write.parquet(f"{base}/matrix")
+    stored = spark.read.parquet(f"{base}/matrix")
+    parts = []
+    for name, scorer in run.scorers.items():
+        scorer.save(spark, f"{base}/{name}")
+        again = ML.Scorer.load(spark, f"{base}/{name}")
+        live = spark.readStream.schema(stored.schema).parquet(f"{base}/matrix")
+        monitoring.run_available(again.score(live, keys), f"{base}/{name}-stream", f"{base}/{name}-checkpoint")
+        before = ML.predict(run.trained[name], _test_rows(run), "no2", keys).withColumnRenamed("prediction", "trained")
+        after = again.score(stored, keys).withColumnRenamed("prediction", "reloaded")
+        streamed = spark.read.parquet(f"{base}/{name}-stream").withColumnRenamed("prediction", "streamed")
+        same = (F.abs(F.col("trained") - F.col("reloaded")) < 1e-9) & (F.col("reloaded") == F.col("streamed"))
+        joined = before.join(after, keys).join(streamed, keys)
+        parts.append(joined.select(F.lit(name).alias("model"), *keys, "trained", "reloaded", "streamed", same.alias("same")))
+    return rounded(reduce(DataFrame.unionByName, parts))
+
+
 @query("L9_run_training")
 def _(spark, sf):
-    run = ML.run_training(feature_table(spark, sf), "no2", FEATURES, FAMILIES, k=6)
+    run = training(spark, sf)
     return rounded(run.predictions.withColumn("model", F.lit(run.best)))
 
 

@@ -272,38 +272,52 @@ def _(spark, sf):
     return rounded(out)
 
 
-_PLAN = W.FeaturePlan("no2", ("no2", "so2", "co", "o3"))
+PLAN = W.FeaturePlan("no2", ("no2", "so2", "co", "o3"))
 
 
-def _matrix_sql() -> str:
-    """The features at their default settings, reduced to one row per feature."""
+def matrix_layers(source: str = "daily", whole_rows: bool = True) -> str:
+    """CTEs of all features at their default settings, up to ``rows_``: all rows, or those that have all of them."""
     cal = dict(TEMPORAL_SQL) | {
         "day_of_year_sin": "sin(2*pi()*dayofyear(time)/365)", "day_of_year_cos": "cos(2*pi()*dayofyear(time)/365)",
         "month_sin": "sin(2*pi()*month(time)/12)", "month_cos": "cos(2*pi()*month(time)/12)",
     }
-    base = ", ".join(f"CAST({cal[n]} AS DOUBLE) AS {n}" for n in _PLAN.calendar)
-    variables = ", ".join(f"CAST({v} AS DOUBLE) AS {v}" for v in _PLAN.variables)
+    base = ", ".join(f"CAST({cal[n]} AS DOUBLE) AS {n}" for n in PLAN.calendar)
+    variables = ", ".join(f"CAST({v} AS DOUBLE) AS {v}" for v in PLAN.variables)
     lag = lambda name, c, k: f"lag({c}, {k}) {OVER} AS {name}"
-    roll = {n: e for c in _PLAN.numeric for k in _PLAN.sizes for n, e in rolling_sql(c, k).items()}
+    roll = {n: e for c in PLAN.numeric for k in PLAN.sizes for n, e in rolling_sql(c, k).items()}
     layers = [
-        [lag(*f) for f in _PLAN.own_lags],
-        [lag(*f) for f in _PLAN.further_lags],
+        [lag(*f) for f in PLAN.own_lags],
+        [lag(*f) for f in PLAN.further_lags],
         [f"{e} AS {n}" for n, e in roll.items()],
-        [f"{c} - lag({c}, {k}) {OVER} AS {n}" for n, c, k in _PLAN.diffs],
-        [f"{a} * {b} AS {n}" for n, a, b in _PLAN.products],
+        [f"{c} - lag({c}, {k}) {OVER} AS {n}" for n, c, k in PLAN.diffs],
+        [f"{a} * {b} AS {n}" for n, a, b in PLAN.products],
     ]
     ctes = ", ".join(f"l{i + 1} AS (SELECT *, {', '.join(layer)} FROM l{i})" for i, layer in enumerate(layers))
-    keep = " AND ".join(f"{n} IS NOT NULL" for n in _PLAN.names)
-    stats = ", ".join(f"round({f}(v), 6) + 0.0 AS {n}" for n, f in (("mean", "avg"), ("low", "min"), ("high", "max")))
-    return f"""WITH l0 AS (SELECT dataset_id, time, {variables}, {base} FROM daily), {ctes},
-      rows_ AS (SELECT {", ".join(_PLAN.names)} FROM l5 WHERE {keep}),
-      tall AS (UNPIVOT rows_ ON COLUMNS(*) INTO NAME feature VALUE v)
-      SELECT feature, count(*) AS n, {stats} FROM tall GROUP BY 1"""
+    keep = " AND ".join(f"{n} IS NOT NULL" for n in PLAN.names) if whole_rows else "TRUE"
+    return f"""l0 AS (SELECT dataset_id, time, {variables}, {base} FROM {source}), {ctes},
+      rows_ AS (SELECT dataset_id, time, {", ".join(PLAN.names)} FROM l5 WHERE {keep})"""
 
 
-@query("L1_feature_matrix", "daily", _matrix_sql())
-def _(spark, sf):
-    names = F.array(*[F.lit(n) for n in _PLAN.names])
-    tall = W.feature_matrix(V.daily(spark, sf), _PLAN).select(F.posexplode("features").alias("pos", "v"))
+#: one row per feature, so that a result of two thousand columns can be compared
+MATRIX_STATS = "SELECT feature, count(*) AS n, " + ", ".join(
+    f"round({f}(v), 6) + 0.0 AS {n}" for n, f in (("mean", "avg"), ("low", "min"), ("high", "max"))
+)
+
+
+def matrix_sql(source: str = "daily", before: str = "", whole_rows: bool = True) -> str:
+    return f"""WITH {before}{matrix_layers(source, whole_rows)},
+      tall AS (UNPIVOT (SELECT * EXCLUDE (dataset_id, time) FROM rows_) ON COLUMNS(*) INTO NAME feature VALUE v)
+      {MATRIX_STATS} FROM tall GROUP BY 1"""
+
+
+def matrix_stats(matrix):
+    """The same of a matrix in Spark."""
+    names = F.array(*[F.lit(n) for n in PLAN.names])
+    tall = matrix.select(F.posexplode("features").alias("pos", "v")).where(~F.isnan("v"))
     found = tall.groupBy("pos").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.min("v").alias("low"), F.max("v").alias("high"))
     return rounded(found.select(names[F.col("pos")].alias("feature"), "n", "mean", "low", "high"))
+
+
+@query("L1_feature_matrix", "daily", matrix_sql())
+def _(spark, sf):
+    return matrix_stats(W.feature_matrix(V.daily(spark, sf), PLAN))

@@ -5,6 +5,7 @@ import hashlib
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -14,6 +15,7 @@ from airgrid.functions import calendar, geo, levels, scaling
 from airgrid.operators import learning as ML
 from airgrid.operators import slicing as B
 from airgrid.operators import validation as Q
+from airgrid.operators import windows as W
 from airgrid.sources import files, tables
 from airgrid.streaming import monitoring
 
@@ -244,3 +246,105 @@ def test_calendar_labels(spark):
     out = df.select(calendar.season_label(F.col("t")), calendar.week_end(F.col("t")), calendar.month_end(F.col("t"))).collect()
     assert tuple(out[0]) == ("DJF", dt.date(2023, 12, 31), dt.date(2023, 12, 31))
     assert tuple(out[1]) == ("DJF", dt.date(2024, 3, 3), dt.date(2024, 2, 29))
+
+
+# ---------------------------------------------------------------- training on feature matrices
+
+
+PLAN = W.FeaturePlan("y", ("y", "a"), lags=(1, 2), other_lags=(1,), sizes=(3,), steps=(1,))
+
+
+@pytest.fixture(scope="module")
+def matrix(spark):
+    rng = np.random.default_rng(3)
+    n = 240
+    a = rng.normal(size=n)
+    y = 5 + 2 * a + 0.1 * rng.normal(size=n) + np.sin(np.arange(n) / 9)
+    pdf = pd.DataFrame({"dataset_id": np.repeat(["p", "q"], n // 2), "time": np.tile(pd.date_range("2021-01-01", periods=n // 2), 2), "y": y, "a": a})
+    return ML.matrix_table(W.feature_matrix(spark.createDataFrame(pdf), PLAN), PLAN)
+
+
+def as_numpy(rows):
+    got = rows.toPandas()
+    return np.stack(got.features.to_numpy()), got.label.to_numpy(), got
+
+
+def test_matrix_split_is_the_chronological_one(matrix):
+    _, _, got = as_numpy(matrix.rows)
+    assert "y" not in matrix.names and len(matrix.names) == len(got.features[0]) == len(PLAN.names) - 1
+    for _, g in got.sort_values("time").groupby("dataset_id"):
+        n, part = len(g), int(len(g) * 0.15)
+        assert list(g.split) == ["train"] * (n - 2 * part) + ["val"] * part + ["test"] * part
+
+
+def test_matrix_scores_are_the_f_scores_of_each_column(matrix):
+    train = matrix.rows.where("split = 'train'")
+    x, y, _ = as_numpy(train)
+    got = ML.matrix_scores(train, matrix.names).orderBy("place").toPandas()
+    assert list(got.feature) == list(matrix.names)
+    for i in range(x.shape[1]):
+        r2 = 0.0 if np.ptp(x[:, i]) < 1e-9 else np.corrcoef(x[:, i], y)[0, 1] ** 2
+        assert got.r2[i] == pytest.approx(r2, abs=1e-9)
+        assert got.score[i] == pytest.approx(r2 * (len(y) - 2) / (1 - r2), rel=1e-6, abs=1e-6)
+    chosen = ML.select_from_matrix(matrix, 4)
+    assert set(chosen) == set(got.sort_values("r2", ascending=False).feature[:4]) and "a" in chosen
+    assert ML.matrix_scores(train.limit(0), matrix.names).count() == 0
+
+
+def test_matrix_training_equals_closed_forms(matrix):
+    run = ML.run_matrix_training(matrix, "y", ("linear", "ridge"), k=5)
+    x, y, frame = as_numpy(matrix.rows)
+    place = [matrix.names.index(c) for c in run.columns]
+    train = (frame.split == "train").to_numpy()
+    x = x[:, place]
+    waves = np.array([ML.is_cyclic(c) for c in run.columns])
+    for i in np.flatnonzero(~waves):
+        if (x[train, i] > 0).all() and pd.Series(x[train, i]).skew() > 1:
+            x[:, i] = np.log1p(x[:, i])
+    centre, width = np.where(waves, 0, x[train].mean(0)), np.where(waves, 1, x[train].std(0))
+    z = (x - centre) / width
+    for name, penalty in (("linear", 0.0), ("ridge", 1.0)):
+        mean = z[train].mean(0)
+        w = np.linalg.solve((z[train] - mean).T @ (z[train] - mean) + penalty * np.eye(5), (z[train] - mean).T @ (y[train] - y[train].mean()))
+        fitted = (z - mean) @ w + y[train].mean()
+        got = run.metrics.where(f"model = '{name}'").toPandas().set_index("split")
+        for split in ("train", "val", "test"):
+            rows = (frame.split == split).to_numpy()
+            assert got.loc[split, "rmse"] == pytest.approx(np.sqrt(np.mean((y[rows] - fitted[rows]) ** 2)), rel=1e-4)
+
+
+def test_scorers_give_the_same_after_reload_as_a_batch_and_as_a_stream(spark, matrix, tmp_path):
+    run = ML.run_matrix_training(matrix, "y", ("linear", "random_forest", "gradient_boosting"), k=3)
+    keys = ["dataset_id", "time"]
+    matrix.rows.select(*keys, "features").write.parquet(str(tmp_path / "matrix"))
+    stored = spark.read.parquet(str(tmp_path / "matrix"))
+    for name, scorer in run.scorers.items():
+        base = str(tmp_path / name)
+        scorer.save(spark, base)
+        again = ML.Scorer.load(spark, base)
+        assert (again.names, again.columns, again.scaler) == (scorer.names, scorer.columns, scorer.scaler)
+        want = {tuple(r) for r in ML.predict(run.trained[name], run.rows, "y", keys).drop("actual").collect()}
+        batch = {tuple(r) for r in again.score(stored, keys).collect()}
+        live = spark.readStream.schema(stored.schema).parquet(str(tmp_path / "matrix"))
+        monitoring.run_available(again.score(live, keys), f"{base}-out", f"{base}-ckpt")
+        assert {tuple(r) for r in spark.read.parquet(f"{base}-out").collect()} == batch
+        near = sorted(want), sorted(batch)
+        assert len(want) == len(batch) and all(u[:2] == v[:2] and u[2] == pytest.approx(v[2], abs=1e-9) for u, v in zip(*near, strict=True))
+
+
+def test_a_forest_finds_the_known_best_split(spark):
+    rows = [(float(i), float(i % 7), 10.0 if i < 60 else 30.0) for i in range(100)]
+    df = spark.createDataFrame(rows, "a double, b double, y double").withColumn("split", F.lit("train"))
+    forest = ML.train(df, ["a", "b"], "y", ("random_forest",), depth=3)["random_forest"]
+    assert forest.importance["a"] > 0.95
+    got = ML.predict(forest, spark.createDataFrame([(30.0, 1.0, 0.0), (90.0, 1.0, 0.0)], "a double, b double, y double"), "y", ["a"]).collect()
+    assert [r.prediction for r in sorted(got)] == pytest.approx([10.0, 30.0], abs=0.5)
+
+
+def test_infinite_inputs_become_unknown_features(spark):
+    rows = [("p", f"2021-01-{d:02d}", float("inf") if d == 9 else float(d)) for d in range(1, 29)]
+    df = spark.createDataFrame(rows, "dataset_id string, day string, y double").select("dataset_id", F.to_timestamp("day").alias("time"), "y")
+    plan = W.FeaturePlan("y", ("y",), lags=(1,), other_lags=(1,), sizes=(2,), steps=(1,))
+    got = W.feature_matrix(df, plan).toPandas()
+    assert np.isfinite(np.stack(got.features.to_numpy())).all() and np.abs(np.stack(got.features.to_numpy())).max() < 400
+    assert pd.Timestamp("2021-01-09") not in set(got.time) and pd.Timestamp("2021-01-20") in set(got.time)
