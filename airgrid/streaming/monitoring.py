@@ -77,19 +77,3 @@ def latest_groups(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFr
     values = [c for c in rows.columns if c not in (*keys, "epoch")]
     newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "epoch").alias("_row"))
     return newest.select(*keys, *[F.col("_row")[c].alias(c) for c in values])
-
-
-def run_available_complete(stream: DataFrame, path: str, checkpoint: str) -> None:
-    """Complete mode: each batch replaces the result table, so the last one holds every group."""
-
-    def replace(batch: DataFrame, _epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
-
-    query = (
-        stream.writeStream.foreachBatch(replace)
-        .option("checkpointLocation", checkpoint)
-        .outputMode("complete")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
