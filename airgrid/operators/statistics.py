@@ -12,13 +12,19 @@ from pyspark.sql import functions as F
 
 from airgrid import KEYS
 from airgrid.core import attach, average_rank, exact_quantiles, ratio, row_position, value_position
-from airgrid.functions.special import log_normal_cdf_of, normal_pvalue_of, t_pvalue_of, t_quantile_of
+from airgrid.functions.special import log_normal_cdf, normal_pvalue, t_pvalue, t_quantile
 from airgrid.operators.aggregates import iqr_fences, merge_on, pivot_wide
 from airgrid.operators.ordering import concordance, tied_pairs
 
 DATASET = ("dataset_id",)
 
 
+def _with_t_pvalue(rows: DataFrame, t: Column, dof: Column) -> DataFrame:
+    """Adds ``p_value``, two-sided."""
+    rows = rows.withColumns({"_t": t, "_dof": dof.cast("double")})
+    return rows.withColumn("p_value", F.expr(t_pvalue("_t", "_dof"))).drop("_t", "_dof")
+
+
 # ------------------------------------------------------------------ intervals and normality
 
 
@@ -27,8 +33,9 @@ def mean_ci(df: DataFrame, keys: Sequence[str] = KEYS, value: str = "value", lev
     stats = df.groupBy(*keys).agg(
         F.count(value).alias("n"), F.avg(value).alias("mean"), (F.stddev_samp(value) / F.sqrt(F.count(value))).alias("sem")
     ).where(F.col("n") >= least)
-    half = F.col("sem") * t_quantile_of(F.lit((1 + level) / 2), (F.col("n") - 1).cast("double"))
-    return stats.withColumns({"ci_low": F.col("mean") - half, "ci_high": F.col("mean") + half})
+    stats = stats.withColumn("_dof", (F.col("n") - 1).cast("double"))
+    stats = stats.withColumn("_half", F.col("sem") * F.expr(t_quantile((1 + level) / 2, "_dof")))
+    return stats.withColumns({"ci_low": F.col("mean") - F.col("_half"), "ci_high": F.col("mean") + F.col("_half")}).drop("_dof", "_half")
 
 
 # fixed values: critical values of the Anderson-Darling normality test at 15, 10, 5, 2.5 and 1 percent
@@ -40,8 +47,9 @@ def anderson_darling(df: DataFrame, keys: Sequence[str] = KEYS, value: str = "va
     moments = df.groupBy(*keys).agg(F.avg(value).alias("_mu"), F.stddev_samp(value).alias("_sd"))
     rows = attach(value_position(df.select(*keys, value, *tiebreak), keys, value, tiebreak), moments, keys)
     z, i, n = (F.col(value) - F.col("_mu")) / F.col("_sd"), F.col("_pos") + 1, F.col("_n")
-    term = (2 * i - 1) * log_normal_cdf_of(z) + (2 * (n - i) + 1) * log_normal_cdf_of(-z)
-    out = rows.where(F.col("_sd") > 0).withColumn("_term", term).groupBy(*keys).agg(
+    rows = rows.where(F.col("_sd") > 0).withColumn("_z", z)
+    term = (2 * i - 1) * F.expr(log_normal_cdf("_z")) + (2 * (n - i) + 1) * F.expr(log_normal_cdf("(-_z)"))
+    out = rows.withColumn("_term", term).groupBy(*keys).agg(
         F.max("_n").alias("n"), (-F.max("_n") - F.sum("_term") / F.max("_n")).alias("statistic")
     )
     shrink = 1 + 4 / F.col("n") - 25 / F.col("n") / F.col("n")
@@ -125,7 +133,7 @@ def correlation_significance(
     r, dof = F.col("r"), (F.col("n") - 2).cast("double")
     # 1 on the diagonal gives an infinite t, whose p-value is zero
     t = F.when(F.abs(r) >= 1, F.lit(float("inf"))).otherwise(r * F.sqrt(dof / F.nullif(1 - r * r, F.lit(0.0))))
-    rows = correlation(wide, variables, "pearson", keys).withColumn("t", t).withColumn("p_value", t_pvalue_of("t", dof))
+    rows = _with_t_pvalue(correlation(wide, variables, "pearson", keys).withColumn("t", t), F.col("t"), dof)
     return rows.withColumn("significant", F.col("p_value") < alpha)
 
 
@@ -192,7 +200,7 @@ def simple_regressions(
     dof = F.col("n") - 2
     se = F.sqrt(F.col("mse") / (dof * F.col("_vx")))
     rows = rows.withColumns({"rmse": F.sqrt(F.greatest("mse", F.lit(0.0))), "std_error": se}).drop("_vx")
-    return rows.withColumn("p_value", t_pvalue_of(ratio(F.col("coefficient"), F.col("std_error")), dof.cast("double")))
+    return _with_t_pvalue(rows, ratio(F.col("coefficient"), F.col("std_error")), dof)
 
 
 def fold_of(pos: Column, n: Column, folds: int) -> Column:
@@ -384,7 +392,7 @@ def mann_kendall(series: DataFrame, keys: Sequence[str] = KEYS, time: str = "tim
     )
     out = out.withColumn("var_s", n * (n - 1) * (2 * n + 5) / 18).withColumn("z", F.when(F.col("var_s") > 0, z).otherwise(0.0))
     label = F.when(F.col("z") > 1.96, "increasing").when(F.col("z") < -1.96, "decreasing").otherwise("no trend")
-    return out.withColumns({"trend": label, "p_value": normal_pvalue_of("z")})
+    return out.withColumns({"trend": label, "p_value": F.expr(normal_pvalue("z"))})
 
 
 def _regression_on_position(series: DataFrame, keys, time, value, least):
@@ -405,7 +413,7 @@ def linear_trend(series: DataFrame, keys: Sequence[str] = KEYS, time: str = "tim
     dof = F.col("n") - 2
     t = F.when(F.col("r2") < 1, F.sqrt(F.col("r2") * dof / (1 - F.col("r2")))).otherwise(F.lit(float("inf")))
     direction = F.when(F.col("slope") > 0, "increasing").when(F.col("slope") < 0, "decreasing").otherwise("stable")
-    return stats.withColumns({"direction": direction, "p_value": t_pvalue_of(t, dof.cast("double"))})
+    return _with_t_pvalue(stats.withColumn("direction", direction), t, dof)
 
 
 def trend_line(series: DataFrame, keys: Sequence[str] = KEYS, time: str = "time", value: str = "value", least: int = 10) -> DataFrame:

@@ -28,7 +28,7 @@ from airgrid.core import (
 )
 from airgrid.core import block_window, halo_blocks
 from airgrid.functions.calendar import seconds, temporal_columns
-from airgrid.functions.special import normal_ppf_of
+from airgrid.functions.special import normal_ppf
 from airgrid.operators.aggregates import merge_on
 
 # fixed values: feature lags and windows
@@ -405,4 +405,5 @@ def qq_points(df: DataFrame, keys: Sequence[str] = KEYS, value: str = "value", t
     n, i = F.col("_n"), F.col("_pos") + 1
     edge = F.pow(F.lit(0.5), 1.0 / n)
     p = F.when(i == 1, 1 - edge).when(i == n, edge).otherwise((i - 0.3175) / (n + 0.365))
-    return rows.select(*keys, i.alias("order"), normal_ppf_of(p).alias("theoretical"), F.col(value).alias("ordered"))
+    rows = rows.withColumn("_p", p)
+    return rows.select(*keys, i.alias("order"), F.expr(normal_ppf("_p")).alias("theoretical"), F.col(value).alias("ordered"))

@@ -8,12 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from airgrid.functions.special import Engine
 from airgrid.plans.views import with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
+#: how the other engine folds and names values in the text of ``functions.special``
+DUCK = Engine(
+    lambda first, last, by, start, state, item, step: (
+        f"list_reduce(CAST(range({first}, {last} + ({by}), {by}) AS DOUBLE[]), lambda {state}, {item}: {step}, {start})"
+    ),
+    lambda name, value, body: f"list_transform([{value}], lambda {name}: {body})[1]",
+)
+
 
 def query(name: str, views: str = "", sql: str | None = None) -> Callable[[Query], Query]:
     def add(fn: Query) -> Query:

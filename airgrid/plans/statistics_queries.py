@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from airgrid import KEYS
+from airgrid.functions import special
 from airgrid.operators import aggregates as A
 from airgrid.operators import align as L
 from airgrid.operators import statistics as S
@@ -11,7 +12,7 @@ from airgrid.operators.ordering import concordance
 from airgrid.operators.slicing import filter_cloud_cover, filter_dates
 from airgrid.plans import views as V
 from airgrid.plans.aggregate_queries import FENCES, K, LOWERED, MASKED, lowered, masked
-from airgrid.plans.registry import query, r, rounded
+from airgrid.plans.registry import DUCK, query, r, rounded
 
 VARS = ["no2", "so2", "co", "o3"]
 THREE = ["no2", "so2", "co"]
@@ -219,12 +220,32 @@ def _(spark, sf):
 # ------------------------------------------------------------------ statistics
 
 
-@query("D2_mean_ci")
+@query(
+    "D2_mean_ci",
+    "series",
+    f"""WITH s AS (SELECT {K}, count(value) AS n, avg(value) AS mean, stddev_samp(value)/sqrt(count(value)) AS sem FROM series GROUP BY 1, 2),
+        d AS (SELECT *, CAST(n - 1 AS DOUBLE) AS dof FROM s WHERE n >= 30),
+        h AS (SELECT *, sem*{special.t_quantile((1 + 0.95) / 2, 'dof', DUCK)} AS half FROM d)
+        SELECT {K}, n, {r('mean', 'sem', 'ci_low=mean-half', 'ci_high=mean+half')} FROM h""",
+)
 def _(spark, sf):
     return rounded(S.mean_ci(V.series(spark, sf)))
 
 
-@query("D3_anderson_darling")
+_CRITICAL = ", ".join(
+    f"round({v!r}/(1 + 4e0/n - 25e0/n/n), 3) + 0.0 AS critical_{k}" for k, v in S.ANDERSON_CRITICAL.items()
+)
+
+
+@query(
+    "D3_anderson_darling",
+    "series",
+    f"""WITH p AS (SELECT {K}, count(*) OVER k AS n, row_number() OVER (k ORDER BY value, time) AS i,
+          (value - avg(value) OVER k)/stddev_samp(value) OVER k AS z FROM series WHERE value IS NOT NULL WINDOW k AS (PARTITION BY {K})),
+        a AS (SELECT {K}, max(n) AS n, -max(n) - sum((2*i - 1)*{special.log_normal_cdf('z')}
+          + (2*(n - i) + 1)*{special.log_normal_cdf('(-z)')})/max(n) AS statistic FROM p GROUP BY 1, 2)
+        SELECT {K}, n, {r('statistic')}, {_CRITICAL} FROM a""",
+)
 def _(spark, sf):
     return rounded(S.anderson_darling(V.series(spark, sf), tiebreak=["time"]))
 
@@ -278,7 +299,17 @@ def _(spark, sf):
     return rounded(S.correlation_pairs(L.align_inner(s, ["no2", "so2"]), ["no2", "so2"], "kendall"))
 
 
-@query("H2_correlation_significance")
+_PEARSON = _full_sql(_pair_sql("daily", "corr({a}, {b}) AS r, count(*) AS n")).replace("round(r, 6) + 0.0 AS r", "r")
+
+
+@query(
+    "H2_correlation_significance",
+    "daily",
+    f"""WITH m AS (WITH {_PEARSON}),
+        t AS (SELECT *, CAST(n - 2 AS DOUBLE) AS dof, CASE WHEN abs(r) >= 1 THEN CAST('inf' AS DOUBLE) ELSE r*sqrt((n - 2)/(1 - r*r)) END AS t FROM m),
+        p AS (SELECT *, {special.t_pvalue('t', 'dof', DUCK)} AS p_value FROM t)
+        SELECT dataset_id, variable_a, variable_b, n, {r('r', 't', 'p_value')}, p_value < 0.05 AS significant FROM p""",
+)
 def _(spark, sf):
     return rounded(S.correlation_significance(wide(spark, sf), VARS))
 
@@ -292,18 +323,18 @@ _MK = f"""s AS (SELECT {K}, row_number() OVER (PARTITION BY {K} ORDER BY time) A
 
 
 def _mk_sql(view):
-    return f"""WITH {_MK.replace('event_series', view)} SELECT {K}, n, s, {r('var_s', 'z')},
+    return f"""WITH {_MK.replace('event_series', view)} SELECT {K}, n, s, {r('var_s', 'z', 'p_value=' + special.normal_pvalue('z'))},
         CASE WHEN z > 1.96 THEN 'increasing' WHEN z < -1.96 THEN 'decreasing' ELSE 'no trend' END AS trend FROM y"""
 
 
 @query("H3_mann_kendall", "series", _mk_sql("series"))
 def _(spark, sf):
-    return rounded(S.mann_kendall(V.series(spark, sf)).drop("p_value"))
+    return rounded(S.mann_kendall(V.series(spark, sf)))
 
 
 @query("H3_mann_kendall_events", "event_series", _mk_sql("event_series"))
 def _(spark, sf):
-    return rounded(S.mann_kendall(V.event_series(spark, sf)).drop("p_value"))
+    return rounded(S.mann_kendall(V.event_series(spark, sf)))
 
 
 _POS = f"o AS (SELECT *, row_number() OVER (PARTITION BY {K} ORDER BY time) - 1 AS i FROM gappy WHERE value IS NOT NULL)"
@@ -314,12 +345,14 @@ _REGR = f"""{_POS}, f AS (SELECT {K}, regr_slope(value, i) AS slope, regr_interc
 @query(
     "H4_linear_trend",
     "gappy",
-    f"""WITH {_REGR} SELECT {K}, n, round(slope, 9) + 0.0 AS slope, {r('intercept', 'r2')}, CASE WHEN slope > 0 THEN 'increasing'
-        WHEN slope < 0 THEN 'decreasing' ELSE 'stable' END AS direction FROM f""",
+    f"""WITH {_REGR}, t AS (SELECT *, CAST(n - 2 AS DOUBLE) AS dof,
+          CASE WHEN r2 < 1 THEN sqrt(r2*(n - 2)/(1 - r2)) ELSE CAST('inf' AS DOUBLE) END AS t FROM f)
+        SELECT {K}, n, round(slope, 9) + 0.0 AS slope, {r('intercept', 'r2', 'p_value=' + special.t_pvalue('t', 'dof', DUCK))},
+        CASE WHEN slope > 0 THEN 'increasing' WHEN slope < 0 THEN 'decreasing' ELSE 'stable' END AS direction FROM t""",
 )
 def _(spark, sf):
-    t = S.linear_trend(V.gappy(spark, sf)).drop("p_value")
-    return t.withColumns({"slope": F.round("slope", 9) + 0.0, "intercept": F.round("intercept", 6), "r2": F.round("r2", 6)})
+    t = S.linear_trend(V.gappy(spark, sf))
+    return rounded(t.drop("slope")).join(t.select(*KEYS, (F.round("slope", 9) + 0.0).alias("slope")), list(KEYS))
 
 
 @query(
@@ -356,11 +389,13 @@ _SIMPLE = " UNION ALL ".join(
 @query(
     "H6_simple_regressions",
     "daily",
-    f"""WITH f AS ({_SIMPLE}) SELECT dataset_id, predictor, target, n, {r('coefficient', 'intercept', 'r2', 'mse', 'rmse=sqrt(mse)',
-        'std_error=sqrt(mse/((n-2)*vx))')} FROM f WHERE n >= 10""",
+    f"""WITH f AS ({_SIMPLE}), e AS (SELECT *, sqrt(mse/((n-2)*vx)) AS std_error, CAST(n - 2 AS DOUBLE) AS dof FROM f WHERE n >= 10),
+        t AS (SELECT *, coefficient/std_error AS t FROM e)
+        SELECT dataset_id, predictor, target, n, {r('coefficient', 'intercept', 'r2', 'mse', 'rmse=sqrt(mse)', 'std_error',
+        'p_value=' + special.t_pvalue('t', 'dof', DUCK))} FROM t""",
 )
 def _(spark, sf):
-    return rounded(S.simple_regressions(wide(spark, sf), THREE).drop("p_value"))
+    return rounded(S.simple_regressions(wide(spark, sf), THREE))
 
 
 @query("H7_multiple_regression")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from airgrid import KEYS
 from airgrid.core import average_rank
+from airgrid.functions import special
 from airgrid.operators import aggregates as A
 from airgrid.operators import windows as W
 from airgrid.plans import views as V
@@ -219,7 +220,14 @@ def _(spark, sf):
     return rounded(A.cdf(hist))
 
 
-@query("E17_qq_points")
+@query(
+    "E17_qq_points",
+    "series",
+    f"""WITH o AS (SELECT {K}, value, count(*) OVER (PARTITION BY {K}) AS n, row_number() OVER (PARTITION BY {K} ORDER BY value, time) AS i
+          FROM series WHERE value IS NOT NULL),
+        p AS (SELECT *, CASE WHEN i = 1 THEN 1 - pow(0.5, 1e0/n) WHEN i = n THEN pow(0.5, 1e0/n) ELSE (i - 0.3175)/(n + 0.365) END AS p FROM o)
+        SELECT {K}, i AS "order", {r('theoretical=' + special.normal_ppf('p'), 'ordered=value')} FROM p""",
+)
 def _(spark, sf):
     return rounded(W.qq_points(V.series(spark, sf), tiebreak=["time"]))
 

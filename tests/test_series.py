@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -121,12 +122,46 @@ def test_histogram_of_constant_uses_middle_bin(spark):
     assert [(r.bin, r["count"]) for r in out] == [(5, 3)]
 
 
-def test_special_functions():
-    assert special.t_two_sided(2.0, 10) == pytest.approx(0.0733880348, rel=1e-8)
-    assert special.t_quantile(0.975, 10) == pytest.approx(2.2281388520, rel=1e-9)
-    assert special.t_quantile(0.975, 1e6) == pytest.approx(1.95996, rel=1e-4)
-    assert special.normal_cdf(1.96) == pytest.approx(0.9750021049, rel=1e-9)
-    assert special.log_normal_cdf(-34.999) == pytest.approx(special.log_normal_cdf(-35.001), rel=1e-3)
+def evaluated(spark, rows, schema, text):
+    return [r[0] for r in spark.createDataFrame(rows, schema).select(F.expr(text)).collect()]
+
+
+def test_normal_distribution(spark):
+    z = [*np.linspace(-37, 8, 181), 0.0, 0.6628, -0.6629, 1e-9]
+    rows = [(float(v),) for v in z]
+    assert evaluated(spark, rows, "z double", special.normal_cdf("z")) == pytest.approx([0.5 * math.erfc(-v / math.sqrt(2)) for v in z], rel=1e-11, abs=1e-305)
+    assert evaluated(spark, rows, "z double", special.normal_pvalue("z")) == pytest.approx([math.erfc(abs(v) / math.sqrt(2)) for v in z], rel=1e-11, abs=1e-305)
+    logs = evaluated(spark, [*rows, (-1e4,), (None,)], "z double", special.log_normal_cdf("z"))
+    assert logs[: len(z)] == pytest.approx([math.log(0.5 * math.erfc(-v / math.sqrt(2))) for v in z], rel=1e-10, abs=1e-15)
+    assert logs[-2] == pytest.approx(-0.5e8 - math.log(1e4 * math.sqrt(2 * math.pi)), rel=1e-12) and logs[-1] is None
+    p = [1e-300, 1e-12, 0.01, 0.0749, 0.075, 0.3, 0.5, 0.7, 0.925, 0.99, 1 - 1e-12]
+    got = evaluated(spark, [(v,) for v in [*p, 0.0, 1.0]], "p double", special.normal_ppf("p"))
+    assert got[: len(p)] == pytest.approx([NormalDist().inv_cdf(v) for v in p], rel=1e-13, abs=1e-15) and got[-2:] == [None, None]
+
+
+def t_tail(t, df, steps=200_000):
+    """P(|T| >= t) by the midpoint rule over the angle whose tangent is t / sqrt(df)."""
+    edge = math.atan(abs(t) / math.sqrt(df))
+    weight = lambda a, b: float(np.sum(np.cos(a + (b - a) * (np.arange(steps) + 0.5) / steps) ** (df - 1)) * (b - a) / steps)
+    rest, body = weight(edge, math.pi / 2), weight(0.0, edge)
+    return rest / (rest + body)
+
+
+def test_t_distribution(spark):
+    cases = [(t, d) for t in (0.0, 0.3, -1.2, 1.7, 2.5, 9.0) for d in (1.0, 2.0, 7.5, 30.0, 1_000.0, 1_001.0, 5_000.0)]
+    got = evaluated(spark, cases, "t double, d double", special.t_pvalue("t", "d"))
+    assert got == pytest.approx([t_tail(t, d) for t, d in cases], rel=1e-6, abs=1e-12)
+    # closed forms at one and two degrees of freedom
+    ends = evaluated(spark, [(3.0, 1.0), (3.0, 2.0)], "t double, d double", special.t_pvalue("t", "d"))
+    assert ends == pytest.approx([1 - 2 * math.atan(3.0) / math.pi, 1 - 3 / math.sqrt(11)], rel=1e-12)
+    far = evaluated(spark, [(math.inf, 5.0), (2.0, 0.0), (None, 3.0)], "t double, d double", special.t_pvalue("t", "d"))
+    assert far == [0.0, None, None]
+
+
+def test_t_quantile(spark):
+    rows = [(d,) for d in (1.0, 2.0, 10.0, 1e6)]
+    got = evaluated(spark, rows, "d double", special.t_quantile(0.975, "d"))
+    assert got == pytest.approx([math.tan(math.pi * 0.475), 4.302652729749464, 2.2281388519862744, 1.9599663569], rel=1e-9)
 
 
 def test_anderson_darling_separates_normal_from_exponential(spark):
@@ -136,7 +171,7 @@ def test_anderson_darling_separates_normal_from_exponential(spark):
     assert normal.statistic < normal.critical_1 < skewed.statistic
     z = np.sort((lambda v: (v - v.mean()) / v.std(ddof=1))(np.random.default_rng(2).normal(size=300)))
     i = np.arange(1, 301)
-    cdf = np.array([special.normal_cdf(v) for v in z])
+    cdf = np.array([NormalDist().cdf(v) for v in z])
     want = -300 - np.mean((2 * i - 1) * (np.log(cdf) + np.log(1 - cdf[::-1])))
     assert normal.statistic == pytest.approx(want, rel=1e-9)
 
@@ -241,13 +276,14 @@ def test_mann_kendall_monotone(spark):
     assert (flat.s, flat.z, flat.trend) == (0, 0.0, "no trend")
 
 
-@pytest.mark.parametrize("df", [5.0, 1e4, 1e10, 1e13, 1e15])
-def test_t_distribution_keeps_its_digits(df):
-    from airgrid.functions.special import t_two_sided
-
-    assert t_two_sided(0.0, df) == pytest.approx(1.0)
-    if df >= 1e10:  # the normal distribution
-        assert t_two_sided(1.7, df) == pytest.approx(math.erfc(1.7 / math.sqrt(2)), rel=1e-9)
+def test_t_distribution_keeps_its_digits(spark):
+    rows = [(t, df) for df in (5.0, 1e4, 1e10, 1e13, 1e15) for t in (0.0, 1.7)]
+    got = dict(zip(rows, evaluated(spark, rows, "t double, d double", special.t_pvalue("t", "d")), strict=True))
+    for (t, df), p in got.items():
+        if t == 0.0:
+            assert p == pytest.approx(1.0)
+        elif df >= 1e10:  # the normal distribution
+            assert p == pytest.approx(math.erfc(1.7 / math.sqrt(2)), rel=1e-9)
 
 
 def test_days_with_several_rows(spark):
