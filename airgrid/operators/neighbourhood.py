@@ -386,14 +386,19 @@ def morans_i(
 
 
 def spatial_consistency(
-    cube: DataFrame, shape: Shape, factor: float = 10.0, keys: Sequence[str] = KEYS, time: str = "time", value: str = "value"
-) -> DataFrame:
-    """Largest gradient of the time-mean image against ``factor`` standard deviations of the data."""
+    cube: DataFrame, shape: Shape, factor: float = 10.0, keys: Sequence[str] = KEYS, time: str = "time", value: str = "value",
+    spread: DataFrame | None = None,
+) -> DataFrame:
+    """Largest gradient of the time-mean image against ``factor`` standard deviations of the data.
+
+    ``spread`` gives the deviations (``keys, std``) where the caller has them.
+    """
     image = time_mean(cube, keys, value).withColumn("_image", F.lit(1))
     steep = F.greatest(F.abs("grad_y"), F.abs("grad_x"))
     top = gradient(image, shape, keys, "_image", value).groupBy(*keys).agg(F.max(steep).alias("max_gradient"))
-    spread_ = cube.groupBy(*keys).agg(F.stddev_pop(value).alias("std"))
-    out = merge_on(top, spread_, keys)
+    if spread is None:
+        spread = cube.groupBy(*keys).agg(F.stddev_pop(value).alias("std"))
+    out = merge_on(top, spread, keys)
     return out.withColumn("inconsistent", F.coalesce(F.col("max_gradient") > factor * F.col("std"), F.lit(False)))
 
 

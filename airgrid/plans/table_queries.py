@@ -16,7 +16,7 @@ from airgrid.operators import validation as Q
 from airgrid.operators import windows as W
 from airgrid.plans import views as V
 from airgrid.plans.aggregate_queries import K, LOWERED, MASKED, hist_sql, lowered, masked
-from airgrid.plans.grid_queries import SHAPE
+from airgrid.plans.grid_queries import SHAPE, gradient_sql
 from airgrid.plans.registry import query, r, rounded
 from airgrid.plans.scratch import scratch_path
 from airgrid.plans.window_queries import PLAN, SPLIT_SQL, TREND_SQL, matrix_layers, matrix_sql, matrix_stats
@@ -350,7 +350,47 @@ def _(spark, sf):
     return Q.report(checks).drop("results")
 
 
-@query("M13_validate_cube")
+_CUBE_CHECKS = [
+    check_sql("f", "'latitude_coordinates'", "lat_a < -90 OR lat_b > 90", "failed", "warning"),
+    check_sql("f", "'longitude_coordinates'", "lon_a < -180 OR lon_b > 180", "failed", "warning"),
+    check_sql("cover", "'all_nan_' || variable", "valid = 0", "failed", "critical"),
+    check_sql("cover", "'data_coverage_' || variable", "valid > 0 AND valid/total < 0.5", "partial", "warning"),
+    check_sql("ranged", "'range_validation_' || variable", "beyond > 0", "warning", "warning"),
+    check_sql("cover", "'product_validation_' || variable", "variable NOT IN ('no2', 'so2', 'co', 'o3', 'aod')", "partial", "warning"),
+    check_sql("f", "'spatial_coverage'", " OR ".join(
+        [f"lat_a > {V.BBOX['south']!r}", f"lat_b < {V.BBOX['north']!r}", f"lon_a > {V.BBOX['west']!r}", f"lon_b < {V.BBOX['east']!r}"]
+    ), "warning", "warning"),
+    check_sql("steep", "'spatial_consistency_' || variable", "g > 10*sd", "warning", "warning"),
+    check_sql("gaps", "'temporal_gaps'", "large > 0", "warning", "warning"),
+    check_sql("sc", "'overall_quality'", "score < 0.7", "failed", "error"),
+    check_sql("cover", "'gee_coverage_' || variable", "valid/total < 0.7", "warning", "warning"),
+]
+
+
+@query(
+    "M13_validate_cube",
+    "grid",
+    f"""WITH {MASKED}, {COVER}, sc AS (SELECT dataset_id, avg(valid/total) AS score FROM cover GROUP BY 1),
+        f AS (SELECT dataset_id, min(lat) AS lat_a, max(lat) AS lat_b, min(lon) AS lon_a, max(lon) AS lon_b FROM masked GROUP BY 1),
+        ranged AS (SELECT {K}, count(*) FILTER (WHERE value < lo OR value > hi) AS beyond FROM masked
+          JOIN (VALUES ('no2', 0.0, 100.0), ('so2', 0.0, 50.0), ('co', 0.0, 0.1), ('o3', 0.0, 0.5), ('aod', 0.0, 5.0)) q(v, lo, hi) ON variable = v GROUP BY 1, 2),
+        image AS MATERIALIZED (SELECT {K}, TIMESTAMP '2000-01-01' AS time, y, x, avg(value) AS value FROM masked GROUP BY {K}, y, x),
+        {gradient_sql('image')},
+        top AS (SELECT {K}, max(greatest(abs(grad_y), abs(grad_x))) AS g FROM grad GROUP BY 1, 2),
+        sd AS (SELECT {K}, stddev_pop(value) AS sd FROM masked GROUP BY 1, 2),
+        steep AS (SELECT top.dataset_id, top.variable, g, sd FROM top JOIN sd ON top.dataset_id = sd.dataset_id AND top.variable = sd.variable),
+        st AS (SELECT dataset_id, epoch(time) - epoch(lag(time) OVER (PARTITION BY dataset_id ORDER BY time)) AS step
+          FROM (SELECT DISTINCT dataset_id, time FROM masked)),
+        md AS (SELECT dataset_id, quantile_cont(step, .5) AS med FROM st WHERE step IS NOT NULL GROUP BY 1),
+        gaps AS (SELECT st.dataset_id, count(*) FILTER (WHERE step > 2*med) AS large FROM st JOIN md ON st.dataset_id = md.dataset_id GROUP BY 1),
+        res AS ({' UNION ALL '.join(_CUBE_CHECKS)})
+        SELECT dataset_id, count(*) AS total_checks, count(*) FILTER (WHERE status = 'passed') AS passed_checks,
+        count(*) FILTER (WHERE status = 'failed') AS failed_checks, count(*) FILTER (WHERE status = 'partial') AS partial_checks,
+        count(*) FILTER (WHERE level = 'warning') AS warnings, count(*) FILTER (WHERE level = 'error') AS errors,
+        count(*) FILTER (WHERE level = 'critical') AS critical,
+        CASE WHEN count(*) FILTER (WHERE level IN ('critical', 'error')) > 0 THEN 'failed' WHEN count(*) FILTER (WHERE status = 'failed') > 0 THEN 'partial'
+          ELSE 'passed' END AS overall_status FROM res GROUP BY 1""",
+)
 def _(spark, sf):
     cube = masked(spark, sf)
     return Q.report(Q.validate_cube(cube, V.BBOX, SHAPE, source="gee")).drop("results")

@@ -108,6 +108,38 @@ def test_checks_fire_and_pass(spark):
     assert out["spatial_coverage"] == "passed" and out["overall_quality"] == "passed" and out["all_nan_no2"] == "passed"
 
 
+def check_rows(df):
+    return sorted((r.dataset_id, r.test_name, r.status, r.level, r.message, sorted((r.details or {}).items())) for r in df.collect())
+
+
+def test_one_aggregation_serves_all_checks(spark):
+    box = {"south": 33.5, "north": 34.5, "west": 72.5, "east": 73.5}
+    rows = [
+        (d, v, None if t == 5 else T0 + dt.timedelta(days=t), y, x, 33.0 + y, 72.0 + x, None if v == "gone" or (t + y) % 3 == 0 else 50.0 * t)
+        for d in ("a", "b") for v in ("no2", "gone", "odd_qa") for t in (0, 1, 2, 5) for y in range(3) for x in range(3)
+    ]
+    cube = spark.createDataFrame(rows, CUBE)
+    datasets = spark.createDataFrame([("a",), ("empty",)], "dataset_id string")
+    required = spark.createDataFrame([("a", "no2"), ("a", "aod"), ("c", "co")], "dataset_id string, variable string")
+    for source in ("sentinel5p", "modis", "gee"):
+        alone = [
+            Q.check_coordinates(cube), Q.check_all_null(cube), Q.check_coverage(cube), Q.check_range(cube), Q.check_product(cube),
+            Q.check_region(cube, box), Q.check_gradients(cube, (3, 3)), Q.check_time_gaps(cube), Q.check_quality_score(cube),
+            Q.check_empty(cube, datasets), Q.check_required(cube, required), Q.check_source(cube, source),
+        ]
+        together = Q.validate_cube(cube, box, (3, 3), datasets, required, source)
+        assert check_rows(together) == sorted(row for df in alone for row in check_rows(df))
+    assert check_rows(Q.validate_cube(cube.limit(0), box, (3, 3))) == []
+
+
+def test_checks_ask_for_one_table_per_grain(spark):
+    cube = spark.createDataFrame([("d", "no2", T0, 0, 0, 33.0, 72.0, 1.0)], CUBE)
+    tables = Q.gathered_facts(cube, [Q.coverage_check(), Q.coordinates_check(), Q.time_gaps_check()])
+    assert set(tables) == {("dataset_id", "variable"), ("dataset_id",), ("dataset_id", "time")}
+    # one check alone is gathered at its own grain
+    assert Q.gathered_facts(cube, [Q.coordinates_check()])[("dataset_id",)].columns[0] == "dataset_id"
+
+
 def test_grid_consistency_sees_falling_axes(spark):
     rows = [("up", "v", T0, y, 0, 33.0 + y, 72.0, 1.0) for y in range(3)] + [("down", "v", T0, y, 0, 35.0 - y, 72.0, 1.0) for y in range(3)]
     out = Q.grid_consistency(spark.createDataFrame(rows, CUBE), {"south": 30, "north": 31, "west": 70, "east": 80}).collect()
