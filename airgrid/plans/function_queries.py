@@ -1,5 +1,7 @@
 """Queries for column functions and variable-wide transforms."""
 
+import math
+
 from pyspark.sql import functions as F
 
 from airgrid import KEYS
@@ -81,7 +83,24 @@ def _(spark, sf):
     return z.select("point_id", "zone", geo.utm_epsg(F.col("zone"), F.col("point_id") % 2 == 0).alias("epsg"))
 
 
-@query("C6_to_utm")
+def utm_sql(source: str, keep: str) -> str:
+    """CTE ``utm`` with easting and northing of ``source(lat, lon, zone)``, step by step."""
+    e = 2 * math.sqrt(geo._N) / (1 + geo._N)
+    k = geo.UTM_SCALE * geo._RECTIFYING
+    east = " + ".join(f"{a!r}*cos({2 * j}*xi)*sinh({2 * j}*eta)" for j, a in enumerate(geo._ALPHA, start=1))
+    north = " + ".join(f"{a!r}*sin({2 * j}*xi)*cosh({2 * j}*eta)" for j, a in enumerate(geo._ALPHA, start=1))
+    return f"""u0 AS (SELECT *, sin(radians(lat)) AS s, radians(lon - (zone*6 - 183)) AS dl FROM {source}),
+        u1 AS (SELECT *, sinh(atanh(s) - {e!r}*atanh({e!r}*s)) AS t FROM u0),
+        u2 AS (SELECT *, atan2(t, cos(dl)) AS xi, atanh(sin(dl)/sqrt(1 + t*t)) AS eta FROM u1),
+        utm AS (SELECT {keep}, 500000e0 + {k!r}*(eta + {east}) AS easting, CASE WHEN lat < 0 THEN 1e7 ELSE 0 END + {k!r}*(xi + {north}) AS northing FROM u2)"""
+
+
+@query(
+    "C6_to_utm",
+    "points",
+    f"""WITH {NUMERIC_POINTS}, z AS (SELECT *, CAST(trunc((lon+180)/6) AS INTEGER)+1 AS zone FROM np), {utm_sql('z', 'point_id')}
+        SELECT point_id, {r('easting', 'northing', places=3)} FROM utm""",
+)
 def _(spark, sf):
     p = _numeric_points(spark, sf)
     e, n = geo.to_utm(F.col("lat"), F.col("lon"), geo.utm_zone(F.col("lon")))

@@ -75,12 +75,37 @@ def _(spark, sf):
     return _cells(N.dos_correct(V.grid(spark, sf)))
 
 
-@query("G2_haze_remove")
+def haze_sql(view: str) -> str:
+    """CTE ``clear``: the blur as two sums over mirrored weights, first along y, then along x, over existing cells."""
+
+    def weights(axis: str, n: int) -> str:
+        turn = 2 * (n - 1)
+        at = f"((({axis} + d) % {turn}) + {turn}) % {turn}"
+        return f"""w{axis} AS (SELECT {axis}, src, sum(k) AS w FROM (SELECT {axis}, k, least({at}, {turn} - {at}) AS src
+          FROM range({n}) t({axis}), taps) GROUP BY 1, 2)"""
+
+    return f"""taps AS (SELECT d, exp(-0.5*pow(d/CAST({N.SIGMA51!r} AS DOUBLE), 2)) AS k FROM range(-25, 26) t(d)),
+      {weights('y', V.NY)}, {weights('x', V.NX)},
+      tall AS (SELECT {K}, time, wy.y, x, sum(w*value) AS total, sum(CASE WHEN value IS NOT NULL THEN w END) AS weight
+        FROM {view} v JOIN wy ON v.y = wy.src GROUP BY ALL),
+      blurred AS (SELECT {K}, time, y, wx.x, sum(w*total)/sum(w*weight) AS back FROM tall JOIN wx ON tall.x = wx.src GROUP BY ALL),
+      clear AS (SELECT v.dataset_id, v.variable, v.time, v.y, v.x, CASE WHEN value IS NOT NULL THEN greatest(value - 0.5*back, 0) END AS value
+        FROM {view} v JOIN blurred b ON v.dataset_id = b.dataset_id AND v.variable = b.variable AND v.time = b.time AND v.y = b.y AND v.x = b.x)"""
+
+
+@query("G2_haze_remove", "grid", f"WITH {haze_sql('grid')} SELECT {CELL}, {r('value')} FROM clear")
 def _(spark, sf):
     return _cells(N.haze_remove(V.grid(spark, sf), SHAPE))
 
 
-@query("G3_combined_correct")
+@query(
+    "G3_combined_correct",
+    "grid",
+    f"""WITH d AS (SELECT {K}, time, quantile_cont(value, .01) AS dark FROM grid GROUP BY 1, 2, 3),
+        dark AS MATERIALIZED (SELECT g.dataset_id, g.variable, g.time, y, x, greatest(value-dark, 0) AS value
+          FROM grid g JOIN d ON g.dataset_id = d.dataset_id AND g.variable = d.variable AND g.time = d.time), {haze_sql('dark')}
+        SELECT {CELL}, {r('value')} FROM clear""",
+)
 def _(spark, sf):
     return _cells(N.combined_correct(V.grid(spark, sf), SHAPE))
 

@@ -1,9 +1,11 @@
 """Queries for alignment, correlation, trend and anomaly operators."""
 
+import math
+
 from pyspark.sql import functions as F
 
 from airgrid import KEYS
-from airgrid.functions import special
+from airgrid.functions import geo, special
 from airgrid.operators import aggregates as A
 from airgrid.operators import align as L
 from airgrid.operators import statistics as S
@@ -163,9 +165,46 @@ def _(spark, sf):
     return rounded(L.align_to_reference(masked(spark, sf), V.BBOX, (V.NY, V.NX), _REF))
 
 
-@query("F10_reproject")
-def _(spark, sf):
-    return rounded(L.reproject(masked(spark, sf), V.BBOX, (V.NY, V.NX), 43, 40_000.0))
+_ZONE, _CELL_METRES = 43, 40_000.0
+
+
+def _utm_frame() -> tuple[float, float, int, int]:
+    """West and south end and the size of the UTM grid around the box, from points along its outline."""
+    k, e = geo.UTM_SCALE * geo._RECTIFYING, 2 * math.sqrt(geo._N) / (1 + geo._N)
+    steps, easts, norths = [i / 32 for i in range(33)], [], []
+    for a in steps:
+        for b in steps if a in (0.0, 1.0) else (0.0, 1.0):
+            lat, lon = V.BBOX["south"] + a * (V.BBOX["north"] - V.BBOX["south"]), V.BBOX["west"] + b * (V.BBOX["east"] - V.BBOX["west"])
+            s, dl = math.sin(math.radians(lat)), math.radians(lon - (_ZONE * 6 - 183))
+            t = math.sinh(math.atanh(s) - e * math.atanh(e * s))
+            xi, eta = math.atan2(t, math.cos(dl)), math.atanh(math.sin(dl) / math.sqrt(1 + t * t))
+            terms = list(enumerate(geo._ALPHA, start=1))
+            easts.append(geo.FALSE_EASTING + k * (eta + sum(c * math.cos(2 * j * xi) * math.sinh(2 * j * eta) for j, c in terms)))
+            norths.append(k * (xi + sum(c * math.sin(2 * j * xi) * math.cosh(2 * j * eta) for j, c in terms)))
+    size = lambda v: int((max(v) - min(v)) / _CELL_METRES) + 1
+    return min(easts), min(norths), size(norths), size(easts)
+
+
+def _reproject_sql() -> str:
+    west, south, my, mx = _utm_frame()
+    k = geo.UTM_SCALE * geo._RECTIFYING
+    xi, eta = f"(({south!r} + y*{_CELL_METRES!r})/{k!r})", f"(({west!r} + x*{_CELL_METRES!r} - 500000e0)/{k!r})"
+    xp = f"({xi}" + "".join(f" - ({b!r})*sin({2 * j}*{xi})*cosh({2 * j}*{eta})" for j, b in enumerate(geo._BETA, start=1)) + ")"
+    ep = f"({eta}" + "".join(f" - ({b!r})*cos({2 * j}*{xi})*sinh({2 * j}*{eta})" for j, b in enumerate(geo._BETA, start=1)) + ")"
+    chi = f"asin(sin({xp})/cosh({ep}))"
+    lat = f"degrees({chi}" + "".join(f" + ({d!r})*sin({2 * j}*{chi})" for j, d in enumerate(geo._DELTA, start=1)) + ")"
+    lon = f"({_ZONE * 6 - 183} + degrees(atan2(sinh({ep}), cos({xp}))))"
+    box = V.BBOX
+    sy = f"(lat - {box['south']!r})/CAST({box['north'] - box['south']!r} AS DOUBLE)*{V.NY - 1}"
+    sx = f"(lon - {box['west']!r})/CAST({box['east'] - box['west']!r} AS DOUBLE)*{V.NX - 1}"
+    inner = bilinear_sql(my, mx, sy, sx, lat, lon, f"sy BETWEEN 0 AND {V.NY - 1} AND sx BETWEEN 0 AND {V.NX - 1}")
+    return f"""WITH {MASKED}, placed AS (WITH {inner}) SELECT *,
+        {r(f'easting=CAST({west!r} + x*{_CELL_METRES!r} AS DOUBLE)', f'northing=CAST({south!r} + y*{_CELL_METRES!r} AS DOUBLE)')} FROM placed"""
+
+
+@query("F10_reproject", "grid", _reproject_sql())
+def _(spark, sf):
+    return rounded(L.reproject(masked(spark, sf), V.BBOX, (V.NY, V.NX), _ZONE, _CELL_METRES))
 
 
 @query(
