@@ -2,11 +2,11 @@
 
 Two mechanisms serve them all:
 
-* ``spread`` sends every cell to the cells whose window contains it and lets an aggregation combine
-  the contributions.  Cells are first brought together by tile, so that the partial aggregation folds
-  nearly all contributions before the second shuffle; everything runs in the JVM.
-* ``tile_map`` hands bounded tiles with a halo to a vectorised function, for windows whose
-  contributions do not add up (bilateral weights) or are too many (51 x 51).
+* ``stencils`` hands bounded tiles with a halo to a vectorised function, one exchange for any chain of windows
+  (kernels, medians, bilateral weights, the 51 x 51 blur);
+* ``spread`` sends every cell to the cells whose 3 x 3 window contains it and lets an aggregation combine
+  the contributions, for neighbour statistics that are aggregates anyway.  Cells are first brought together by
+  tile, so that the partial aggregation folds nearly all contributions before the second shuffle.
 
 The grid size is part of the operator's arguments, never derived from the observed cells.  Border
 rules are index arithmetic: ``symmetric`` repeats the edge cell, ``mirror`` does not, ``None`` leaves
@@ -15,13 +15,16 @@ the outside empty.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Callable, Iterable, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from airgrid import KEYS
 from airgrid.core import attach, by, exact_quantiles, ratio, running
@@ -31,6 +34,8 @@ from airgrid.operators.aggregates import merge_on, time_mean, with_bins
 from airgrid.operators.slicing import stride_sample
 
 TILE = 64
+#: dense cells that a task works on at once
+STACK = 1 << 20
 Shape = tuple[int, int]
 
 # fixed values: 5-tap Gaussian of the image library's size rule, and its sigma for 51 taps
@@ -97,23 +102,105 @@ def gather(
     return out.withColumns({n: F.col(f"_r_{n}") for n in results}).drop(*[f"_r_{n}" for n in results])
 
 
-def weighted(kernel: Sequence[Sequence[float]], value: str = "value", nulls: str = "propagate") -> Column:
-    """Kernel sum over a window; ``propagate`` needs every cell, ``skip`` renormalises over the valid ones."""
+def weighted(kernel: Sequence[Sequence[float]], value: str = "value") -> Column:
+    """Kernel sum over a window with all its cells, for ``gather``."""
     size = len(kernel)
     r = size // 2
     flat = F.array(*[F.lit(float(w)) for row in kernel for w in row])
     w = F.get(flat, (F.col("dy") + r) * size + F.col("dx") + r)
-    total = F.sum(w * F.col(value))
+    return F.when(F.count(value) == size * size, F.sum(w * F.col(value)))
+
+
+def stencils(
+    cube: DataFrame, fn: Callable[[np.ndarray, np.ndarray], Mapping[str, np.ndarray]], outputs: Sequence[str], halo: int, shape: Shape,
+    border: str | None = "mirror", tile: int = TILE, keys: Sequence[str] = KEYS, time: str = "time", value: str = "value",
+) -> DataFrame:
+    """Columns worked out from the tile around each cell, with one exchange for all of them.
+
+    ``fn`` receives a stack of dense tiles with their halo (NaN where there is no value) and one that says
+    where there is a cell; it returns stacks of the tiles alone, one per name in ``outputs``.  A cell is sent to
+    the tiles whose halo holds it, so a chain of windows needs the sum of their radii as its halo.
+    Tiles have a fixed size, whatever the slice; a task sorts its cells by tile and streams through them, so that
+    it holds a batch of rows and at most ``STACK`` dense cells, or one tile.  NaN becomes null.
+    """
+    rows = cube.withColumn("_v", F.col(value).cast("double"))
+    for axis, n in (("y", shape[0]), ("x", shape[1])):
+        last = (n - 1) // tile
+        rows = rows.withColumn(f"_p{axis}", F.explode(_positions(F.col(axis), n, halo, border)))
+        lo = F.greatest(F.floor((F.col(f"_p{axis}") - halo) / tile), F.lit(0))
+        hi = F.least(F.floor((F.col(f"_p{axis}") + halo) / tile), F.lit(last))
+        rows = rows.withColumn(f"_t{axis}", F.explode(F.sequence(lo.cast("int"), hi.cast("int"))))
+    columns = [c for c in cube.columns if c not in outputs]
+    # two hashes name a tile; they take note of nulls, which hashes skip
+    named = [*keys, time, "_ty", "_tx", *[F.col(k).isNull() for k in (*keys, time)]]
+    rows = rows.withColumns({"_g": F.xxhash64(*named), "_h": F.hash(*named)})
+    rows = rows.repartition(*keys, time, "_ty", "_tx").sortWithinPartitions("_g", "_h")
+    h, w = min(tile, shape[0]), min(tile, shape[1])
+    height, width = h + 2 * halo, w + 2 * halo
+
+    def worked(table: pa.Table, number: np.ndarray) -> pa.Table:
+        y, x, py, px, ty, tx, v = (table[c].to_numpy() for c in ("y", "x", "_py", "_px", "_ty", "_tx", "_v"))
+        dense = np.full((number[-1] + 1, height, width), np.nan)
+        present = np.zeros(dense.shape, bool)
+        at, to = py - ty * tile + halo, px - tx * tile + halo
+        reach = (at >= 0) & (at < height) & (to >= 0) & (to < width)
+        place = (number[reach], at[reach], to[reach])
+        dense[place], present[place] = v[reach], True
+        found = fn(dense, present)
+        own = (py == y) & (px == x) & (y // tile == ty) & (x // tile == tx)
+        core = table.filter(pa.array(own)).select(columns)
+        place = (number[own], (y - ty * tile)[own], (x - tx * tile)[own])
+        for name in outputs:
+            core = core.append_column(name, pa.array(found[name][place], pa.float64()))
+        return core
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        rest = None
+        for batch in itertools.chain(batches, [None]):
+            held = [t for t in (rest, None if batch is None else pa.Table.from_batches([batch])) if t is not None]
+            if not held or not (table := pa.concat_tables(held)).num_rows:
+                continue
+            g, k = table["_g"].to_numpy(), table["_h"].to_numpy()
+            starts = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (k[1:] != k[:-1])])
+            # the last tile may go on in the next batch
+            ends = np.r_[starts[1:], len(g)] if batch is None else starts[1:]
+            rest = table.slice(ends[-1] if len(ends) else 0)
+            step = max(1, STACK // (height * width))
+            for i in range(0, len(ends), step):
+                begin, end = starts[i], ends[min(i + step, len(ends)) - 1]
+                number = np.searchsorted(starts[i : i + step], np.arange(begin, end), "right") - 1
+                yield from worked(table.slice(begin, end - begin), number).to_batches()
+
+    kinds = T.StructType([cube.schema[c] for c in columns] + [T.StructField(n, T.DoubleType()) for n in outputs])
+    result = rows.mapInArrow(run, kinds)
+    order = [*cube.columns, *[n for n in outputs if n not in cube.columns]]
+    return result.withColumns({n: F.nanvl(F.col(n), F.lit(None)) for n in outputs}).select(*order)
+
+
+def correlated(dense: np.ndarray, kernel: Sequence[Sequence[float]], nulls: str) -> np.ndarray:
+    """Kernel sums over the windows inside the tiles of ``dense``; ``propagate`` needs every cell, ``skip`` renormalises over the valid ones."""
+    size = len(kernel)
+    h, w = dense.shape[1] - size + 1, dense.shape[2] - size + 1
+    valid = ~np.isnan(dense)
+    held = dense if nulls == "propagate" else np.where(valid, dense, 0.0)
+    total, weight = np.zeros((len(dense), h, w)), np.zeros((len(dense), h, w))
+    for i, row in enumerate(kernel):
+        for j, k in enumerate(row):
+            total += k * held[:, i : i + h, j : j + w]
+            if nulls != "propagate":
+                weight += k * valid[:, i : i + h, j : j + w]
     if nulls == "propagate":
-        return F.when(F.count(value) == size * size, total)
-    return ratio(total, F.sum(F.when(F.col(value).isNotNull(), w)))
+        return total
+    return np.where(weight != 0, total / np.where(weight != 0, weight, 1.0), np.nan)
 
 
 def convolve(
     cube: DataFrame, kernel: Sequence[Sequence[float]], shape: Shape, border: str = "symmetric", nulls: str = "propagate",
     keys: Sequence[str] = KEYS, time: str = "time", value: str = "value", out: str | None = None,
 ) -> DataFrame:
-    return gather(cube, len(kernel) // 2, shape, border, {out or value: weighted(kernel, value, nulls)}, keys, time, value)
+    name = out or value
+    fn = lambda dense, present: {name: correlated(dense, kernel, nulls)}
+    return stencils(cube, fn, [name], len(kernel) // 2, shape, border, TILE, keys, time, value)
 
 
 def neighbour_join(
@@ -152,50 +239,24 @@ def gaussian(
 def median3(
     cube: DataFrame, shape: Shape, nulls: str = "propagate", keys: Sequence[str] = KEYS, time: str = "time", value: str = "value"
 ) -> DataFrame:
-    """3 x 3 median; a window holds nine values at most."""
-    held = F.array_sort(F.collect_list(value))
-    n = F.size(held)
-    if nulls == "propagate":
-        middle = F.when(n == 9, F.get(held, F.lit(4)))
-    else:
-        middle = (F.get(held, F.floor((n - 1) / 2).cast("int")) + F.get(held, F.floor(n / 2).cast("int"))) / 2
-    return gather(cube, 1, shape, "symmetric", {value: middle}, keys, time, value)
+    """3 x 3 median; ``propagate`` needs all nine cells."""
+
+    def fn(dense: np.ndarray, present: np.ndarray) -> dict[str, np.ndarray]:
+        h, w = dense.shape[1] - 2, dense.shape[2] - 2
+        stack = np.sort(np.stack([dense[:, i : i + h, j : j + w] for i in range(3) for j in range(3)]), axis=0)  # NaN last
+        n = 9 - np.isnan(stack).sum(axis=0)
+        low, high = (np.take_along_axis(stack, k[None], axis=0)[0] for k in (np.maximum(n - 1, 0) // 2, n // 2 % 9))
+        return {value: np.where(n == 9, stack[4], np.nan) if nulls == "propagate" else (low + high) / 2}
+
+    return stencils(cube, fn, [value], 1, shape, "symmetric", TILE, keys, time, value)
 
 
 def tile_map(
     cube: DataFrame, fn: Callable[[np.ndarray], np.ndarray], halo: int, shape: Shape, border: str | None = "mirror", tile: int = TILE,
     keys: Sequence[str] = KEYS, time: str = "time", value: str = "value",
 ) -> DataFrame:
-    """Replace ``value`` by ``fn`` of the tile around it.
-
-    ``fn`` receives a dense array of the tile and its halo (NaN where there is no cell) and returns the
-    array of the tile alone.  Tiles have a fixed size, whatever the slice.
-    """
-    rows = cube
-    for axis, n in (("y", shape[0]), ("x", shape[1])):
-        last = (n - 1) // tile
-        rows = rows.withColumn(f"_p{axis}", F.explode(_positions(F.col(axis), n, halo, border)))
-        lo = F.greatest(F.floor((F.col(f"_p{axis}") - halo) / tile), F.lit(0))
-        hi = F.least(F.floor((F.col(f"_p{axis}") + halo) / tile), F.lit(last))
-        rows = rows.withColumn(f"_t{axis}", F.explode(F.sequence(lo.cast("int"), hi.cast("int"))))
-    columns = list(cube.columns)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        y0, x0 = int(pdf["_ty"].iloc[0]) * tile, int(pdf["_tx"].iloc[0]) * tile
-        h, w = min(tile, shape[0] - y0), min(tile, shape[1] - x0)
-        dense = np.full((h + 2 * halo, w + 2 * halo), np.nan)
-        py, px = pdf["_py"].to_numpy() - y0 + halo, pdf["_px"].to_numpy() - x0 + halo
-        reach = (py >= 0) & (py < h + 2 * halo) & (px >= 0) & (px < w + 2 * halo)
-        dense[py[reach], px[reach]] = pdf[value].to_numpy(float)[reach]
-        out = fn(dense)
-        own = (pdf["_py"] == pdf["y"]) & (pdf["_px"] == pdf["x"])
-        own &= pdf["y"].between(y0, y0 + h - 1) & pdf["x"].between(x0, x0 + w - 1)
-        core = pdf.loc[own, columns].copy()
-        core[value] = out[core["y"].to_numpy() - y0, core["x"].to_numpy() - x0]
-        return core
-
-    result = rows.groupBy(*keys, time, "_ty", "_tx").applyInPandas(run, cube.schema)
-    return result.withColumn(value, F.nanvl(F.col(value), F.lit(None)))
+    """Replace ``value`` by ``fn`` of the dense tile around it (see ``stencils``)."""
+    return stencils(cube, lambda dense, present: {value: np.stack([fn(t) for t in dense])}, [value], halo, shape, border, tile, keys, time, value)
 
 
 def blur_tile(taps: Sequence[float]) -> Callable[[np.ndarray], np.ndarray]:
@@ -279,13 +340,21 @@ def multiscale(
     cube: DataFrame, shape: Shape, levels: int = 4, nulls: str = "propagate", keys: Sequence[str] = KEYS, time: str = "time", value: str = "value"
 ) -> DataFrame:
     """Stack of repeated blurs; each difference of neighbouring levels is amplified a little more."""
-    kernel, out = outer(BINOMIAL5, BINOMIAL5), cube.withColumn("_g0", F.col(value))
-    for i in range(1, levels):
-        out = convolve(out, kernel, shape, "mirror", nulls, keys, time, f"_g{i - 1}", out=f"_g{i}")
-    total = F.col(f"_g{levels - 1}")
-    for i in range(levels - 1):
-        total = total + (F.col(f"_g{i}") - F.col(f"_g{i + 1}")) * (1.0 + 0.2 * (i / (levels - 1)))
-    return out.withColumn(value, total).drop(*[f"_g{i}" for i in range(levels)])
+    kernel, reach = outer(BINOMIAL5, BINOMIAL5), 2 * (levels - 1)
+
+    def fn(dense: np.ndarray, present: np.ndarray) -> dict[str, np.ndarray]:
+        stack = [dense]
+        for i in range(1, levels):
+            blurred = correlated(stack[-1], kernel, nulls)
+            # as a blur of a blur, each level has values only where the grid has cells
+            stack.append(np.where(present[:, 2 * i : present.shape[1] - 2 * i, 2 * i : present.shape[2] - 2 * i], blurred, np.nan))
+        inner = [g[:, m : g.shape[1] - m, m : g.shape[2] - m] for g, m in ((g, reach - 2 * i) for i, g in enumerate(stack))]
+        total = inner[-1]
+        for i in range(levels - 1):
+            total = total + (inner[i] - inner[i + 1]) * (1.0 + 0.2 * (i / (levels - 1)))
+        return {value: total}
+
+    return stencils(cube, fn, [value], reach, shape, "mirror", TILE, keys, time, value)
 
 
 # ------------------------------------------------------------------ gradients and texture

@@ -244,6 +244,37 @@ def test_utm_round_trip_and_known_point(spark):
     assert on_meridian.e == pytest.approx(500000.0) and on_meridian.n == pytest.approx(0.0, abs=1e-6)
 
 
-def test_stencil_runs_in_the_jvm_with_partial_aggregation(cube):
-    plan = N.gaussian(cube, SHAPE)._jdf.queryExecution().toString()
-    assert "partial_sum" in plan and "Python" not in plan and "Pandas" not in plan
+def exchanges(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("Exchange hashpartitioning")
+
+
+def test_chains_of_windows_need_one_exchange(cube):
+    for df in (N.gaussian(cube, SHAPE), N.median3(cube, SHAPE), N.unsharp(cube, SHAPE), N.multiscale(cube, SHAPE)):
+        assert exchanges(df) == 1
+
+
+@pytest.mark.parametrize("nulls", ["propagate", "skip"])
+def test_multiscale_equals_its_chain_of_blurs(spark, nulls, monkeypatch):
+    """Tiles of 8 and few dense cells at once, so that halos, borders and batches meet; some cells absent or null."""
+    rng, shape = np.random.default_rng(7), (21, 19)
+    rows = [
+        (d, "v", dt.datetime(2020, 1, t), y, x, None if rng.random() < 0.02 else float(rng.normal()))
+        for d in ("a", None) for t in (1, 2) for y in range(21) for x in range(19) if rng.random() > 0.02
+    ]
+    small = spark.createDataFrame(rows, "dataset_id string, variable string, time timestamp_ntz, y int, x int, value double")
+    monkeypatch.setattr(N, "TILE", 8)
+    monkeypatch.setattr(N, "STACK", 1_000)
+    kernel, want = N.outer(N.BINOMIAL5, N.BINOMIAL5), small.withColumn("_g0", F.col("value"))
+    for i in (1, 2, 3):
+        want = N.convolve(want, kernel, shape, "mirror", nulls, value=f"_g{i - 1}", out=f"_g{i}")
+    g = [F.col(f"_g{i}") for i in range(4)]
+    want = want.withColumn("want", g[3] + (g[0] - g[1]) + (g[1] - g[2]) * (1 + 0.2 / 3) + (g[2] - g[3]) * (1 + 0.4 / 3))
+    place = ["dataset_id", "time", "y", "x"]
+    key = lambda r: tuple(str(r[c]) for c in place)
+    expected = {key(r): r.want for r in want.collect()}
+    got = {key(r): r.value for r in N.multiscale(small, shape, nulls=nulls).collect()}
+    assert len(got) == len(rows) and got.keys() == expected.keys()
+    assert all((got[k] is None) == (expected[k] is None) for k in got)
+    assert all(got[k] == pytest.approx(expected[k], abs=1e-12) for k in got if got[k] is not None)
+    assert any(v is not None for v in got.values())
