@@ -3,8 +3,8 @@
 Texts are equal when they are identical after every run of white space has become one space.  Each
 level works only on rows whose key, at the level before, is held by another row too; a text is hashed
 as a whole only where length and beginning both meet another text's.  The keys are counted with
-map-side partial sums and then restrict the rows in a semi join, which adaptive execution splits where
-one key holds a large part of all rows.  Texts travel once, dealt by their row's own hash.
+map-side partial sums and then restrict the rows in a join; the few keys that hold a large part of all
+rows are broadcast, so that their rows stay where they are.  Texts travel once, dealt by their row's own hash.
 
 Cases: null text is the empty text; a null id comes after all others (``keep_id`` is null only where all
 ids of the group are); rows that repeat an id are rows of their own, and where the smallest id of a
@@ -23,16 +23,30 @@ from airgrid.llm.common import NO_ID, SPACE_RUN, id_or_last, text_or_empty, writ
 
 #: characters of the beginning that the second level hashes
 PREFIX = 64
+#: a key that more than one in so many rows hold is broadcast
+HOT = 200
 
 
 def normalised(column: str = "text") -> Column:
     return F.regexp_replace(text_or_empty(column), SPACE_RUN, " ")
 
 
-def _repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows whose keys at least two rows hold."""
-    held = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
-    return rows.join(held, keys, "left_semi")
+def _joined(rows: DataFrame, table: DataFrame, keys: list[str], size: str, n: int) -> DataFrame:
+    """``rows`` with their line of ``table``, one per ``keys``, whose column ``size`` says how many of the ``n`` rows hold it.
+
+    Fewer than ``HOT`` keys can hold more than 1 / HOT of all rows each: these are broadcast, so that no
+    task gets all rows of one of them.  The others are joined by key.
+    """
+    hot = table.where(F.col(size) > n // HOT)
+    large = rows.join(F.broadcast(hot), keys)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return large.unionByName(rest.join(table.where(F.col(size) <= n // HOT), keys))
+
+
+def _repeated(rows: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """The rows whose keys at least two rows hold, of ``n`` rows."""
+    held = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    return _joined(rows, written(held, "repeated-keys"), keys, "_n", n).drop("_n")
 
 
 def exact_dedup(
@@ -46,15 +60,16 @@ def exact_dedup(
     text = docs.select(id_or_last(id_col).alias("id"), normalised(text_col).alias("text"))
     start = F.xxhash64(F.substring("text", 1, PREFIX)).alias("prefix")
     sizes = written(text.select("id", F.length("text").alias("length"), start), "sizes")
-    same_length = written(_repeated(sizes, ["length"]), "same-length")
-    met = written(_repeated(same_length, ["length", "prefix"]).select("id").distinct(), "same-prefix")
+    n = sizes.count()
+    same_length = written(_repeated(sizes, ["length"], n), "same-length")
+    met = written(_repeated(same_length, ["length", "prefix"], n).select("id").distinct(), "same-prefix")
 
     # only here whole texts are compared, those of rows that met another one so far
     extra = [c.alias(n) for n, c in carry.items()]
     row = F.monotonically_increasing_id().alias("row")
     full = written(text.join(met, "id", "left_semi").select("id", F.sha2("text", 256).alias("full"), row, *extra), "full-hashes")
     groups = full.groupBy("full").agg(F.min(F.struct("id", "row")).alias("first"), F.count(F.lit(1)).alias("group_size"))
-    grouped = full.join(groups, "full").select(
+    grouped = _joined(full, written(groups, "groups"), ["full"], "group_size", n).select(
         "id", F.col("first.id").alias("keep_id"), "group_size", (F.col("row") == F.col("first.row")).alias("kept"), *carry
     )
     alone = text.select("id", *extra).join(met, "id", "left_anti")

@@ -82,6 +82,18 @@ def test_perfect_hash_is_minimal(keys):
     assert (again.first_holder(high, low ^ np.uint64(1))[[(h, x ^ 1) not in keys for h, x in sorted(keys)]] == -1 - NO_ID).all()
 
 
+def test_exact_dedup_with_one_hot_key(spark):
+    """Most rows share length and beginning, a third are copies; the rest is spread over keys that aren't broadcast."""
+    same = "x" * exact_dedup.PREFIX
+    docs = [(i, same + ("copy" if i % 2 else f"{i:04d}") if i % 3 else "y" * (1 + i % 90)) for i in range(900)]
+    got = exact_dedup.exact_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    groups = {}
+    for i, t in docs:
+        groups.setdefault(t, []).append(i)
+    want = {(i, ids[0], len(ids), i == ids[0]) for ids in groups.values() for i in ids}
+    assert len(got) == 900 and {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in got} == want
+
+
 def test_exact_dedup_is_brute_force(spark, tmp_path):
     docs = odd_documents(spark)
     groups, want = defaultdict(list), Counter()
