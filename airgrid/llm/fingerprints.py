@@ -10,7 +10,7 @@ share a long), and only the sums of a document travel.
 two fingerprints that differ in at most ``radius`` of them agree on all but ``radius`` blocks.  For
 each choice of the blocks that agree there is a table keyed by them ("permuted"); the number of blocks
 is chosen so that a key has about as many bits as the count of fingerprints, hence few false
-candidates.
+candidates; a key that many fingerprints share all the same is refined by blocks of its other bits.
 
 Cases: null text is the empty text, whose fingerprint is all zeros; equal texts have equal
 fingerprints; the document after the last is the first; a null id comes after all ids in descending
@@ -29,11 +29,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from airgrid.core import attach
 from airgrid.llm.common import SPACE, SPACE_RUN, text_or_empty, written
 from airgrid.llm.row_numbers import numbered
 
 #: 64-bit words of a fingerprint
 WORDS = 2
+#: entries under one key of a table beyond which the key is refined
+CROWDED = 64
 _LANES = 0x0000000100000001
 #: a null id is the last one in descending order
 _NO_ID = -(1 << 63)
@@ -91,8 +94,10 @@ def _next_documents(text: DataFrame) -> DataFrame:
     return written(placed.select("row", "id").join(after, "row").drop("row"), "next-documents")
 
 
-def fingerprint_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) per row of ``docs``.
+def fingerprint_pairs(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", asked: Column | None = None, radius: int = 3
+) -> DataFrame:
+    """(id_col, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_near) per row of ``docs``.
 
     A text's edited form has its last third (in code points, rounded down) replaced by as many code
     points from the beginning of the next document, in descending order of ids.
@@ -118,10 +123,17 @@ def fingerprint_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     a, b, c = ([F.col(f"{x}{i}") for i in range(WORDS)] for x in "abc")
     least = wide.groupBy("id").agg(F.min(F.struct(*a)).alias("fp"))
     following = least.join(plan, "id").select(F.col("before").alias("id"), *[F.col("fp")[f"a{i}"].alias(f"c{i}") for i in range(WORDS)])
-    return wide.join(following, "id").select(
+    rows = wide.join(following, "id").withColumn("n_near", F.lit(None).cast("long"))
+    if asked is not None:
+        known = F.when(F.col("id") != _NO_ID, F.col("id"))
+        own = wide.select(F.col("row").alias("_row"), known.alias("id"), *[F.col(f"a{i}").alias(f"fp{i}") for i in range(WORDS)])
+        searched = own.where(asked).drop("id").withColumnRenamed("_row", "id")
+        counts = neighbour_counts(searched, own.drop("id").withColumnRenamed("_row", "id"), radius)
+        rows = rows.drop("n_near").join(counts.withColumnRenamed("query_id", "row"), "row", "left")
+    return rows.select(
         F.when(F.col("id") != _NO_ID, F.col("id")).alias(id_col), "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"),
         as_hex(a).alias("fingerprint"), as_hex(b).alias("edited_fingerprint"),
-        likeness(a, b).alias("near_edited"), likeness(a, c).alias("near_next"),
+        likeness(a, b).alias("near_edited"), likeness(a, c).alias("near_next"), "n_near",
     )
 
 
@@ -133,32 +145,78 @@ def block_count(n: int, radius: int) -> int:
     return blocks
 
 
+def _mask(positions: Sequence[int]) -> list[int]:
+    """The given bits, as signed words."""
+    bits = sum(1 << p for p in positions)
+    parts = [(bits >> (64 * i)) & ((1 << 64) - 1) for i in range(WORDS)]
+    return [p - (1 << 64) if p >> 63 else p for p in parts]
+
+
+def _choices(blocks: int, radius: int) -> list[tuple[list[int], list[list[int]]]]:
+    """Per table: the mask of the blocks that agree, and the masks of ``radius + 1`` parts of the other bits."""
+    bits = 64 * WORDS
+    edges = [round(i * bits / blocks) for i in range(blocks + 1)]
+    out = []
+    for agree in itertools.combinations(range(blocks), blocks - radius):
+        chosen = [p for i in agree for p in range(edges[i], edges[i + 1])]
+        other = sorted(set(range(bits)) - set(chosen))
+        out.append((_mask(chosen), [_mask(other[j :: radius + 1]) for j in range(radius + 1)]))
+    return out
+
+
 def _tables(rows: DataFrame, blocks: int, radius: int) -> DataFrame:
     """One row per table and fingerprint: the key is what the table's agreeing blocks hold."""
-    bits, keys = 64 * WORDS, []
-    edges = [round(i * bits / blocks) for i in range(blocks + 1)]
-    for t, agree in enumerate(itertools.combinations(range(blocks), blocks - radius)):
-        chosen = sum(1 << p for i in agree for p in range(edges[i], edges[i + 1]))
-        parts = [(chosen >> (64 * i)) & ((1 << 64) - 1) for i in range(WORDS)]
-        held = [F.col(f"fp{i}").bitwiseAND(F.lit(p - (1 << 64) if p >> 63 else p)) for i, p in enumerate(parts)]
-        keys.append(F.xxhash64(F.lit(t), *held))
-    return rows.withColumn("_key", F.explode(F.array(*keys)))
+    words = [F.col(f"fp{i}") for i in range(WORDS)]
+    held = lambda mask: [w.bitwiseAND(F.lit(m)) for w, m in zip(words, mask, strict=True)]
+    keys = [F.xxhash64(F.lit(t), *held(mask)) for t, (mask, _) in enumerate(_choices(blocks, radius))]
+    return rows.select("*", F.posexplode(F.array(*keys)).alias("_table", "_key"))
 
 
-def within_radius(queries: DataFrame, prints: DataFrame, radius: int) -> DataFrame:
-    """(query id, id, distance, copies): the distinct fingerprints at most ``radius`` bits from each query's.
+def _refined(rows: DataFrame, crowded: DataFrame, blocks: int, radius: int) -> DataFrame:
+    """Crowded keys made longer by one part each of the table's other bits; near fingerprints share a part at least."""
+    masks = F.array(*[F.array(*[F.array(*map(F.lit, m)) for m in parts]) for _, parts in _choices(blocks, radius)])
+    longer = F.transform(
+        F.get(masks, F.col("_table")),
+        lambda m, j: F.xxhash64(F.col("_key"), j, *[F.col(f"fp{i}").bitwiseAND(F.get(m, F.lit(i))) for i in range(WORDS)]),
+    )
+    keys = F.when(F.col("_crowded"), longer).otherwise(F.array("_key"))
+    return attach(rows, crowded, ["_key"], "left").withColumn("_key", F.explode(keys)).drop("_table", "_crowded")
 
-    Both inputs have ``id, fp0, fp1``; ``id`` stands for the smallest id of a fingerprint's ``copies``.
-    Equal fingerprints are one entry in the tables, however many documents have them.
+
+def near_prints(queries: DataFrame, prints: DataFrame, radius: int) -> DataFrame:
+    """(fp0, fp1, id, distance, copies): the distinct fingerprints at most ``radius`` bits from each distinct one asked for.
+
+    Equal fingerprints are one entry in the tables, however many documents have them.  A key under which
+    more than ``CROWDED`` entries stand is refined by further blocks, on both sides alike; pairs
+    are compared inside the join, so that only near ones leave it.
     """
     words = [f"fp{i}" for i in range(WORDS)]
     entries = prints.groupBy(*words).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
     entries = written(entries, "distinct-fingerprints")
     blocks = block_count(entries.count(), radius)
-    asked = queries.groupBy(*words).agg(F.min("id").alias("query"))
-    left = _tables(asked, blocks, radius).withColumnsRenamed({w: f"q{w}" for w in words})
+    right, left = _tables(entries, blocks, radius), _tables(queries.select(*words).distinct(), blocks, radius)
+    crowded = right.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > CROWDED)
+    crowded = written(crowded.select("_key", F.lit(True).alias("_crowded")), "crowded-keys")
+    right = _refined(right, crowded, blocks, radius)
+    left = _refined(left, crowded, blocks, radius).withColumnsRenamed({w: f"q{w}" for w in words}).withColumnRenamed("_key", "_asked")
     apart = distance([F.col(w) for w in words], [F.col(f"q{w}") for w in words])
-    near = left.join(_tables(entries, blocks, radius), "_key").withColumn("distance", apart).where(F.col("distance") <= radius)
-    near = near.groupBy("query", "id").agg(F.max("distance").alias("distance"), F.max("copies").alias("copies"))
-    named = queries.join(asked, words).select(F.col("id").alias("query_id"), "query")
-    return named.join(near, "query").drop("query")
+    near = left.join(right, (F.col("_asked") == F.col("_key")) & (apart <= radius)).withColumn("distance", apart)
+    near = near.groupBy(*[f"q{w}" for w in words], "id").agg(F.max("distance").alias("distance"), F.max("copies").alias("copies"))
+    return near.withColumnsRenamed({f"q{w}": w for w in words})
+
+
+def within_radius(queries: DataFrame, prints: DataFrame, radius: int) -> DataFrame:
+    """(query_id, id, distance, copies): the distinct fingerprints at most ``radius`` bits from each query's.
+
+    Both inputs have ``id, fp0, fp1``; ``id`` stands for the smallest id of a fingerprint's ``copies``.
+    """
+    words = [f"fp{i}" for i in range(WORDS)]
+    near = written(near_prints(queries, prints, radius), "near-fingerprints")
+    return attach(queries.select(F.col("id").alias("query_id"), *words), near, words).drop(*words)
+
+
+def neighbour_counts(queries: DataFrame, prints: DataFrame, radius: int) -> DataFrame:
+    """(query_id, n_near): how many other rows of ``prints``, which hold the queries', are at most ``radius`` bits away."""
+    words = [f"fp{i}" for i in range(WORDS)]
+    totals = near_prints(queries, prints, radius).groupBy(*words).agg((F.sum("copies") - 1).alias("n_near"))
+    return attach(queries.select(F.col("id").alias("query_id"), *words), written(totals, "near-counts"), words).drop(*words)

@@ -13,6 +13,7 @@ import xxhash
 from fixtures import no_documents, odd_documents, prose, rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from airgrid.llm import fingerprints, packing, queries, sharding
@@ -118,17 +119,36 @@ def test_fingerprints_of_odd_tables(spark):
     assert Counter(r.doc_id for r in got) == Counter(i for i, *_ in rows())
     assert fingerprints.fingerprint_pairs(no_documents(spark)).count() == 0
     one = fingerprints.fingerprint_pairs(spark.createDataFrame([(5, "a b c d e f")], "doc_id long, text string")).first()
-    assert one.edited_sha256 == hashlib.sha256(b"a b c d a b").hexdigest() and one.near_next == 1.0
+    assert one.edited_sha256 == hashlib.sha256(b"a b c d a b").hexdigest()
+    assert one.near_next == 1.0 and one.n_near is None
 
 
-def test_block_tables_find_all_near_fingerprints(spark):
+def test_neighbours_of_the_rows_asked_for(spark):
+    """Rows that repeat an id or a text, and those without an id, count each for itself."""
+    radius = 10
+    got = fingerprints.fingerprint_pairs(odd_documents(spark), asked=F.col("id") % 2 == 0, radius=radius).collect()
+    prints = [int(r.fingerprint, 16) for r in got]
+    for r, p in zip(got, prints, strict=True):
+        near = sum((p ^ q).bit_count() <= radius for q in prints) - 1
+        assert r.n_near == (near if r.doc_id is not None and r.doc_id % 2 == 0 else None)
+    assert len({r.n_near for r in got} - {None}) > 1
+    assert fingerprints.fingerprint_pairs(no_documents(spark), asked=F.col("id") % 2 == 0).count() == 0
+
+
+@pytest.mark.parametrize("crowded", [64, 1])
+def test_block_tables_find_all_near_fingerprints(spark, monkeypatch, crowded):
+    """Also where keys are crowded and thus refined, as a third of the fingerprints agree in the first 48 bits."""
     import random
 
+    monkeypatch.setattr(fingerprints, "CROWDED", crowded)
+
     rng = random.Random(4)
     signed = lambda v: v - (1 << 64) if v >> 63 else v
     prints = []
     for _ in range(15):
         centre = [rng.getrandbits(64), rng.getrandbits(64)]
+        if len(prints) % 3 == 0:
+            centre[0] = centre[0] >> 48 << 48
         for _ in range(12):
             own = list(centre)
             for _ in range(rng.randrange(6)):
