@@ -22,6 +22,8 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 UPPER_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: a null doc_id counts as this id, that is, as one document behind all others
 NO_ID = (1 << 63) - 1
+#: ``hot_join`` broadcasts a key that more than one in so many rows hold
+HOT = 200
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -41,6 +43,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def hot_join(rows: DataFrame, table: DataFrame, keys: list[str], size: str, n: int, how: str = "inner") -> DataFrame:
+    """``rows`` with their line of ``table``, one per ``keys``, whose column ``size`` says how many of ``n`` rows hold it.
+
+    Fewer than ``HOT`` keys can hold more than 1 / HOT of all rows each: these are broadcast, so that no
+    task gets all rows of one of them.  The others are joined by key.
+    """
+    hot = table.where(F.col(size) > n // HOT)
+    large = rows.join(F.broadcast(hot), keys)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return large.unionByName(rest.join(table.where(F.col(size) <= n // HOT), keys, how))
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

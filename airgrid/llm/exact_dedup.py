@@ -19,34 +19,20 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from airgrid.llm.common import NO_ID, SPACE_RUN, id_or_last, text_or_empty, written
+from airgrid.llm.common import NO_ID, SPACE_RUN, hot_join, id_or_last, text_or_empty, written
 
 #: characters of the beginning that the second level hashes
 PREFIX = 64
-#: a key that more than one in so many rows hold is broadcast
-HOT = 200
 
 
 def normalised(column: str = "text") -> Column:
     return F.regexp_replace(text_or_empty(column), SPACE_RUN, " ")
 
 
-def _joined(rows: DataFrame, table: DataFrame, keys: list[str], size: str, n: int) -> DataFrame:
-    """``rows`` with their line of ``table``, one per ``keys``, whose column ``size`` says how many of the ``n`` rows hold it.
-
-    Fewer than ``HOT`` keys can hold more than 1 / HOT of all rows each: these are broadcast, so that no
-    task gets all rows of one of them.  The others are joined by key.
-    """
-    hot = table.where(F.col(size) > n // HOT)
-    large = rows.join(F.broadcast(hot), keys)
-    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
-    return large.unionByName(rest.join(table.where(F.col(size) <= n // HOT), keys))
-
-
 def _repeated(rows: DataFrame, keys: list[str], n: int) -> DataFrame:
     """The rows whose keys at least two rows hold, of ``n`` rows."""
     held = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    return _joined(rows, written(held, "repeated-keys"), keys, "_n", n).drop("_n")
+    return hot_join(rows, written(held, "repeated-keys"), keys, "_n", n).drop("_n")
 
 
 def exact_dedup(
@@ -69,7 +55,7 @@ def exact_dedup(
     row = F.monotonically_increasing_id().alias("row")
     full = written(text.join(met, "id", "left_semi").select("id", F.sha2("text", 256).alias("full"), row, *extra), "full-hashes")
     groups = full.groupBy("full").agg(F.min(F.struct("id", "row")).alias("first"), F.count(F.lit(1)).alias("group_size"))
-    grouped = _joined(full, written(groups, "groups"), ["full"], "group_size", n).select(
+    grouped = hot_join(full, written(groups, "groups"), ["full"], "group_size", n).select(
         "id", F.col("first.id").alias("keep_id"), "group_size", (F.col("row") == F.col("first.row")).alias("kept"), *carry
     )
     alone = text.select("id", *extra).join(met, "id", "left_anti")

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from airgrid.core import attach
-from airgrid.llm.common import SPACE, SPACE_RUN, text_or_empty, written
+from airgrid.llm.common import SPACE, SPACE_RUN, hot_join, text_or_empty, written
 from airgrid.llm.row_numbers import numbered
 
 #: 64-bit words of a fingerprint
@@ -172,15 +172,15 @@ def _tables(rows: DataFrame, blocks: int, radius: int) -> DataFrame:
     return rows.select("*", F.posexplode(F.array(*keys)).alias("_table", "_key"))
 
 
-def _refined(rows: DataFrame, crowded: DataFrame, blocks: int, radius: int) -> DataFrame:
+def _refined(rows: DataFrame, crowded: DataFrame, n: int, blocks: int, radius: int) -> DataFrame:
     """Crowded keys made longer by one part each of the table's other bits; near fingerprints share a part at least."""
     masks = F.array(*[F.array(*[F.array(*map(F.lit, m)) for m in parts]) for _, parts in _choices(blocks, radius)])
     longer = F.transform(
         F.get(masks, F.col("_table")),
         lambda m, j: F.xxhash64(F.col("_key"), j, *[F.col(f"fp{i}").bitwiseAND(F.get(m, F.lit(i))) for i in range(WORDS)]),
     )
-    keys = F.when(F.col("_crowded"), longer).otherwise(F.array("_key"))
-    return attach(rows, crowded, ["_key"], "left").withColumn("_key", F.explode(keys)).drop("_table", "_crowded")
+    keys = F.when(F.col("_entries").isNotNull(), longer).otherwise(F.array("_key"))
+    return hot_join(rows, crowded, ["_key"], "_entries", n, "left").withColumn("_key", F.explode(keys)).drop("_table", "_entries")
 
 
 def near_prints(queries: DataFrame, prints: DataFrame, radius: int) -> DataFrame:
@@ -193,12 +193,14 @@ def near_prints(queries: DataFrame, prints: DataFrame, radius: int) -> DataFrame
     words = [f"fp{i}" for i in range(WORDS)]
     entries = prints.groupBy(*words).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
     entries = written(entries, "distinct-fingerprints")
-    blocks = block_count(entries.count(), radius)
+    n = entries.count()
+    blocks = block_count(n, radius)
+    n *= math.comb(blocks, radius)
     right, left = _tables(entries, blocks, radius), _tables(queries.select(*words).distinct(), blocks, radius)
-    crowded = right.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > CROWDED)
-    crowded = written(crowded.select("_key", F.lit(True).alias("_crowded")), "crowded-keys")
-    right = _refined(right, crowded, blocks, radius)
-    left = _refined(left, crowded, blocks, radius).withColumnsRenamed({w: f"q{w}" for w in words}).withColumnRenamed("_key", "_asked")
+    crowded = right.groupBy("_key").agg(F.count(F.lit(1)).alias("_entries")).where(F.col("_entries") > CROWDED)
+    crowded = written(crowded, "crowded-keys")
+    right = _refined(right, crowded, n, blocks, radius)
+    left = _refined(left, crowded, n, blocks, radius).withColumnsRenamed({w: f"q{w}" for w in words}).withColumnRenamed("_key", "_asked")
     apart = distance([F.col(w) for w in words], [F.col(f"q{w}") for w in words])
     near = left.join(right, (F.col("_asked") == F.col("_key")) & (apart <= radius)).withColumn("distance", apart)
     near = near.groupBy(*[f"q{w}" for w in words], "id").agg(F.max("distance").alias("distance"), F.max("copies").alias("copies"))
@@ -219,4 +221,7 @@ def neighbour_counts(queries: DataFrame, prints: DataFrame, radius: int) -> Data
     """(query_id, n_near): how many other rows of ``prints``, which hold the queries', are at most ``radius`` bits away."""
     words = [f"fp{i}" for i in range(WORDS)]
     totals = near_prints(queries, prints, radius).groupBy(*words).agg((F.sum("copies") - 1).alias("n_near"))
-    return attach(queries.select(F.col("id").alias("query_id"), *words), written(totals, "near-counts"), words).drop(*words)
+    asked = queries.groupBy(*words).agg(F.count(F.lit(1)).alias("_asked"))
+    totals = written(totals.join(asked, words), "near-counts")
+    rows = queries.select(F.col("id").alias("query_id"), *words)
+    return hot_join(rows, totals, words, "_asked", queries.count()).select("query_id", "n_near")
