@@ -322,9 +322,11 @@ def pca(wide: DataFrame, variables: Sequence[str], keys: Sequence[str] = DATASET
 def mean_pair_distance(df: DataFrame, columns: Sequence[str], keys: Sequence[str], identity: Sequence[str], chunk: int = 1024) -> DataFrame:
     """Exact mean Euclidean distance over all row pairs of a key.
 
-    Rows are packed into chunks by a hash of their identity; chunk pairs, not row pairs, are joined,
-    and each pair of chunks is one vectorised distance sum.  The work is quadratic by definition, but
-    it is spread evenly and nothing larger than two chunks ever sits in one place.
+    Rows are packed into chunks by a hash of their identity.  Pairs of chunks are the places of a triangular
+    grid: a chunk is sent to every place of its row and of its column, and the place is part of the join key,
+    so that one key's pairs spread over all tasks and nothing larger than two chunks meets in one place.
+    Each place is one vectorised distance sum.  The work is quadratic by definition; for n rows of a
+    key, n / chunk copies of each row are sent.
     """
     keys = list(keys)
     sized = attach(df, df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), keys)
@@ -346,10 +348,13 @@ def mean_pair_distance(df: DataFrame, columns: Sequence[str], keys: Sequence[str
 
         return pd.Series([one(a, b, s) for a, b, s in zip(left, right, same, strict=True)])
 
-    left = packed.withColumnsRenamed({"_chunk": "_ca", "_rows": "_ra"})
-    right = packed.drop("_n").withColumnsRenamed({"_chunk": "_cb", "_rows": "_rb", **{k: f"_k{i}" for i, k in enumerate(keys)}})
-    on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] + [F.col("_ca") <= F.col("_cb")]
-    joined = left.join(right, on)
+    last = F.ceil(F.col("_n") / chunk).cast("long") - 1
+    left = packed.select(*keys, "_n", F.col("_chunk").alias("_ca"), F.explode(F.sequence("_chunk", last)).alias("_cb"), F.col("_rows").alias("_ra"))
+    other = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    column = F.explode(F.sequence(F.lit(0).cast("long"), "_chunk"))
+    right = packed.select(*other, column.alias("_pa"), F.col("_chunk").alias("_pb"), F.col("_rows").alias("_rb"))
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    joined = left.join(right, [*same, F.col("_ca") == F.col("_pa"), F.col("_cb") == F.col("_pb")])
     parts = joined.select(*keys, "_n", distances("_ra", "_rb", F.col("_ca") == F.col("_cb")).alias("_d"))
     pairs = F.max("_n") * (F.max("_n") - 1) / 2
     return parts.groupBy(*keys).agg(F.max("_n").alias("n"), (F.sum("_d") / F.nullif(pairs, F.lit(0.0))).alias("mean_distance"))
@@ -360,8 +365,10 @@ def hopkins(wide: DataFrame, variables: Sequence[str], keys: Sequence[str] = DAT
     spans = wide.groupBy(*keys).agg(
         F.least(*[F.min(v) for v in variables]).alias("_lo"), F.greatest(*[F.max(v) for v in variables]).alias("_hi")
     )
-    # uniform points come from a hash of the row's identity: the same on every recomputation
-    unit = lambda i: F.pmod(F.xxhash64(F.lit(seed + i), *keys, time), F.lit(1 << 30)) / float(1 << 30)
+    # uniform points come from the digest of the row's identity: the same on every recomputation and in any engine
+    own = F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in (*keys, time)])
+    digits = lambda i: F.substring(F.md5(F.concat(F.lit(f"{seed + i}|"), own)), 1, 7)
+    unit = lambda i: F.conv(digits(i), 16, 10).cast("double") / float(1 << 28)
     rows = attach(wide.select(*keys, time, *variables), spans, keys)
     uniform = rows.withColumns({v: F.col("_lo") + unit(i) * (F.col("_hi") - F.col("_lo")) for i, v in enumerate(variables)})
     identity = [*keys, time]

@@ -496,7 +496,30 @@ def _(spark, sf):
     return rounded(S.pca(wide(spark, sf), VARS).drop("loadings"))
 
 
-@query("H13_hopkins")
+def _distances_sql(points: str, out: str) -> str:
+    apart = " + ".join(f"(a.{v} - b.{v}) * (a.{v} - b.{v})" for v in THREE)
+    return f"""{out} AS (SELECT a.dataset_id, avg(sqrt({apart})) AS d FROM {points} a JOIN {points} b
+        ON a.dataset_id = b.dataset_id AND a.time < b.time GROUP BY 1)"""
+
+
+def _uniform_sql(i: int, v: str) -> str:
+    drawn = f"md5('{42 + i}|' || dataset_id || '|' || CAST(time AS VARCHAR))"
+    return f"lo + CAST(('0x' || substring({drawn}, 1, 7)) AS BIGINT) / 268435456.0::DOUBLE * (hi - lo) AS {v}"
+
+
+@query(
+    "H13_hopkins",
+    "daily",
+    f"""WITH spans AS (SELECT dataset_id, count(*) AS n, least({", ".join(f"min({v})" for v in THREE)}) AS lo,
+          greatest({", ".join(f"max({v})" for v in THREE)}) AS hi FROM daily GROUP BY 1),
+        drawn AS (SELECT dataset_id, time, {", ".join(_uniform_sql(i, v) for i, v in enumerate(THREE))} FROM daily JOIN spans USING (dataset_id)),
+        {_distances_sql("daily", "own")}, {_distances_sql("drawn", "other")},
+        h AS (SELECT s.dataset_id, n, own.d AS mean_distance, CASE WHEN n >= 10 THEN other.d / nullif(own.d + other.d, 0) END AS h
+          FROM spans s LEFT JOIN own USING (dataset_id) LEFT JOIN other USING (dataset_id))
+        SELECT dataset_id, n, round(mean_distance, 6) + 0.0 AS mean_distance, round(h, 6) + 0.0 AS hopkins,
+          CASE WHEN h IS NULL THEN 'insufficient_data' WHEN h > 0.75 THEN 'high' WHEN h > 0.5 THEN 'moderate' ELSE 'low' END AS tendency
+        FROM h""",
+)
 def _(spark, sf):
     return rounded(S.hopkins(wide(spark, sf), THREE))
 
