@@ -1,5 +1,8 @@
 """Queries for sources, sinks and normalisation."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from airgrid.plans import views as V
@@ -122,6 +125,24 @@ def _(spark, sf):
     return rounded(tables.raster_to_long(rasters))
 
 
+#: first and last row and column that the tile query reads at each level
+WINDOW = ((1, 4), (2, 8))
+
+
+@query(
+    "A7_tile_pyramid",
+    "grid",
+    f"""WITH levels AS (SELECT dataset_id, variable, time, l.level, CAST(g.y AS INTEGER) >> l.level AS y, CAST(g.x AS INTEGER) >> l.level AS x, value FROM grid g, (VALUES (0), (1), (2)) l(level) WHERE value IS NOT NULL)
+        SELECT dataset_id, variable, time, level, y, x, {r('value=avg(value)')} FROM levels
+        WHERE y BETWEEN {WINDOW[0][0]} AND {WINDOW[0][1]} AND x BETWEEN {WINDOW[1][0]} AND {WINDOW[1][1]} GROUP BY ALL""",
+)
+def _(spark, sf):
+    path = scratch_path(spark, "tiles")
+    tables.write_tiles(tables.tile_pyramid(V.grid(spark, sf), V.NY, V.NX, levels=3, tile=4), path)
+    parts = [tables.read_window(spark, path, level, *WINDOW, V.NY, V.NX, tile=4) for level in range(3)]
+    return rounded(reduce(DataFrame.unionByName, parts))
+
+
 @query(
     "A8_select_variable",
     "series event_series",

@@ -15,6 +15,9 @@ from airgrid.core import attach, by, same_keys
 from airgrid.functions.geo import in_bbox
 from airgrid.operators.slicing import latest_slice
 
+#: side of a stored tile, in cells
+TILE = 256
+
 FORMATS = {".parquet": "parquet", ".csv": "csv", ".json": "json", ".jsonl": "json"}
 
 CUBE_SCHEMA = T.StructType(
@@ -164,6 +167,58 @@ def long_to_raster(df: DataFrame, ny: int, nx: int, keys: Sequence[str] = (*KEYS
     return slices.withColumn("raster", F.transform("raster", lambda row: F.coalesce(row, blank)))
 
 
+def _tile_shape(ny: int, nx: int, tile: int) -> tuple[int, int]:
+    return min(tile, ny), min(tile, nx)
+
+
+def tile_pyramid(
+    cube: DataFrame, ny: int, nx: int, levels: int = 1, tile: int = TILE, keys: Sequence[str] = (*KEYS, "time"), value: str = "value"
+) -> DataFrame:
+    """``keys, level, ty, tx, values``: slices as tiles of at most ``tile`` x ``tile`` cells, at ``levels`` levels of detail.
+
+    Level 0 holds the cells themselves, each further level the means over 2 x 2 times as many of them (of those that
+    have a value).  ``values`` lists a tile's cells row by row, null where there is none.  No row and no group is
+    larger than a tile, however large the slices are; a tile without a cell is left out.  Expects one row per cell.
+    """
+    keys = list(keys)
+    h, w = _tile_shape(ny, nx, tile)
+    held = cube.select(*keys, "y", "x", F.col(value).cast("double").alias("_sum"), F.col(value).isNotNull().cast("long").alias("_n"))
+    parts = [held]
+    for _ in range(1, levels):
+        coarse = [F.shiftright(F.col(c).cast("int"), 1).alias(c) for c in ("y", "x")]
+        parts.append(parts[-1].groupBy(*keys, *coarse).agg(F.sum("_sum").alias("_sum"), F.sum("_n").alias("_n")))
+    cells = reduce(DataFrame.unionByName, [p.withColumn("level", F.lit(i)) for i, p in enumerate(parts)])
+    place = {"ty": F.floor(F.col("y") / h).cast("int"), "tx": F.floor(F.col("x") / w).cast("int")}
+    at = (F.pmod("y", F.lit(h)) * w + F.pmod("x", F.lit(w))).cast("int")
+    mean = F.col("_sum") / F.nullif(F.col("_n"), F.lit(0))
+    cells = cells.withColumns({**place, "_at": at, "_mean": mean})
+    return _dense(cells.select(*keys, "level", "ty", "tx", "_at", "_mean"), [*keys, "level", "ty", "tx"], "_at", h * w, "_mean", "values")
+
+
+def tiles_to_long(tiles: DataFrame, ny: int, nx: int, tile: int = TILE) -> DataFrame:
+    """The cells of tiles that have a value: the columns of ``tiles`` with ``y, x, value`` (in cells of the level) for ``ty, tx, values``."""
+    h, w = _tile_shape(ny, nx, tile)
+    keep = [c for c in tiles.columns if c not in ("ty", "tx", "values")]
+    rows = tiles.select(*keep, "ty", "tx", F.posexplode("values").alias("_at", "value")).where(F.col("value").isNotNull())
+    y, x = F.col("ty") * h + F.floor(F.col("_at") / w), F.col("tx") * w + F.col("_at") % w
+    return rows.select(*keep, y.cast("int").alias("y"), x.cast("int").alias("x"), "value")
+
+
+def write_tiles(tiles: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Parquet with a folder per level, in the order of places, so that readers of a window skip what lies outside."""
+    tiles.sortWithinPartitions("level", "ty", "tx").write.mode(mode).partitionBy("level").parquet(path)
+
+
+def read_window(
+    spark: SparkSession, path: str, level: int, ys: tuple[int, int], xs: tuple[int, int], ny: int, nx: int, tile: int = TILE
+) -> DataFrame:
+    """The cells of one level from ``ys`` and ``xs`` (first and last, in cells of the level); reads no other level or tile."""
+    h, w = _tile_shape(ny, nx, tile)
+    tiles = spark.read.parquet(path).where(F.col("level") == level)
+    tiles = tiles.where(F.col("ty").between(ys[0] // h, ys[1] // h) & F.col("tx").between(xs[0] // w, xs[1] // w))
+    return tiles_to_long(tiles, ny, nx, tile).where(F.col("y").between(*ys) & F.col("x").between(*xs))
+
+
 def select_variable(cube: DataFrame, priority: Sequence[str], dataset: str = "dataset_id") -> DataFrame:
     """Per dataset keep the first variable of ``priority`` that is present, else its first by name."""
     rank = F.lit(999)

@@ -63,6 +63,37 @@ def test_manifest_and_integrity(spark, tmp_path):
     assert (usage.total_bytes, usage.file_count, usage.directory_count) == (6, 2, 2)
 
 
+def test_tiles_of_a_large_slice_round_trip(spark, tmp_path):
+    """Holes, nulls, a null key and sides that aren't multiples of a tile's; no row is longer than a tile."""
+    ny, nx, tile = 37, 21, 8
+    cells = {
+        (d, y, x): None if (y + x) % 11 == 0 else y * 100.0 + x
+        for d in ("a", None) for y in range(ny) for x in range(nx) if (y * x) % 7 != 3 and not (y < 8 and x < 8)
+    }
+    df = spark.createDataFrame([(*k, v) for k, v in cells.items()], "d string, y int, x int, value double")
+    tiles = tables.tile_pyramid(df, ny, nx, levels=3, tile=tile, keys=["d"])
+    path = str(tmp_path / "tiles")
+    tables.write_tiles(tiles, path)
+    stored = spark.read.parquet(path)
+    assert {len(r["values"]) for r in stored.collect()} == {tile * tile}
+    assert stored.where("level = 0 and ty = 0 and tx = 0").count() == 0
+    back = tables.tiles_to_long(stored, ny, nx, tile).collect()
+    want = {}
+    for (d, y, x), v in cells.items():
+        for level in range(3):
+            if v is not None:
+                want.setdefault((d, level, y >> level, x >> level), []).append(v)
+    got = {(r.d, r.level, r.y, r.x): r.value for r in back}
+    assert len(got) == len(back) and got.keys() == want.keys()
+    assert all(v == pytest.approx(sum(want[k]) / len(want[k])) for k, v in got.items())
+
+    window = tables.read_window(spark, path, 1, (3, 9), (8, 10), ny, nx, tile)
+    assert {(r.d, r.y, r.x) for r in window.collect()} == {(d, y, x) for d, n, y, x in want if n == 1 and 3 <= y <= 9 and 8 <= x <= 10}
+    plan = window._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(ty,1)" in plan and "PartitionFilters: [isnotnull(level" in plan
+    assert tables.tile_pyramid(df.limit(0), ny, nx, levels=2, tile=tile, keys=["d"]).count() == 0
+
+
 def test_raster_round_trip_with_holes(spark):
     df = spark.createDataFrame([("d", "v", T0, 0, 2, 1.0), ("d", "v", T0, 3, 0, 2.0)], "dataset_id string, variable string, time timestamp_ntz, y int, x int, value double")
     raster = tables.long_to_raster(df, 4, 3)
