@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,10 +11,10 @@ from airgrid import KEYS
 from airgrid.core import attach
 
 
-def with_range(df: DataFrame, keys: Sequence[str] = KEYS, value: str = "value") -> DataFrame:
-    """Adds ``_min`` and ``_max`` of the whole variable."""
+def with_range(df: DataFrame, keys: Sequence[str] = KEYS, value: str = "value", join: Callable = attach) -> DataFrame:
+    """Adds ``_min`` and ``_max`` of the whole variable; ``core.same_keys`` joins many small groups."""
     span = df.groupBy(*keys).agg(F.min(value).alias("_min"), F.max(value).alias("_max"))
-    return attach(df, span, keys)
+    return join(df, span, keys)
 
 
 def gamma_correct(df: DataFrame, gamma: float = 1.2, keys: Sequence[str] = KEYS, value: str = "value") -> DataFrame:

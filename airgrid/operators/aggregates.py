@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -224,11 +224,14 @@ def bin_index(v: Column, lo: Column, hi: Column, bins: int) -> Column:
     return F.when(hi > lo, scaled).when(v.isNotNull(), F.lit(bins // 2)).cast("int")
 
 
-def with_bins(df: DataFrame, bins: int, keys: Sequence[str], value: str = "value") -> DataFrame:
-    """Adds ``bin``, ``_lo`` (left end of the first bin) and ``_w`` (bin width) to the valid rows."""
+def with_bins(df: DataFrame, bins: int, keys: Sequence[str], value: str = "value", join: Callable = attach) -> DataFrame:
+    """Adds ``bin``, ``_lo`` (left end of the first bin) and ``_w`` (bin width) to the valid rows.
+
+    ``join`` brings the range to the rows; ``core.same_keys`` is the one for many small groups.
+    """
     valid = df.where(F.col(value).isNotNull())
     span = valid.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    rows = attach(valid, span, keys)
+    rows = join(valid, span, keys)
     rows = rows.withColumn("bin", bin_index(F.col(value), F.col("_lo"), F.col("_hi"), bins))
     flat = F.col("_hi") == F.col("_lo")
     return rows.withColumns(

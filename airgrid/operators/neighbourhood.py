@@ -27,10 +27,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from airgrid import KEYS
-from airgrid.core import attach, by, exact_quantiles, ratio, running
+from airgrid.core import attach, by, exact_quantiles, ratio, running, same_keys
 from airgrid.functions.levels import value_bucket
 from airgrid.functions.scaling import from_8bit, to_8bit, with_range
 from airgrid.operators.aggregates import merge_on, time_mean, with_bins
+from airgrid.operators.isolation import count_below
 from airgrid.operators.slicing import stride_sample
 
 TILE = 64
@@ -477,9 +478,12 @@ def spatial_consistency(
 def hist_equalize(
     cube: DataFrame, bins: int = 256, keys: Sequence[str] = KEYS, time: str = "time", value: str = "value"
 ) -> DataFrame:
-    """Per slice: values through the normalised cumulative histogram, linear between left bin edges."""
+    """Per slice: values through the normalised cumulative histogram, linear between left bin edges.
+
+    Slices have about as many occupied bins as cells, so their tables are joined without copies.
+    """
     group = [*keys, time]
-    rows = with_bins(cube, bins, group, value)
+    rows = with_bins(cube, bins, group, value, same_keys)
     table = rows.groupBy(*group, "bin").agg(F.count(F.lit(1)).alias("_m"))
     # a slice has at most ``bins`` rows here
     w = by(group, "bin")
@@ -491,7 +495,7 @@ def hist_equalize(
         ratio(F.col("_cum") - F.col("_a"), F.col("_b") - F.col("_a")).alias("_level"),
         F.when(F.col("bin") < bins - 1, ratio(F.col("_next"), F.col("_b") - F.col("_a"))).otherwise(0.0).alias("_rise"),
     )
-    out = attach(rows, levels, [*group, "bin"])
+    out = same_keys(rows, levels, [*group, "bin"])
     part = (F.col(value) - (F.col("_lo") + F.col("bin") * F.col("_w"))) / F.col("_w")
     out = out.withColumn(value, F.col("_level") + F.col("_rise") * part).select(*cube.columns)
     return out.unionByName(cube.where(F.col(value).isNull()))
@@ -508,15 +512,17 @@ def contrast_stretch(
     return rows.withColumn(value, F.when(v.isNotNull() & (F.col("_b") > F.col("_a")), clipped).otherwise(v)).drop("_a", "_b")
 
 
-def _lut(counts: np.ndarray, clip: int, area: int) -> np.ndarray:
-    """Clipped and redistributed cumulative histogram of one tile, scaled to 0..255."""
-    excess = int(np.maximum(counts - clip, 0).sum())
-    hist = np.minimum(counts, clip) + excess // 256
-    rest = excess % 256
-    if rest:
-        step = max(256 // rest, 1)
-        hist[np.arange(0, 256, step)[:rest]] += 1
-    return np.rint(np.clip(np.cumsum(hist) * (255.0 / area), 0, 255))
+def _level(hist: Column, v8: Column, clip: int, area: int) -> Column:
+    """Entry ``v8`` of a tile's table: its clipped and redistributed cumulative histogram, scaled to 0..255.
+
+    ``hist`` has the occupied levels in order (``bins``), the running sums of their clipped counts (``sums``)
+    and what was cut off (``excess``), which is dealt out over all 256 levels, the rest of it in equal steps.
+    """
+    below = F.coalesce(F.get(hist["sums"], count_below(hist["bins"], v8 + 1, 256) - 1), F.lit(0))
+    each, rest = F.floor(hist["excess"] / 256), hist["excess"] % 256
+    step = F.floor(F.lit(256) / F.greatest(rest, F.lit(1)))
+    total = below + (v8 + 1) * each + F.least(rest, F.floor(v8 / step) + 1)
+    return F.rint(F.greatest(F.least(total * F.lit(255.0 / area), F.lit(255.0)), F.lit(0.0)))
 
 
 def clahe(
@@ -527,58 +533,53 @@ def clahe(
 
     Levels come from the whole variable's range and are scaled back to it; with ``unit_range`` they
     come from the slice, ``clip_limit`` is a share of the tile and the result lies in 0..1.  Tile
-    histograms are aggregated, turned into 256-entry tables, and each cell blends the tables of the
-    four tiles around it.
+    histograms are aggregated and sent to the up to nine fields between four tile centres that they
+    serve; each cell is sent once, to its field, and blends the entries it needs of the four tables.
     """
     group = [*keys, time]
     ny, nx = shape
     th, tw = -(-ny // tiles), -(-nx // tiles)
     area = th * tw
     clip = max(int(clip_limit * area / (1 if unit_range else 256)), 1)
-    ranged = with_range(cube, group if unit_range else keys, value)
+    ranged = with_range(cube, group, value, same_keys) if unit_range else with_range(cube, keys, value)
     rows = ranged.withColumn("_v8", to_8bit(F.col(value), F.col("_min"), F.col("_max")))
-    valid = rows.where(F.col("_v8").isNotNull())
-    padded = valid.select(*group, "y", "x", "_v8")
+    padded = rows.where(F.col("_v8").isNotNull()).select(*group, "y", "x", "_v8")
     for axis, n, size in (("y", ny, th), ("x", nx, tw)):
         mirrored = 2 * (n - 1) - F.col(axis)
         spots = F.array_compact(F.array(F.col(axis), F.when((mirrored >= n) & (mirrored < size * tiles), mirrored)))
         padded = padded.withColumn(axis, F.explode(spots))
     tile_y, tile_x = F.floor(F.col("y") / th).cast("int"), F.floor(F.col("x") / tw).cast("int")
-    counted = padded.groupBy(*group, tile_y.alias("_ty"), tile_x.alias("_tx"), "_v8").agg(F.count(F.lit(1)).cast("int").alias("_m"))
-    hists = counted.groupBy(*group, "_ty", "_tx").agg(F.map_from_entries(F.collect_list(F.struct("_v8", "_m"))).alias("_h"))
-
-    @F.pandas_udf("array<double>")
-    def table(bins: pd.Series, counts: pd.Series) -> pd.Series:
-        def one(b, m):
-            hist = np.zeros(256, dtype=np.int64)
-            hist[np.asarray(b, dtype=int)] = m
-            return _lut(hist, clip, area)
-
-        return pd.Series([one(b, m) for b, m in zip(bins, counts, strict=True)])
-
-    luts = hists.select(*group, "_ty", "_tx", F.posexplode(table(F.map_keys("_h"), F.map_values("_h"))).alias("_v8", "_level"))
-
-    def sides(axis: str, size: int) -> Column:
-        f = F.col(axis) / size - 0.5
-        at = F.floor(f).cast("int")
-        share = f - at
-        return F.array(
-            F.struct(F.greatest(at, F.lit(0)).alias("t"), (1 - share).alias("w")),
-            F.struct(F.least(at + 1, F.lit(tiles - 1)).alias("t"), share.alias("w")),
-        )
-
-    corners = (
-        valid.select(*group, "y", "x", "_v8")
-        .withColumn("_a", F.explode(sides("y", th)))
-        .withColumn("_b", F.explode(sides("x", tw)))
-        .select(*group, "y", "x", "_v8", F.col("_a.t").alias("_ty"), F.col("_b.t").alias("_tx"), (F.col("_a.w") * F.col("_b.w")).alias("_w"))
-        .where(F.col("_w") > 0)
-    )
+    tile = [*group, "_ty", "_tx"]
+    counted = padded.groupBy(*group, tile_y.alias("_ty"), tile_x.alias("_tx"), "_v8").agg(F.count(F.lit(1)).alias("_m"))
+    # a tile has at most 256 rows here
+    summed = counted.withColumn("_sum", F.sum(F.least("_m", F.lit(clip))).over(running(tile, "_v8")))
+    listed = F.array_sort(F.collect_list(F.struct("_v8", "_sum")))
+    hists = summed.groupBy(*tile).agg(listed.alias("_l"), F.sum(F.greatest(F.col("_m") - clip, F.lit(0))).alias("_excess"))
+    hists = hists.select(*tile, F.struct(F.col("_l._v8").alias("bins"), F.col("_l._sum").alias("sums"), F.col("_excess").alias("excess")).alias("_hist"))
+
+    # field i lies between the centres of the tiles i and i + 1; beyond the outer centres both are the outer tile
+    def serves(axis: str) -> Column:
+        t = F.col(axis)
+        spots = [(t, 0), (t - 1, 1), *((F.when(t == edge, t - 1 + side), side) for edge, side in ((0, 0), (tiles - 1, 1)))]
+        return F.filter(F.array(*[F.struct(at.alias("at"), F.lit(side).alias("side")) for at, side in spots]), lambda s: s["at"].isNotNull())
+
+    fields = hists.withColumn("_a", F.explode(serves("_ty"))).withColumn("_b", F.explode(serves("_tx")))
+    corner = {f"_c{i}{j}": F.max(F.when((F.col("_a.side") == i) & (F.col("_b.side") == j), F.col("_hist"))) for i in (0, 1) for j in (0, 1)}
+    fields = fields.groupBy(*group, F.col("_a.at").alias("_fy"), F.col("_b.at").alias("_fx")).agg(*[c.alias(n) for n, c in corner.items()])
+
+    for axis, size, name in (("y", th, "_fy"), ("x", tw, "_fx")):
+        rows = rows.withColumn(name, F.floor(F.col(axis) / size - 0.5).cast("int"))
+    placed = rows.join(fields, [*group, "_fy", "_fx"], "left")
+    share_y, share_x = F.col("y") / th - 0.5 - F.col("_fy"), F.col("x") / tw - 0.5 - F.col("_fx")
     # a tile without any valid cell has no table; the remaining tiles share its weight
-    blended = corners.join(luts, [*group, "_ty", "_tx", "_v8"]).groupBy(*group, "y", "x").agg(
-        F.rint(F.sum(F.col("_w") * F.col("_level")) / F.sum("_w")).alias("_new")
-    )
-    out = rows.join(blended, [*group, "y", "x"], "left")
+    total, weight = F.lit(0.0), F.lit(0.0)
+    for name in corner:
+        w = (share_y if name[2] == "1" else 1 - share_y) * (share_x if name[3] == "1" else 1 - share_x)
+        held = F.col(name).isNotNull()
+        total = total + F.when(held, w * _level(F.col(name), F.col("_v8"), clip, area)).otherwise(0.0)
+        weight = weight + F.when(held, w).otherwise(0.0)
+    new = F.when(F.col("_v8").isNotNull(), F.rint(ratio(total, weight)))
+    out = placed.withColumn("_new", new)
     scaled = F.col("_new") / 255.0 if unit_range else from_8bit(F.col("_new"), F.col("_min"), F.col("_max"))
     return out.withColumn(value, F.when(F.col("_new").isNotNull(), scaled).otherwise(F.col(value))).select(*cube.columns)
 

@@ -278,3 +278,34 @@ def test_multiscale_equals_its_chain_of_blurs(spark, nulls, monkeypatch):
     assert all((got[k] is None) == (expected[k] is None) for k in got)
     assert all(got[k] == pytest.approx(expected[k], abs=1e-12) for k in got if got[k] is not None)
     assert any(v is not None for v in got.values())
+
+
+def analysed(df):
+    return df._jdf.queryExecution().analyzed().toString()
+
+
+def test_tables_of_slices_are_not_copied(cube):
+    """Only the range of a whole variable is copied over salts, never a table with a row per slice, bin or level."""
+    for out, copied in ((N.hist_equalize(cube), 0), (N.clahe(cube, SHAPE), 1), (N.adaptive_equalize(cube, SHAPE), 0)):
+        plan = analysed(out)
+        assert plan.count("Generate explode(_ty") == 0 and plan.count("posexplode") == 0
+        copies = [line for line in plan.splitlines() if "Generate explode(sequence(0, " in line]
+        # clahe reads its ranged rows twice: for the histograms and for the cells
+        assert len(copies) == 2 * copied
+
+
+def test_hist_equalize_keeps_null_and_constant_slices(spark):
+    cube = cube_of(spark, [np.full((NY, NX), 3.0), np.where(np.eye(NY, NX) > 0, np.nan, np.arange(NY * NX).reshape(NY, NX))])
+    got = grids_of(N.hist_equalize(cube), 2)
+    assert np.isnan(np.diagonal(got[1])).all() and np.isfinite(got[1]).sum() == NY * NX - NY
+    assert not np.isfinite(got[0]).any() or (got[0] >= 0).all()
+
+
+def test_clahe_with_gaps_and_odd_tiles(spark, image):
+    holes = image.copy()
+    holes[0, :4, :5] = np.nan  # whole tiles without a valid cell
+    cube = cube_of(spark, holes)
+    got = grids_of(N.adaptive_equalize(cube, SHAPE), 2)
+    assert np.isnan(got[0, :4, :5]).all() and np.isfinite(got).sum() == 2 * NY * NX - 20
+    nulls = cube.withColumn("dataset_id", F.lit(None).cast("string"))
+    assert sorted(r.value for r in N.clahe(nulls.where("value IS NOT NULL"), SHAPE).collect()) == sorted(holes[np.isfinite(holes)].tolist())
