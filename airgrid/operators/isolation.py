@@ -12,15 +12,19 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from airgrid import KEYS
-from airgrid.core import attach, exact_quantiles
+from airgrid.core import attach, exact_quantiles, materialize, same_keys
 
 SUBSAMPLE = 256
 TREES = 100
 CHUNK = 200
+#: rows of a key that one task scores, about
+PART = 32_768
 #: rows of a key that each tree chooses its sample from
 SEEN = 4 * SUBSAMPLE
 
@@ -131,15 +135,34 @@ def fit_isolation(
 def anomalies_isolation(
     df: DataFrame, contamination: float = 0.1, keys: Sequence[str] = KEYS, value: str = "value", trees: int = TREES, seed: int = 42
 ) -> DataFrame:
-    """Adds ``score`` and ``is_anomaly``: the ``contamination`` share with the highest scores."""
+    """Adds ``score`` and ``is_anomaly``: the ``contamination`` share with the highest scores.
+
+    The rows of a key meet its trees' samples, which are smaller than the forest's step function, in parts of
+    about ``PART`` rows; each part grows the same forest and looks its rows up in it.
+    """
     keys = list(keys)
-    model = fit_isolation(df, keys, value, trees, seed)
-    most = trees * SUBSAMPLE // CHUNK + 1
-    starts = model.where(F.col("chunk") == 0).select(*keys, "starts")
-    rows = attach(df, starts, keys, "left").withColumn("chunk", count_below(F.col("starts"), F.col(value), most)).drop("starts")
-    rows = attach(rows, model.drop("starts"), [*keys, "chunk"], "left")
-    at = count_below(F.col("edges"), F.col(value), CHUNK)
-    scored = rows.withColumn("score", F.when(F.col(value).isNotNull(), F.get("scores", at))).drop("chunk", "edges", "scores")
+    sizes = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("_parts"))
+    # rows and samples of a part meet in one group; the sums of rows need no other order
+    rows = attach(df, sizes, keys).withColumn("_part", F.pmod(F.xxhash64(*df.columns) + F.spark_partition_id(), F.col("_parts")).cast("int"))
+    samples = same_keys(tree_samples(df, keys, value, trees, seed), sizes, keys)
+    samples = samples.withColumn("_at", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    samples = samples.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)})
+    group, columns = [*keys, "_part"], df.columns
+
+    def score(rows: pa.Table, samples: pa.Table) -> pa.Table:
+        found = np.full(rows.num_rows, np.nan)
+        if samples.num_rows:
+            trees = samples.sort_by("_tree").column("_values")
+            cuts, scores = forest_steps([np.sort(np.asarray(v.values, dtype=float)) for v in trees], seed)
+            values = rows.column("_v").to_numpy()
+            valid = rows.column("_v").is_valid().to_numpy()
+            found[valid] = scores[np.searchsorted(cuts, values[valid], "left")]
+        return rows.select(columns).append_column("score", pa.array(found, from_pandas=True))
+
+    rows = rows.drop("_parts").withColumn("_v", F.col(value).cast("double"))
+    kind = T.StructType([*df.schema.fields, T.StructField("score", T.DoubleType())])
+    # read several times below
+    scored = materialize(rows.groupBy(*group).cogroup(samples.groupBy(*[f"_k{i}" for i in range(len(keys))], "_at")).applyInArrow(score, kind))
     cut = exact_quantiles(scored, keys, "score", {"_cut": 1 - contamination})
     out = attach(scored, cut, keys, "left")
     return out.withColumn("is_anomaly", F.coalesce(F.col("score") > F.col("_cut"), F.lit(False))).drop("_cut")

@@ -254,6 +254,21 @@ def test_isolation_model_ignores_order_and_partitions(spark, n):
     assert len(sampled) == 100 and {len(r["_values"]) for r in sampled} == {min(n, 256)}
 
 
+def test_isolation_scores_in_parts_as_the_model_says(spark, monkeypatch):
+    """Parts of a key score their rows by the forest's steps; no step function travels to the rows."""
+    from airgrid.operators import isolation
+
+    monkeypatch.setattr(isolation, "PART", 100, raising=True)
+    rows = series_of(spark, [None, *np.random.default_rng(5).normal(size=900).round(2)])
+    model = fit_isolation(rows).orderBy("chunk").collect()
+    edges, scores = (np.concatenate([m[c] for m in model]) for c in ("edges", "scores"))
+    out = anomalies_isolation(rows)
+    got = out.toPandas().dropna(subset="value")
+    np.testing.assert_allclose(got.score, scores[np.searchsorted(edges, got.value, "left")])
+    assert len(got) == 900 and out.where("value IS NULL AND score IS NULL AND NOT is_anomaly").count() == 1
+    assert not out.where("value IS NOT NULL AND score IS NULL").count()
+
+
 def test_forest_steps_are_a_step_function():
     rng = np.random.default_rng(1)
     cuts, scores = forest_steps([np.sort(rng.normal(size=250)) for _ in range(20)], 7)
