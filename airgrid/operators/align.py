@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from airgrid import KEYS
-from airgrid.core import attach
+from airgrid.core import attach, same_keys
 from airgrid.functions.geo import KM_PER_DEGREE, from_utm, to_utm, wind_direction, wind_speed
 from airgrid.operators.aggregates import merge_on, pivot_wide
 from airgrid.operators.slicing import latest_slice
@@ -73,11 +73,11 @@ def mosaic(cube: DataFrame, keys: Sequence[str] = KEYS, time: str = "time", valu
 def scene_join(cube: DataFrame, scenes: DataFrame, on: Mapping[str, str]) -> DataFrame:
     """Cells whose scene passes the catalogue's filters; ``on`` maps cube columns to scene columns.
 
-    The catalogue is reduced to its distinct join values first and replicated over salts, so that a
-    scene with very many cells is read by many tasks.
+    The catalogue is reduced to its distinct join values first and joined without copies; adaptive execution splits
+    the tasks of a scene with very many cells.
     """
     right = scenes.select(*[F.col(s).alias(c) for c, s in on.items()]).distinct()
-    return attach(cube, right, list(on))
+    return same_keys(cube, right, list(on))
 
 
 def variable_pairs(df: DataFrame, dataset: str = "dataset_id", ordered: bool = True) -> DataFrame:

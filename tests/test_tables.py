@@ -411,3 +411,14 @@ def test_infinite_inputs_become_unknown_features(spark):
     got = W.feature_matrix(df, plan).toPandas()
     assert np.isfinite(np.stack(got.features.to_numpy())).all() and np.abs(np.stack(got.features.to_numpy())).max() < 400
     assert pd.Timestamp("2021-01-09") not in set(got.time) and pd.Timestamp("2021-01-20") in set(got.time)
+
+
+def test_scene_join_copies_no_scenes(spark):
+    """The catalogue used to be copied once per shuffle partition, a table that the driver could broadcast."""
+    from airgrid.operators.align import scene_join
+
+    cells = spark.createDataFrame([(1, 1.0), (1, 2.0), (2, 3.0), (None, 4.0)], "scene_id long, value double")
+    scenes = spark.createDataFrame([(1,), (1,), (None,), (3,)], "id long")
+    out = scene_join(cells, scenes, {"scene_id": "id"})
+    assert sorted(r.value for r in out.collect()) == [1.0, 2.0, 4.0] and out.columns == cells.columns
+    assert "explode" not in out._jdf.queryExecution().analyzed().toString()
