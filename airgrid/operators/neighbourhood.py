@@ -66,6 +66,16 @@ def _positions(s: Column, n: int, reach: int, border: str | None) -> Column:
     return F.filter(F.array_distinct(F.array(*spots)), lambda p: (p >= -reach) & (p < n + reach))
 
 
+def _tiles_at(halo: int, tile: int, last: int) -> Callable[[Column], Column]:
+    """The tiles whose halo holds a padded position."""
+
+    def tiles(p: Column) -> Column:
+        lo, hi = F.greatest(F.floor((p - halo) / tile), F.lit(0)), F.least(F.floor((p + halo) / tile), F.lit(last))
+        return F.sequence(lo.cast("int"), hi.cast("int"))
+
+    return tiles
+
+
 def by_tile(cube: DataFrame, keys: Sequence[str], time: str) -> DataFrame:
     """Co-locate the cells of a tile; a tile is bounded, so no slice or key fills one task."""
     return cube.repartition(*keys, time, F.floor(F.col("y") / TILE), F.floor(F.col("x") / TILE))
@@ -126,11 +136,8 @@ def stencils(
     """
     rows = cube.withColumn("_v", F.col(value).cast("double"))
     for axis, n in (("y", shape[0]), ("x", shape[1])):
-        last = (n - 1) // tile
-        rows = rows.withColumn(f"_p{axis}", F.explode(_positions(F.col(axis), n, halo, border)))
-        lo = F.greatest(F.floor((F.col(f"_p{axis}") - halo) / tile), F.lit(0))
-        hi = F.least(F.floor((F.col(f"_p{axis}") + halo) / tile), F.lit(last))
-        rows = rows.withColumn(f"_t{axis}", F.explode(F.sequence(lo.cast("int"), hi.cast("int"))))
+        served = F.transform(_positions(F.col(axis), n, halo, border), _tiles_at(halo, tile, (n - 1) // tile))
+        rows = rows.withColumn(f"_t{axis}", F.explode(F.array_distinct(F.flatten(served))))
     columns = [c for c in cube.columns if c not in outputs]
     # two hashes name a tile; they take note of nulls, which hashes skip
     named = [*keys, time, "_ty", "_tx", *[F.col(k).isNull() for k in (*keys, time)]]
@@ -139,16 +146,34 @@ def stencils(
     h, w = min(tile, shape[0]), min(tile, shape[1])
     height, width = h + 2 * halo, w + 2 * halo
 
+    def sources(t: np.ndarray, n: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Per tile the first grid index it needs, and where after that each of its positions takes its value from;
+        positions that show nothing take it from the place after the last."""
+        p = t[:, None] * tile - halo + np.arange(length)
+        if border is None or n == 1:
+            shown, at = (p >= 0) & (p < n), p
+        else:
+            period = 2 * n if border == "symmetric" else 2 * (n - 1)
+            shown, at = p < n + halo, p % period
+            at = np.where(at < n, at, (period - 1 if border == "symmetric" else period) - at)
+        first = np.where(shown, at, n).min(axis=1)
+        at = at - first[:, None]
+        return first, np.where(shown, at, np.where(shown, at, 0).max() + 1)
+
     def worked(table: pa.Table, number: np.ndarray) -> pa.Table:
-        y, x, py, px, ty, tx, v = (table[c].to_numpy() for c in ("y", "x", "_py", "_px", "_ty", "_tx", "_v"))
-        dense = np.full((number[-1] + 1, height, width), np.nan)
-        present = np.zeros(dense.shape, bool)
-        at, to = py - ty * tile + halo, px - tx * tile + halo
-        reach = (at >= 0) & (at < height) & (to >= 0) & (to < width)
+        y, x, ty, tx, v = (table[c].to_numpy() for c in ("y", "x", "_ty", "_tx", "_v"))
+        head = np.flatnonzero(np.diff(number, prepend=-1))
+        (top, rows), (left, cols) = sources(ty[head], shape[0], height), sources(tx[head], shape[1], width)
+        cells = np.full((len(head), rows.max() + 2, cols.max() + 2), np.nan)
+        there = np.zeros(cells.shape, bool)
+        at, to = y - top[number], x - left[number]
+        reach = (at >= 0) & (at < cells.shape[1]) & (to >= 0) & (to < cells.shape[2])
         place = (number[reach], at[reach], to[reach])
-        dense[place], present[place] = v[reach], True
-        found = fn(dense, present)
-        own = (py == y) & (px == x) & (y // tile == ty) & (x // tile == tx)
+        cells[place], there[place] = v[reach], True
+        # border rules repeat cells here, not on their way
+        spread_out = (np.arange(len(head))[:, None, None], rows[:, :, None], cols[:, None, :])
+        found = fn(cells[spread_out], there[spread_out])
+        own = (y // tile == ty) & (x // tile == tx)
         core = table.filter(pa.array(own)).select(columns)
         place = (number[own], (y - ty * tile)[own], (x - tx * tile)[own])
         for name in outputs:
@@ -224,7 +249,7 @@ RING = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if (dy, dx) != (0, 0)
 def dos_correct(cube: DataFrame, percentile: float = 1.0, keys: Sequence[str] = KEYS, time: str = "time", value: str = "value") -> DataFrame:
     """Subtract the dark-object percentile of each slice and clamp at zero."""
     dark = exact_quantiles(cube, [*keys, time], value, {"_dark": percentile / 100.0})
-    rows, v = attach(cube, dark, [*keys, time], "left"), F.col(value)
+    rows, v = same_keys(cube, dark, [*keys, time], "left"), F.col(value)
     return rows.withColumn(value, F.when(v.isNotNull(), F.greatest(v - F.col("_dark"), F.lit(0.0)))).drop("_dark")
 
 
@@ -446,7 +471,7 @@ def morans_i(
     v, lag = F.col(value), F.coalesce(F.col("_lag"), F.lit(0.0))
     slices = [*keys, time]
     mean = cube.groupBy(*slices).agg(F.avg(value).alias("_mu"), F.count(value).alias("n"))
-    rows = attach(valid, mean, slices)
+    rows = same_keys(valid, mean, slices)
     mu = F.col("_mu")
     out = rows.groupBy(*slices).agg(
         F.sum(w * (v - mu) * (lag - mu)).alias("_num"), F.sum(w * (v - mu) * (v - mu)).alias("_den"), F.max("n").alias("n")
@@ -506,7 +531,7 @@ def contrast_stretch(
 ) -> DataFrame:
     """Per slice clip((v - p_low) / (p_high - p_low), 0, 1); unchanged where both percentiles are equal."""
     cut = exact_quantiles(cube, [*keys, time], value, {"_a": low / 100.0, "_b": high / 100.0})
-    rows, v = attach(cube, cut, [*keys, time], "left"), F.col(value)
+    rows, v = same_keys(cube, cut, [*keys, time], "left"), F.col(value)
     scaled = (v - F.col("_a")) / F.nullif(F.col("_b") - F.col("_a"), F.lit(0.0))
     clipped = F.least(F.greatest(scaled, F.lit(0.0)), F.lit(1.0))
     return rows.withColumn(value, F.when(v.isNotNull() & (F.col("_b") > F.col("_a")), clipped).otherwise(v)).drop("_a", "_b")

@@ -309,3 +309,30 @@ def test_clahe_with_gaps_and_odd_tiles(spark, image):
     assert np.isnan(got[0, :4, :5]).all() and np.isfinite(got).sum() == 2 * NY * NX - 20
     nulls = cube.withColumn("dataset_id", F.lit(None).cast("string"))
     assert sorted(r.value for r in N.clahe(nulls.where("value IS NOT NULL"), SHAPE).collect()) == sorted(holes[np.isfinite(holes)].tolist())
+
+
+@pytest.mark.parametrize(("border", "pad"), [("symmetric", "symmetric"), ("mirror", "reflect"), (None, "constant")])
+@pytest.mark.parametrize(("halo", "tile"), [(1, 64), (3, 4), (11, 5)])
+def test_stencils_send_a_cell_once_to_a_tile(cube, image, border, pad, halo, tile):
+    def fn(dense, present):
+        windows = np.lib.stride_tricks.sliding_window_view(dense, (2 * halo + 1, 2 * halo + 1), axis=(1, 2))
+        return {"value": np.nansum(windows * np.arange(1, 2 * halo + 2), axis=(-2, -1))}
+
+    out = N.stencils(cube, fn, ["value"], halo, SHAPE, border, tile)
+    with_edge = np.pad(image[1], halo, mode=pad)
+    want = (np.lib.stride_tricks.sliding_window_view(with_edge, (2 * halo + 1,) * 2) * np.arange(1, 2 * halo + 2)).sum((-2, -1))
+    np.testing.assert_allclose(grids_of(out, 2)[1], want)
+    # repeated cells of a border used to be rows of their own
+    assert "_py" not in analysed(out)
+
+
+def test_tables_with_many_rows_are_joined_without_copies(spark, monkeypatch):
+    from airgrid import core
+
+    rows = spark.createDataFrame([("a", 1), ("b", 2), (None, 3), ("c", 4)], "k string, v int")
+    table = spark.createDataFrame([("a", 10), ("b", 20), (None, 30)], "k string, w int")
+    monkeypatch.setattr(core, "BROADCAST_ROWS", 2)
+    for how, n in (("inner", 3), ("left", 4)):
+        out = core.lookup(rows, table, ["k"], how)
+        assert "explode" not in analysed(out)
+        assert sorted((r.v, r.w or 0) for r in out.collect()) == [(1, 10), (2, 20), (3, 30), (4, 0)][:n]
