@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -337,16 +338,22 @@ def mean_pair_distance(df: DataFrame, columns: Sequence[str], keys: Sequence[str
         .agg(F.collect_list(F.array(*[F.col(c).cast("double") for c in columns])).alias("_rows"))
     )
 
-    @F.pandas_udf("double")
-    def distances(left: pd.Series, right: pd.Series, same: pd.Series) -> pd.Series:
+    @F.arrow_udf("double")
+    def distances(left: pa.Array, right: pa.Array, same: pa.Array) -> pa.Array:
+        def chunks(rows: pa.Array) -> Iterator[np.ndarray]:
+            # views of the batch's numbers, no object for each row
+            flat = rows.flatten().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(columns))
+            at = rows.offsets.to_numpy() - rows.offsets[0].as_py()
+            return (flat[i:j] for i, j in zip(at[:-1], at[1:], strict=True))
+
         def one(a, b, s):
-            a, b = np.stack(list(a)), np.stack(list(b))
             squares = np.zeros((len(a), len(b)))
             for c in range(a.shape[1]):
                 squares += (a[:, c][:, None] - b[:, c][None, :]) ** 2
             return float(np.sqrt(squares).sum()) / (2.0 if s else 1.0)
 
-        return pd.Series([one(a, b, s) for a, b, s in zip(left, right, same, strict=True)])
+        found = [one(a, b, s) for a, b, s in zip(chunks(left), chunks(right), same.to_pylist(), strict=True)]
+        return pa.array(found, pa.float64(), from_pandas=True)
 
     last = F.ceil(F.col("_n") / chunk).cast("long") - 1
     left = packed.select(*keys, "_n", F.col("_chunk").alias("_ca"), F.explode(F.sequence("_chunk", last)).alias("_cb"), F.col("_rows").alias("_ra"))

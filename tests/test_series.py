@@ -310,3 +310,16 @@ def test_days_with_several_rows(spark):
     assert [r.day.day for r in missing_days(df).collect()] == [2]
     filled = fill_gaps(df).orderBy("time").collect()
     assert [(r.time.day, r.filled, r.was_missing) for r in filled] == [(1, 0.5, False), (2, 1.25, True), (3, 2.0, False)]
+
+
+def test_pair_distance_makes_no_object_for_each_row(spark, monkeypatch):
+    """Chunks reach the distance sums as Arrow arrays; null coordinates leave their chunk pairs out, as before."""
+    from pyspark.sql import functions as functions
+
+    kinds = []
+    monkeypatch.setattr(functions, "pandas_udf", lambda *a, **k: kinds.append(a) or pytest.fail("rows as pandas objects"))
+    pdf, df = wide_frame(spark, 30)
+    one = S.mean_pair_distance(df, ["a", "b"], ["dataset_id"], ["time"], chunk=1000).first()
+    p = pdf[["a", "b"]].to_numpy()
+    d = np.sqrt(((p[:, None] - p) ** 2).sum(-1))
+    assert one.n == 30 and one.mean_distance == pytest.approx(d[np.triu_indices(30, 1)].mean()) and not kinds
