@@ -7,6 +7,7 @@ one entry.
 
 Candidates.  A text is entered in ``TABLES`` tables under ``ROWS`` minwise hashes each.  A pair of
 similarity s shares no table in (1 - s**ROWS)**TABLES of all cases: 7 in 100,000 at 0.8, 2 in 10**9 at 0.9.
+Groups that another search found (``near``) are one more table: all pairs within them are candidates too.
 
 Verifying.  Groups of a table with the same members as another group are verified once.  Greater groups
 are cut into blocks of bounded size; every pair of blocks is a group of its own.  A text (the pivot) is
@@ -171,11 +172,22 @@ def _verify(dealt: DataFrame, similarity: float) -> DataFrame:
     return dealt.repartition(*group).sortWithinPartitions(*group).mapInArrow(scan, "a long, b long")
 
 
-def copies(docs: DataFrame, size: int, similarity: float, row: str, text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """(row, component): the smallest row reachable over links.  ``row`` numbers the rows of ``docs``."""
+def copies(
+    docs: DataFrame, size: int, similarity: float, row: str, text_col: str = "text", block: int = BLOCK, near: DataFrame | None = None
+) -> DataFrame:
+    """(row, component): the smallest row reachable over links.  ``row`` numbers the rows of ``docs``.
+
+    ``near`` (row, near) are groups of rows whose pairs are verified as well.
+    """
     prints = written(_sketches(docs, size, row, text_col), "sketches")
     entries = written(prints.groupBy("d0", "d1").agg(F.min("row").alias("node"), F.first("n").alias("n"), F.first("keys").alias("keys")), "entries")
+    named = prints.select("row", "d0", "d1").join(entries.select("d0", "d1", "node", "n"), ["d0", "d1"]).select("row", "node", "n")
     tables = entries.select("node", "n", F.explode("keys").alias("key"))
+    if near is not None:
+        # rows of one entry may be in several groups
+        named = written(named, "named")
+        further = named.join(near, "row").select("node", "n", F.xxhash64(F.lit("near"), "near").alias("key")).distinct()
+        tables = tables.unionByName(written(further, "near"))
     members = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"m{i}") for i in range(2)]
     groups = tables.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("weight"), *members).where("k > 1")
     groups = groups.groupBy("m0", "m1", "k", "weight").agg(F.min("key").alias("key"))
@@ -193,5 +205,4 @@ def copies(docs: DataFrame, size: int, similarity: float, row: str, text_col: st
     dealt = placed.withColumn("own", F.pmod(F.xxhash64("node", F.lit(11)), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("g", F.explode(F.concat(as_right, as_left))).select("key", "g.i", "g.j", "g.right", "node")
     roots = components(_verify(dealt.join(sets, "node").select("key", "i", "j", "right", "node", "shingles"), similarity))
-    named = prints.select("row", "d0", "d1").join(entries.select("d0", "d1", "node"), ["d0", "d1"])
     return named.join(roots, "node", "left").select("row", F.coalesce("root", "node").alias("component"))

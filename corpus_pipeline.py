@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import airgrid
-from airgrid.llm import line_dedup, packing, quality, shingle_copies, toxicity
+from airgrid.llm import line_dedup, near_dedup, packing, quality, shingle_copies, toxicity
 from airgrid.llm.common import id_or_last, written
 
 cloudpickle.register_pickle_by_value(airgrid)
@@ -25,6 +25,8 @@ TOXIC_FROM = 0.7
 QUALITY_FROM = 0.3
 #: near copies share this much of their runs of five words
 SHINGLE, SIMILARITY = 5, 0.8
+#: bits in which fingerprints of near copies may differ
+RADIUS = 4
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -60,7 +62,9 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     row, key = _free(docs, "row"), _free(docs, "key")
     rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    found = shingle_copies.copies(rows, SHINGLE, SIMILARITY, row).withColumnRenamed("row", row)
+    # texts with near fingerprints are compared exactly, as are those that share a minwise table
+    near = near_dedup.near_dedup(rows, RADIUS, SHINGLE, row).select(F.col(row).alias("row"), F.col("component_id").alias("near"))
+    found = shingle_copies.copies(rows, SHINGLE, SIMILARITY, row, near=near).withColumnRenamed("row", row)
     # of each component the row with the smallest id stays, one without an id only where none has one
     place = F.struct(id_or_last("doc_id").alias("id"), F.col(row).alias("row"))
     found = written(found.join(rows.select(row, place.alias(key)), row), "components")

@@ -168,3 +168,21 @@ def test_near_stage_goes_by_rows(spark, tmp_path):
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     left = sorted(((r.doc_id or 0, r.text) for r in corpus_pipeline.drop_near_copies(spark, df, str(tmp_path)).collect()))
     assert left == sorted([(1, one), (0, two), (3, three), (3, four), (5, prose(905, 80))])
+
+
+def test_near_stage_searches_by_fingerprints(spark, tmp_path, monkeypatch):
+    # no two texts share a minwise table, so that only near fingerprints make candidates
+    monkeypatch.setattr(shingle_copies, "table_keys", lambda s: np.array([hash((s.tobytes(), i)) % 2**63 for i in range(shingle_copies.TABLES)], dtype=np.uint64))
+    text = prose(77, 2_000)
+    words = text.split(" ")
+    docs = [(1, text), (2, " ".join(words[:1_000] + ["changed"] + words[1_001:])), (3, prose(78, 2_000)), (4, prose(79, 2_000))]
+    left = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(docs, "doc_id long, text string"), str(tmp_path)).collect()}
+    assert left == {1, 3, 4}
+
+
+def test_groups_of_another_search_are_verified(spark):
+    one, two = prose(5, 100), prose(6, 100)
+    docs = spark.createDataFrame([(0, one), (1, two), (2, one + " more"), (3, one)], "row long, text string")
+    near = spark.createDataFrame([(i, 0) for i in range(4)], "row long, near long")
+    got = {r.row: r.component for r in shingle_copies.copies(docs, 5, 0.8, "row", near=near).collect()}
+    assert got == {0: 0, 1: 1, 2: 0, 3: 0}  # a group alone links nothing
