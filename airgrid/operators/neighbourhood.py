@@ -35,6 +35,8 @@ from airgrid.operators.isolation import count_below
 from airgrid.operators.slicing import stride_sample
 
 TILE = 64
+#: side of a tile whose cells' whole histories one task holds
+HISTORY_TILE = 32
 #: dense cells that a task works on at once
 STACK = 1 << 20
 Shape = tuple[int, int]
@@ -640,50 +642,50 @@ def enhance_contrast(cube: DataFrame, method: str, shape: Shape, keys: Sequence[
 # ------------------------------------------------------------------ decomposition over time
 
 
+def _histories(table: pa.Table, value: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A tile's rows as one centred vector over the slices per cell, gaps at zero: the vectors, the cells' means,
+    and of each row its cell, its slice and whether it has a value."""
+    cell = table.select(["y", "x"]).to_pandas().groupby(["y", "x"], dropna=False, sort=False).ngroup().to_numpy()
+    slot, valid = table["_slot"].to_numpy().astype(int), table[value].is_valid().to_numpy()
+    v = table[value].cast(pa.float64()).to_numpy()[valid]
+    n = cell.max() + 1
+    mean = np.bincount(cell[valid], v, n) / np.maximum(np.bincount(cell[valid], minlength=n), 1)
+    vectors = np.zeros((n, int(table["_slots"][0].as_py())))
+    vectors[cell[valid], slot[valid]] = v - mean[cell[valid]]
+    return vectors, mean, cell, slot, valid
+
+
 def pca_denoise(
     cube: DataFrame, components: int = 10, keys: Sequence[str] = KEYS, time: str = "time", value: str = "value"
 ) -> DataFrame:
     """Keep the leading time components of each variable.
 
     A cell's history is one vector over the slices of its key, centred by the cell's mean, gaps at the
-    mean.  The slices-by-slices Gram matrix is summed per batch of cells and then per key; its leading
-    eigenvectors project every cell.  Only that matrix, of slice count squared, is ever decomposed.
+    mean.  The slices-by-slices Gram matrix is summed per tile of cells and then per key; its leading
+    eigenvectors, sent once to each tile, project every cell.  Only that matrix, of slice count squared, is
+    ever decomposed.  A row whose key or place is null gets null.
     """
-    from airgrid.core import row_position
+    from airgrid.core import materialize, row_position
 
-    keys = list(keys)
+    keys, kept = list(keys), [c for c in cube.columns if c != value]
     slots = row_position(cube.groupBy(*keys, time).agg(F.count(F.lit(1)).alias("_m")).drop("_m"), keys, time, "_slot", "_slots")
-    rows = attach(cube, slots, [*keys, time])
-    vectors = rows.where(F.col(value).isNotNull()).groupBy(*keys, "y", "x").agg(
-        F.avg(value).alias("_mean"), F.max("_slots").alias("_slots"), F.collect_list("_slot").alias("_at"), F.collect_list(value).alias("_v")
-    )
-
-    def dense(at, v, mean, slots):
-        out = np.zeros(int(slots))
-        out[np.asarray(at, dtype=int)] = np.asarray(v, dtype=float) - mean
-        return out
-
-    types = ", ".join(f"`{k}` {cube.schema[k].dataType.simpleString()}" for k in keys)
-
-    def gram(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-        sums: dict[tuple, np.ndarray] = {}
-
-        def flush():
-            for key, g in sums.items():
-                head = {k: [v] * len(g) for k, v in zip(keys, key, strict=True)}
-                yield pd.DataFrame({**head, "_row": np.arange(len(g), dtype=np.int64), "_g": list(g)})
-            sums.clear()
-
-        for pdf in batches:
-            for key, g in pdf.groupby(keys, dropna=False, sort=False):
-                x = np.stack([dense(*r) for r in zip(g["_at"], g["_v"], g["_mean"], g["_slots"], strict=True)])
-                part = x.T @ x
-                sums[key] = sums[key] + part if key in sums else part
-            if len(sums) > 8:
-                yield from flush()
-        yield from flush()
-
-    partial = vectors.mapInPandas(gram, f"{types}, _row bigint, _g array<double>")
+    tile = [F.floor(F.col(axis) / HISTORY_TILE).alias(f"_t{axis}") for axis in ("y", "x")]
+    rows = same_keys(cube, slots, [*keys, time]).select("*", *tile)
+    group = [*keys, "_ty", "_tx"]
+    kinds = {f.name: f for f in rows.schema}
+
+    def gram(table: pa.Table) -> pa.Table:
+        vectors = _histories(table, value)[0]
+        g, n = vectors.T @ vectors, vectors.shape[1]
+        # one row per row of the upper triangle
+        upper = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *range(n, 0, -1)], dtype=np.int32)), pa.array(g[np.triu_indices(n)]))
+        head = table.select(group).take(pa.array(np.zeros(n, dtype=np.int64)))
+        return head.append_column("_row", pa.array(np.arange(n))).append_column("_g", upper)
+
+    places = [kinds[c] for c in group]
+    partial_kind = T.StructType([*places, T.StructField("_row", T.LongType()), T.StructField("_g", T.ArrayType(T.DoubleType()))])
+    valued = rows.where(F.col(value).isNotNull()).select(*group, "y", "x", "_slot", "_slots", value)
+    partial = materialize(valued.groupBy(*group).applyInArrow(gram, partial_kind))
     # add the partial rows element by element; a row of the matrix is as long as the series of slices
     flat = partial.select(*keys, "_row", F.posexplode("_g").alias("_col", "_x"))
     summed = flat.groupBy(*keys, "_row", "_col").agg(F.sum("_x").alias("_x"))
@@ -691,28 +693,34 @@ def pca_denoise(
     def basis(pdf: pd.DataFrame) -> pd.DataFrame:
         n = int(pdf["_row"].max()) + 1
         g = np.zeros((n, n))
-        g[pdf["_row"].to_numpy(int), pdf["_col"].to_numpy(int)] = pdf["_x"].to_numpy()
-        _, vec = np.linalg.eigh((g + g.T) / 2)
+        row, col = pdf["_row"].to_numpy(int), (pdf["_row"] + pdf["_col"]).to_numpy(int)
+        g[row, col] = g[col, row] = pdf["_x"].to_numpy()
+        _, vec = np.linalg.eigh(g)
         lead = vec[:, ::-1][:, : min(components, n)]
         head = {k: [pdf[k].iloc[0]] for k in keys}
         return pd.DataFrame({**head, "_basis": [lead.T.ravel().tolist()]})
 
+    types = ", ".join(f"`{k}` {cube.schema[k].dataType.simpleString()}" for k in keys)
     bases = summed.groupBy(*keys).applyInPandas(basis, f"{types}, _basis array<double>")
-
-    @F.pandas_udf("array<double>")
-    def project(at: pd.Series, v: pd.Series, mean: pd.Series, slots: pd.Series, basis: pd.Series) -> pd.Series:
-        def one(a, x, m, n, b):
-            lead = np.asarray(b).reshape(-1, int(n))
-            return (lead.T @ (lead @ dense(a, x, m, n)) + m)[np.asarray(a, dtype=int)]
-
-        return pd.Series([one(*r) for r in zip(at, v, mean, slots, basis, strict=True)])
-
-    projected = attach(vectors, bases, keys).select(
-        *keys, "y", "x", F.explode(F.arrays_zip("_at", project("_at", "_v", "_mean", "_slots", "_basis").alias("_new"))).alias("_z")
-    )
-    new = projected.select(*keys, "y", "x", F.col("_z")["_at"].alias("_slot"), F.col("_z")["_new"].alias("_new"))
-    out = rows.join(new, [*keys, "y", "x", "_slot"], "left")
-    return out.withColumn(value, F.when(F.col(value).isNotNull(), F.col("_new"))).select(*cube.columns)
+    there = same_keys(partial.where("_row = 0").select(*group), bases, keys).withColumnsRenamed({c: f"_g{i}" for i, c in enumerate(group)})
+
+    def project(table: pa.Table, bases: pa.Table) -> pa.Table:
+        vectors, mean, cell, slot, valid = _histories(table, value)
+        known = np.logical_and.reduce([table[c].is_valid().to_numpy() for c in (*keys, "y", "x")])
+        new, times = np.full(len(cell), np.nan), np.ones(len(cell), dtype=int)
+        if bases.num_rows:
+            lead = np.asarray(bases["_basis"][0].values).reshape(-1, vectors.shape[1])
+            new = ((vectors @ lead.T) @ lead + mean[:, None])[cell, slot]
+            held = np.zeros(vectors.shape, dtype=int)
+            np.add.at(held, (cell[valid], slot[valid]), 1)
+            # rows that repeat a cell of a slice meet each other, as in a join
+            times = np.where(known, np.maximum(held[cell, slot], 1), 1)
+        out = table.append_column("_new", pa.array(new, mask=~(valid & known)))
+        return out.select([*kept, "_new"]).take(pa.array(np.repeat(np.arange(len(cell)), times)))
+
+    kind = T.StructType([*[cube.schema[c] for c in kept], T.StructField("_new", T.DoubleType())])
+    out = rows.groupBy(*group).cogroup(there.groupBy(*[f"_g{i}" for i in range(len(group))])).applyInArrow(project, kind)
+    return out.withColumnRenamed("_new", value).select(*cube.columns)
 
 
 # ------------------------------------------------------------------ map layers

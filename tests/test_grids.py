@@ -336,3 +336,19 @@ def test_tables_with_many_rows_are_joined_without_copies(spark, monkeypatch):
         out = core.lookup(rows, table, ["k"], how)
         assert "explode" not in analysed(out)
         assert sorted((r.v, r.w or 0) for r in out.collect()) == [(1, 10), (2, 20), (3, 30), (4, 0)][:n]
+
+
+def test_pca_sums_one_matrix_a_tile(spark, monkeypatch):
+    # cells spread over all tasks made a slices-by-slices matrix each; rows whose place is null or repeats stay
+    a = np.random.default_rng(9).normal(size=(6, NY, NX))
+    made = []
+    monkeypatch.setattr("airgrid.core.materialize", lambda df: made.append(df) or df)
+    df = cube_of(spark, a).repartition(40)
+    got = grids_of(N.pca_denoise(df, 6), 6)
+    np.testing.assert_allclose(got, a, atol=1e-9)
+    assert [m.count() for m in made if "_g" in m.columns] == [6]
+    monkeypatch.undo()
+    odd = df.limit(1).withColumn("y", F.lit(None).cast("int"))
+    twice = df.where("y = 0 and x = 0 and day(time) = 1")
+    out = N.pca_denoise(df.unionByName(odd).unionByName(twice), 2)
+    assert out.where("y is null").collect()[0].value is None and out.where("y = 0 and x = 0 and day(time) = 1").count() == 4
