@@ -124,6 +124,39 @@ def weighted(kernel: Sequence[Sequence[float]], value: str = "value") -> Column:
     return F.when(F.count(value) == size * size, F.sum(w * F.col(value)))
 
 
+def whole_tiles(
+    rows: DataFrame, worked: Callable[[pa.Table, np.ndarray], Iterable[pa.Table]], step: int, kinds: T.StructType,
+    keys: Sequence[str], time: str,
+) -> DataFrame:
+    """What ``worked`` makes of the rows of ``step`` tiles (``keys, time, _ty, _tx``) and their tiles' numbers.
+
+    A task sorts its rows by tile and streams through them.
+    """
+    # two hashes name a tile; they take note of nulls, which hashes skip
+    named = [*keys, time, "_ty", "_tx", *[F.col(k).isNull() for k in (*keys, time)]]
+    rows = rows.withColumns({"_g": F.xxhash64(*named), "_h": F.hash(*named)})
+    rows = rows.repartition(*keys, time, "_ty", "_tx").sortWithinPartitions("_g", "_h")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        rest = None
+        for batch in itertools.chain(batches, [None]):
+            held = [t for t in (rest, None if batch is None else pa.Table.from_batches([batch])) if t is not None]
+            if not held or not (table := pa.concat_tables(held)).num_rows:
+                continue
+            g, k = table["_g"].to_numpy(), table["_h"].to_numpy()
+            starts = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (k[1:] != k[:-1])])
+            # the last tile may go on in the next batch
+            ends = np.r_[starts[1:], len(g)] if batch is None else starts[1:]
+            rest = table.slice(ends[-1] if len(ends) else 0)
+            for i in range(0, len(ends), step):
+                begin, end = starts[i], ends[min(i + step, len(ends)) - 1]
+                number = np.searchsorted(starts[i : i + step], np.arange(begin, end), "right") - 1
+                for made in worked(table.slice(begin, end - begin), number):
+                    yield from made.to_batches()
+
+    return rows.mapInArrow(run, kinds)
+
+
 def stencils(
     cube: DataFrame, fn: Callable[[np.ndarray, np.ndarray], Mapping[str, np.ndarray]], outputs: Sequence[str], halo: int, shape: Shape,
     border: str | None = "mirror", tile: int = TILE, keys: Sequence[str] = KEYS, time: str = "time", value: str = "value",
@@ -141,10 +174,6 @@ def stencils(
         served = F.transform(_positions(F.col(axis), n, halo, border), _tiles_at(halo, tile, (n - 1) // tile))
         rows = rows.withColumn(f"_t{axis}", F.explode(F.array_distinct(F.flatten(served))))
     columns = [c for c in cube.columns if c not in outputs]
-    # two hashes name a tile; they take note of nulls, which hashes skip
-    named = [*keys, time, "_ty", "_tx", *[F.col(k).isNull() for k in (*keys, time)]]
-    rows = rows.withColumns({"_g": F.xxhash64(*named), "_h": F.hash(*named)})
-    rows = rows.repartition(*keys, time, "_ty", "_tx").sortWithinPartitions("_g", "_h")
     h, w = min(tile, shape[0]), min(tile, shape[1])
     height, width = h + 2 * halo, w + 2 * halo
 
@@ -182,25 +211,8 @@ def stencils(
             core = core.append_column(name, pa.array(found[name][place], pa.float64()))
         return core
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        rest = None
-        for batch in itertools.chain(batches, [None]):
-            held = [t for t in (rest, None if batch is None else pa.Table.from_batches([batch])) if t is not None]
-            if not held or not (table := pa.concat_tables(held)).num_rows:
-                continue
-            g, k = table["_g"].to_numpy(), table["_h"].to_numpy()
-            starts = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (k[1:] != k[:-1])])
-            # the last tile may go on in the next batch
-            ends = np.r_[starts[1:], len(g)] if batch is None else starts[1:]
-            rest = table.slice(ends[-1] if len(ends) else 0)
-            step = max(1, STACK // (height * width))
-            for i in range(0, len(ends), step):
-                begin, end = starts[i], ends[min(i + step, len(ends)) - 1]
-                number = np.searchsorted(starts[i : i + step], np.arange(begin, end), "right") - 1
-                yield from worked(table.slice(begin, end - begin), number).to_batches()
-
     kinds = T.StructType([cube.schema[c] for c in columns] + [T.StructField(n, T.DoubleType()) for n in outputs])
-    result = rows.mapInArrow(run, kinds)
+    result = whole_tiles(rows, lambda table, number: [worked(table, number)], max(1, STACK // (height * width)), kinds, keys, time)
     order = [*cube.columns, *[n for n in outputs if n not in cube.columns]]
     return result.withColumns({n: F.nanvl(F.col(n), F.lit(None)) for n in outputs}).select(*order)
 
@@ -234,12 +246,38 @@ def convolve(
 def neighbour_join(
     cube: DataFrame, offsets: Sequence[tuple[int, int]], keys: Sequence[str] = KEYS, time: str = "time", value: str = "value"
 ) -> DataFrame:
-    """Every cell with each of its existing neighbours: an equi join on the shifted grid index."""
-    around = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in offsets])
-    left = cube.select(*keys, time, "y", "x", value).withColumn("_o", F.explode(around)).select("*", "_o.*").drop("_o")
-    left = left.withColumns({"_ny": F.col("y") + F.col("dy"), "_nx": F.col("x") + F.col("dx")})
-    right = cube.select(*keys, time, F.col("y").alias("_ny"), F.col("x").alias("_nx"), F.col(value).alias("neighbour"))
-    return left.join(right, [*keys, time, "_ny", "_nx"]).drop("_ny", "_nx")
+    """Every cell with each of its existing neighbours.
+
+    A cell is sent once to each tile whose halo holds it, and meets its neighbours there by their places; rows
+    that repeat a cell all meet.  A null key, time or place has no neighbours.
+    """
+    columns = [*keys, time, "y", "x", value]
+    halo = max((abs(d) for o in offsets for d in o), default=0)
+    rows = cube.select(*columns).dropna(subset=[*keys, time, "y", "x"])
+    for axis in ("y", "x"):
+        first, last = (F.floor((F.col(axis) + d) / TILE) for d in (-halo, halo))
+        rows = rows.withColumn(f"_t{axis}", F.explode(F.sequence(first, last)))
+    width = TILE + 2 * halo
+
+    def worked(table: pa.Table, number: np.ndarray) -> Iterable[pa.Table]:
+        y, x, ty, tx = (table[c].to_numpy().astype(np.int64) for c in ("y", "x", "_ty", "_tx"))
+        place = (number * width + y - ty * TILE + halo) * width + x - tx * TILE + halo
+        order = np.argsort(place, kind="stable")
+        own = np.flatnonzero((y // TILE == ty) & (x // TILE == tx))
+        base, values = table.select(columns), table[value].combine_chunks()
+        for dy, dx in offsets:
+            target = place[own] + dy * width + dx
+            low, high = (np.searchsorted(place, target, side, sorter=order) for side in ("left", "right"))
+            met = high - low
+            at = np.repeat(low - np.cumsum(met) + met, met) + np.arange(met.sum())
+            out = base.take(pa.array(np.repeat(own, met)))
+            for name, d in (("dy", dy), ("dx", dx)):
+                out = out.append_column(name, pa.array(np.full(len(at), d, dtype=np.int32)))
+            yield out.append_column("neighbour", values.take(pa.array(order[at])))
+
+    kinds = [rows.schema[c] for c in columns] + [T.StructField(n, T.IntegerType()) for n in ("dy", "dx")]
+    kinds = T.StructType([*kinds, T.StructField("neighbour", rows.schema[value].dataType)])
+    return whole_tiles(rows, worked, max(1, STACK // width**2), kinds, keys, time)
 
 
 RING = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if (dy, dx) != (0, 0)]
