@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from airgrid.core import attach, ensure_checkpoint_dir, exact_quantiles, lookup, materialize
 from airgrid.functions.scaling import adjusted_skew, log1p_if_skewed
 from airgrid.operators.aggregates import metric_columns, pivot_wide, prediction_band, residual_columns, spatial_mean
+from airgrid.operators.forest import ForestModel, RandomForest
 from airgrid.operators.ranking import best_model, top_features
 from airgrid.operators.slicing import drop_any_null, drop_missing_target, replace_infinite
 from airgrid.operators.windows import FeaturePlan, chrono_split, engineer_features, feature_matrix
@@ -30,9 +31,9 @@ FEATURES, TARGET, PREDICTION = "features", "label", "prediction"
 DEFAULT_MODELS = ("linear", "ridge", "random_forest")
 #: names of boosted-tree engines that are served by MLlib's model; results carry the name of the model that ran
 ALIASES = {"xgboost": "gradient_boosting", "lightgbm": "gradient_boosting"}
-#: MLlib grows no deeper trees; "unlimited" means this
+#: "unlimited" means this, MLlib's deepest tree
 DEEPEST = 30
-MODELS = {m.__name__: m for m in (LinearRegressionModel, RandomForestRegressionModel, GBTRegressionModel)}
+MODELS = {m.__name__: m for m in (LinearRegressionModel, RandomForestRegressionModel, GBTRegressionModel, ForestModel)}
 
 
 def prepare(
@@ -242,7 +243,7 @@ def _estimator(name: str, train: DataFrame, seed: int, depth: int):
             **common, regParam=1.0, elasticNetParam=1.0, standardization=False, solver="l-bfgs", maxIter=500, tol=1e-10
         )
     if name == "random_forest":
-        return RandomForestRegressor(**common, numTrees=100, maxDepth=depth, featureSubsetStrategy="all", seed=seed)
+        return RandomForest(100, depth, seed)
     if name == "gradient_boosting":
         return GBTRegressor(**common, maxIter=100, maxDepth=3, stepSize=0.1, seed=seed, checkpointInterval=10)
     raise ValueError(f"unknown model: {name}")

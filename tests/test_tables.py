@@ -404,6 +404,89 @@ def test_a_forest_finds_the_known_best_split(spark):
     assert [r.prediction for r in sorted(got)] == pytest.approx([10.0, 30.0], abs=0.5)
 
 
+def forest_rows(spark, x, y):
+    from pyspark.ml.linalg import Vectors
+
+    return spark.createDataFrame([(Vectors.dense(a), float(b)) for a, b in zip(x.tolist(), y, strict=True)], ["features", "label"])
+
+
+def forest_output(model, df):
+    return np.array([r.prediction for r in model.transform(df).select("features", "prediction").collect()])
+
+
+def test_unlimited_trees_are_not_grown_by_a_job_for_each_level(spark):
+    """Nodes down to two rows used to be split by sums of all tasks, level by level; parts are now grown whole."""
+    from airgrid.operators.forest import RandomForest
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(900, 4)).round(2)
+    y = x[:, 0] * 3 + x[:, 1] * x[:, 2] + rng.normal(size=900)
+    df, tracker = forest_rows(spark, x, y).persist(), spark.sparkContext.statusTracker()
+    df.count()
+    spark.sparkContext.setJobGroup("forest", "forest")
+    whole = RandomForest(8, 30).fit(df)
+    jobs = len(tracker.getJobIdsForGroup("forest"))
+    spark.sparkContext.setJobGroup("", "")
+    split = RandomForest(8, 30, part_rows=60).fit(df)
+    assert jobs < 16 and split.parts.where("part >= 0").count() > 8 * 9
+    one, other = forest_output(whole, df), forest_output(split, df)
+    np.testing.assert_allclose(one, other, atol=1e-9)  # the same trees, however they are cut
+    np.testing.assert_allclose(whole.featureImportances.toArray(), split.featureImportances.toArray(), atol=1e-9)
+    assert 1 - ((one - y) ** 2).sum() / ((y - y.mean()) ** 2).sum() > 0.9
+    df.unpersist()
+
+
+def test_a_grown_tree_has_the_best_cut_in_every_node():
+    from airgrid.operators.forest import LEAF, grow, walk
+
+    rng = np.random.default_rng(8)
+    bins, y, w = rng.integers(0, 32, (300, 3)).astype(np.uint8), rng.normal(size=300).round(2), rng.integers(1, 4, 300)
+
+    def naive(rows, depth):
+        def squares(r):
+            return float((w[r] * (y[r] - np.average(y[r], weights=w[r])) ** 2).sum())
+
+        cuts = [(i, c) for i in range(3) for c in range(31) if 0 < (bins[rows, i] <= c).sum() < len(rows)]
+        if depth == 0 or np.ptp(y[rows]) == 0 or not cuts:
+            return {int(r): np.average(y[rows], weights=w[rows]) for r in rows}
+        left = {k: bins[rows, k[0]] <= k[1] for k in cuts}
+        i = min(cuts, key=lambda k: round(squares(rows[left[k]]) + squares(rows[~left[k]]), 9))
+        return naive(rows[left[i]], depth - 1) | naive(rows[~left[i]], depth - 1)
+
+    for depth in (0, 1, 4):
+        feature, cut, value, _ = grow(bins, y, w, depth)
+        want = naive(np.arange(300), depth)
+        np.testing.assert_allclose(value[walk(feature, cut, bins)], [want[i] for i in range(300)], atol=1e-9)
+    feature, cut, value, _ = grow(bins, y, w, 30)
+    exact = value[walk(feature, cut, bins)]
+    assert {len(np.unique(y[exact == v])) for v in np.unique(exact)} == {1} and (feature == LEAF).sum() > 100
+
+
+def test_trees_see_rows_a_poisson_number_of_times():
+    from airgrid.operators.forest import draws
+
+    ids = np.random.default_rng(5).integers(-(2**63), 2**63 - 1, 20_000)
+    for copies in (1, 3, 500):
+        found = [draws(ids, np.full(20_000, copies), tree, 42, 100) for tree in (0, 1)]
+        assert found[0].mean() == pytest.approx(copies, rel=0.05) and found[0].var() == pytest.approx(copies, rel=0.1)
+        assert abs(np.corrcoef(found)[0, 1]) < 0.05
+    assert (draws(ids, np.full(20_000, 2), 0, 42, 1) == 2).all()
+
+
+def test_forests_of_odd_rows(spark):
+    from airgrid.operators.forest import RandomForest
+
+    same = forest_rows(spark, np.ones((50, 2)), np.arange(50) % 2)
+    flat = RandomForest(5, 30, part_rows=1).fit(same)
+    assert np.ptp(forest_output(flat, same)) == 0 and set(flat.featureImportances.toArray()) == {0.0}
+    steady = forest_rows(spark, np.arange(40.0).reshape(20, 2), np.full(20, 7.5))
+    assert forest_output(RandomForest(5, 30, part_rows=4).fit(steady), steady) == pytest.approx(7.5, abs=1e-12)
+    with pytest.raises(ValueError, match="training rows"):
+        RandomForest(5, 30).fit(steady.limit(0))
+    with pytest.raises(Exception, match="finite"):
+        RandomForest(5, 30).fit(steady.withColumn("label", F.lit(float("nan"))))
+
+
 def test_infinite_inputs_become_unknown_features(spark):
     rows = [("p", f"2021-01-{d:02d}", float("inf") if d == 9 else float(d)) for d in range(1, 29)]
     df = spark.createDataFrame(rows, "dataset_id string, day string, y double").select("dataset_id", F.to_timestamp("day").alias("time"), "y")
