@@ -5,9 +5,10 @@ Model fits are actions by nature (``train``, ``rfe``, ``run_training``); everyth
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
-from dataclasses import dataclass, field
-from functools import reduce
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
+from dataclasses import dataclass, field, replace
+from functools import partial, reduce
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pyarrow as pa
@@ -18,14 +19,17 @@ from pyspark.ml.regression import (
 )
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
-from airgrid.core import attach, ensure_checkpoint_dir, exact_quantiles, lookup, materialize
+from airgrid.core import attach, ensure_checkpoint_dir, exact_quantiles, lookup, materialize, same_keys
 from airgrid.functions.scaling import adjusted_skew, log1p_if_skewed
 from airgrid.operators.aggregates import metric_columns, pivot_wide, prediction_band, residual_columns, spatial_mean
 from airgrid.operators.forest import ForestModel, RandomForest
 from airgrid.operators.ranking import best_model, top_features
 from airgrid.operators.slicing import drop_any_null, drop_missing_target, replace_infinite
-from airgrid.operators.windows import FeaturePlan, chrono_split, engineer_features, feature_matrix
+from airgrid.operators.windows import (
+    FeatureBlocks, FeaturePlan, base_columns, chrono_split, engineer_features, feature_matrix, own_places, wide_arrays,
+)
 
 FEATURES, TARGET, PREDICTION = "features", "label", "prediction"
 DEFAULT_MODELS = ("linear", "ridge", "random_forest")
@@ -33,6 +37,11 @@ DEFAULT_MODELS = ("linear", "ridge", "random_forest")
 ALIASES = {"xgboost": "gradient_boosting", "lightgbm": "gradient_boosting"}
 #: "unlimited" means this, MLlib's deepest tree
 DEEPEST = 30
+#: rows of a partition that models are fitted on; with fewer, the hundreds of jobs of a fit mostly start tasks
+FIT_ROWS = 32_768
+#: sums of a feature x and the label y that scores are made of
+MOMENTS = ("n", "x", "xx", "xy", "y", "yy")
+SUMS = "place int, " + ", ".join(f"{c} double" for c in MOMENTS)
 MODELS = {m.__name__: m for m in (LinearRegressionModel, RandomForestRegressionModel, GBTRegressionModel, ForestModel)}
 
 
@@ -61,10 +70,18 @@ class MatrixTable:
     rows: DataFrame
     names: tuple[str, ...]
 
+    def part(self, split: str) -> DataFrame:
+        """The rows of one split."""
+        return self.rows.where(F.col("split") == split)
+
     def columns(self, chosen: Sequence[str], keep: Sequence[str], target: str) -> DataFrame:
         """The chosen features as columns."""
         return self.rows.select(*keep, F.col(TARGET).alias(target), *expanded(self.names, chosen))
 
+    def train_scores(self) -> DataFrame:
+        """``matrix_scores`` of the training rows."""
+        return matrix_scores(self.part("train"), self.names)
+
 
 def expanded(names: Sequence[str], chosen: Sequence[str]) -> list[Column]:
     place = {n: i for i, n in enumerate(names)}
@@ -78,15 +95,111 @@ def matrix_table(matrix: DataFrame, plan: FeaturePlan, keys: Sequence[str] = ("d
     splits from a table with one row per key.
     """
     matrix, at = materialize(matrix), plan.names.index(plan.target)
-    first = lambda name: F.min(F.when(F.col("split") == name, F.col(time)))
-    starts = chrono_split(matrix.select(*keys, time), keys, time).groupBy(*keys).agg(first("val").alias("_val"), first("test").alias("_test"))
-    split = F.when(F.col(time) >= F.col("_test"), "test").when(F.col(time) >= F.col("_val"), "val").otherwise("train")
     label = F.get(FEATURES, F.lit(at))
     others = F.concat(F.slice(FEATURES, 1, at), F.slice(FEATURES, at + 2, len(plan.names)))
-    rows = lookup(matrix, starts, keys, "left").select(*keys, time, split.alias("split"), label.alias(TARGET), others.alias(FEATURES))
+    rows = in_splits(matrix, matrix, keys, time).select(*keys, time, "split", label.alias(TARGET), others.alias(FEATURES))
     return MatrixTable(rows, tuple(n for n in plan.names if n != plan.target))
 
 
+def in_splits(rows: DataFrame, counted: DataFrame, keys: Sequence[str], time: str) -> DataFrame:
+    """Adds the ``split`` that ``chrono_split`` gives the ``counted`` rows."""
+    first = lambda name: F.min(F.when(F.col("split") == name, F.col(time)))
+    starts = chrono_split(counted.select(*keys, time), keys, time).groupBy(*keys).agg(first("val").alias("_val"), first("test").alias("_test"))
+    split = F.when(F.col(time) >= F.col("_test"), "test").when(F.col(time) >= F.col("_val"), "val").otherwise("train")
+    return lookup(rows, starts, keys, "left").withColumn("split", split).drop("_val", "_test")
+
+
+@dataclass(frozen=True)
+class BlockTable(MatrixTable):
+    """A matrix table that keeps its blocks, not the wide rows: a task works out what is asked of a block and hands on only that.
+
+    ``rows`` works out the whole matrix each time it is read.
+    """
+
+    blocks: FeatureBlocks
+
+    def part(self, split: str) -> DataFrame:
+        return wide_rows(self.blocks, split)
+
+    def columns(self, chosen: Sequence[str], keep: Sequence[str], target: str) -> DataFrame:
+        plan, keep, chosen = self.blocks.plan, list(keep), list(chosen)
+
+        def work(table: pa.Table) -> pa.Table:
+            table = table.sort_by("_pos")
+            own = np.asarray(table["_kept"])
+            found = worked_out(plan, table, own, [plan.target, *chosen])
+            out = table.select(keep).filter(pa.array(own))
+            for name, values in zip([target, *chosen], found.T, strict=True):
+                out = out.append_column(name, pa.array(values))
+            return out
+
+        double = lambda name: F.lit(None).cast("double").alias(name)
+        return self.blocks.apply(work, self.blocks.rows.select(*keep, double(target), *map(double, chosen)).schema)
+
+    def train_scores(self) -> DataFrame:
+        rows, plan, names = self.blocks.rows, self.blocks.plan, self.names
+        sample = rows.where(F.col("_kept") & (F.col("split") == "train")).select(*self.blocks.keys, "_block").limit(1)
+        found = wide_rows(replace(self.blocks, rows=same_keys(rows, F.broadcast(sample), [*self.blocks.keys, "_block"])), "train").select(FEATURES, TARGET).first()
+        if found is None:
+            return no_scores(rows.sparkSession)
+        shift, origin = np.array(found[FEATURES]), found[TARGET]
+
+        def work(table: pa.Table) -> pa.Table:
+            table = table.sort_by("_pos")
+            own = np.asarray(table["_kept"]) & (np.asarray(table["split"]) == "train")
+            label, features = label_and_features(plan, worked_out(plan, table, own))
+            return pa.Table.from_batches([sums_batch(moment_sums(features, label, shift, origin))])
+
+        return scores_from_sums(self.blocks.apply(work, SUMS), names)
+
+
+def worked_out(plan: FeaturePlan, table: pa.Table, wanted: np.ndarray, names: Sequence[str] | None = None) -> np.ndarray:
+    """The matrix of the wanted rows of a block, from the stretch that they look at."""
+    places = np.flatnonzero(wanted)
+    if not len(places):
+        return np.empty((0, len(plan.names if names is None else names)))
+    first, end = max(places[0] - plan.reach, 0), places[-1] + 1
+    return plan.rows(base_columns(plan, table.slice(first, end - first)), names)[wanted[first:end]]
+
+
+def label_and_features(plan: FeaturePlan, matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at = plan.names.index(plan.target)
+    return matrix[:, at], np.delete(matrix, at, axis=1)
+
+
+def wide_rows(blocks: FeatureBlocks, split: str | None = None) -> DataFrame:
+    """Rows of a ``MatrixTable`` from marked blocks, all or those of one split."""
+    plan, head = blocks.plan, [*blocks.keys, blocks.time, "split"]
+
+    def work(table: pa.Table) -> pa.Table:
+        table = table.sort_by("_pos")
+        own = np.asarray(table["_kept"])
+        if split is not None:
+            own = own & (np.asarray(table["split"]) == split)
+        label, features = label_and_features(plan, worked_out(plan, table, own))
+        return table.select(head).filter(pa.array(own)).append_column(TARGET, pa.array(label)).append_column(FEATURES, wide_arrays(features))
+
+    kinds = [F.lit(None).cast("double").alias(TARGET), F.lit(None).cast("array<double>").alias(FEATURES)]
+    return blocks.apply(work, blocks.rows.select(*head, *kinds).schema)
+
+
+def block_table(blocks: FeatureBlocks) -> BlockTable:
+    """``matrix_table`` of features that are not stored: two thousand numbers a row stay inside the tasks.
+
+    The blocks' narrow rows are stored, marked by whether their features are all known, and split in time.
+    """
+    plan, block, drop_nulls, keys = blocks.plan, blocks.block, blocks.drop_nulls, list(blocks.keys)
+
+    def mark(table: pa.Table) -> pa.Table:
+        table = table.sort_by("_pos")
+        keep = own_places(table, block)
+        return table.append_column("_kept", pa.array(keep & plan.known(base_columns(plan, table)) if drop_nulls else keep))
+
+    marked = materialize(blocks.apply(mark, blocks.rows.withColumn("_kept", F.lit(None).cast("boolean")).schema))
+    ready = replace(blocks, rows=in_splits(marked, marked.where("_kept"), keys, blocks.time))
+    return BlockTable(wide_rows(ready), tuple(n for n in plan.names if n != plan.target), ready)
+
+
 def matrix_scores(train: DataFrame, names: Sequence[str]) -> DataFrame:
     """``feature, place, score, r2``: the F score of every feature of a matrix, columns never being spread out.
 
@@ -95,7 +208,7 @@ def matrix_scores(train: DataFrame, names: Sequence[str]) -> DataFrame:
     """
     found = train.select(FEATURES, TARGET).first()
     if found is None:
-        return train.sparkSession.createDataFrame([], "feature string, place int, score double, r2 double")
+        return no_scores(train.sparkSession)
     shift, origin = np.array(found[FEATURES]), found[TARGET]
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,15 +216,28 @@ def matrix_scores(train: DataFrame, names: Sequence[str]) -> DataFrame:
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                x = np.asarray(part.column(0).flatten()).reshape(part.num_rows, -1) - shift
-                y = (np.asarray(part.column(1)) - origin)[:, None]
-                total += np.stack([np.full(len(shift), float(len(x))), x.sum(0), (x * x).sum(0), (x * y).sum(0), *(np.full(len(shift), v) for v in (y.sum(), (y * y).sum()))])
-        columns = [pa.array(np.arange(len(shift), dtype=np.int32)), *map(pa.array, total)]
-        yield pa.RecordBatch.from_arrays(columns, names=["place", *cells])
-
-    cells = ["n", "x", "xx", "xy", "y", "yy"]
-    tall = train.select(FEATURES, TARGET).mapInArrow(sums, "place int, " + ", ".join(f"{c} double" for c in cells))
-    c = {name: F.sum(name) for name in cells}
+                total += moment_sums(np.asarray(part.column(0).flatten()).reshape(part.num_rows, -1), np.asarray(part.column(1)), shift, origin)
+        yield sums_batch(total)
+
+    return scores_from_sums(train.select(FEATURES, TARGET).mapInArrow(sums, SUMS), names)
+
+
+def no_scores(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], "feature string, place int, score double, r2 double")
+
+
+def moment_sums(x: np.ndarray, y: np.ndarray, shift: np.ndarray, origin: float) -> np.ndarray:
+    """Number, sums, squares and products of each column with the label, relative to one row."""
+    x, y = x - shift, (y - origin)[:, None]
+    return np.stack([np.full(len(shift), float(len(x))), x.sum(0), (x * x).sum(0), (x * y).sum(0), *(np.full(len(shift), v) for v in (y.sum(), (y * y).sum()))])
+
+
+def sums_batch(total: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.arange(total.shape[1], dtype=np.int32)), *map(pa.array, total)], names=["place", *MOMENTS])
+
+
+def scores_from_sums(tall: DataFrame, names: Sequence[str]) -> DataFrame:
+    c = {name: F.sum(name) for name in MOMENTS}
     moment = lambda both, one, other: c[both] - c[one] * c[other] / c["n"]
     stats = tall.groupBy("place").agg(
         c["n"].alias("n"), moment("xx", "x", "x").alias("sx"), moment("yy", "y", "y").alias("sy"), moment("xy", "x", "y").alias("sxy"), c["xx"].alias("xx")
@@ -125,8 +251,7 @@ def matrix_scores(train: DataFrame, names: Sequence[str]) -> DataFrame:
 
 def select_from_matrix(table: MatrixTable, k: int = 20) -> list[str]:
     """The ``k`` features with the highest F score on the training rows, in the matrix's order."""
-    scores = matrix_scores(table.rows.where(F.col("split") == "train"), table.names)
-    best = scores.orderBy(F.round("r2", 9).desc(), "place").limit(k).collect()  # k rows
+    best = table.train_scores().orderBy(F.round("r2", 9).desc(), "place").limit(k).collect()  # k rows
     return [r.feature for r in sorted(best, key=lambda r: r.place)]
 
 
@@ -260,18 +385,32 @@ class Trained:
 def train(
     df: DataFrame, columns: Sequence[str], target: str, models: Sequence[str] = DEFAULT_MODELS, split: str = "split", seed: int = 42, depth: int = DEEPEST
 ) -> dict[str, Trained]:
-    """Fit each model on the training rows."""
-    ensure_checkpoint_dir(df.sparkSession)
-    rows = assemble(df.where(F.col(split) == "train"), columns, target).select(FEATURES, TARGET).persist()
-    out = {}
-    for name in dict.fromkeys(ALIASES.get(m, m) for m in models):
+    """Fit each model on the training rows, all at the same time: most fits are many small jobs that leave cores idle."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    chosen = df.where(F.col(split) == "train")
+    parts = chosen.count() // FIT_ROWS + 1
+    rows = assemble(chosen, columns, target).select(FEATURES, TARGET).coalesce(parts).persist()
+
+    def fit(name: str) -> Trained:
         model = _estimator(name, rows, seed, depth).fit(rows)
         weights = model.featureImportances.toArray() if hasattr(model, "featureImportances") else abs(model.coefficients.toArray())
-        out[name] = Trained(name, model, list(columns), dict(zip(columns, map(float, weights), strict=True)))
+        return Trained(name, model, list(columns), dict(zip(columns, map(float, weights), strict=True)))
+
+    names = list(dict.fromkeys(ALIASES.get(m, m) for m in models))
+    out = dict(zip(names, at_once(spark, fit, names), strict=True))
     rows.unpersist()
     return out
 
 
+def at_once(spark: SparkSession, work: Callable, names: Iterable[str]) -> list:
+    """``work(name)`` for all names, in threads that share the session; an error of one is raised."""
+    names = list(names)
+    with ThreadPool(max(len(names), 1)) as pool:
+        started = [pool.apply_async(inheritable_thread_target(spark)(partial(work, name))) for name in names]
+        return [s.get() for s in started]
+
+
 def predict(trained: Trained, df: DataFrame, target: str, keep: Sequence[str]) -> DataFrame:
     """Index columns, actual value and prediction."""
     out = trained.model.transform(assemble(df, trained.columns, target))
@@ -355,6 +494,7 @@ class TrainingRun:
     predictions: DataFrame
     rows: DataFrame
     scorers: dict[str, Scorer] = field(default_factory=dict)
+    table: MatrixTable | None = None
 
 
 def run_training(
@@ -392,4 +532,5 @@ def run_matrix_training(
     run = run_training(rows.drop("split"), target, chosen, models, selection=None, scaling=scaling, keys=keys, time=time, metric=metric)
     scaler = fit_scaler(rows.where(F.col("split") == "train"), chosen, scaling)
     run.scorers = {name: Scorer(table.names, chosen, scaler, t.model) for name, t in run.trained.items()}
+    run.table = table
     return run

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -176,9 +177,51 @@ class FeaturePlan:
         """Rows before a row that its features look at."""
         return max(self.lags) + max(self.other_lags) + max(self.sizes) - 1 + max(self.steps)
 
-    def rows(self, base: Mapping[str, np.ndarray]) -> np.ndarray:
-        """The matrix of a stretch of consecutive rows from its base columns; what is not known is NaN."""
-        held = dict(base)
+    @cached_property
+    def looks_back(self) -> dict[str, list[int]]:
+        """How many rows back the features look at each base column."""
+        seen = {c: {c: {0}} for c in [*self.calendar, *self.variables]}
+
+        def made(name: str, c: str, steps: Sequence[int]) -> None:
+            seen[name] = {b: {o + k for o in found for k in steps} for b, found in seen[c].items()}
+
+        for name, c, k in [*self.own_lags, *self.further_lags]:
+            made(name, c, [k])
+        for name, c, _, k in self.rolling:
+            made(name, c, range(k))
+        for name, c, k in self.diffs:
+            made(name, c, [0, k])
+        out: dict[str, set[int]] = {}  # products look where their factors do
+        for found in seen.values():
+            for b, offsets in found.items():
+                out.setdefault(b, set()).update(offsets)
+        return {b: sorted(offsets) for b, offsets in out.items()}
+
+    def known(self, base: Mapping[str, np.ndarray]) -> np.ndarray:
+        """The rows of ``rows(base)`` without NaN, mostly without working them out."""
+        if min(self.sizes, default=2) < 2 or any(np.abs(v[~np.isnan(v)]).max(initial=0) > 1e100 for v in base.values()):
+            return ~np.isnan(self.rows(base)).any(axis=1)  # the arithmetic itself may give NaN
+        out = np.ones(len(next(iter(base.values()))), bool)
+        for c, offsets in self.looks_back.items():
+            there = ~np.isnan(base[c])
+            for o in offsets:
+                out[:o] = False
+                out[o:] &= there[: max(len(there) - o, 0)]
+        return out
+
+    def sources(self, names: Sequence[str]) -> set[str]:
+        """``names`` and all columns that they are made of."""
+        found = set(names)
+        for name, a, b in self.products:
+            found |= {a, b} if name in found else set()
+        for layer in (self.diffs, self.rolling, self.further_lags, self.own_lags):
+            found |= {f[1] for f in layer if f[0] in found}
+        return found
+
+    def rows(self, base: Mapping[str, np.ndarray], names: Sequence[str] | None = None) -> np.ndarray:
+        """The matrix (or the named columns of it) of a stretch of consecutive rows from its base columns; what is not known is NaN."""
+        held, names = dict(base), self.names if names is None else names
+        needed = self.sources(names)
 
         def behind(c: str, k: int) -> np.ndarray:
             out = np.full(len(held[c]), np.nan)
@@ -186,18 +229,62 @@ class FeaturePlan:
             return out
 
         for name, c, k in [*self.own_lags, *self.further_lags]:
-            held[name] = behind(c, k)
+            if name in needed:
+                held[name] = behind(c, k)
         fns = {"mean": np.mean, "std": lambda v, axis: np.std(v, axis=axis, ddof=1), "min": np.min, "max": np.max}
         for name, c, f, k in self.rolling:
+            if name not in needed:
+                continue
             out = np.full(len(held[c]), np.nan)
             if len(out) >= k:
                 out[k - 1 :] = fns[f](np.lib.stride_tricks.sliding_window_view(held[c], k), axis=1)
             held[name] = out
         for name, c, k in self.diffs:
-            held[name] = held[c] - behind(c, k)
+            if name in needed:
+                held[name] = held[c] - behind(c, k)
         for name, x, y in self.products:
-            held[name] = held[x] * held[y]
-        return np.stack([held[n] for n in self.names], axis=1)
+            if name in needed:
+                held[name] = held[x] * held[y]
+        return np.stack([held[n] for n in names], axis=1)
+
+
+@dataclass(frozen=True)
+class FeatureBlocks:
+    """Blocks of consecutive rows, with the rows that they reach back to, of which a task can work out a feature matrix."""
+
+    rows: DataFrame
+    plan: FeaturePlan
+    keys: tuple[str, ...]
+    time: str
+    block: int
+    drop_nulls: bool
+
+    def apply(self, work, schema) -> DataFrame:
+        return self.rows.groupBy(*self.keys, "_block").applyInArrow(work, schema)
+
+
+def base_columns(plan: FeaturePlan, table: pa.Table) -> dict[str, np.ndarray]:
+    """The columns that a block's features are made of; infinite values are as unknown as nulls."""
+    names = [*plan.calendar, *plan.variables]
+    return {c: np.nan_to_num(table[c].to_numpy(zero_copy_only=False).astype(float), nan=np.nan, posinf=np.nan, neginf=np.nan) for c in names}
+
+
+def own_places(table: pa.Table, block: int) -> np.ndarray:
+    return np.asarray(table["_pos"]) // block == np.asarray(table["_block"])
+
+
+def wide_arrays(matrix: np.ndarray) -> pa.ListArray:
+    offsets = np.arange(len(matrix) + 1, dtype=np.int32) * matrix.shape[1]
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(matrix.ravel()))
+
+
+def feature_blocks(
+    df: DataFrame, plan: FeaturePlan, keys: Sequence[str] = ("dataset_id",), time: str = "time", drop_nulls: bool = True, block: int = BLOCK // 8
+) -> FeatureBlocks:
+    """The rows of ``feature_matrix`` before their features are worked out."""
+    calendar = {n: c.cast("double") for n, c in temporal_columns(F.col(time)).items()}
+    rows = df.select(*keys, time, *[F.col(v).cast("double").alias(v) for v in plan.variables]).withColumns(calendar)
+    return FeatureBlocks(halo_blocks(rows, list(keys), plan.reach, 0, time, block), plan, tuple(keys), time, block, drop_nulls)
 
 
 def feature_matrix(
@@ -209,25 +296,16 @@ def feature_matrix(
     of consecutive rows, with the rows that it reaches back to, is worked out in arrays instead.
     Features that are not known, or would look at an infinite value, are NaN; ``drop_nulls`` leaves out rows that have one.
     """
-    keys, base = list(keys), [*plan.calendar, *plan.variables]
-    calendar = {n: c.cast("double") for n, c in temporal_columns(F.col(time)).items()}
-    rows = df.select(*keys, time, *[F.col(v).cast("double").alias(v) for v in plan.variables]).withColumns(calendar)
-    blocks = halo_blocks(rows, keys, plan.reach, 0, time, block)
+    blocks = feature_blocks(df, plan, keys, time, drop_nulls, block)
 
     def work(table: pa.Table) -> pa.Table:
         table = table.sort_by("_pos")
-        columns = {c: np.nan_to_num(table[c].to_numpy(zero_copy_only=False).astype(float), nan=np.nan, posinf=np.nan, neginf=np.nan) for c in base}
-        matrix = plan.rows(columns)
-        keep = np.asarray(table["_pos"]) // block == np.asarray(table["_block"])
+        matrix, keep = plan.rows(base_columns(plan, table)), own_places(table, block)
         if drop_nulls:
             keep &= ~np.isnan(matrix).any(axis=1)
-        chosen = matrix[keep]
-        offsets = np.arange(len(chosen) + 1, dtype=np.int32) * matrix.shape[1]
-        out = table.select([*keys, time]).filter(pa.array(keep))
-        return out.append_column("features", pa.ListArray.from_arrays(pa.array(offsets), pa.array(chosen.ravel())))
+        return table.select([*keys, time]).filter(pa.array(keep)).append_column("features", wide_arrays(matrix[keep]))
 
-    schema = blocks.select(*keys, time, F.lit(None).cast("array<double>").alias("features")).schema
-    return blocks.groupBy(*keys, "_block").applyInArrow(work, schema)
+    return blocks.apply(work, blocks.rows.select(*keys, time, F.lit(None).cast("array<double>").alias("features")).schema)
 
 
 def smooth_centered(

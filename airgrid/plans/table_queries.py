@@ -599,7 +599,7 @@ for _m in ("standard", "minmax", "robust"):
 
 def whole_matrix(spark, sf) -> ML.MatrixTable:
     """All features at their default settings, split in time."""
-    return ML.matrix_table(W.feature_matrix(V.daily(spark, sf), PLAN), PLAN)
+    return ML.block_table(W.feature_blocks(V.daily(spark, sf), PLAN))
 
 
 def training(spark, sf) -> ML.TrainingRun:
@@ -625,8 +625,7 @@ def _univariate_sql() -> str:
 @query("L4_select_features_univariate", "daily", _univariate_sql())
 def _(spark, sf):
     table = whole_matrix(spark, sf)
-    scores = ML.matrix_scores(table.rows.where(F.col("split") == "train"), table.names)
-    return rounded(scores.orderBy(F.round("r2", 9).desc(), "place").limit(20).select("feature", "r2"))
+    return rounded(table.train_scores().orderBy(F.round("r2", 9).desc(), "place").limit(20).select("feature", "r2"))
 
 
 @query("L4_select_features_rfe")

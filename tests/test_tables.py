@@ -3,6 +3,7 @@
 import datetime as dt
 import hashlib
 import math
+import threading
 
 import numpy as np
 import pandas as pd
@@ -376,6 +377,57 @@ def test_matrix_training_equals_closed_forms(matrix):
             assert got.loc[split, "rmse"] == pytest.approx(np.sqrt(np.mean((y[rows] - fitted[rows]) ** 2)), rel=1e-4)
 
 
+def test_a_matrix_worked_out_from_blocks_is_the_stored_one(spark):
+    """The whole matrix used to be stored, two thousand numbers a row; now only the blocks' narrow rows are."""
+    rng = np.random.default_rng(4)
+    n = 90
+    pdf = pd.DataFrame({"dataset_id": np.repeat(["p", "q", None], n // 3), "time": np.tile(pd.date_range("2021-01-01", periods=n // 3), 3), "y": rng.normal(size=n), "a": rng.normal(size=n)})
+    pdf.loc[[11, 50], "a"] = [np.nan, np.inf]
+    df = spark.createDataFrame(pdf)
+    stored = ML.matrix_table(W.feature_matrix(df, PLAN, block=8), PLAN)
+    table = ML.block_table(W.feature_blocks(df, PLAN, block=8))
+    assert table.names == stored.names and not [t for _, t in table.blocks.rows.dtypes if t.startswith("array")]
+    listed = lambda rows: sorted((str(r) for r in rows.collect()))
+    assert listed(table.rows) == listed(stored.rows) and stored.rows.count() > 40
+    for split in ("train", "val", "test"):
+        assert listed(table.part(split)) == listed(stored.part(split))
+    some = [table.names[i] for i in (20, 3, 11)]
+    assert listed(table.columns(some, ["time", "split"], "y")) == listed(stored.columns(some, ["time", "split"], "y"))
+    got, want = (t.train_scores().orderBy("place").toPandas() for t in (table, stored))
+    assert list(got.feature) == list(want.feature)
+    np.testing.assert_allclose(got[["score", "r2"]], want[["score", "r2"]], rtol=1e-6, atol=1e-9)
+    empty = ML.block_table(W.feature_blocks(df.limit(0), PLAN))
+    assert empty.train_scores().count() == 0 and empty.rows.count() == 0
+
+
+@pytest.mark.parametrize("value", [np.nan, 1e200, -1e308, 0.0])
+def test_known_rows_are_those_without_an_unknown_feature(value):
+    for plan in (PLAN, W.FeaturePlan("y", ("y", "a"), lags=(2, 5), other_lags=(4,), sizes=(1, 2), steps=(9,)), W.FeaturePlan("y", ("y", "a"))):
+        base = {c: np.random.default_rng(1).random(200) for c in [*plan.calendar, "y", "a"]}
+        base["a"][[20, 140]], base["month"][190] = value, np.nan
+        with np.errstate(all="ignore"):
+            matrix = plan.rows(base)
+            np.testing.assert_array_equal(plan.known(base), ~np.isnan(matrix).any(axis=1))
+            some = plan.names[5::7]
+            np.testing.assert_array_equal(plan.rows(base, some), matrix[:, [plan.names.index(c) for c in some]])
+
+
+def test_models_are_fitted_at_the_same_time(spark, monkeypatch):
+    """A fit of many small jobs used to keep the next one waiting; here each fit waits until all have begun."""
+    _, _, df = frame(spark, 60)
+    begun, estimator = threading.Barrier(3, timeout=60), ML._estimator
+
+    def waiting(*args):
+        begun.wait()
+        return estimator(*args)
+
+    monkeypatch.setattr(ML, "_estimator", waiting)
+    out = ML.train(df.withColumn("split", F.lit("train")), ["a", "b"], "y", ("linear", "ridge", "lasso"))
+    assert list(out) == ["linear", "ridge", "lasso"]
+    with pytest.raises(ZeroDivisionError):
+        ML.at_once(spark, lambda name: 1 // len(name), ["a", ""])
+
+
 def test_scorers_give_the_same_after_reload_as_a_batch_and_as_a_stream(spark, matrix, tmp_path):
     run = ML.run_matrix_training(matrix, "y", ("linear", "random_forest", "gradient_boosting"), k=3)
     keys = ["dataset_id", "time"]
