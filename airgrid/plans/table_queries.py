@@ -673,12 +673,12 @@ def _(spark, sf):
     """Every family saved, loaded again and applied to the rows of the test split, as a batch and as a stream."""
     run, keys = training(spark, sf), ["dataset_id", "time"]
     base = scratch_path(spark, "scorers")
-    matrix = whole_matrix(spark, sf).rows.where(F.col("split") == "test").select(*keys, "features")
+    matrix = run.table.part("test").select(*keys, "features")
     matrix.write.parquet(f"{base}/matrix")
     stored = spark.read.parquet(f"{base}/matrix")
-    parts = []
-    for name, scorer in run.scorers.items():
-        scorer.save(spark, f"{base}/{name}")
+
+    def compared(name: str) -> DataFrame:
+        run.scorers[name].save(spark, f"{base}/{name}")
         again = ML.Scorer.load(spark, f"{base}/{name}")
         live = spark.readStream.schema(stored.schema).parquet(f"{base}/matrix")
         monitoring.run_available(again.score(live, keys), f"{base}/{name}-stream", f"{base}/{name}-checkpoint")
@@ -687,8 +687,9 @@ def _(spark, sf):
         streamed = spark.read.parquet(f"{base}/{name}-stream").withColumnRenamed("prediction", "streamed")
         same = (F.abs(F.col("trained") - F.col("reloaded")) < 1e-9) & (F.col("reloaded") == F.col("streamed"))
         joined = before.join(after, keys).join(streamed, keys)
-        parts.append(joined.select(F.lit(name).alias("model"), *keys, "trained", "reloaded", "streamed", same.alias("same")))
-    return rounded(reduce(DataFrame.unionByName, parts))
+        return joined.select(F.lit(name).alias("model"), *keys, "trained", "reloaded", "streamed", same.alias("same"))
+
+    return rounded(reduce(DataFrame.unionByName, ML.at_once(spark, compared, run.scorers)))
 
 
 @query("L9_run_training")
