@@ -509,7 +509,7 @@ def run_training(
         scale(rows.select(*keys, time, "split", target, *[c for c in chosen if c != target]), chosen, scaling)
     )
     trained = train(scaled, chosen, target, models)
-    metrics = evaluate_all(trained, scaled, target)
+    metrics = materialize(evaluate_all(trained, scaled, target))  # a row per model and split, read by several queries
     # one row comes back
     best = best_model(metrics.where(F.col("split") == "val"), metric).first()["model"]
     if save_to:

@@ -681,10 +681,10 @@ def _(spark, sf):
         run.scorers[name].save(spark, f"{base}/{name}")
         again = ML.Scorer.load(spark, f"{base}/{name}")
         live = spark.readStream.schema(stored.schema).parquet(f"{base}/matrix")
-        monitoring.run_available(again.score(live, keys), f"{base}/{name}-stream", f"{base}/{name}-checkpoint")
+        monitoring.run_available_batches(live, lambda batch: again.score(batch, keys), f"{base}/{name}-stream", f"{base}/{name}-checkpoint")
         before = ML.predict(run.trained[name], _test_rows(run), "no2", keys).withColumnRenamed("prediction", "trained")
         after = again.score(stored, keys).withColumnRenamed("prediction", "reloaded")
-        streamed = spark.read.parquet(f"{base}/{name}-stream").withColumnRenamed("prediction", "streamed")
+        streamed = spark.read.parquet(f"{base}/{name}-stream").drop("epoch").withColumnRenamed("prediction", "streamed")
         same = (F.abs(F.col("trained") - F.col("reloaded")) < 1e-9) & (F.col("reloaded") == F.col("streamed"))
         joined = before.join(after, keys).join(streamed, keys)
         return joined.select(F.lit(name).alias("model"), *keys, "trained", "reloaded", "streamed", same.alias("same"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,6 +51,17 @@ def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "ap
     query.awaitTermination()
 
 
+def run_available_batches(stream: DataFrame, work: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> None:
+    """``work`` on every batch as a plain table, for what needs joins that a stream hasn't; a batch that is run again
+    replaces its own ``epoch`` folder."""
+
+    def add(batch: DataFrame, epoch: int) -> None:
+        work(batch).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+
+    query = stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
 def run_available_update(stream: DataFrame, path: str, checkpoint: str) -> None:
     """Update mode: each batch writes the groups that it changed below its own ``epoch`` folder.
 

@@ -539,6 +539,46 @@ def test_forests_of_odd_rows(spark):
         RandomForest(5, 30).fit(steady.withColumn("label", F.lit(float("nan"))))
 
 
+def test_rows_go_to_the_parts_of_a_large_forest(spark, monkeypatch, tmp_path):
+    """The nodes of all trees used to be collected and broadcast at any size."""
+    from airgrid.operators import forest
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(700, 3)).round(1)
+    y = x[:, 0] + x[:, 1] * x[:, 2] + rng.normal(size=700)
+    df = forest_rows(spark, np.concatenate([x, x[:40]]), np.concatenate([y, y[:40]])).withColumn("place", F.monotonically_increasing_id()).persist()
+    df.count()
+    model = forest.RandomForest(6, 30, part_rows=80).fit(df)
+    want = {r.place: r.prediction for r in model.transform(df).collect()}
+    model.write().overwrite().save(str(tmp_path / "forest"))
+    monkeypatch.setattr(forest, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(forest, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(forest, "MEET_ROWS", 50)
+    again = forest.ForestModel.load(str(tmp_path / "forest"))
+    got = again.transform(df)
+    assert got.columns == [*df.columns, "prediction"]
+    assert {r.place: r.prediction for r in got.collect()} == want and len(want) == 740
+    assert "nodes" not in vars(again)
+    assert again.transform(df.limit(0)).count() == 0
+    df.unpersist()
+
+
+def test_large_forests_score_streams_batch_by_batch(spark, matrix, tmp_path, monkeypatch):
+    from airgrid.operators import forest
+
+    monkeypatch.setattr(forest, "BROADCAST_BYTES", 0)
+    run = ML.run_matrix_training(matrix, "y", ("random_forest",), k=3)
+    keys, scorer = ["dataset_id", "time"], run.scorers["random_forest"]
+    matrix.rows.select(*keys, "features").write.parquet(str(tmp_path / "matrix"))
+    stored = spark.read.parquet(str(tmp_path / "matrix"))
+    live = spark.readStream.schema(stored.schema).parquet(str(tmp_path / "matrix"))
+    with pytest.raises(ValueError, match="batch by batch"):
+        scorer.score(live, keys)
+    monitoring.run_available_batches(live, lambda batch: scorer.score(batch, keys), str(tmp_path / "out"), str(tmp_path / "ckpt"))
+    got = spark.read.parquet(str(tmp_path / "out")).drop("epoch")
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in scorer.score(stored, keys).collect()} and got.count()
+
+
 def test_infinite_inputs_become_unknown_features(spark):
     rows = [("p", f"2021-01-{d:02d}", float("inf") if d == 9 else float(d)) for d in range(1, 29)]
     df = spark.createDataFrame(rows, "dataset_id string, day string, y double").select("dataset_id", F.to_timestamp("day").alias("time"), "y")
