@@ -8,21 +8,27 @@ b", as two cells of its table of next digits.  Rows are counted into these table
 levels; a table has ``BASE`` squared cells at most, and its sum needs one small window.
 
 For n rows that is (log n)**2 partial counts of each row and no group that grows with n; all variable pairs
-go through together as one more key.
+go through together as one more key.  The counts pay off for long keys only: a key of at most ``WHOLE`` rows is
+counted by one task in memory, bit by bit of the ranks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from airgrid.core import BUCKET, by, materialize, tied_ranks
+from airgrid.core import BUCKET, by, lookup, materialize, tied_ranks
 from airgrid.operators.aggregates import merge_on
 
 #: digits of ranks
 BASE = 32
+#: rows of a key that one task counts at once
+WHOLE = 65_536
 
 
 def _levels(n: int) -> int:
@@ -65,18 +71,59 @@ def digit_balance(ranked: DataFrame, keys: Sequence[str], x: str, y: str, levels
     return scored.groupBy(*keys).agg(F.sum("_s").alias("s"))
 
 
-def concordance(df: DataFrame, keys: Sequence[str], x: str, y: str, bucket: int = BUCKET) -> DataFrame:
+def balance(x: np.ndarray, y: np.ndarray) -> int:
+    """Concordant minus discordant pairs; equal values, NaN too, are ties."""
+    x, y = (np.unique(v, return_inverse=True)[1] for v in (x, y))
+    order = np.lexsort((y, x))
+    x, y = x[order], y[order]
+    total = 0
+    for bit in range(int(y.max(initial=0)).bit_length()):
+        # pairs that differ first at this bit meet in the group of their higher bits, in the order of x
+        at = np.argsort(y >> (bit + 1), kind="stable")
+        group, one = y[at] >> (bit + 1), y[at] >> bit & 1
+        start = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        size = np.diff(np.r_[start, len(at)])
+        ones = np.cumsum(one) - one
+        ones -= np.repeat(ones[start], size)
+        zeros = np.arange(len(at)) - np.repeat(start, size) - ones
+        total += int(np.where(one == 1, zeros, -ones).sum())
+    # rows of one x stand in the order of y, so that each of their pairs with different y was counted once
+    pairs = lambda m: int((m * (m - 1) // 2).sum())
+    return total - pairs(np.bincount(x)) + pairs(np.unique(x * len(y) + y, return_counts=True)[1])
+
+
+def _whole_keys(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``concordance`` of keys that fit into a task."""
+
+    def count(table: pa.Table) -> pa.Table:
+        s = balance(*(table.column(c).to_numpy() for c in ("_x", "_y")))
+        return table.select(keys).slice(0, 1).append_column("n", pa.array([table.num_rows], pa.int64())).append_column("s", pa.array([s], pa.int64()))
+
+    kind = T.StructType([*rows.select(*keys).schema.fields, T.StructField("n", T.LongType()), T.StructField("s", T.LongType())])
+    return rows.select(*keys, "_x", "_y").groupBy(*keys).applyInArrow(count, kind)
+
+
+def concordance(df: DataFrame, keys: Sequence[str], x: str, y: str, bucket: int = BUCKET, whole: int = WHOLE) -> DataFrame:
     """``keys, n, s``: number of complete rows and their concordant minus discordant pairs."""
     keys = list(keys)
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
         *keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")
     )
+    rows = materialize(rows)
+    counts = materialize(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")))
+    largest = counts.agg(F.max("n")).first()[0] or 0
+    if keys and largest <= whole:
+        return _whole_keys(rows, keys)
+    short = None
+    if keys:
+        sized = lookup(rows, counts, keys)
+        short, rows = _whole_keys(sized.where(F.col("n") <= whole), keys), sized.where(F.col("n") > whole).drop("n")
+        counts = counts.where(F.col("n") > whole)
     for column in ("_x", "_y"):
         rows = tied_ranks(rows, keys, column, f"_rank{column}", False, bucket).drop(column)
     rows = materialize(rows.withColumns({c: F.col(c) - 1 for c in ("_rank_x", "_rank_y")}))
-    counts = materialize(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")))
-    largest = counts.agg(F.max("n")).first()[0] or 0
-    return merge_on(counts, digit_balance(rows, keys, "_rank_x", "_rank_y", _levels(largest)), keys)
+    long = merge_on(counts, digit_balance(rows, keys, "_rank_x", "_rank_y", _levels(largest)), keys)
+    return long if short is None else long.unionByName(short)
 
 
 def tied_pairs(df: DataFrame, keys: Sequence[str], column: str, out: str) -> DataFrame:
@@ -85,4 +132,4 @@ def tied_pairs(df: DataFrame, keys: Sequence[str], column: str, out: str) -> Dat
     return sizes.groupBy(*keys).agg(F.sum(F.col("_m") * (F.col("_m") - 1) / 2).alias(out))
 
 
-__all__ = ["concordance", "digit_balance", "tied_pairs"]
+__all__ = ["balance", "concordance", "digit_balance", "tied_pairs"]

@@ -215,3 +215,22 @@ def test_salt_depends_on_content_only(spark):
     a = df.withColumn("s", core.salt(df, 8)).orderBy("id").collect()
     b = df.repartition(7).withColumn("s", core.salt(df, 8)).orderBy("id").collect()
     assert a == b
+
+
+def test_short_keys_are_counted_by_one_task(spark):
+    """Every row used to be sent to the tables of all pairs of digits, at any length of its key."""
+    from airgrid.operators.ordering import balance
+
+    rng = np.random.default_rng(12)
+    for n, values in ((0, 1), (1, 1), (2, 2), (60, 3), (257, 40), (300, 10**6)):
+        x, y = rng.integers(0, values, n).astype(float), rng.integers(0, values, n) - values / 2
+        want = sum(np.sign(x[i] - x[:i]) @ np.sign(y[i] - y[:i]) for i in range(n))
+        assert balance(x, y) == want
+    assert balance(np.array([1.0, 2.0, 3.0]), np.array([np.nan, 1.0, np.nan])) == 0  # NaN is greatest and ties with itself
+    rows = [(k, float(rng.integers(0, 9)), float(rng.integers(0, 9))) for k, n in (("a", 70), (None, 20), ("c", 1)) for _ in range(n)]
+    df = spark.createDataFrame([*rows, ("a", None, 1.0), ("d", 1.0, None)], "k string, u double, v double")
+    one, other, mixed = ({tuple(r) for r in concordance(df, ["k"], "u", "v", whole=w).collect()} for w in (100, 0, 30))
+    assert one == other == mixed and {r[:2] for r in one} == {("a", 70), (None, 20), ("c", 1)}
+    assert concordance(df, ["k"], "u", "v").columns == ["k", "n", "s"]
+    short = concordance(df, ["k"], "u", "v")._jdf.queryExecution().analyzed().toString()
+    assert "FlatMapGroupsInArrow" in short and "explode" not in short
