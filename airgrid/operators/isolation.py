@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from airgrid import KEYS
-from airgrid.core import attach, exact_quantiles, materialize, same_keys
+from airgrid.core import attach, exact_quantiles, lookup, materialize, same_keys
 
 SUBSAMPLE = 256
 TREES = 100
@@ -104,6 +104,51 @@ def tree_samples(df: DataFrame, keys: Sequence[str], value: str, trees: int, see
     return seen.groupBy(*keys, "_tree").agg(F.transform(few, lambda d: d["_v"]).alias("_values"))
 
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC2B2AE3D27D4EB4F)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x165667B19E3779F9)
+    return h ^ (h >> np.uint64(32))
+
+
+def _turned(h: np.ndarray, bits: int) -> np.ndarray:
+    return (h << np.uint64(bits)) | (h >> np.uint64(64 - bits))
+
+
+def xxhash64(*columns: np.ndarray) -> np.ndarray:
+    """Spark's ``xxhash64`` of integer columns, of four bytes or else eight."""
+    one, two, three, four, five = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    out = np.full(1, 42, np.uint64)
+    with np.errstate(over="ignore"):
+        for c in columns:
+            if c.dtype == np.int32:
+                h = (out + five + np.uint64(4)) ^ (c.view(np.uint32).astype(np.uint64) * one)
+                out = _mixed(_turned(h, 23) * two + three)
+            else:
+                h = (out + five + np.uint64(8)) ^ (_turned(c.astype(np.int64).view(np.uint64) * two, 31) * one)
+                out = _mixed(_turned(h, 27) * one + four)
+    return out.view(np.int64)
+
+
+def key_samples(row: np.ndarray, v: np.ndarray, trees: int, seed: int) -> list[np.ndarray]:
+    """What ``tree_samples`` draws from the known values ``v`` of one key and the hashes of their rows, sorted by value."""
+    if not len(v):
+        return []
+    order = np.lexsort((v, row))
+    row, v, n = row[order], v[order], len(v)
+    first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+    copy = np.arange(n) - np.repeat(first, np.diff(np.r_[first, n])) + 1
+    seeded, turns = np.full(1, seed, np.int32), min(trees, math.ceil(trees * SEEN / n))
+    start = xxhash64(seeded, row, copy) % trees
+    tree = ((start[:, None] + np.arange(turns)) % trees).astype(np.int32).ravel()
+    at = np.repeat(np.arange(n), turns)
+    h = xxhash64(seeded, tree, row[at], copy[at])
+    seen = np.flatnonzero(h / float(1 << 64) + 0.5 < float(SEEN * trees) / (n * turns))
+    tree, h, v = tree[seen], h[seen], v[at[seen]]
+    order = np.lexsort((v, h, tree))
+    parts = np.split(v[order], np.flatnonzero(np.diff(tree[order])) + 1)
+    return [np.sort(p[:SUBSAMPLE]) for p in parts if len(p)]
+
+
 def fit_isolation(
     df: DataFrame, keys: Sequence[str] = KEYS, value: str = "value", trees: int = TREES, seed: int = 42
 ) -> DataFrame:
@@ -137,11 +182,51 @@ def anomalies_isolation(
 ) -> DataFrame:
     """Adds ``score`` and ``is_anomaly``: the ``contamination`` share with the highest scores.
 
-    The rows of a key meet its trees' samples, which are smaller than the forest's step function, in parts of
-    about ``PART`` rows; each part grows the same forest and looks its rows up in it.
+    A key of at most ``PART`` rows is drawn from, scored and cut by one task that sees each row once.  The rows of a
+    longer one meet its trees' samples, which are smaller than the forest's step function, in parts of about
+    ``PART`` rows; each part grows the same forest and looks its rows up in it.
     """
     keys = list(keys)
-    sizes = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("_parts"))
+    sizes = materialize(df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("_parts")))
+    most = sizes.agg(F.max("_parts")).first()[0] or 0
+    if not keys:
+        return _long_keys(df, sizes, contamination, keys, value, trees, seed)
+    if most <= 1:
+        return _short_keys(df, contamination, keys, value, trees, seed)
+    sized = lookup(df, sizes, keys)
+    long = _long_keys(sized.where(F.col("_parts") > 1).drop("_parts"), sizes.where(F.col("_parts") > 1), contamination, keys, value, trees, seed)
+    return long.unionByName(_short_keys(sized.where(F.col("_parts") <= 1).drop("_parts"), contamination, keys, value, trees, seed))
+
+
+def quantile(values: np.ndarray, p: float) -> float:
+    """As ``exact_quantiles`` has it."""
+    values = np.sort(values)
+    at = p * (len(values) - 1)
+    lo, hi, t = float(values[math.floor(at)]), float(values[math.ceil(at)]), at - math.floor(at)
+    return lo if lo == hi else lo + (hi - lo) * t if t < 0.5 else hi - (hi - lo) * (1 - t)
+
+
+def _short_keys(df: DataFrame, contamination: float, keys: list[str], value: str, trees: int, seed: int) -> DataFrame:
+    columns = df.columns
+
+    def score(rows: pa.Table) -> pa.Table:
+        found = np.full(rows.num_rows, np.nan)
+        valid = rows.column("_v").is_valid().to_numpy()
+        values = rows.column("_v").to_numpy()[valid]
+        flags = np.zeros(rows.num_rows, bool)
+        if len(values):
+            samples = key_samples(rows.column("_row").to_numpy()[valid], values, trees, seed)
+            cuts, scores = forest_steps(samples, seed)
+            found[valid] = scores[np.searchsorted(cuts, values, "left")]
+            flags[valid] = found[valid] > quantile(found[valid], 1 - contamination)
+        return rows.select(columns).append_column("score", pa.array(found, from_pandas=True)).append_column("is_anomaly", pa.array(flags))
+
+    rows = df.withColumns({"_v": F.col(value).cast("double"), "_row": F.xxhash64(*columns)})
+    kind = T.StructType([*df.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("is_anomaly", T.BooleanType())])
+    return rows.groupBy(*keys).applyInArrow(score, kind)
+
+
+def _long_keys(df: DataFrame, sizes: DataFrame, contamination: float, keys: list[str], value: str, trees: int, seed: int) -> DataFrame:
     # rows and samples of a part meet in one group; the sums of rows need no other order
     rows = attach(df, sizes, keys).withColumn("_part", F.pmod(F.xxhash64(*df.columns) + F.spark_partition_id(), F.col("_parts")).cast("int"))
     samples = same_keys(tree_samples(df, keys, value, trees, seed), sizes, keys)

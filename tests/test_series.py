@@ -269,6 +269,25 @@ def test_isolation_scores_in_parts_as_the_model_says(spark, monkeypatch):
     assert not out.where("value IS NOT NULL AND score IS NULL").count()
 
 
+@pytest.mark.parametrize("n", [1, 300, 2_500])
+def test_isolation_draws_short_keys_in_their_task(spark, monkeypatch, n):
+    """Every row of a short series used to be shuffled once for each of a hundred trees."""
+    from airgrid.operators import isolation
+
+    values = np.random.default_rng(n).normal(size=n).round(2)
+    rows = series_of(spark, [None, *values]).unionByName(series_of(spark, [None], key="so2"))
+    rows = rows.unionByName(rows.where("value > 1.5"))  # copies
+    hashed = rows.select("value", F.xxhash64(*rows.columns).alias("h")).where("value IS NOT NULL").toPandas()
+    want = {r["_tree"]: sorted(r["_values"]) for r in tree_samples(rows, ["dataset_id", "variable"], "value", 100, 42).collect()}
+    got = isolation.key_samples(hashed.h.to_numpy(), hashed.value.to_numpy(), 100, 42)
+    assert [g.tolist() for g in got] == [want[t] for t in sorted(want)]
+    out = anomalies_isolation(rows)
+    assert "explode" not in out._jdf.queryExecution().analyzed().toString() and "CoGroup" not in out._jdf.queryExecution().analyzed().toString()
+    monkeypatch.setattr(isolation, "PART", n)  # one key longer than a part, one shorter
+    assert sorted(map(repr, out.collect())) == sorted(map(repr, anomalies_isolation(rows).collect()))
+    assert out.count() == rows.count()
+
+
 def test_forest_steps_are_a_step_function():
     rng = np.random.default_rng(1)
     cuts, scores = forest_steps([np.sort(rng.normal(size=250)) for _ in range(20)], 7)
