@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+import re
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CHECKSUMS: dict[str, Callable[[Column], Column]] = {
     "md5": F.md5,
     "sha1": F.sha1,
     "sha256": lambda c: F.sha2(c, 256),
 }
+#: bytes of a file that a task holds at once
+PIECE = 1 << 22
 # fixed values: file kind by extension
 FILE_TYPES = {
     "nc": "netcdf",
@@ -44,7 +50,8 @@ def lake_manifest(
 ) -> DataFrame:
     """One row per file; the content is only read when a checksum is asked for.
 
-    Spark's file source leaves out files without content, so an empty file looks like a missing one.
+    Spark's file source leaves out files without content, so an empty file looks like a missing one.  Files of a
+    mounted file system are read piece by piece at any size, others whole (2 GB at most) by Spark's reader.
     """
     files = (
         spark.read.format("binaryFile")
@@ -61,9 +68,34 @@ def lake_manifest(
         F.col("modificationTime").alias("modified"),
         _file_type(ext).alias("file_type"),
     ]
-    if checksum:
-        columns.append(CHECKSUMS[checksum](F.col("content")).alias("checksum"))
-    return files.select(*columns)
+    if not checksum:
+        return files.select(*columns)
+    content = CHECKSUMS[checksum](F.col("content")).alias("checksum")
+    return with_checksum(files.select(*columns), checksum) if is_mounted(spark, path) else files.select(*columns, content)
+
+
+def is_mounted(spark: SparkSession, path: str) -> bool:
+    """Whether tasks can open files of this path by themselves."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    return spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(hadoop).getUri().getScheme() == "file"
+
+
+def with_checksum(listed: DataFrame, checksum: str) -> DataFrame:
+    """Adds the checksum of each listed file; the task that lists a file reads it in pieces of ``PIECE`` bytes."""
+    piece = PIECE
+
+    def digest(path: str) -> str:
+        found = hashlib.new(checksum)
+        with open(re.sub("^file:/+", "/", path), "rb") as f:
+            while block := f.read(piece):
+                found.update(block)
+        return found.hexdigest()
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.append_column("checksum", pa.array(map(digest, batch.column("path").to_pylist()), pa.string()))
+
+    return listed.mapInArrow(add, T.StructType([*listed.schema.fields, T.StructField("checksum", T.StringType())]))
 
 
 def verify_integrity(manifest: DataFrame, expected: DataFrame) -> DataFrame:

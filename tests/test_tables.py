@@ -45,6 +45,25 @@ def test_partitioned_layout_prunes(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(product" in out._jdf.queryExecution().toString()
 
 
+def test_checksums_of_files_larger_than_a_row(spark, tmp_path):
+    """The content of a file used to be one value of a row, which ends at 2 GB."""
+    large = tmp_path / "a b%20c#d"
+    large.mkdir()
+    (large / "long, é.csv").write_bytes(b"x" * 11)
+    with open(large / "big.nc", "wb") as f:
+        f.truncate((1 << 31) + 7)  # takes no room on disk
+        f.write(b"start")
+    want = {}
+    for name in ("long, é.csv", "big.nc"):
+        with open(large / name, "rb") as f:
+            want[name] = hashlib.file_digest(f, "sha1").hexdigest()
+    m = files.lake_manifest(spark, str(tmp_path), checksum="sha1")
+    assert {r.name: r.checksum for r in m.collect()} == want
+    assert m.columns == [*files.lake_manifest(spark, str(tmp_path)).columns, "checksum"]
+    out = files.verify_integrity(m, m.select("path", "checksum")).collect()
+    assert len(out) == 2 and all(r.intact for r in out)
+
+
 def test_manifest_and_integrity(spark, tmp_path):
     (tmp_path / "a.csv").write_text("x\n1\n")
     (tmp_path / "sub").mkdir()
