@@ -558,6 +558,33 @@ def test_forests_of_odd_rows(spark):
         RandomForest(5, 30).fit(steady.withColumn("label", F.lit(float("nan"))))
 
 
+def test_a_tree_that_loses_features_is_the_one_grown_without_them():
+    from airgrid.operators.forest import ShrinkingTree, grow
+
+    rng = np.random.default_rng(9)
+    bins, y, w = rng.integers(0, 32, (200, 9)).astype(np.uint8), rng.normal(size=200), rng.poisson(1, 200)
+    tree, left = ShrinkingTree(bins, y, w, 30), list(range(9))
+    for lost in ([4], [0], [8, 2], [1]):
+        tree.drop(lost)
+        left = [f for f in left if f not in lost]
+        anew = ShrinkingTree(bins[:, left], y, w, 30).gains
+        assert tree.gains[left].tolist() == anew.tolist() and not tree.gains[lost].any()
+        np.testing.assert_allclose(anew, grow(bins[w > 0][:, left], y[w > 0], w[w > 0], 30)[3], rtol=1e-9)
+
+
+def test_elimination_starts_from_all_features(spark, matrix, monkeypatch):
+    """The query used to start from the twelve features with the best F scores."""
+    from airgrid.operators import forest
+
+    seen, grown = [], ML.eliminate
+    monkeypatch.setattr(ML, "eliminate", lambda rows, *rest: seen.append(len(rows.first().x)) or grown(rows, *rest))
+    got = ML.rfe_matrix(matrix, 3, trees=4)
+    assert seen == [len(matrix.names)] and len(got) == 3 and set(got) < set(matrix.names)
+    assert got == ML.rfe_matrix(matrix, 3, trees=4)
+    monkeypatch.setattr(forest, "HELD_BYTES", 0)  # a forest for each step
+    assert len(ML.rfe_matrix(matrix, len(matrix.names) - 2, trees=2)) == len(matrix.names) - 2
+
+
 def test_rows_go_to_the_parts_of_a_large_forest(spark, monkeypatch, tmp_path):
     """The nodes of all trees used to be collected and broadcast at any size."""
     from airgrid.operators import forest
